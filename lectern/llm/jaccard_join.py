@@ -6,12 +6,12 @@
    bucket is dealt in blocks, a task taking a pair of blocks. Within it pairs are compared on
    their MinHash values a few at a time; a pair is dropped as soon as the posterior probability
    that its similarity reaches the threshold falls below a tolerance (uniform prior, so the
-   posterior is a Beta distribution). No pair becomes a row: a task reports the spanning edges
-   of what it has left, at most one less than it has members.
+   posterior is a Beta distribution). No pair becomes a row: a task reports the edges to the least member
+   of each component of what it has left, fewer than it has members.
 3. Components of these edges are found by hooking and pointer jumping over DataFrames. Each
    component's members meet once, again by pairs of blocks, with their n-gram sets. The pairs
    of step 2 are pruned the same way and verified exactly; a task reports partial numbers of
-   links and the spanning edges of the verified ones.
+   links and the edges to the least member of the verified ones.
 4. Components of verified edges are the near-duplicate classes.
 
 n-grams are compared as 64-bit hashes. A text of fewer words than an n-gram has all its words
@@ -119,8 +119,8 @@ def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, thresh
     return left
 
 
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over n nodes."""
+def stars(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Edges (least node, node) of the components that pairs (i, j) make of n nodes."""
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -129,15 +129,15 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
+    left = n - 1
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         p, q = find(x), find(y)
         if p != q:
             root[max(p, q)] = min(p, q)
-            out.append((x, y))
-            if len(out) == n - 1:
+            left -= 1
+            if not left:
                 break
-    return out
+    return [(r, x) for x in range(n) if (r := find(x)) != x]
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -237,11 +237,14 @@ def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]], limit: int = 1 <<
 
 
 def _edges(digests: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Spanning edges between digests for row pairs (i, j)."""
-    number: dict[bytes, int] = {}
-    node = np.fromiter((number.setdefault(d, len(number)) for d in digests), np.int64, len(digests))
-    names = list(number)
-    edges = spanning(node[i], node[j], len(names))
+    """Edges from the least digest of each component of the row pairs (i, j) to its others.
+
+    Tasks that see much of the same component thus mostly report the same edges.
+    """
+    names = sorted(set(digests.tolist()))
+    number = {d: k for k, d in enumerate(names)}
+    node = np.fromiter((number[d] for d in digests.tolist()), np.int64, len(digests))
+    edges = stars(node[i], node[j], len(names))
     return [names[p] for p, _ in edges], [names[q] for _, q in edges]
 
 
