@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,12 @@ class WordTokenizer:
         return [b"".join(map(known.__getitem__, own)) if own is not None else np.array(next(rest).ids, "<u4").tobytes() for own in cut]
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that later tasks of a worker know the words of earlier ones."""
+    return WordTokenizer(path)
+
+
 PIECES = "piece int, start long, length int, ids_crc32 long"
 
 
@@ -94,7 +101,7 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
