@@ -1,6 +1,690 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries over the driver's tables, each an application of the operators, and their DuckDB SQL.
+
+The documents table has no chapters or headings of its own. A chapter is a document whose lines are
+paragraphs, with structure added by one expression (CHAPTER) that both engines evaluate alike: a
+heading mark, citations, a scene break, a closing line. A book is a source.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import native as N
+from .functions import patterns as P
+from .operators import artifact, audio, chunk, edits, score, segment
+from .plans import benchmark, narrate, prepare
+from .sources import markup, outline, voices
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Text of a chapter, in SQL of either engine.
+CHAPTER = """concat(CASE WHEN doc_id % 3 = 0 THEN '# ' ELSE '' END, replace(text, chr(10), concat(chr(10), chr(10))),
+ CASE WHEN doc_id % 4 = 0 THEN ' (Smith 1999, Jones 2001) went on.' ELSE '' END, CASE WHEN doc_id % 6 = 0 THEN ' Seen [7] again.' ELSE '' END,
+ CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), chr(10), '***', chr(10), chr(10), 'The end') ELSE '' END)"""
+
+CHAPTERS = f"ch AS (SELECT source AS book_id, doc_id::INTEGER AS chapter_index, 'Chapter ' || doc_id AS title, {CHAPTER} AS text FROM documents)"
+_TRIM = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_SQUEEZE = lambda c: _TRIM(f"regexp_replace({c}, '\\s+', ' ', 'g')")
+BLOCKS = f"""{CHAPTERS}, b0 AS (SELECT book_id, chapter_index, title, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_TRIM('x')}), lambda x: x <> '') AS l FROM ch),
+ bl AS (SELECT book_id, chapter_index, title, unnest(range(len(l)))::INTEGER AS position, unnest(l) AS text FROM b0)"""
+_HEAD = "regexp_full_match(text, '#{1,6}(\\s+|$)\\S?[^\\n]*')"
+_SCENE = r"regexp_full_match(text, '((\*\s*){3,}|(-\s*){3,}|(_\s*){3,}|(~\s*){3,})')"
+KIND = f"""CASE WHEN {_HEAD} THEN 'heading' WHEN {_SCENE} THEN 'scene_marker'
+ WHEN len(text) <= 80 AND NOT contains('.!?:;”"’''', right(text, 1)) THEN 'display_line' ELSE 'prose' END"""
+UNITS = f"{BLOCKS}, un AS (SELECT *, {KIND} AS kind FROM bl)"
+_MASK = lambda c: (
+    f"regexp_replace(regexp_replace({c}, '\\[(\\s*\\d+[a-z]?(\\s*[-,;]\\s*\\d+[a-z]?)*\\s*)\\]', ' ', 'g'), "
+    "'\\([^()]*((\\b(1[5-9]|20)\\d{2}[a-zA-Z]?\\b[^()]*([,;]|\\b[a-zA-Z][a-zA-Z''’.-]+))|(([,;]|\\b[a-zA-Z][a-zA-Z''’.-]+)[^()]*\\b(1[5-9]|20)\\d{2}[a-zA-Z]?\\b))[^()]*\\)', ' ', 'g')"
+)
+_TOKENS = lambda c: f"regexp_extract_all(lower({_MASK(c)}), '[\\p{{L}}\\p{{N}}]+([''’][\\p{{L}}\\p{{N}}]+)?')"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def chapters(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return docs.select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("chapter_index"), F.concat(F.lit("Chapter "), "doc_id").alias("title"), F.expr(CHAPTER).alias("text"))
+
+
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    own = F.filter(F.transform(F.split("text", "\n\n"), N.strip), lambda x: x != "")
+    return chapters(spark, folder).select("book_id", "chapter_index", "title", F.posexplode(own).alias("position", "text"))
+
+
+def units(spark: SparkSession, folder: str) -> DataFrame:
+    return blocks(spark, folder).withColumn("kind", N.block_kind(F.col("text")))
+
+
+# Text
+
+
+def _clean_sql() -> str:
+    out = CHAPTER
+    for pattern, to in P.CLEANUP:
+        pattern, to = pattern.replace(r"(?=\S)", r"(\S)"), to.replace("$1 ", r"\1 \2") if "(?=" in pattern else to.replace("$1", r"\1")
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return _TRIM(out)
+
+
+@query(f"SELECT doc_id, sha256(t) AS sha, len(t)::BIGINT AS n FROM (SELECT doc_id, {_clean_sql()} AS t FROM documents)")
+def clean_segment(spark, folder):
+    t = N.clean_segment(F.expr(CHAPTER))
+    return table(spark, folder, "documents").select("doc_id", t.alias("t")).select("doc_id", N.sha256(F.col("t")).alias("sha"), F.char_length("t").cast("long").alias("n"))
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Table of Contents' WHEN 1 THEN 'Transcriber’s Notes.' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title FROM pages)
+SELECT page_id, title, contains(lower(title), 'project gutenberg') OR trim(regexp_replace(replace(lower(title), '’', ''''), '[^a-z'' ]+', '', 'g')) IN ({", ".join("'" + x.replace("'", "''") + "'" for x in P.SKIPPED_SECTIONS)}) AS skipped FROM t"""
+)
+def skip_section_flags(spark, folder):
+    title = F.when(F.col("page_id") % 5 == 0, "Table of Contents").when(F.col("page_id") % 5 == 1, "Transcriber’s Notes.").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return table(spark, folder, "pages").select("page_id", title.alias("title")).withColumn("skipped", N.is_skipped_section(F.col("title")))
+
+
+@query()
+def html_to_markdown(spark, folder):
+    return markup.to_markdown(table(spark, folder, "pages")).select("page_id", "markdown")
+
+
+@query(f"WITH {UNITS} SELECT book_id, kind, count(*) AS n, sum(len(text))::BIGINT AS chars FROM un GROUP BY ALL")
+def block_kinds(spark, folder):
+    return units(spark, folder).groupBy("book_id", "kind").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query(
+    f"""WITH {CHAPTERS}, l AS (SELECT chapter_index, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM("x")}), lambda x: x <> '') AS l FROM ch),
+n AS (SELECT chapter_index, array_to_string(list_transform(l, lambda x: CASE WHEN {_HEAD.replace("text", "x")} OR {_SCENE.replace("text", "x")} THEN regexp_replace(x, '[ \\t]+', ' ', 'g')
+ ELSE {_TRIM("regexp_replace(regexp_replace(x, '([\\p{L}\\p{N}_])-[ \\t]+([\\p{L}\\p{N}_])', '\\1-\\2', 'g'), '[ \\t]+', ' ', 'g')")} END), chr(10) || chr(10)) AS t FROM l)
+SELECT chapter_index, sha256(t) AS sha, len(t)::BIGINT AS n FROM n"""
+)
+def normalize_text(spark, folder):
+    t = chapters(spark, folder).select("chapter_index", N.normalize_text(F.col("text")).alias("t"))
+    return t.select("chapter_index", N.sha256(F.col("t")).alias("sha"), F.char_length("t").cast("long").alias("n"))
+
+
+@query(
+    f"""WITH {BLOCKS}, p AS (SELECT chapter_index, string_split(list_reduce(list(text ORDER BY position), lambda a, x:
+ CASE WHEN len(string_split(a, chr(31))[-1]) + 2 + len(x) > 700 OR len(string_split(a, chr(31))[-1]) >= 500 THEN a || chr(31) || x ELSE a || chr(10) || chr(10) || x END), chr(31)) AS g FROM bl GROUP BY chapter_index)
+SELECT chapter_index, len(g)::INTEGER AS groups, list_max(list_transform(g, lambda x: len(x)))::INTEGER AS longest, sha256(array_to_string(g, '|')) AS sha FROM p"""
+)
+def units_greedy_pack(spark, folder):
+    own = F.filter(F.transform(F.split("text", "\n\n"), N.strip), lambda x: x != "")
+    g = chapters(spark, folder).select("chapter_index", segment.packed_column(own, "\n\n", 700, 500).alias("g")).filter(F.size("g") > 0)
+    longest = F.array_max(F.transform("g", lambda x: F.char_length(x)))
+    return g.select("chapter_index", F.size("g").alias("groups"), longest.alias("longest"), N.sha256(F.array_join("g", "|")).alias("sha"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE 1 + len(regexp_extract_all(text, '[.!?]["''”’)]*\s+["''“‘(\[A-Z0-9]')) END::INTEGER AS sentences
+FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents)"""
+)
+def sentence_count(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.size(N.sentence_split(N.strip(F.col("text")))).alias("sentences"))
+
+
+@query(f"SELECT doc_id, sha256({_MASK(CHAPTER)}) AS sha, len({_MASK(CHAPTER)})::INTEGER AS n FROM documents")
+def mask_citations(spark, folder):
+    m = N.mask_citations(F.expr(CHAPTER))
+    return table(spark, folder, "documents").select("doc_id", m.alias("m")).select("doc_id", N.sha256(F.col("m")).alias("sha"), F.char_length("m").alias("n"))
+
+
+@query(
+    f"""WITH {CHAPTERS}, t AS (SELECT book_id, unnest({_TOKENS("text")}) AS word FROM ch)
+SELECT book_id, count(*) AS tokens, count(DISTINCT word) AS words FROM t GROUP BY book_id"""
+)
+def token_counts(spark, folder):
+    t = chapters(spark, folder).select("book_id", F.explode(N.tokens(F.col("text"))).alias("word"))
+    by_word = t.groupBy("book_id", "word").agg(F.count("*").alias("n"))
+    return by_word.groupBy("book_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("words"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, {CHAPTER} AS a, replace(replace({CHAPTER}, ' the ', ' '), ' de ', ' ') AS b FROM documents),
+x AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS("a")}) AS w FROM p) GROUP BY ALL),
+y AS (SELECT doc_id, w, count(*) AS m FROM (SELECT doc_id, unnest({_TOKENS("b")}) AS w FROM p) GROUP BY ALL),
+s AS (SELECT doc_id, sum(n) AS source_tokens, sum(least(n, coalesce(m, 0))) AS retained FROM x LEFT JOIN y USING (doc_id, w) GROUP BY doc_id)
+SELECT doc_id, coalesce(source_tokens, 0)::BIGINT AS source_tokens, coalesce(retained, 0)::BIGINT AS retained,
+ CASE WHEN source_tokens > 0 THEN round(retained / source_tokens::DOUBLE, 6) ELSE 1.0 END::DOUBLE AS retention FROM p LEFT JOIN s USING (doc_id)"""
+)
+def lexical_retention(spark, folder):
+    p = table(spark, folder, "documents").select("doc_id", F.expr(CHAPTER).alias("a"))
+    p = p.withColumn("b", F.replace(F.replace("a", F.lit(" the "), F.lit(" ")), F.lit(" de "), F.lit(" ")))
+    return edits.retention_by_join(p, "doc_id", "a", "b").withColumn("retention", F.round("retention", 6))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, {_TRIM(_MASK(CHAPTER))} AS a, {_TRIM(_MASK("concat(" + CHAPTER + ", repeat(' more', (doc_id % 90)::INTEGER))"))} AS b FROM documents)
+SELECT doc_id, round(len(b) / greatest(1, len(a))::DOUBLE, 6) AS ratio, len(b) > greatest(len(a) * 1.6, len(a) + 240) AS expanded FROM p"""
+)
+def expansion_check(spark, folder):
+    p = table(spark, folder, "documents").select("doc_id", F.expr(CHAPTER).alias("t"))
+    more = F.concat("t", F.repeat(F.lit(" more"), (F.col("doc_id") % 90).cast("int")))
+    a, b = (F.char_length(N.strip(N.mask_citations(c))) for c in (F.col("t"), more))
+    p = p.select("doc_id", a.alias("a"), b.alias("b"))
+    return p.select("doc_id", F.round(F.col("b") / F.greatest(F.lit(1), "a"), 6).alias("ratio"), (F.col("b") > F.greatest(F.col("a") * P.EXPANSION, F.col("a") + P.EXPANSION_SLACK)).alias("expanded"))
+
+
+@query(
+    f"""WITH p AS (SELECT conv_id, turn, left(text, 200) AS a, replace(left(text, 200), 'th', 't') AS b FROM conversations),
+x AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest({_TOKENS("a")}) AS w FROM p) GROUP BY ALL),
+y AS (SELECT conv_id, turn, w, count(*) AS m FROM (SELECT conv_id, turn, unnest({_TOKENS("b")}) AS w FROM p) GROUP BY ALL),
+c AS (SELECT conv_id, turn, sum(abs(coalesce(n, 0) - coalesce(m, 0))) AS changed FROM x FULL JOIN y USING (conv_id, turn, w) GROUP BY ALL)
+SELECT coalesce(changed, 0)::INTEGER AS changed, count(*) AS n FROM p LEFT JOIN c USING (conv_id, turn) GROUP BY ALL"""
+)
+def words_changed(spark, folder):
+    a = F.left("text", F.lit(200))
+    rows = table(spark, folder, "conversations").select(edits.words_changed(a, F.replace(a, F.lit("th"), F.lit("t"))).alias("changed"))
+    return rows.groupBy("changed").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT conv_id, turn, sha256({_SQUEEZE("translate(concat('“', text, '”—‘x’'), '“”—‘’', '\"\"-''''')")}) AS sha FROM conversations""")
+def fold_collapse(spark, folder):
+    t = F.concat(F.lit("“"), "text", F.lit("”—‘x’"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", N.sha256(N.collapse(t)).alias("sha"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN substring(text, 40, 30) WHEN 1 THEN 'e' ELSE 'no such words' END AS q FROM documents),
+c AS (SELECT doc_id, text, q, CASE WHEN len(q) > 0 THEN (len(text) - len(replace(text, q, ''))) // len(q) ELSE 0 END AS n,
+ replace(text, chr(10), ' ') AS f, replace(q, chr(10), ' ') AS g, trim(regexp_replace(replace(q, chr(10), ' '), '\\s+', ' ', 'g')) AS h FROM p),
+d AS (SELECT *, CASE WHEN len(g) > 0 THEN (len(f) - len(replace(f, g, ''))) // len(g) ELSE 0 END AS m, CASE WHEN len(h) > 0 THEN (len(f) - len(replace(f, h, ''))) // len(h) ELSE 0 END AS k FROM c)
+SELECT doc_id, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'found' WHEN m > 1 THEN 'ambiguous' WHEN m = 1 THEN 'found' WHEN k > 1 THEN 'ambiguous' WHEN k = 1 THEN 'found' ELSE 'missing' END AS status,
+ CASE WHEN n > 1 THEN NULL WHEN n = 1 THEN strpos(text, q) - 1 WHEN m > 1 THEN NULL WHEN m = 1 THEN strpos(f, g) - 1 WHEN k = 1 THEN strpos(f, h) - 1 END::INTEGER AS start FROM d"""
+)
+def edit_locate(spark, folder):
+    q = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 40, 30)).when(F.col("doc_id") % 3 == 1, "e").otherwise("no such words")
+    rows = table(spark, folder, "documents").select("doc_id", "text", q.alias("q"))
+    return rows.select("doc_id", edits.placed(F.col("text"), F.col("q")).alias("p")).select("doc_id", "p.*")
+
+
+# Units, chunks, preparation
+
+
+@query(
+    f"""WITH {UNITS}, w AS (SELECT *, last_value(CASE WHEN kind = 'prose' THEN text END IGNORE NULLS) OVER (PARTITION BY book_id, chapter_index ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+ first_value(CASE WHEN kind = 'prose' THEN text END IGNORE NULLS) OVER (PARTITION BY book_id, chapter_index ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM un)
+SELECT chapter_index, position, kind,
+ CASE WHEN kind <> 'prose' OR p IS NULL THEN '' WHEN len(p) <= 60 THEN p WHEN contains(right(p, 60), ' ') THEN regexp_replace(right(p, 60), '^[^ ]* ', '', 's') ELSE right(p, 60) END AS previous_context,
+ CASE WHEN kind <> 'prose' OR f IS NULL THEN '' WHEN len(f) <= 60 THEN f WHEN contains(left(f, 60), ' ') THEN regexp_replace(left(f, 60), ' [^ ]*$', '', 's') ELSE left(f, 60) END AS following_context FROM w"""
+)
+def prose_contexts(spark, folder):
+    rows = segment.with_context(units(spark, folder), ("book_id", "chapter_index"), 60)
+    return rows.select("chapter_index", "position", "kind", "previous_context", "following_context")
+
+
+@query(f"WITH {UNITS}, w AS (SELECT *, sum((kind = 'prose')::INTEGER) OVER (PARTITION BY book_id ORDER BY chapter_index, position) AS n FROM un) SELECT book_id, chapter_index, position, kind FROM w WHERE n <= 25")
+def preview_limit(spark, folder):
+    return segment.limited(units(spark, folder), 25).select("book_id", "chapter_index", "position", "kind")
+
+
+@query(f"WITH {BLOCKS}, w AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, position) AS n FROM bl) SELECT book_id, chapter_index, position AS chunk_index FROM w WHERE n <= 12")
+def global_chunk_limit(spark, folder):
+    rows = blocks(spark, folder).withColumnRenamed("position", "chunk_index")
+    return chunk.first_chunks(rows, 12).select("book_id", "chapter_index", "chunk_index")
+
+
+@query()
+def chunk_plan(spark, folder):
+    return chunk.chunk_plan(chapters(spark, folder)).select("book_id", "chapter_index", "chunk_index", "boundary_after", "char_count", "text", "previous_context", "following_context")
+
+
+@query()
+def chunk_summary(spark, folder):
+    return chunk.plan_summary(chunk.chunk_plan(chapters(spark, folder)))
+
+
+@query()
+def provider_units(spark, folder):
+    rows = prepare.normalized(chapters(spark, folder), "text")
+    return segment.units(rows)
+
+
+@query()
+def prepared_units(spark, folder):
+    rows = prepare.prepared_units(chapters(spark, folder).withColumnRenamed("text", "source_text"))
+    return rows.select("book_id", "chapter_index", "position", "kind", "unit_id", "prepared_text", "prepared_sha256", F.size("edits").alias("n_edits"), F.size("warnings").alias("n_warnings"), F.size("issues").alias("n_issues"))
+
+
+@query()
+def apply_edits(spark, folder):
+    near = F.substring("text", 1, 40)
+    one = F.struct(F.lit("citation").alias("category"), F.lit("(Smith 1999, Jones 2001)").alias("original"), F.lit("").alias("replacement"), F.lit("").alias("reason"), F.lit(1).alias("sentence"))
+    two = F.struct(F.lit("reference_marker").alias("category"), F.lit("[7]").alias("original"), F.lit("").alias("replacement"), F.lit("").alias("reason"), F.lit(1).alias("sentence"))
+    bad = F.struct(F.lit("unspecified").alias("category"), near.alias("original"), F.lit("In summary, nothing").alias("replacement"), F.lit("").alias("reason"), F.lit(1).alias("sentence"))
+    rows = chapters(spark, folder).select("chapter_index", "text", F.array(one, two, bad).alias("edits"))
+    return edits.applied(rows).select("chapter_index", "prepared_text", F.size("applied").alias("n_applied"), F.size("warnings").alias("n_warnings"), "lexical_retention")
+
+
+@query(f"WITH {UNITS} SELECT 'chapter-' || lpad(chapter_index::VARCHAR, greatest(4, len(chapter_index::VARCHAR))::INTEGER, '0') || '-unit-' || lpad(position::VARCHAR, 4, '0') || '-' || left(sha256(text), 12) AS unit_id, sha256(text) AS source_sha256 FROM un")
+def unit_ids(spark, folder):
+    return artifact.identified(units(spark, folder)).select("unit_id", "source_sha256")
+
+
+@query(
+    f"""WITH {BLOCKS}, c AS (SELECT book_id, chapter_index, string_agg(text, chr(10) || chr(10) ORDER BY position) AS t FROM bl GROUP BY ALL), d AS (SELECT *, sha256(t) AS h FROM c)
+SELECT book_id, string_agg(t, chr(10) || chr(10) ORDER BY chapter_index).sha256() AS text_sha256, sha256(string_agg(h, chr(10) ORDER BY chapter_index)) AS book_sha256 FROM d GROUP BY book_id"""
+)
+def artifact_hashes(spark, folder):
+    rows = blocks(spark, folder).withColumnRenamed("text", "prepared_text")
+    books = artifact.books_of(artifact.chapters_of(rows))
+    return books.select("book_id", N.sha256(F.col("prepared_text")).alias("text_sha256"), "book_sha256")
+
+
+def _tampered(rows: DataFrame) -> DataFrame:
+    rows = artifact.identified(rows).withColumnRenamed("text", "source_text")
+    tamper = F.col("chapter_index") % 7 == 0
+    return rows.withColumns({
+        "prepared_text": F.when(tamper & (F.col("position") == 0), F.concat("source_text", F.lit("!"))).otherwise(F.col("source_text")),
+        "prepared_sha256": F.col("source_sha256"), "kind": F.when((F.col("chapter_index") % 50 == 1) & (F.col("position") == 0), "verse").otherwise(F.col("kind")),
+    })
+
+
+@query(
+    f"""WITH {UNITS}, t AS (SELECT 'chapter-' || lpad(chapter_index::VARCHAR, greatest(4, len(chapter_index::VARCHAR))::INTEGER, '0') || '-unit-' || lpad(position::VARCHAR, 4, '0') || '-' || left(sha256(text), 12) AS "at",
+ CASE WHEN chapter_index % 50 = 1 AND position = 0 THEN 'verse' ELSE kind END AS kind, chapter_index % 7 = 0 AND position = 0 AS bad FROM un)
+SELECT "at" AS place, 'unknown unit kind' AS issue FROM t WHERE kind = 'verse' UNION ALL SELECT "at", 'stale prepared hash' FROM t WHERE bad
+UNION ALL SELECT "at", 'structural text changed' FROM t WHERE bad AND kind <> 'prose'"""
+)
+def artifact_violations(spark, folder):
+    return artifact.unit_violations(_tampered(units(spark, folder))).withColumnRenamed("at", "place")
+
+
+_REQUESTS = "SELECT doc_id, sha256(concat(lang, chr(31), text)) AS cache_key FROM documents"
+
+
+@query(f"WITH r AS ({_REQUESTS}), c AS (SELECT cache_key, max(doc_id) AS prepared_by FROM r WHERE doc_id % 2 = 1 GROUP BY 1) SELECT doc_id, r.cache_key, prepared_by FROM r JOIN c USING (cache_key)")
+def cache_hits(spark, folder):
+    return artifact.resumed(*_cache(spark, folder))[0].select("doc_id", "cache_key", "prepared_by")
+
+
+@query(f"WITH r AS ({_REQUESTS}), c AS (SELECT cache_key FROM r WHERE doc_id % 2 = 1) SELECT doc_id, cache_key FROM r WHERE cache_key NOT IN (SELECT cache_key FROM c)")
+def cache_misses(spark, folder):
+    return artifact.resumed(*_cache(spark, folder))[1].select("doc_id", "cache_key")
+
+
+def _cache(spark, folder) -> tuple[DataFrame, DataFrame]:
+    key = N.sha256(F.concat("lang", F.lit("\x1f"), "text"))
+    asked = table(spark, folder, "documents").select("doc_id", key.alias("cache_key"))
+    stored = asked.filter("doc_id % 2 = 1").select("cache_key", F.col("doc_id").alias("prepared_by"), F.col("doc_id").alias("written"))
+    return asked, artifact.latest(stored, "written").drop("written")
+
+
+@query(
+    """SELECT source AS book_id, '# ' || source || chr(10) || chr(10) || '_Prepared by rules_' || chr(10) || chr(10) || string_agg('## Chapter ' || doc_id || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS markdown
+FROM (SELECT source, doc_id, left(regexp_replace(text, '\\s+', ' ', 'g'), 50).trim() AS t FROM documents) GROUP BY source"""
+)
+def book_markdown(spark, folder):
+    body = F.trim(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(50)))
+    rows = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), F.concat(F.lit("Chapter "), "doc_id").alias("title"), body.alias("prepared_text"))
+    books = rows.select("book_id", F.col("book_id").alias("title"), F.lit("rules").alias("provider")).distinct()
+    return artifact.markdown(rows, books)
+
+
+@query(
+    """SELECT source AS book_id, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words,
+ round(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) / 140.0::DOUBLE, 6) AS minutes FROM documents GROUP BY source"""
+)
+def narration_minutes(spark, folder):
+    rows = artifact.narration_minutes(table(spark, folder, "documents"), ("source",), "text")
+    return rows.select(F.col("source").alias("book_id"), "words", F.round("minutes", 6).alias("minutes"))
+
+
+def _reviewed(spark, folder) -> DataFrame:
+    n = lambda k: F.transform(F.sequence(F.lit(1), (F.col("doc_id") % k).cast("int") + 1), lambda x: x.cast("string"))
+    rows = table(spark, folder, "documents").select("doc_id", F.lit(0).alias("position"), F.col("doc_id").alias("chapter_index"), F.lit("prose").alias("kind"), n(4).alias("w"), n(6).alias("e"))
+    return rows.withColumns({"warnings": F.slice("w", 1, F.size("w") - 1), "edits": F.slice("e", 1, F.size("e") - 1)})
+
+
+@query(
+    """WITH f AS (SELECT doc_id, (doc_id % 4)::INTEGER AS n_warnings, (doc_id % 6)::INTEGER AS n_edits FROM documents WHERE doc_id % 4 > 0 OR doc_id % 6 > 0)
+SELECT doc_id, n_warnings, n_edits FROM f ORDER BY n_warnings = 0, n_warnings DESC, n_edits DESC, doc_id LIMIT 100"""
+)
+def flagged_units(spark, folder):
+    return artifact.flagged(_reviewed(spark, folder), 100).select("doc_id", "n_warnings", "n_edits")
+
+
+@query(
+    """SELECT source AS book_id, lang AS provider, 'm' || doc_id % 3 AS model, count(*) AS units FROM documents WHERE NOT (lang = 'en' AND doc_id % 3 = 0) GROUP BY ALL"""
+)
+def model_mix(spark, folder):
+    rows = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.lit("prose").alias("kind"), F.col("lang").alias("provider"), F.concat(F.lit("m"), F.col("doc_id") % 3).alias("model"))
+    header = rows.select("book_id").distinct().select("book_id", F.lit("en").alias("provider"), F.lit("m0").alias("model"))
+    return artifact.model_mix(rows, header)
+
+
+@query(
+    """WITH b AS (SELECT doc_id, 'f' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'x' ELSE sha256(text) END AS h FROM documents),
+s AS (SELECT 'f' || doc_id AS path, sha256(text) AS now FROM documents WHERE doc_id % 4 > 0)
+SELECT doc_id AS book_id, CASE WHEN now IS NULL THEN 'missing' WHEN h IS NULL THEN 'unknown' WHEN h <> now THEN 'changed' ELSE 'unchanged' END AS state FROM b LEFT JOIN s USING (path)"""
+)
+def source_drift(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("f"), "doc_id").alias("path"), N.sha256(F.col("text")).alias("sha256"))
+    books = docs.select(F.col("doc_id").alias("book_id"), "path", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, "x").otherwise(F.col("sha256")).alias("sha256"))
+    return artifact.drift(books, docs.filter("doc_id % 4 > 0"))
+
+
+# Structure of books
+
+
+@query(
+    """WITH o AS (SELECT n_regionkey AS book_id, n_nationkey AS ordinal, n_nationkey % 2 + 1 AS level,
+ CASE WHEN n_regionkey < 2 AND n_nationkey % 2 = 0 THEN n_nationkey || ' ' || n_name WHEN n_regionkey = 0 THEN 'IV ' || n_name WHEN n_regionkey = 3 AND n_nationkey % 3 = 0 THEN 'Contents' ELSE n_name END AS title, n_nationkey - 1 AS page FROM nation),
+v AS (SELECT *, regexp_matches(title, '^\\s*\\d+\\s+\\S') AS numbered, regexp_matches(title, '^\\s*[IVXLCDMivxlcdm]+\\s+\\S') AS part FROM o WHERE page >= 1),
+g AS (SELECT *, bool_or(numbered) OVER (PARTITION BY book_id) AS has, min(level) OVER (PARTITION BY book_id) AS top FROM v),
+t AS (SELECT *, sum((level = top)::INTEGER) OVER (PARTITION BY book_id) AS tops FROM g)
+SELECT book_id, title, page, ordinal, CASE WHEN has THEN numbered ELSE title <> 'Contents' END AS narrated, CASE WHEN has THEN 'bookmarks' ELSE 'outline' END AS source
+FROM t WHERE (has AND (numbered OR part)) OR (NOT has AND level = top AND tops > 1)"""
+)
+def outline_select(spark, folder):
+    k, r, name = F.col("n_nationkey"), F.col("n_regionkey"), F.col("n_name")
+    title = F.when((r < 2) & (k % 2 == 0), F.concat(k, F.lit(" "), name)).when(r == 0, F.concat(F.lit("IV "), name)).when((r == 3) & (k % 3 == 0), "Contents").otherwise(name)
+    rows = table(spark, folder, "nation").select(r.alias("book_id"), k.alias("ordinal"), (k % 2 + 1).alias("level"), title.alias("title"), (k - 1).alias("page"))
+    return outline.select_bookmarks(rows)
+
+
+@query(
+    """WITH p AS (SELECT doc_id % 20 AS book_id, doc_id // 20 AS page_no, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS hay FROM documents),
+m AS (SELECT a.book_id, left(b.hay, 24) AS title, a.page_no AS page FROM p a JOIN p b ON a.book_id = b.book_id AND b.page_no = a.page_no + a.page_no % 5 - 2 WHERE len(b.hay) >= 24),
+h AS (SELECT m.*, p.page_no, row_number() OVER (PARTITION BY m.book_id, title, page ORDER BY abs(p.page_no - page), p.page_no - page) AS k FROM m JOIN p ON p.book_id = m.book_id AND p.page_no BETWEEN page - 3 AND page + 3 AND contains(hay, title))
+SELECT m.book_id, m.title, coalesce(h.page_no, m.page) AS page FROM m LEFT JOIN h ON h.book_id = m.book_id AND h.title = m.title AND h.page = m.page AND k = 1"""
+)
+def nearest_heading(spark, folder):
+    d = F.col("doc_id")
+    pages = table(spark, folder, "documents").select((d % 20).alias("book_id"), F.floor(d / 20).alias("page_no"), F.col("text").alias("markdown"))
+    hay = pages.select("book_id", "page_no", N.searchable(F.col("markdown")).alias("hay"))
+    near = hay.select("book_id", F.col("page_no").alias("to"), F.left("hay", F.lit(24)).alias("title")).filter(F.char_length("title") >= 24)
+    marks = hay.select("book_id", F.col("page_no").alias("page"), (F.col("page_no") + F.col("page_no") % 5 - 2).alias("to")).join(near, ["book_id", "to"])
+    return outline.aligned(marks.select("book_id", "title", "page"), pages).select("book_id", "title", "page")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS book_id, event_id AS page, event_type = 'view' OR event_id % 3 = 0 AS starts FROM events)
+SELECT book_id, page, lead(page) OVER (PARTITION BY book_id ORDER BY page) - 1 AS end_page FROM e"""
+)
+def next_boundary(spark, folder):
+    w = Window.partitionBy("book_id").orderBy("page")
+    rows = table(spark, folder, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("page"))
+    return rows.withColumn("end_page", F.lead("page").over(w) - 1)
+
+
+@query(
+    """SELECT l_orderkey AS book_id, l_linenumber AS ordinal, p_partkey AS item, p_name AS href FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 20 AND l_returnflag <> 'R'"""
+)
+def spine_scan(spark, folder):
+    """Spine items joined to the manifest entries of readable types; others drop out before the join."""
+    spine = table(spark, folder, "lineitem").filter("l_returnflag != 'R'").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("item"))
+    manifest = table(spark, folder, "part").filter("p_size <= 20").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("href"))
+    return spine.join(manifest, "item").select("book_id", "ordinal", "item", "href")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/epub+zip' END AS media_type FROM pages"""
+)
+def media_types(spark, folder):
+    path = F.concat(F.lit("/books/a_"), "page_id", F.when(F.col("page_id") % 3 == 0, ".PDF").when(F.col("page_id") % 3 == 1, ".epub").otherwise(".txt"))
+    return table(spark, folder, "pages").select("page_id", N.media_type(path).alias("media_type"))
+
+
+# Spans
+
+
+_SPANS = "SELECT doc_id, unnest(range(10))::INTEGER AS k, (unnest(range(10)) * 7 + doc_id) % 50 AS s, (doc_id + unnest(range(10))) % 20 + 1 AS n FROM documents"
+
+
+def _spans(spark, folder) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    start = (F.col("k") * 7 + F.col("doc_id")) % 50
+    return rows.select("doc_id", "k", start.alias("start"), (start + (F.col("doc_id") + F.col("k")) % 20 + 1).alias("end"))
+
+
+@query(f"WITH x AS ({_SPANS}) SELECT a.doc_id, a.k AS first, b.k AS second FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.k < b.k AND a.s < b.s + b.n AND b.s < a.s + a.n")
+def interval_overlaps(spark, folder):
+    return edits.overlapping(_spans(spark, folder), "doc_id", "k")
+
+
+@query(f"WITH x AS ({_SPANS}), e AS (SELECT * FROM x WHERE k % 2 = 0), r AS (SELECT * FROM x WHERE k % 2 = 1) SELECT r.doc_id, r.k FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = r.doc_id AND e.s <= r.s AND r.s + r.n <= e.s + e.n)")
+def unexpected_regions(spark, folder):
+    """Changed regions that no expected span contains: an anti-join on the case with containment as its condition."""
+    x = _spans(spark, folder)
+    r, e = x.filter("k % 2 = 1").alias("r"), x.filter("k % 2 = 0").alias("e")
+    inside = (F.col("r.doc_id") == F.col("e.doc_id")) & (F.col("e.start") <= F.col("r.start")) & (F.col("r.end") <= F.col("e.end"))
+    return r.join(e, inside, "left_anti").select("r.doc_id", "r.k")
+
+
+# Reports
+
+
+RUNS = """runs AS (SELECT lang AS model, doc_id AS run, 'case-' || doc_id AS case_id, CASE WHEN quality = 1 THEN 'core' ELSE 'trap' END AS tier, ['c' || doc_id % 3, 'd' || doc_id % 2] AS categories,
+ (1 + doc_id % 2)::INTEGER AS repetition, (doc_id % 11) / 10.0::DOUBLE AS score, (doc_id % 7) / 6.0::DOUBLE AS recall, (doc_id % 5) / 4.0::DOUBLE AS precision, (doc_id % 3) / 2.0::DOUBLE AS exactness,
+ doc_id % 3 = 0 AS passed, doc_id % 9 <> 0 AS fidelity_pass, ['t' || doc_id % 4, 't' || doc_id % 6] AS trap_labels FROM documents JOIN labels USING (doc_id))"""
+_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("score", "recall", "precision", "exactness"))
+_SUMMARY = f"count(*) AS cases, count(*) FILTER (WHERE passed) AS passed, {_MEANS}, count(*) FILTER (WHERE NOT fidelity_pass) AS fidelity_failures"
+
+
+def runs(spark, folder) -> DataFrame:
+    d = F.col("doc_id")
+    rows = table(spark, folder, "documents").select("doc_id", "lang").join(table(spark, folder, "labels"), "doc_id")
+    label = lambda p, k: F.concat(F.lit(p), d % k)
+    return rows.select(
+        F.col("lang").alias("model"), d.alias("run"), F.concat(F.lit("case-"), d).alias("case_id"), F.when(F.col("quality") == 1, "core").otherwise("trap").alias("tier"),
+        F.array(label("c", 3), label("d", 2)).alias("categories"), (1 + d % 2).cast("int").alias("repetition"), (d % 11 / 10).alias("score"), (d % 7 / 6).alias("recall"),
+        (d % 5 / 4).alias("precision"), (d % 3 / 2).alias("exactness"), (d % 3 == 0).alias("passed"), (d % 9 != 0).alias("fidelity_pass"), F.array(label("t", 4), label("t", 6)).alias("trap_labels"),
+    )
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 6) for c in ("score", "recall", "precision", "exactness")})
+
+
+@query(f"WITH {RUNS}, s AS (SELECT model, {_SUMMARY} FROM runs GROUP BY model) SELECT *, row_number() OVER (ORDER BY fidelity_failures, score DESC, passed DESC, model)::INTEGER AS rank FROM s")
+def leaderboard(spark, folder):
+    return score.ranked(_rounded(score.summary(runs(spark, folder), "model")), "model")
+
+
+@query(f"WITH {RUNS} SELECT model, tier, {_SUMMARY} FROM runs GROUP BY ALL")
+def tier_breakdown(spark, folder):
+    return _rounded(score.summary(runs(spark, folder), "model", "tier"))
+
+
+@query(f"WITH {RUNS} SELECT model, category, {_SUMMARY} FROM (SELECT *, unnest(categories) AS category FROM runs) GROUP BY ALL")
+def category_breakdown(spark, folder):
+    return _rounded(score.by_category(runs(spark, folder), "model"))
+
+
+@query(f"WITH {RUNS} SELECT model, round(avg(score) FILTER (WHERE tier = 'core'), 6) AS core, round(avg(score) FILTER (WHERE tier = 'trap'), 6) AS trap FROM runs GROUP BY model")
+def score_matrix(spark, folder):
+    return score.matrix(runs(spark, folder), "model", "tier", ["core", "trap"], F.round(F.avg("score"), 6))
+
+
+@query(f"WITH {RUNS}, h AS (SELECT DISTINCT model, run, unnest(trap_labels) AS label FROM runs) SELECT model, label, count(*) AS failures, min(run) AS first_run FROM h GROUP BY ALL")
+def trap_failures(spark, folder):
+    return score.trap_failures(runs(spark, folder), "model")
+
+
+@query(
+    f"""WITH {RUNS}, f AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY fidelity_pass, score, case_id)::INTEGER AS place, greatest(count(*) OVER (PARTITION BY model) - 3, 0) AS more FROM runs WHERE repetition = 1 AND NOT passed)
+SELECT model, case_id, place, more FROM f WHERE place <= 3"""
+)
+def failure_appendix(spark, folder):
+    return score.failures(runs(spark, folder), "model", 3).select("model", "case_id", "place", "more")
+
+
+@query(
+    f"""WITH {RUNS} SELECT case_id AS id, tier FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY case_id) AS n FROM runs WHERE list_has_any(categories, ['c1', 'd0'])) WHERE n <= 5"""
+)
+def quick_subset(spark, folder):
+    from .sources import corpus
+
+    cases = runs(spark, folder).withColumnRenamed("case_id", "id")
+    return corpus.selected(cases, categories=["c1", "d0"], per_tier=5).select("id", "tier")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS g FROM conversations),
+p AS (SELECT a.conv_id, avg(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE) AS d FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY ALL)
+SELECT c.conv_id, round(d, 6) AS determinism FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN p USING (conv_id)"""
+)
+def determinism(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.array_distinct(F.split(F.lower("text"), " ")).alias("signature"))
+    return score.determinism(rows, ("conv_id",), "turn").withColumn("determinism", F.round("determinism", 6))
+
+
+@query(
+    """SELECT r_name AS model, think, CASE WHEN think THEN r_name || ' +think' ELSE r_name END AS label, k::INTEGER AS repetition, (41 + k)::INTEGER AS seed
+FROM region, (VALUES (false), (true)) m(think), range(1, 4) t(k) WHERE NOT (r_name = 'ASIA' AND think)"""
+)
+def variants_cross(spark, folder):
+    models = table(spark, folder, "region").select(F.col("r_name").alias("model"))
+    modes = spark.range(2).select((F.col("id") == 1).alias("think"))
+    blocked = models.filter("model = 'ASIA'").withColumn("think", F.lit(True))
+    return score.variants(models, modes, blocked, 3)
+
+
+@query()
+def benchmark_report(spark, folder):
+    """Cases made from documents with a citation added, answered by the rule-based stand-ins, scored and ranked."""
+    docs = table(spark, folder, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line")).filter(F.char_length("line").between(60, 600))
+    mark = " (Smith 1999, Jones 2001)"
+    source = F.concat("line", F.lit(mark))
+    at = F.char_length("line") + 1
+    expect = F.array(F.struct(F.lit(mark[1:]).alias("anchor"), F.array(F.lit("")).alias("accept"), F.lit("citation").alias("category"), F.lit("").alias("why"), at.alias("start"), (at + len(mark) - 1).alias("end"), F.lit(0).alias("sentence")))
+    trap = F.array(F.struct(F.lit("").alias("span"), F.lit("opening").alias("label"), F.lit(0).alias("start"), F.lit(12).alias("end")))
+    cases = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("trap").alias("tier"), F.array(F.lit("citation")).alias("categories"), source.alias("source"), F.col("line").alias("prepared"), expect.alias("expect"), trap.alias("traps"))
+    names = spark.createDataFrame([(n, n, r, 41 + r) for n in ("eager", "flaky", "rules", "silent") for r in (1, 2)], "label string, model string, repetition int, seed int")
+    return benchmark.leaderboard(benchmark.case_runs(cases, F.broadcast(names)))
+
+
+@query("SELECT doc_id, list_sort(list_filter(['min_p', 'seed', 'temperature', 'top_k'], lambda x: NOT list_contains(CASE WHEN doc_id % 2 = 0 THEN ['seed', 'top_k'] ELSE ['top_k'] END, x))) AS omitted FROM documents")
+def omitted_sampling(spark, folder):
+    known = F.array(*map(F.lit, ("min_p", "seed", "temperature", "top_k")))
+    given = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("seed"), F.lit("top_k"))).otherwise(F.array(F.lit("top_k")))
+    return table(spark, folder, "documents").select("doc_id", F.sort_array(F.array_except(known, given)).alias("omitted"))
+
+
+# Voices and audio
+
+
+@query(
+    """WITH v AS (SELECT CASE WHEN s_suppkey <= 5 THEN (SELECT lower(min(n_name)) FROM nation WHERE n_nationkey = s_suppkey) ELSE s_name END AS spec, 'recording' AS kind FROM supplier)
+SELECT spec, spec || '  (recording)' AS label, kind FROM v UNION ALL
+SELECT n_name, n_name || '  (built-in)', 'built-in' FROM nation WHERE lower(n_name) NOT IN (SELECT lower(spec) FROM v)"""
+)
+def voice_catalog(spark, folder):
+    names = table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("s_suppkey"), "n_name")
+    rows = table(spark, folder, "supplier").join(F.broadcast(names), "s_suppkey", "left")
+    spec = F.when(F.col("s_suppkey") <= 5, F.lower("n_name")).otherwise(F.col("s_name"))
+    own = rows.select(spec.alias("spec"), F.concat(spec, F.lit("  (recording)")).alias("label"), F.lit("recording").alias("kind"))
+    return voices.catalogue(own, names.select(F.col("n_name").alias("name")))
+
+
+_RMS = """f AS (SELECT vec_id, label, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS peak,
+ unnest(list_transform(range(8), lambda k: sqrt(list_sum(list_transform(embedding[k * 8 + 1 : k * 8 + 8], lambda x: x::DOUBLE * x::DOUBLE)) / 8))) AS r FROM embeddings),
+g AS (SELECT vec_id, label, peak, list(r) FILTER (WHERE r > 0.001) AS l, quantile_cont(r, 0.9) FILTER (WHERE r > 0.001) AS p FROM f GROUP BY ALL),
+m AS (SELECT vec_id, label, peak, coalesce(sqrt(list_avg(list_transform(list_filter(l, lambda x: x >= p * pow(10, -25.0 / 20)), lambda x: x * x))), 0) AS rms FROM g)"""
+
+
+def _signals(spark, folder) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("samples"))
+
+
+@query(f"WITH {_RMS} SELECT vec_id, round(rms, 6) AS active_rms FROM m")
+def active_rms(spark, folder):
+    return audio.active_rms(_signals(spark, folder), ("vec_id",), frame=8).withColumn("active_rms", F.round("active_rms", 6))
+
+
+@query(
+    f"""WITH {_RMS}, t AS (SELECT label, median(rms) FILTER (WHERE rms > 0) AS target FROM m GROUP BY label),
+a AS (SELECT m.*, greatest(-3.0, least(3.0, 20 * log10(target / rms))) AS free FROM m JOIN t USING (label)),
+b AS (SELECT *, CASE WHEN rms > 0 THEN CASE WHEN peak * pow(10, free / 20) > pow(10, -1.5 / 20) THEN 20 * log10(pow(10, -1.5 / 20) / peak) ELSE free END ELSE 0 END AS db FROM a)
+SELECT vec_id, round(db, 5) AS gain_db, round(rms * pow(10, db / 20), 5) AS active_rms_after FROM b"""
+)
+def loudness_match(spark, folder):
+    rows = _signals(spark, folder)
+    measured = audio.active_rms(rows, ("vec_id", "label"), frame=8)
+    loud = measured.join(rows.select("vec_id", audio.peak("samples").alias("peak")), "vec_id")
+    done = audio.matched(loud, "label")
+    return done.select("vec_id", F.round("gain_db", 5).alias("gain_db"), F.round("active_rms_after", 5).alias("active_rms_after"))
+
+
+@query()
+def assembled_audio(spark, folder):
+    rows = _signals(spark, folder).select(F.col("label").alias("chapter_index"), F.col("vec_id").alias("chunk_index"), F.when(F.col("vec_id") % 3 == 0, "continuation").otherwise("paragraph").alias("boundary_after"), "samples")
+    return audio.chapter_audio(rows, ("chapter_index",), 1000).select("chapter_index", F.size("samples").alias("n_samples"))
+
+
+@query(
+    """WITH d AS (SELECT source AS book_id, doc_id AS chapter_index, len(text)::BIGINT * 60 AS duration_ms FROM documents)
+SELECT *, coalesce(sum(duration_ms) OVER w, 0)::BIGINT AS start_ms, (coalesce(sum(duration_ms) OVER w, 0) + duration_ms)::BIGINT AS end_ms FROM d
+WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def chapter_timeline(spark, folder):
+    rows = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), (F.char_length("text").cast("long") * 60).alias("duration_ms"))
+    return audio.timeline(rows, "book_id", "chapter_index")
+
+
+@query(
+    """SELECT conv_id, string_agg('[CHAPTER]' || chr(10) || 'title=' || replace(regexp_replace(left(text, 30) || ' = #1;', '([\\\\=;#])', '\\\\\\1', 'g'), chr(10), ' '), chr(10) ORDER BY turn) AS metadata FROM conversations GROUP BY conv_id"""
+)
+def chapter_metadata(spark, folder):
+    title = N.escape_metadata(F.concat(F.left("text", F.lit(30)), F.lit(" = #1;")))
+    line = F.concat(F.lit("[CHAPTER]\ntitle="), title)
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", line.alias("line"))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "line")))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("metadata"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 > 0 THEN round(value, 2) END AS input_i FROM events"""
+)
+def loudness_log(spark, folder):
+    v = F.round("value", 2).cast("string")
+    body = F.concat(F.lit('{"input_i": "'), v, F.lit('", "input_tp": "-2.0", "input_lra": "7", "input_thresh": "-33", "target_offset": "'), F.when(F.col("event_id") % 4 > 0, "0.1").otherwise("x"), F.lit('"}'))
+    log = F.concat(F.lit("[loudnorm] {not this}\nsize= 1kB\n"), body, F.lit("\n"))
+    return table(spark, folder, "events").select("event_id", N.loudness_measurements(log)["input_i"].alias("input_i"))
+
+
+@query(
+    """WITH d AS (SELECT conv_id, turn, regexp_matches(CASE WHEN turn % 2 = 0 THEN '“' || text ELSE text END, '^(["''“‘]|[-—]\\s)') AS is_dialogue FROM conversations)
+SELECT conv_id, turn, is_dialogue, coalesce(is_dialogue AND lag(is_dialogue) OVER (PARTITION BY conv_id ORDER BY turn), false) AS exchange FROM d"""
+)
+def dialogue_runs(spark, folder):
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("“"), "text")).otherwise(F.col("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", N.is_dialogue(t).alias("is_dialogue"))
+    before = F.lag("is_dialogue").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.withColumn("exchange", F.coalesce(F.col("is_dialogue") & before, F.lit(False)))
+
+
+@query(
+    """SELECT event_id, model, line FROM (SELECT event_id, user_id AS model, event_type AS line, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> line"""
+)
+def progress_log(spark, folder):
+    from .streaming import resume
+
+    rows = table(spark, folder, "events").select("event_id", F.col("user_id").alias("model"), F.col("event_type").alias("line"))
+    return resume.without_repeats(rows, "event_id", "line")
+
+
+@query()
+def narration_manifest(spark, folder):
+    """The dry run of narration carried through with the stand-in speaker: each chunk's length and loudness."""
+    rows = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("chapter_index"), F.col("text").alias("prepared_text"))
+    said = narrate.spoken(narrate.plan(rows), rate=1000, hertz=50.0)
+    return narrate.manifest(narrate.levelled(said, 1000), 1000).drop("text")
