@@ -50,7 +50,7 @@ class _WordHashes(dict):
     """Remembers word hashes; starts anew before it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -119,25 +119,21 @@ def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, thresh
     return left
 
 
-def stars(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges (least node, node) of the components that pairs (i, j) make of n nodes."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    left = n - 1
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            left -= 1
-            if not left:
+def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (the least node of each node's component) after joining pairs (i, j)."""
+    while True:
+        p, q = root[i], root[j]
+        apart = p != q
+        if not apart.any():
+            return root
+        i, j = i[apart], j[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
                 break
-    return [(r, x) for x in range(n) if (r := find(x)) != x]
+            root = up
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -236,16 +232,22 @@ def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]], limit: int = 1 <<
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _edges(digests: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Edges from the least digest of each component of the row pairs (i, j) to its others.
+class _Members:
+    """Components among the digests of a batch. Tasks that see much of the same component mostly report the same edges."""
 
-    Tasks that see much of the same component thus mostly report the same edges.
-    """
-    names = sorted(set(digests.tolist()))
-    number = {d: k for k, d in enumerate(names)}
-    node = np.fromiter((number[d] for d in digests.tolist()), np.int64, len(digests))
-    edges = stars(node[i], node[j], len(names))
-    return [names[p] for p, _ in edges], [names[q] for _, q in edges]
+    def __init__(self, digests: np.ndarray):
+        self.names = sorted(set(digests.tolist()))
+        number = {d: k for k, d in enumerate(self.names)}
+        self.node = np.fromiter((number[d] for d in digests.tolist()), np.int64, len(digests))
+        self.root = np.arange(len(self.names))
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.root = joined(self.root, self.node[i], self.node[j])
+
+    def edges(self) -> tuple[list[bytes], list[bytes]]:
+        """From the least digest of each component to its others."""
+        other = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return [self.names[k] for k in self.root[other].tolist()], [self.names[k] for k in other.tolist()]
 
 
 def similar(
@@ -263,8 +265,8 @@ def similar(
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams = [shingles(t, n) for t in batch["t"]]
-            yield pd.DataFrame({"k": batch["k"], "digest": [digest(t) for t in batch["t"]], "v": [minhash(g).tobytes() if len(g) else None for g in grams]})
+            values = (minhash(g).tobytes() if len(g) else None for g in (shingles(t, n) for t in batch["t"]))
+            yield pd.DataFrame({"k": batch["k"], "digest": [digest(t) for t in batch["t"]], "v": list(values)})
 
     sketched = common.cut(rows.mapInPandas(sketch, f"k {kind}, digest binary, v binary"), "sketches")
     # Equal texts: a task sends one row for each, and equal sketches need no comparison.
@@ -287,14 +289,12 @@ def similar(
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, at in common.whole_groups(batches, ["band", "lo", "hi"]):
-            v, ii, jj = _matrix(frame["v"]), [], []
+            v, members = _matrix(frame["v"]), _Members(frame["digest"].to_numpy())
             for i, j in _gathered(_pairs(frame, at)):
                 ok = surviving(v, v, i, j, threshold, tolerance)
-                ii.append(i[ok])
-                jj.append(j[ok])
-            if ii:
-                a, b = _edges(frame["digest"].to_numpy(), np.concatenate(ii), np.concatenate(jj))
-                yield pd.DataFrame({"a": a, "b": b})
+                members.join(i[ok], j[ok])
+            a, b = members.edges()
+            yield pd.DataFrame({"a": a, "b": b})
 
     in_buckets = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     candidates = in_buckets.mapInPandas(prune, "a binary, b binary").distinct()
@@ -317,7 +317,8 @@ def similar(
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, at in common.whole_groups(batches, ["root", "lo", "hi"]):
             v, copies = _matrix(frame["v"]), frame["copies"].to_numpy()
-            keys, ii, jj = band_keys(v), [], []
+            digests = frame["digest"].to_numpy()
+            keys, members, links = band_keys(v), _Members(digests), np.zeros(len(frame))
             grams = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
             lengths = np.array([len(g) for g in grams])
             for i, j in _gathered(_pairs(frame, at), 1 << 16):
@@ -329,16 +330,12 @@ def similar(
                 i, j = i[ok], j[ok]
                 both = overlaps(grams, i, j)
                 ok = both >= threshold * (lengths[i] + lengths[j] - both) - 1e-9
-                ii.append(i[ok])
-                jj.append(j[ok])
-            if not ii or not sum(map(len, ii)):
-                continue
-            i, j = np.concatenate(ii), np.concatenate(jj)
-            links = (np.bincount(i, copies[j], len(frame)) + np.bincount(j, copies[i], len(frame))).astype(np.int64)
-            digests = frame["digest"].to_numpy()
+                i, j = i[ok], j[ok]
+                links += np.bincount(i, copies[j], len(frame)) + np.bincount(j, copies[i], len(frame))
+                members.join(i, j)
             some = links > 0
-            yield pd.DataFrame({"a": digests[some], "b": None, "links": links[some]})
-            a, b = _edges(digests, i, j)
+            yield pd.DataFrame({"a": digests[some], "b": None, "links": links[some].astype(np.int64)})
+            a, b = members.edges()
             yield pd.DataFrame({"a": a, "b": b, "links": 0})
 
     pairs = _block_pairs(made, "root", sizes).repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
