@@ -165,12 +165,22 @@ def _incidence(sets: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
     return out
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The same components by fewer edges: the neighbours that a node names are tied to the least of them, and only
+    the node's tie to that one stays. A node names at most one neighbour for each bucket that it was in."""
+    named = edges.groupBy("b").agg(F.collect_set("a").alias("all")).withColumn("low", F.array_min("all"))
+    own = named.select(F.col("low").alias("a"), "b")
+    rest = named.filter(F.size("all") > 1).select(F.col("low").alias("a"), F.explode("all").alias("b")).filter("a != b")
+    return own.unionByName(rest).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each node's component, for edges (a, b).
 
     Each round every node takes the least root among its neighbours and its root's neighbours,
     so depths shrink geometrically; the state of each round is a written table.
     """
+    edges = _contracted(edges)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = common.cut(both, "edges")
     root = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
