@@ -110,8 +110,8 @@ def strip_label(quoted: str) -> str | None:
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """Offsets of the sentences, white space between them left out.
 
-    Breaks are found first; a break after an abbreviation or initial is skipped, unless a
-    paragraph ends there, and the sentence then runs on to the next one.
+    Breaks are found first; one after an abbreviation or initial is skipped, even at a paragraph's
+    end, and the sentence then runs on. A paragraph that ends without a terminator always breaks.
     """
     out: list[tuple[int, int]] = []
     begin = 0

@@ -84,13 +84,13 @@ def active_rms(segments: DataFrame, keys: tuple[str, ...], samples_: str = "samp
     frames = F.when(n >= frame, F.floor(n / frame).cast("int")).otherwise(1)
     cuts = F.transform(F.sequence(F.lit(0), frames - 1), lambda k: F.slice(s, k * frame + 1, F.least(n, F.lit(frame))))
     square = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
-    rms = F.transform(cuts, lambda c: F.sqrt(square(c) / F.size(c)))
+    rms = F.transform(cuts, lambda c: F.sqrt(F.try_divide(square(c), F.size(c))))
     sound = F.forall(s, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (n > 0)
     levels = segments.select(*keys, F.explode_outer(F.when(sound, rms)).alias("r"))
     levels = levels.withColumn("r", F.when(F.col("r") > P.SILENCE_RMS, F.col("r")))
     gate = levels.groupBy(*keys).agg(F.percentile("r", F.lit(0.9)).alias("p"), F.collect_list("r").alias("all"))
     loud = F.filter("all", lambda x: x >= F.col("p") * 10 ** (P.GATE_DB / 20))
-    return gate.select(*keys, F.coalesce(F.sqrt(F.aggregate(loud, F.lit(0.0), lambda t, x: t + x * x) / F.size(loud)), F.lit(0.0)).alias("active_rms"))
+    return gate.select(*keys, F.coalesce(F.sqrt(F.try_divide(F.aggregate(loud, F.lit(0.0), lambda t, x: t + x * x), F.size(loud))), F.lit(0.0)).alias("active_rms"))
 
 
 def level(signal: np.ndarray, rate: int) -> float:
