@@ -290,7 +290,9 @@ def similar(
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            b = band_keys(_matrix(batch["v"])).view(np.int64) if len(batch) else np.zeros((0, BANDS), np.int64)
+            if not len(batch):
+                continue
+            b = band_keys(_matrix(batch["v"])).view(np.int64)
             yield pd.DataFrame({"digest": np.repeat(batch["digest"].to_numpy(), BANDS), "band": b.reshape(-1)})
 
     banded = common.cut(reps.select("digest", "v").mapInPandas(keys, "digest binary, band long"), "bands")
@@ -304,7 +306,8 @@ def similar(
                 ok = surviving(v, v, i, j, threshold, tolerance)
                 members.join(i[ok], j[ok])
             a, b = members.edges()
-            yield pd.DataFrame({"a": a, "b": b})
+            if a:
+                yield pd.DataFrame({"a": a, "b": b})
 
     in_buckets = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     candidates = in_buckets.mapInPandas(prune, "a binary, b binary").distinct()
@@ -318,7 +321,8 @@ def similar(
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[common.present(sent.value, batch["h"].to_numpy())]
-            yield pd.DataFrame({"k": batch["k"], "digest": [digest(t) for t in batch["t"]], "grams": [np.unique(shingles(t, n)).tobytes() for t in batch["t"]]})
+            if len(batch):
+                yield pd.DataFrame({"k": batch["k"], "digest": [digest(t) for t in batch["t"]], "grams": [np.unique(shingles(t, n)).tobytes() for t in batch["t"]]})
 
     made = rows.withColumn("h", F.xxhash64("k")).mapInPandas(sets, f"k {kind}, digest binary, grams binary")
     made = made.join(members.withColumnRenamed("rep", "k"), ["k", "digest"]).dropDuplicates(["digest"])
@@ -344,6 +348,8 @@ def similar(
                 links += np.bincount(i, copies[j], len(frame)) + np.bincount(j, copies[i], len(frame))
                 members.join(i, j)
             some = links > 0
+            if not some.any():
+                continue
             yield pd.DataFrame({"a": digests[some], "b": None, "links": links[some].astype(np.int64)})
             a, b = members.edges()
             yield pd.DataFrame({"a": a, "b": b, "links": 0})

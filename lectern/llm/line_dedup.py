@@ -91,8 +91,9 @@ def recurring_chunks(docs: DataFrame, key: str, text: str, least_words: int, lon
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             h = [_hash(c[3]) for t in batch["t"] for c in chunks_of(t, least_words, long_line)]
-            u, n = np.unique(np.array(h, np.int64), return_counts=True)
-            yield pd.DataFrame({"h": u, "n": n})
+            if h:
+                u, n = np.unique(np.array(h, np.int64), return_counts=True)
+                yield pd.DataFrame({"h": u, "n": n})
 
     again = rows.select("t").mapInPandas(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     # The exact comparison follows, so false hits of the filter only cost time.
@@ -111,7 +112,8 @@ def recurring_chunks(docs: DataFrame, key: str, text: str, least_words: int, lon
                         ks.append(k)
                         numbers.append(c[0])
                         texts.append(c[3])
-            yield pd.DataFrame({"k": pd.Series(ks, dtype=batch["k"].dtype), "number": np.array(numbers, np.int32), "body": texts})
+            if ks:
+                yield pd.DataFrame({"k": pd.Series(ks, dtype=batch["k"].dtype), "number": np.array(numbers, np.int32), "body": texts})
 
     found = common.cut(rows.mapInPandas(bodies, f"k {kind}, number int, body string"), "chunks")
     kept = (
