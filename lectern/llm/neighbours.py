@@ -127,20 +127,14 @@ def best(
         block = queries[at : at + 64]
         sums = scan(_units(block), codes, books)
         for q, own, sum_ in zip(query_ids[at : at + 64].tolist(), block, sums, strict=True):
-            reach = sum_ + slack
-            mask = ids != q
-            reach[~mask] = -np.inf
+            other = ids != q
             first = np.argpartition(-sum_, min(FIRST, len(ids) - 1))[:FIRST]
-            first = first[mask[first]]
+            first = first[other[first]]
             score = cosines(own, vectors[first])
             least = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
-            more = np.flatnonzero(reach >= least)
-            if len(more) > len(first) or len(score) < k:
-                first = more
-                score = cosines(own, vectors[first])
-            else:
-                first = np.union1d(first, more)
-                score = cosines(own, vectors[first])
+            more = np.setdiff1d(np.flatnonzero(other & (sum_ + slack >= least)), first)
+            first = np.concatenate([first, more])
+            score = np.concatenate([score, cosines(own, vectors[more])])
             order = np.lexsort((ids[first], -score))[:k]
             out.append((np.full(len(order), q), ids[first[order]], score[order]))
     a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
