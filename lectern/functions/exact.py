@@ -74,7 +74,7 @@ def normalize_paragraph(text: str) -> str:
 
 
 def normalize_text(text: str) -> str:
-    """Blocks with a blank line between them. Applying it again changes nothing."""
+    """Blocks with a blank line between them."""
     text = re.sub("\r\n?", "\n", text).replace("­", "")
     number = 0
 
