@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SEGMENT_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Small tables make smaller segments, so that there is work for this many tasks; large ones use at most MOST_TASKS.
+LEAST_SEGMENTS, MOST_TASKS = 12, 20_000
 #: Vectors that the code books are fitted on, at most about.
 SAMPLE = 20_000
 #: Weight of the residual's part along the vector against the part across it.
@@ -161,7 +163,8 @@ def nearest(
         x = np.array([np.array(r) for r in part.select("v").toPandas()["v"]], float).reshape(-1, d)
         books[d] = fit_books(_units(x if len(x) else np.eye(1, d)))
     sent = spark.sparkContext.broadcast(books)
-    counts = [(r["d"], -(-r["n"] // segment_rows), max(1, -(-r["q"] // block_queries))) for r in counted]
+    rows_of = lambda n: min(segment_rows, max(1, n // LEAST_SEGMENTS))
+    counts = [(r["d"], -(-r["n"] // rows_of(r["n"])), max(1, -(-r["q"] // block_queries))) for r in counted]
     dealt = spark.createDataFrame(counts, "d int, segments int, blocks int")
     rows = rows.join(F.broadcast(dealt), "d")  # one row for each dimension
     hashed = F.xxhash64("id", F.lit(1))
@@ -200,7 +203,9 @@ def nearest(
                     sent.value[d], k,
                 )
 
-    pairs = every.join(segments, ["d", "segment"]).repartition("d", "segment", "query_ids")
+    # A segment meets all blocks in one task, so neither side is sent again after the join.
+    tasks = max(1, min(MOST_TASKS, sum(c[1] for c in counts)))
+    pairs = every.repartition(tasks, "d", "segment").join(segments.repartition(tasks, "d", "segment"), ["d", "segment"])
     found = pairs.mapInPandas(search, "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
