@@ -3,9 +3,11 @@
 A text is cut into lines: runs up to a line break or the end of a clause, so that a passage set
 inside a paragraph has lines of its own. A chunk ends after a line whose hash is the least among
 itself and its neighbours, a rolling window of three line hashes: boundaries depend on nearby
-content alone and shift with it. Chunks of two lines or more (or of one very long line) with
-enough words take part; their first occurrence, by document id and place, stays in its text and
-every other one goes.
+content alone and shift with it. A second family of boundaries lies after local maxima, so that a
+passage too short to hold a whole chunk of one family mostly holds one of the other. Chunks of
+two lines or more (or of one very long line) with enough words take part; their first
+occurrence, by document id and place, stays in its text and every other one goes. Where kept and
+removed chunks overlap, in texts that repeat themselves, the removed one wins.
 
 Three passes read the texts: the first counts chunk hashes (a partial sum in each task, then one
 row per hash), the second sends the bytes of only those chunks whose hash recurs and groups them
@@ -60,24 +62,37 @@ def boundaries(hashes: np.ndarray, longest: int = 64) -> np.ndarray:
 def chunks_of(text: str, least_words: int, long_line: int) -> list[tuple[int, int, int, str]]:
     """(number, first character, last character + 1, bytes to compare) of the chunks that take part.
 
-    Chunks are compared without the white space around them.
+    Chunks are compared without the white space around them. A chunk of both families counts once.
     """
     lines = lines_of(text)
     if not lines:
         return []
     starts, _ = common.flat(lines)
+    starts = starts.tolist()
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.strip()) for x in lines), np.uint64, len(lines))
-    out, begin = [], 0
-    for number, end in enumerate(boundaries(hashes).tolist()):
-        first, last = int(starts[begin]), int(starts[end])
-        body = text[first:last].strip()
+    spans = set()
+    for family in (hashes, ~hashes):
+        ends = boundaries(family).tolist()
+        spans.update(zip([0, *ends[:-1]], ends, strict=True))
+    out = []
+    for number, (begin, end) in enumerate(sorted(spans)):
+        body = text[starts[begin] : starts[end]].strip()
         n = body.count(" ") + body.count("\n") + 1
         if body and (end - begin > 1 and n >= least_words or n >= long_line):
-            out.append((number, first, last, body))
-        begin = end
+            out.append((number, starts[begin], starts[end], body))
     return out
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without some spans, in order of their starts, that may overlap."""
+    at, left = 0, []
+    for first, last in spans:
+        if first > at:
+            left.append(text[at:first])
+        at = max(at, last)
+    return "".join([*left, text[at:]])
+
+
 def _hash(body: str) -> int:
     return xxhash.xxh3_64_intdigest(body) - (1 << 63)
 
@@ -140,13 +155,8 @@ def dedup_lines(
             if t is None or own is None or len(own) == 0:
                 out.append((t, 0, 0))
                 continue
-            gone, at, left = set(map(int, own)), 0, []
-            for number, first, last, _ in chunks_of(t, least_words, long_line):
-                if number in gone:
-                    left.append(t[at:first])
-                    at = last
-            left.append(t[at:])
-            new = "".join(left)
+            gone = set(map(int, own))
+            new = without(t, [(c[1], c[2]) for c in chunks_of(t, least_words, long_line) if c[0] in gone])
             out.append((new, len(gone), len(t) - len(new)))
         return pd.DataFrame(out, columns=["text", "chunks", "chars"])
 

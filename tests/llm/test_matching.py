@@ -169,13 +169,12 @@ def brute_dedup(docs, least=8, long=50):
     """Chunk texts of all documents in order of id; a repeated one goes."""
     seen, out = set(), {}
     for k, text in sorted((d for d in docs if d[0] is not None and d[1] is not None), key=lambda d: d[0]):
-        at, left = 0, []
+        gone = []
         for _, first, last, body in line_dedup.chunks_of(text, least, long):
             if body in seen:
-                left.append(text[at:first])
-                at = last
+                gone.append((first, last))
             seen.add(body)
-        out[k] = "".join([*left, text[at:]])
+        out[k] = line_dedup.without(text, gone)
     return out
 
 
