@@ -32,8 +32,8 @@ from . import common
 
 #: Texts of these characters alone are cut into words here, by the tokenizer's own rule for them.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-įı-ňŊ-ſ]*")
-#: The split pattern of the tokenizer file's pre-tokenizer, as it reads for those characters.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The split pattern of the tokenizer file's pre-tokenizer, as it reads for those characters in lower case.
+_SPLIT = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
 
