@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Bytes of a lower-cased text that are no part of a word: ASCII other than 0-9 and a-z.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -90,6 +96,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], T]) -> T:
+    """Something that a worker process keeps from task to task, until it is asked for something else.
+
+    Workers outlive queries: without this, what each operator remembers would add up in them.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer files lie on this machine."""
     import public_tokenizers

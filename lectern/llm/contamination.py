@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is dealt by document: each task stores, for segments of some millions of words, the
+The index is dealt by document: each task stores, for segments of half a million words, the
 positions of every term that the test items use, so no posting list crosses the network and no
 term or source can be hot. A query is sent to every segment; there, for each phrase, the lists
 are shifted by the term's offset and intersected from the segment's rarest term onwards.
@@ -28,7 +28,7 @@ from . import common
 
 WINDOW = 13
 #: Words in a segment of the index; a longer document is a segment of its own.
-SEGMENT_WORDS = 1 << 21
+SEGMENT_WORDS = 1 << 19
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 8 << 20
 
@@ -174,6 +174,7 @@ def _marker(sent, last: bool, carried: bool, share: int):
             items = [i | set(f) for i, f in zip(items, found, strict=True)]
         if not last:
             return pd.DataFrame({"_hits": [np.packbits(m).tobytes() for m in masks], "_items": [sorted(i) for i in items]})
+        common.trim()
         n, h = np.array([len(m) for m in masks], np.int64), np.array([int(m.sum()) for m in masks], np.int64)
         return pd.DataFrame({
             "n_words": n, "n_hit": h, "n_items": np.array([len(i) for i in items], np.int64),

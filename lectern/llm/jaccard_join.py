@@ -56,15 +56,12 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
-
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Hashes of the word n-grams of a text, with repeats, in order."""
     own = common.words(text)
     if not own:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, own), np.uint64, len(own))
+    w = np.fromiter(map(common.held("word hashes", _WordHashes).__getitem__, own), np.uint64, len(own))
     size, m = max(1, len(w) - n + 1), min(n, len(w))
     h = np.full(size, m, np.uint64)
     for k in range(m):
@@ -277,6 +274,7 @@ def similar(
         for batch in batches:
             values = (minhash(g).tobytes() if len(g) else None for g in (shingles(t, n) for t in batch["t"]))
             yield pd.DataFrame({"k": batch["k"], "digest": [digest(t) for t in batch["t"]], "v": list(values)})
+            common.trim()
 
     sketched = common.cut(rows.mapInPandas(sketch, f"k {kind}, digest binary, v binary"), "sketches")
     # Equal texts: a task sends one row for each, and equal sketches need no comparison.
@@ -308,6 +306,7 @@ def similar(
             a, b = members.edges()
             if a:
                 yield pd.DataFrame({"a": a, "b": b})
+            common.trim()
 
     in_buckets = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     candidates = in_buckets.mapInPandas(prune, "a binary, b binary").distinct()
@@ -353,6 +352,7 @@ def similar(
             yield pd.DataFrame({"a": digests[some], "b": None, "links": links[some].astype(np.int64)})
             a, b = members.edges()
             yield pd.DataFrame({"a": a, "b": b, "links": 0})
+            common.trim()
 
     pairs = _block_pairs(made, "root", sizes).repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     verified = common.cut(pairs.mapInPandas(verify, "a binary, b binary, links long"), "verified")

@@ -25,7 +25,7 @@ from . import common
 
 UNDETERMINED = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
-_SLICE = 1 << 19
+_SLICE = 1 << 17
 
 
 def normalized(text: str | None) -> str:
@@ -140,6 +140,7 @@ def train(
                     index, _ = ngram_buckets(texts[at : at + 200], orders, bits)
                     add = np.bincount(index, minlength=(1 << bits) + 1)[:-1]
                     total[lang] = total[lang] + add if lang in total else add
+            common.trim()
         for lang, n in total.items():
             yield pd.DataFrame({"l": [lang], "n": [n.astype(np.int64).tobytes()]})
 
@@ -159,7 +160,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     @F.pandas_udf("lang_pred string, score double")
     def label(texts: pd.Series) -> pd.DataFrame:
-        best, score = sent.value.predict(texts.tolist())
+        parts = [sent.value.predict(texts.iloc[at : at + 500].tolist()) for at in range(0, max(1, len(texts)), 500)]
+        best, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        common.trim()
         names = np.array([*sent.value.languages, UNDETERMINED], object)
         return pd.DataFrame({"lang_pred": names[best], "score": score})
 

@@ -109,6 +109,7 @@ def recurring_chunks(docs: DataFrame, key: str, text: str, least_words: int, lon
             if h:
                 u, n = np.unique(np.array(h, np.int64), return_counts=True)
                 yield pd.DataFrame({"h": u, "n": n})
+            common.trim()
 
     again = rows.select("t").mapInPandas(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     # The exact comparison follows, so false hits of the filter only cost time.

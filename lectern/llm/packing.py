@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -82,12 +81,6 @@ class WordTokenizer:
         return [b"".join(map(known.__getitem__, own)) if own is not None else np.array(next(rest).ids, "<u4").tobytes() for own in cut]
 
 
-@cache
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so that later tasks of a worker know the words of earlier ones."""
-    return WordTokenizer(path)
-
-
 PIECES = "piece int, start long, length int, ids_crc32 long"
 
 
@@ -101,7 +94,7 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = word_tokenizer(tokenizer)
+        words = common.held(f"tokenizer {tokenizer}", lambda: WordTokenizer(tokenizer))  # later tasks know the words of earlier ones
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
@@ -118,6 +111,7 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int,
                         ids.append(own)
                 out = pd.DataFrame({"k": part["k"].to_numpy()[row], "piece": np.array(number, np.int32), "start": start, "length": np.array(length, np.int32), "ids_crc32": crc})
                 yield out.assign(ids=ids) if with_ids else out
+            common.trim()
 
     return rows.mapInPandas(make, f"k {kind}, {PIECES}{', ids binary' if with_ids else ''}")
 
