@@ -11,10 +11,11 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .running import total_before
 
 
 def samples(rate: int, ms: float) -> int:
@@ -159,10 +160,9 @@ def chapter_silence(c: str, rate: int, ms: int = P.CHAPTER_MS) -> Column:
 
 
 def timeline(chapters: DataFrame, book: str, order: str, duration: str = "duration_ms") -> DataFrame:
-    """Start and end of each chapter in its book, by a running sum."""
-    w = Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(duration).over(w), F.lit(0)).cast("long")
-    return chapters.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col(duration))
+    """Start and end of each chapter in its book. The order key is an integer."""
+    rows = total_before(chapters, book, order, duration, "start_ms").withColumn("start_ms", F.col("start_ms").cast("long"))
+    return rows.withColumn("end_ms", F.col("start_ms") + F.col(duration))
 
 
 def target_met(seconds: Column) -> Column:

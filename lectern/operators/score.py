@@ -189,8 +189,9 @@ def failures(runs: DataFrame, group: str, most: int) -> DataFrame:
     """The worst failed runs of each group's first repetition, and how many more there are."""
     own = runs.filter((F.col("repetition") == 1) & ~F.col("passed"))
     w = Window.partitionBy(group).orderBy("fidelity_pass", "score", "case_id")
-    n = F.count("*").over(Window.partitionBy(group))
-    return own.withColumns({"place": F.row_number().over(w), "more": F.greatest(n - most, F.lit(0))}).filter(F.col("place") <= most)
+    first = own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)  # limited before the shuffle
+    counts = own.groupBy(group).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    return first.join(counts, group)
 
 
 def anchor_failure_rate(unanchored: Column, ambiguous: Column, proposed: Column) -> Column:

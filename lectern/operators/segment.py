@@ -107,7 +107,13 @@ def packed_column(pieces: Column, glue: str, most: int, enough: int) -> Column:
 
 
 def limited(rows: DataFrame, most: int, order: tuple[str, ...] = ("chapter_index", "position"), book: str = "book_id") -> DataFrame:
-    """Rows up to the first prose unit past `most` of them in each book; structure before it stays."""
-    w = Window.partitionBy(book).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.sum((F.col("kind") == "prose").cast("int")).over(w)
-    return rows.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
+    """Rows before the first prose unit past `most` of them in each book; structure before it stays.
+
+    That unit is found among the first most + 1 prose units, which tasks sort out before any shuffle; no
+    task holds a book.
+    """
+    place = F.struct(*order)
+    w = Window.partitionBy(book).orderBy(*order)
+    prose = rows.filter("kind = 'prose'").select(book, place.alias("_end"), *order)
+    ends = prose.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most + 1).filter(F.col("_n") == most + 1)
+    return rows.join(ends.select(book, "_end"), book, "left").filter(F.col("_end").isNull() | (place < F.col("_end"))).drop("_end")

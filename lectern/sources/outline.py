@@ -94,11 +94,11 @@ def marked_chapters(marks: DataFrame, pages: DataFrame) -> DataFrame:
 
     A chapter ends before the next boundary page after its own; chapters that share a page share its text.
     """
-    bounds = marks.select("book_id", F.col("page").alias("b")).distinct()
+    bounds = marks.select("book_id", "page").distinct()
+    bounds = bounds.withColumn("b", F.lead("page").over(Window.partitionBy("book_id").orderBy("page")))
     last = pages.groupBy("book_id").agg(F.max("page_no").alias("last"))
     starts = marks.filter("narrated").select("book_id", "title", "page").distinct()
-    ends = starts.join(bounds, "book_id").filter("b > page").groupBy("book_id", "title", "page").agg(F.min("b").alias("b"))
-    spans = starts.join(ends, ["book_id", "title", "page"], "left").join(last, "book_id").withColumn("end", F.coalesce(F.col("b") - 1, "last"))
+    spans = starts.join(bounds, ["book_id", "page"]).join(last, "book_id").withColumn("end", F.coalesce(F.col("b") - 1, "last"))
     inside = spans.withColumn("page_no", F.explode(F.sequence("page", F.greatest("page", "end")))).filter("page_no <= end")
     clean = pages.select("book_id", "page_no", native.drop_page_numbers(F.col("markdown")).alias("markdown"))
     text = inside.join(clean, ["book_id", "page_no"]).groupBy("book_id", "title", "page").agg(F.sort_array(F.collect_list(F.struct("page_no", "markdown"))).alias("p"))
