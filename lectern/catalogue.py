@@ -167,7 +167,7 @@ SELECT doc_id, coalesce(source_tokens, 0)::BIGINT AS source_tokens, coalesce(ret
 def lexical_retention(spark, folder):
     p = table(spark, folder, "documents").select("doc_id", F.expr(CHAPTER).alias("a"))
     p = p.withColumn("b", F.replace(F.replace("a", F.lit(" the "), F.lit(" ")), F.lit(" de "), F.lit(" ")))
-    return edits.retention_by_join(p, "doc_id", "a", "b").withColumn("retention", F.round("retention", 6))
+    return edits.retention_by_word(p, "doc_id", "a", "b").withColumn("retention", F.round("retention", 6))
 
 
 @query(

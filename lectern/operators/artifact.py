@@ -64,10 +64,12 @@ def chapters_of(units: DataFrame, keys: tuple[str, ...] = ("book_id", "chapter_i
 
 def books_of(chapters: DataFrame, book: str = "book_id") -> DataFrame:
     """A row for each book: prepared text, and a hash over its chapters' hashes in order."""
-    text = joined_text(chapters, (book,), "chapter_index", "prepared_text")
-    ordered = F.sort_array(F.collect_list(F.struct("chapter_index", "prepared_sha256")))
-    digest = chapters.groupBy(book).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["prepared_sha256"]), "\n"), 256).alias("book_sha256"))
-    return text.join(digest, book)
+    text = native.strip(F.coalesce(F.col("prepared_text"), F.lit("")))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("chapter_index").alias("o"), text.alias("t"), F.col("prepared_sha256").alias("h"))))
+    rows = chapters.groupBy(book).agg(ordered.alias("c"))
+    own = F.filter(F.transform("c", lambda x: x["t"]), lambda t: t != "")
+    digest = F.sha2(F.array_join(F.transform("c", lambda x: x["h"]), "\n"), 256)
+    return rows.select(book, F.array_join(own, "\n\n").alias("prepared_text"), digest.alias("book_sha256"))
 
 
 def _issue(rows: DataFrame, wrong: Column, key: Column, text: str) -> DataFrame:
