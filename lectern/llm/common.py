@@ -8,6 +8,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -59,6 +60,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text in an Arrow batch between the JVM and Python.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session send at most BATCH_ROWS rows to Python at once: texts are long, and both sides hold a batch whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Deletes a folder that scratch() gave."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -106,15 +118,21 @@ def held(name: str, make: Callable[[], T]) -> T:
     """
     if name not in _HELD:
         _HELD.clear()
-        trim()
+        trim(0)
         _HELD[name] = make()
     return _HELD[name]
 
 
-def trim() -> None:
-    """Gives freed memory back to the system, where the C library can."""
+_TRIMMED = [0.0]
+
+
+def trim(every: float = 3.0) -> None:
+    """Gives freed memory back to the system, where the C library can, if that was last done so many seconds ago."""
     import pyarrow as pa
 
+    if time.monotonic() - _TRIMMED[0] < every:
+        return
+    _TRIMMED[0] = time.monotonic()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

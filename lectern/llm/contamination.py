@@ -191,6 +191,7 @@ def judge(
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     own = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_hits", "_items"}
     names = [c for c in docs.columns if c not in own]
     df = docs.select(*[F.col(f"`{c}`") for c in names])
@@ -217,6 +218,7 @@ def matches(
     """Rows (key, item, position) of each exact occurrence of a whole query text, or, with span, of
     each place from which its words follow in order within that many words. Positions count words from 0."""
     spark, out = docs.sparkSession, None
+    common.bounded_batches(spark)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     for block in blocks(queries, item, item_text, block_bytes):

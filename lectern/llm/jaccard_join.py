@@ -266,6 +266,7 @@ def similar(
     of links join to it, n_links the number of other documents with a similarity of threshold or more.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter("k is not null")
     kind = rows.schema["k"].dataType.simpleString()
     digest = lambda t: xxhash.xxh3_128_digest(("" if t is None else "=" + t).encode("utf-8", "replace"))

@@ -120,6 +120,7 @@ def train(
 
     The number of languages is taken to be that of natural languages: its counts fit the driver.
     """
+    common.bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"))
     rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull())
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -156,6 +157,7 @@ def train(
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """docs with lang_pred and score; all other columns stay as they are. Clashing old columns are replaced."""
+    common.bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -86,6 +86,7 @@ PIECES = "piece int, start long, length int, ids_crc32 long"
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, with_ids: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of each document's pieces; with_ids also the ids as bytes."""
+    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     close = np.zeros(1, "<u4").tobytes()

@@ -90,6 +90,7 @@ def format_pairs(pairs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     Columns other than these keep their values.
     """
     path = tokenizer or common.tokenizer_path("byte_bpe_50k.json")
+    common.bounded_batches(pairs.sparkSession)
     own = [c for c in pairs.columns if c not in ("chosen", "rejected")]
     kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in own)
 

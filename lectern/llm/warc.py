@@ -123,6 +123,7 @@ def derivatives(source: dict) -> list[dict]:
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> DataFrame:
     """A response record for each page."""
+    common.bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{url}`").alias("_u"), F.col(f"`{html}`").alias("_h"))
     kind = rows.schema["_k"].dataType.simpleString()
 
@@ -139,6 +140,7 @@ _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 
 def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records for each response; records of other types give none. The key column is carried along."""
+    common.bounded_batches(records.sparkSession)
     rows = records.filter("record_type = 'response'").select(key, *_NAMES)
     kind = rows.schema[key].dataType.simpleString()
 
