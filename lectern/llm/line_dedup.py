@@ -5,7 +5,7 @@ inside a paragraph has lines of its own. A chunk ends after a line whose hash is
 itself and its neighbours, a rolling window of three line hashes: boundaries depend on nearby
 content alone and shift with it. A second family of boundaries lies after local maxima, so that a
 passage too short to hold a whole chunk of one family mostly holds one of the other. Chunks of
-two lines or more (or of one very long line) with enough words take part; their first
+two lines or more (or of one very long line) with enough characters take part; their first
 occurrence, by document id and place, stays in its text and every other one goes. Where kept and
 removed chunks overlap, in texts that repeat themselves, the removed one wins.
 
@@ -43,44 +43,77 @@ def lines_of(text: str) -> list[str]:
     return out
 
 
-def boundaries(hashes: np.ndarray, longest: int = 64) -> np.ndarray:
-    """Ends of the chunks: positions after a local minimum of the line hashes, and at least every `longest` lines."""
+def boundaries(hashes: np.ndarray, first: np.ndarray | None = None, longest: int = 64) -> np.ndarray:
+    """Ends of the chunks of texts whose line hashes lie one after the other, from `first` on each: after local minima
+    inside a text, at a text's end, and at least every `longest` lines."""
     n = len(hashes)
+    first = np.zeros(min(n, 1), np.int64) if first is None else first
     if n == 0:
         return np.zeros(0, np.int64)
-    low = np.zeros(n, bool)
-    if n > 2:
-        low[1:-1] = (hashes[1:-1] < hashes[:-2]) & (hashes[1:-1] <= hashes[2:])
-    ends = np.append(np.flatnonzero(low) + 1, n)
+    low = np.zeros(n + 1, bool)
+    low[2:n] = (hashes[1:-1] < hashes[:-2]) & (hashes[1:-1] <= hashes[2:])  # the end after line i is i + 1
+    low[first + 1] = False
+    low[first] = True
+    low[[0, n]] = False, True
+    ends = np.flatnonzero(low)
     gaps = np.diff(ends, prepend=0)
-    if gaps.max() <= longest:
-        return np.unique(ends)
-    cuts = [np.arange(e - g + longest, e, longest) for e, g in zip(ends, gaps, strict=True) if g > longest]
-    return np.unique(np.concatenate([ends, *cuts]))
-
-
-def chunks_of(text: str, least_words: int, long_line: int) -> list[tuple[int, int, int, str]]:
-    """(number, first character, last character + 1, bytes to compare) of the chunks that take part.
-
-    Chunks are compared without the white space around them. A chunk of both families counts once.
-    """
-    lines = lines_of(text)
-    if not lines:
-        return []
-    starts, _ = common.flat(lines)
-    starts = starts.tolist()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.strip()) for x in lines), np.uint64, len(lines))
-    spans = set()
-    for family in (hashes, ~hashes):
-        ends = boundaries(family).tolist()
-        spans.update(zip([0, *ends[:-1]], ends, strict=True))
-    out = []
-    for number, (begin, end) in enumerate(sorted(spans)):
-        body = text[starts[begin] : starts[end]].strip()
-        n = body.count(" ") + body.count("\n") + 1
-        if body and (end - begin > 1 and n >= least_words or n >= long_line):
-            out.append((number, starts[begin], starts[end], body))
-    return out
+    far = np.flatnonzero(gaps > longest)
+    cuts = [np.arange(ends[k] - gaps[k] + longest, ends[k], longest) for k in far.tolist()]
+    return np.unique(np.concatenate([ends, *cuts])) if cuts else ends
+
+
+_POWER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_POWER, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Chunks:
+    """The chunks that take part, of many texts: row, number in its text, first character, last one + 1, hash of the lines' hashes."""
+
+    def __init__(self, texts: list[str], least_chars: int, long_line: int):
+        lines = [lines_of(t) for t in texts]
+        start, _ = common.flat(lines)
+        flat = [x for own in lines for x in own]
+        bare = [x.strip() for x in flat]
+        n = len(flat)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, bare), np.uint64, n)
+        length, place = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, bare), np.int64, n), out=length[1:])
+        np.cumsum(np.fromiter(map(len, flat), np.int64, n), out=place[1:])
+        first = np.unique(start[:-1][start[1:] > start[:-1]])
+        spans = []
+        for family in (hashes, ~hashes):
+            ends = boundaries(family, first)
+            spans.append(np.concatenate([[0], ends[:-1]]) << 32 | ends if len(ends) else ends)
+        spans = np.unique(np.concatenate(spans))  # in order of texts and places; a chunk of both families once
+        begin, end = spans >> 32, spans & 0xFFFFFFFF
+        row = np.searchsorted(start, begin, side="right") - 1
+        number = np.arange(len(spans)) - np.searchsorted(row, row)
+        chars = length[end] - length[begin]
+        use = (chars >= least_chars) & (end - begin > 1) | (chars >= long_line)
+        begin, end, self.row, self.number = begin[use], end[use], row[use], number[use].astype(np.int32)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * _powers(_INVERSE, n), out=sums[1:])
+        value = (sums[end] - sums[begin]) * _powers(_POWER, n + 1)[begin] + (end - begin).astype(np.uint64)
+        self.hash = common.mix(value).view(np.int64)
+        base = place[start[self.row]] if len(self.row) else begin
+        self.first, self.last = place[begin] - base, place[end] - base
+        self.texts = texts
+
+    def body(self, k: int) -> str:
+        """The bytes to compare: a chunk without the white space around it."""
+        return self.texts[self.row[k]][self.first[k] : self.last[k]].strip()
+
+
+def chunks_of(text: str, least_chars: int, long_line: int) -> list[tuple[int, int, int, str]]:
+    """(number, first character, last character + 1, bytes) of one text's chunks."""
+    c = Chunks([text], least_chars, long_line)
+    return [(int(c.number[k]), int(c.first[k]), int(c.last[k]), c.body(k)) for k in range(len(c.row))]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -93,21 +126,18 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*left, text[at:]])
 
 
-def _hash(body: str) -> int:
-    return xxhash.xxh3_64_intdigest(body) - (1 << 63)
-
-
-def recurring_chunks(docs: DataFrame, key: str, text: str, least_words: int, long_line: int) -> DataFrame:
+def recurring_chunks(docs: DataFrame, key: str, text: str, least_chars: int, long_line: int) -> DataFrame:
     """One row (key, number) for each chunk occurrence to remove."""
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
     kind = rows.schema["k"].dataType.simpleString()
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            h = [_hash(c[3]) for t in batch["t"] for c in chunks_of(t, least_words, long_line)]
-            if h:
-                u, n = np.unique(np.array(h, np.int64), return_counts=True)
+            h = Chunks(batch["t"].tolist(), least_chars, long_line).hash
+            if len(h):
+                u, n = np.unique(h, return_counts=True)
                 yield pd.DataFrame({"h": u, "n": n})
             common.trim()
 
@@ -116,20 +146,12 @@ def recurring_chunks(docs: DataFrame, key: str, text: str, least_words: int, lon
     sent = spark.sparkContext.broadcast(common.presence(again.select("h")))
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = sent.value
         for batch in batches:
-            ks, numbers, texts = [], [], []
-            for k, t in zip(batch["k"], batch["t"], strict=True):
-                found = chunks_of(t, least_words, long_line)
-                if not found:
-                    continue
-                for c, hit in zip(found, common.present(bits, np.array([_hash(c[3]) for c in found])), strict=True):
-                    if hit:
-                        ks.append(k)
-                        numbers.append(c[0])
-                        texts.append(c[3])
-            if ks:
-                yield pd.DataFrame({"k": pd.Series(ks, dtype=batch["k"].dtype), "number": np.array(numbers, np.int32), "body": texts})
+            c = Chunks(batch["t"].tolist(), least_chars, long_line)
+            hit = np.flatnonzero(common.present(sent.value, c.hash))
+            if len(hit):
+                yield pd.DataFrame({"k": batch["k"].to_numpy()[c.row[hit]], "number": c.number[hit], "body": [c.body(k) for k in hit.tolist()]})
+            common.trim()
 
     found = common.cut(rows.mapInPandas(bodies, f"k {kind}, number int, body string"), "chunks")
     kept = (
@@ -142,10 +164,10 @@ def recurring_chunks(docs: DataFrame, key: str, text: str, least_words: int, lon
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 8, long_line: int = 50
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, long_line: int = 250
 ) -> DataFrame:
     """docs with recurring chunks taken out of their text; `removed_chunks` and `removed_chars` say how much went."""
-    gone = recurring_chunks(docs, key, text, least_words, long_line).groupBy("k").agg(F.collect_list("number").alias("_numbers"))
+    gone = recurring_chunks(docs, key, text, least_chars, long_line).groupBy("k").agg(F.collect_list("number").alias("_numbers"))
     names = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
     joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone.withColumnRenamed("k", "_k"), F.col(f"`{key}`") == F.col("_k"), "left")
 
@@ -157,7 +179,7 @@ def dedup_lines(
                 out.append((t, 0, 0))
                 continue
             gone = set(map(int, own))
-            new = without(t, [(c[1], c[2]) for c in chunks_of(t, least_words, long_line) if c[0] in gone])
+            new = without(t, [(c[1], c[2]) for c in chunks_of(t, least_chars, long_line) if c[0] in gone])
             out.append((new, len(gone), len(t) - len(new)))
         return pd.DataFrame(out, columns=["text", "chunks", "chars"])
 

@@ -165,7 +165,7 @@ def test_components_of_a_path(spark):
 # Line dedup
 
 
-def brute_dedup(docs, least=8, long=50):
+def brute_dedup(docs, least=40, long=250):
     """Chunk texts of all documents in order of id; a repeated one goes."""
     seen, out = set(), {}
     for k, text in sorted((d for d in docs if d[0] is not None and d[1] is not None), key=lambda d: d[0]):
