@@ -111,7 +111,7 @@ def test_corpus(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps(case))
     rows = {r["id"]: r for r in corpus.read_cases(spark, str(tmp_path)).collect()}
     assert rows["core-1"]["issues"] == [] and rows["core-1"]["expect"][0]["start"] == 21 and rows["core-1"]["expect"][0]["sentence"] == 1
-    assert "identical" in rows["core-2"]["issues"][0] and "times" in rows["x"]["issues"][0] and "trap case" in rows["trap-1"]["issues"][0]
+    assert "nothing differs" in rows["core-2"]["issues"][0] and "times" in rows["x"]["issues"][0] and "bait" in rows["trap-1"]["issues"][0]
     few = corpus.selected(corpus.read_cases(spark, str(tmp_path)), tiers=["core"], categories=["citation"], per_tier=1)
     assert [r["id"] for r in few.collect()] == ["core-1"]
 
