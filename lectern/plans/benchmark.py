@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native
@@ -58,3 +58,30 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     rows = score.summary(runs, "label").join(sums.withColumnsRenamed({"applied": "applied_edits", "proposed": "proposed_edits"}), "label").join(stable, "label", "left")
     rate = score.anchor_failure_rate(F.col("unanchored"), F.col("ambiguous"), F.col("proposed_edits"))
     return score.ranked(rows.withColumn("anchor_failure_rate", rate), "label")
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a run is asked for. Bad values are refused before any model is loaded."""
+
+    models: tuple[str, ...]
+    think: tuple[bool, ...] = (False,)
+    never_thinking: tuple[str, ...] = ()
+    repetitions: int = 2
+    appendix: int = 5
+
+    def __post_init__(self) -> None:
+        names = tuple(m.strip() for m in self.models if m.strip())
+        if not names or len(set(names)) < len(names):
+            raise ValueError("models have to be named, each once")
+        if not self.think:
+            raise ValueError("a thinking mode is needed")
+        if self.repetitions < 1 or self.appendix < 0:
+            raise ValueError("repetitions count from 1, the appendix from 0")
+        object.__setattr__(self, "models", names)
+        object.__setattr__(self, "think", tuple(dict.fromkeys(self.think)))
+
+    def variants(self, spark: SparkSession) -> DataFrame:
+        frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+        blocked = frame([(m, True) for m in self.never_thinking], "model string, think boolean")
+        return score.variants(frame([(m,) for m in self.models], "model string"), frame([(t,) for t in self.think], "think boolean"), blocked, self.repetitions)

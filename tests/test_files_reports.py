@@ -1,10 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import register
 from lectern.operators import artifact
-from lectern.plans import benchmark, prepare, report
+from lectern.plans import benchmark, prepare, report, review
 from lectern.sources import files
 
 
@@ -69,3 +70,21 @@ def test_report(spark):
     assert [m["label"] for m in data["models"]] == ["rules", "silent", "eager"] and "| `rules` | 1.000 | 2/2 | 0 | 100.0%" in text
     assert data["traps"] == [{"label": "eager", "trap": "opening", "failures": 2, "first_run": "eager/1/c1"}] and "### `eager`: c1 (0.00)" in text and "## By category" in text
     assert report.summary_line(data["models"][0]).startswith("1. rules")
+
+
+def test_options(spark):
+    o = benchmark.Options((" a ", "b"), (False, True, False), ("b",))
+    rows = o.variants(spark).orderBy("label", "repetition").collect()
+    assert [(r["label"], r["seed"]) for r in rows] == [("a", 42), ("a", 43), ("a +think", 42), ("a +think", 43), ("b", 42), ("b", 43)]
+    for bad in ({"models": ()}, {"models": ("a", "a")}, {"models": ("a",), "repetitions": 0}, {"models": ("a",), "think": ()}):
+        with pytest.raises(ValueError):
+            benchmark.Options(**bad)
+
+
+def test_review(spark):
+    rows, units, books = prepared(spark)
+    got = review.flagged(units).collect()
+    assert [r["label"] for r in got] == ["ch 1 · unit 1 — 1 edit", "ch 2 · unit 2 — 1 edit"]
+    assert "**Edits**\n\n- citation: “(Ng 1999, Li 2001)” → “” (not read aloud)" in got[0]["review"]
+    said = {r["book_id"]: r["summary"] for r in review.summary(books, rows, units).collect()}
+    assert said["b"] == "Book b: 2 prose units, 13 words, about 0 min; 2 edits, 0 units with warnings, 0 from an earlier run"
