@@ -164,26 +164,35 @@ def recurring_chunks(docs: DataFrame, key: str, text: str, least_chars: int, lon
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, long_line: int = 250
-) -> DataFrame:
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, long_line: int = 250,
+    broadcast_bytes: int = 32 << 20,
+) -> DataFrame:
     """docs with recurring chunks taken out of their text; `removed_chunks` and `removed_chars` say how much went."""
     gone = recurring_chunks(docs, key, text, least_chars, long_line).groupBy("k").agg(F.collect_list("number").alias("_numbers"))
+    gone = common.cut(gone, "removed")
+    size = gone.agg(F.sum(F.size("_numbers") * 4 + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
+        gone = F.broadcast(gone)  # else both sides are shuffled by id
     names = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
     joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone.withColumnRenamed("k", "_k"), F.col(f"`{key}`") == F.col("_k"), "left")
 
     @F.pandas_udf("text string, chunks int, chars long")
     def strip(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, own in zip(texts, numbers, strict=True):
-            if t is None or own is None or len(own) == 0:
-                out.append((t, 0, 0))
-                continue
-            gone = set(map(int, own))
-            new = without(t, [(c[1], c[2]) for c in chunks_of(t, least_chars, long_line) if c[0] in gone])
-            out.append((new, len(gone), len(t) - len(new)))
-        return pd.DataFrame(out, columns=["text", "chunks", "chars"])
-
-    new = joined.withColumn("_new", strip(F.col(f"`{text}`"), F.col("_numbers")))
+        new, removed = texts.tolist(), np.zeros(len(texts), np.int32)
+        rows = [k for k, own in enumerate(numbers) if own is not None and len(own)]
+        if rows:
+            c = Chunks([new[k] for k in rows], least_chars, long_line)
+            gone = np.concatenate([np.asarray(numbers.iloc[k], np.int64) | n << 32 for n, k in enumerate(rows)])
+            hit = np.flatnonzero(np.isin(c.row.astype(np.int64) << 32 | c.number, gone))
+            for part in np.split(hit, np.flatnonzero(np.diff(c.row[hit])) + 1) if len(hit) else ():
+                k = rows[c.row[part[0]]]
+                new[k] = without(new[k], list(zip(c.first[part].tolist(), c.last[part].tolist(), strict=True)))
+                removed[k] = len(part)
+        chars = [len(t) - len(n) if n is not None else 0 for t, n in zip(texts, new, strict=True)]
+        return pd.DataFrame({"text": new, "chunks": removed, "chars": np.array(chars, np.int64)})
+
+    # Called non-deterministic, or a later filter on its result would run it a second time.
+    new = joined.withColumn("_new", strip.asNondeterministic()(F.col(f"`{text}`"), F.col("_numbers")))
     return new.select(
         *[(F.col("_new.text").alias(text) if c == text else F.col(f"`{c}`")) for c in names],
         F.col("_new.chunks").alias("removed_chunks"), F.col("_new.chars").alias("removed_chars"),
