@@ -204,6 +204,7 @@ def seed(repetition: Column) -> Column:
 
 def variants(models: DataFrame, modes: DataFrame, blocked: DataFrame, repetitions: int) -> DataFrame:
     """model x thinking mode without the blocked pairs, x repetition: as many rows as the benchmark has runs of a case."""
-    wanted = models.crossJoin(modes).join(blocked, ["model", "think"], "left_anti")
+    both = F.array(*[F.lit(r["think"]) for r in modes.select("think").distinct().collect()])  # two at most
+    wanted = models.withColumn("think", F.explode(both)).join(blocked, ["model", "think"], "left_anti")
     label = F.when(F.col("think"), F.concat("model", F.lit(" +think"))).otherwise(F.col("model"))
     return wanted.withColumn("label", label).withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn("seed", seed(F.col("repetition")))

@@ -20,10 +20,12 @@ ATTEMPT = f"prepared_text string, proposed array<{EDIT}>, applied array<{EDIT}>,
 def attempts(cases: DataFrame, variants: DataFrame) -> DataFrame:
     """Each case answered by each variant (label, model, repetition, seed); a failure is a row with its error.
 
-    Cases are few and variants fewer: their product is the benchmark. Rows are dealt by variant, so
-    that a task makes a model once.
+    Variants are what a person asked for, a few rows: each case is repeated for each of them. Rows are
+    dealt by variant, so that a task makes a model once.
     """
-    rows = cases.crossJoin(variants).repartition("label", "repetition")
+    own = variants.select("label", "model", "repetition", "seed").collect()
+    each = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("label", "model", "repetition", "seed")]) for r in own])
+    rows = cases.withColumn("_v", F.explode(each)).select(*cases.columns, "_v.*").repartition("label", "repetition")
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
