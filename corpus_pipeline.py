@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring chunks out of the texts; drops documents of which nothing is left."""
-    done = line_dedup.dedup_lines(docs)
+    """Takes recurring chunks and runs of words out of the texts; drops documents of which nothing is left."""
+    done = line_dedup.dedup(docs)
     left = F.col("removed_chunks").eqNullSafe(0) | (F.length(F.trim("text")) > 0)
     return done.filter(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -5,14 +5,19 @@ inside a paragraph has lines of its own. A chunk ends after a line whose hash is
 itself and its neighbours, a rolling window of three line hashes: boundaries depend on nearby
 content alone and shift with it. A second family of boundaries lies after local maxima, so that a
 passage too short to hold a whole chunk of one family mostly holds one of the other. Chunks of
-two lines or more (or of one very long line) with enough characters take part; their first
-occurrence, by document id and place, stays in its text and every other one goes. Where kept and
-removed chunks overlap, in texts that repeat themselves, the removed one wins.
+two lines or more with enough characters take part, and so does each very long line by itself; their
+first occurrence, by document id and place, stays in its text and every other one goes. Where kept
+and removed chunks overlap, in texts that repeat themselves, the removed one wins.
 
 Three passes read the texts: the first counts chunk hashes (a partial sum in each task, then one
 row per hash), the second sends the bytes of only those chunks whose hash recurs and groups them
 by these bytes, the third takes the removed chunks out. A hash alone removes nothing.
 
+What chunks leave, as a passage within one line or the edges of a passage, `dedup_runs` finds: every
+run of 50 words that occurs earlier, by document id and place, goes. A run's least hash of 25 words
+(winnowing) is the same wherever the run occurs, so only runs whose least hash recurs are sent, as
+128-bit digests of their words' bytes. Each removed word has an earlier copy that stays.
+
 Null and empty texts stay as they are. Rows without an id pass unchanged and take no part. Rows
 that share an id count as one document: of a chunk's occurrences with equal id and place all
 stay. Ties cannot occur between different places. Columns named otherwise than key and text
@@ -21,6 +26,7 @@ never matter and are kept.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -90,7 +96,8 @@ class Chunks:
         for family in (hashes, ~hashes):
             ends = boundaries(family, first)
             spans.append(np.concatenate([[0], ends[:-1]]) << 32 | ends if len(ends) else ends)
-        spans = np.unique(np.concatenate(spans))  # in order of texts and places; a chunk of both families once
+        long = np.flatnonzero(np.diff(length) >= long_line)
+        spans = np.unique(np.concatenate([*spans, long << 32 | (long + 1)]))  # in order of texts and places; a chunk of both families once
         begin, end = spans >> 32, spans & 0xFFFFFFFF
         row = np.searchsorted(start, begin, side="right") - 1
         number = np.arange(len(spans)) - np.searchsorted(row, row)
@@ -163,18 +170,23 @@ def recurring_chunks(docs: DataFrame, key: str, text: str, least_chars: int, lon
     return found.join(kept, "body").filter(F.struct("k", "number") != F.col("first")).select("k", "number").distinct()
 
 
+def _with_numbers(docs: DataFrame, key: str, gone: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """docs with the `_numbers` of what has to go, null where nothing has."""
+    gone = common.cut(gone, "removed")
+    size = gone.agg(F.sum(F.size("_numbers") * 4 + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
+        gone = F.broadcast(gone)  # else both sides are shuffled by id
+    return docs.join(gone.withColumnRenamed("k", "_k"), F.col(f"`{key}`") == F.col("_k"), "left")
+
+
 def dedup_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, long_line: int = 250,
     broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """docs with recurring chunks taken out of their text; `removed_chunks` and `removed_chars` say how much went."""
     gone = recurring_chunks(docs, key, text, least_chars, long_line).groupBy("k").agg(F.collect_list("number").alias("_numbers"))
-    gone = common.cut(gone, "removed")
-    size = gone.agg(F.sum(F.size("_numbers") * 4 + 32)).first()[0] or 0
-    if size <= broadcast_bytes:
-        gone = F.broadcast(gone)  # else both sides are shuffled by id
     names = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone.withColumnRenamed("k", "_k"), F.col(f"`{key}`") == F.col("_k"), "left")
+    joined = _with_numbers(docs.select(*[F.col(f"`{c}`") for c in names]), key, gone, broadcast_bytes)
 
     @F.pandas_udf("text string, chunks int, chars long")
     def strip(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
@@ -199,7 +211,154 @@ def dedup_lines(
     )
 
 
+#: Words of a run that must not recur.
+RUN = 50
+
+
+def _sliding(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op over each `width` entries in a row."""
+    done = 1
+    while done * 2 <= width:
+        a, done = op(a[:-done], a[done:]), done * 2
+    rest = width - done
+    return op(a[: len(a) - rest], a[rest:]) if rest else a
+
+
+def _spans_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of values[first:last], the same wherever they lie, for each pair."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _powers(_POWER, n), out=sums[1:])
+    return common.mix((sums[last] - sums[first]) * _powers(_INVERSE, n)[first] + (last - first).astype(np.uint64))
+
+
+class Runs:
+    """Runs of so many words, by the number of their first word, of many texts. Words are those of common.words."""
+
+    def __init__(self, texts: list[str | None], run: int):
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        self.run, self.bytes = run, b" ".join(raw).translate(common._WORD_BYTES)
+        data = np.frombuffer(self.bytes, np.uint8)
+        word = np.concatenate([[False], data != 32, [False]])
+        self.begin, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+        self.length = end - self.begin
+        start, _ = common.flat(raw)
+        self.row = np.searchsorted(start[:-1] + np.arange(len(raw)), self.begin, side="right") - 1
+        self.number = np.arange(len(self.row)) - np.searchsorted(self.row, self.row)
+        gram = (run + 1) // 2
+        width, n = run - gram + 1, len(self.begin)
+        self.inside = self.row[run - 1 :] == self.row[: max(n - run + 1, 0)]
+        self.least = self.chosen = np.zeros(0, np.uint64)
+        if self.inside.any():
+            words = _spans_hash(data.astype(np.uint64), self.begin, end)
+            at = np.arange(n - gram + 1)
+            grams = _spans_hash(words, at, at + gram)
+            self.least = _sliding(grams, width, np.minimum)
+            pad = np.zeros(width - 1, np.uint64)
+            # Each place that is the least of some run, so that a hash counts as often as it lies in the text.
+            self.chosen = grams[_sliding(np.concatenate([pad, np.where(self.inside, self.least, 0), pad]), width, np.maximum) == grams]
+
+    def digests(self, at: np.ndarray) -> list[bytes]:
+        """Of the words' bytes of the runs that begin at these words."""
+        plain = b" ".join(self.bytes.split())
+        place = np.concatenate([[0], np.cumsum(self.length + 1)])
+        spans = zip(place[at].tolist(), (place[at + self.run] - 1).tolist(), strict=True)
+        return [hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in spans]
+
+
+def _portions(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of about so many characters, or of one longer text."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > first and size + len(t) > chars:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def without_runs(text: str, numbers: list[int], run: int) -> tuple[str, int]:
+    """text without the runs that begin at these words, each up to the next word that stays; and how many spans went."""
+    own, raw = Runs([text], run), text.encode("utf-8", "replace")
+    begin = np.append(own.begin, len(raw))
+    step = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(step, numbers, 1)
+    np.add.at(step, np.asarray(numbers) + run, -1)
+    gone = np.diff((np.cumsum(step) > 0).astype(np.int8), prepend=0)
+    first, last = begin[np.flatnonzero(gone == 1)], begin[np.flatnonzero(gone == -1)]
+    kept = zip([0, *last.tolist()], [*first.tolist(), len(raw)], strict=True)
+    return b"".join(raw[a:b] for a, b in kept).decode("utf-8", "replace"), len(first)
+
+
+def recurring_runs(docs: DataFrame, key: str, text: str, run: int) -> DataFrame:
+    """One row (key, number of its first word) for each run to remove."""
+    spark = docs.sparkSession
+    common.bounded_batches(spark)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [Runs(part, run).chosen.view(np.int64) for _, part in _portions(batch["t"].tolist())]
+            if sum(map(len, own)):
+                u, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pd.DataFrame({"h": u, "n": n})
+            common.trim()
+
+    again = rows.select("t").mapInPandas(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    sent = spark.sparkContext.broadcast(common.presence(again.select("h")))
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch["k"].to_numpy()
+            for first, part in _portions(batch["t"].tolist()):
+                r = Runs(part, run)
+                if len(r.least):
+                    at = np.flatnonzero(r.inside & common.present(sent.value, r.least.view(np.int64)))
+                    if len(at):
+                        yield pd.DataFrame({"k": keys[first + r.row[at]], "number": r.number[at].astype(np.int32), "body": r.digests(at)})
+            common.trim()
+
+    found = common.cut(rows.mapInPandas(digests, f"k {kind}, number int, body binary"), "runs")
+    kept = (
+        found.groupBy("body")
+        .agg(F.count("*").alias("n"), F.min(F.struct("k", "number")).alias("first"))
+        .filter("n > 1")
+        .select("body", "first")
+    )
+    return found.join(kept, "body").filter(F.struct("k", "number") != F.col("first")).select("k", "number").distinct()
+
+
+def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the runs of words that occur earlier; what goes is added to `removed_chunks` and `removed_chars`, if
+    docs has them. docs is read three times."""
+    gone = recurring_runs(docs, key, text, run).groupBy("k").agg(F.collect_list("number").alias("_numbers"))
+    joined = _with_numbers(docs, key, gone, broadcast_bytes)
+
+    @F.pandas_udf("text string, chunks int, chars long")
+    def strip(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        new, removed = texts.tolist(), np.zeros(len(texts), np.int32)
+        for k, own in enumerate(numbers):
+            if own is not None and len(own):
+                new[k], removed[k] = without_runs(new[k], own, run)
+        chars = [len(t) - len(n) if n is not None else 0 for t, n in zip(texts, new, strict=True)]
+        return pd.DataFrame({"text": new, "chunks": removed, "chars": np.array(chars, np.int64)})
+
+    new = joined.withColumn("_new", strip.asNondeterministic()(F.col(f"`{text}`"), F.col("_numbers")))
+    before = lambda c: F.col(c) if c in docs.columns else F.lit(0)
+    return new.select(
+        *[(F.col("_new.text").alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns if c not in ("removed_chunks", "removed_chars")],
+        (before("removed_chunks") + F.col("_new.chunks")).alias("removed_chunks"), (before("removed_chars") + F.col("_new.chars")).alias("removed_chars"),
+    )
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without recurring chunks, and then without any run of 50 words that recurs in what is left."""
+    return dedup_runs(common.cut(dedup_lines(docs, key, text), "lines"), key, text)
+
+
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document with the chunks that recur in the corpus taken out."""
+    """Every document with the chunks and the runs of 50 words that recur in the corpus taken out."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", "removed_chunks", "removed_chars")
+    return dedup(docs).select("doc_id", "text", "removed_chunks", "removed_chars")

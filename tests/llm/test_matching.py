@@ -213,6 +213,38 @@ def test_boundaries_shift_with_the_content():
     assert np.diff(line_dedup.boundaries(np.zeros(300, np.uint64)), prepend=0).max() == 64
 
 
+def brute_runs(docs, run=50):
+    """Texts without words of runs that occur earlier."""
+    seen, out = set(), {}
+    for k, text in docs:
+        words, gone = common.words(text), []
+        for i in range(len(words) - run + 1):
+            own = tuple(words[i : i + run])
+            gone += range(i, i + run) if own in seen else ()
+            seen.add(own)
+        out[k] = [w for i, w in enumerate(words) if i not in set(gone)]
+    return out
+
+
+def test_no_run_of_50_words_recurs(spark):
+    docs = [(k, f"{said(80, k)}\n\n{said(60, 900) if k % 2 else said(120, 901)}\n\n{said(70, 100 + k)}") for k in range(8)]
+    docs += [(8, "é日 " + said(50, 900)), (9, said(49, 900)), (10, "a b c d e " * 11), (11, "word " * 4000), (12, said(90, 950) + " ü " + said(90, 950)), (13, ""), (14, None)]
+    df = spark.createDataFrame([*docs, (None, docs[1][1])], DOCS)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_runs(df).collect()}
+    assert got.pop(None) == docs[1][1] and got.pop(14) is None
+    assert {k: common.words(t) for k, t in got.items()} == brute_runs(docs[:-1])
+    assert got[2] == f"{said(80, 2)}\n\n{said(70, 102)}" and got[8] == "é日 "
+    whole = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df.filter("doc_id < 14")).collect()}
+    runs = [tuple(w[i : i + 50]) for w in map(common.words, whole.values()) for i in range(len(w) - 49)]
+    assert len(runs) == len(set(runs)) > 500
+    assert line_dedup.dedup_runs(df.limit(0)).count() == 0
+
+
+def test_long_lines_are_chunks_anywhere():
+    line = "語" * 300
+    assert [c[3] for c in line_dedup.chunks_of(f"a.\nb.\n{line}\nc.\nd.", 40, 250) if c[3] == line] == [line]
+
+
 # Neighbours
 
 VECTORS = "vec_id long, embedding array<float>"
