@@ -195,6 +195,13 @@ def words_changed(spark, folder):
     return rows.groupBy("changed").agg(F.count("*").alias("n"))
 
 
+@query()
+def words_changed_whole(spark, folder):
+    """words_changed of whole texts; the SQL of words_changed compares their first 200 characters."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.replace("text", F.lit("th"), F.lit("t")).alias("b"))
+    return edits.words_changed_by_word(rows, ("conv_id", "turn"), "a", "b").groupBy("changed").agg(F.sum("rows").alias("n"))
+
+
 @query(f"""SELECT conv_id, turn, sha256({_SQUEEZE("translate(concat('“', text, '”—‘x’'), '“”—‘’', '\"\"-''''')")}) AS sha FROM conversations""")
 def fold_collapse(spark, folder):
     t = F.concat(F.lit("“"), "text", F.lit("”—‘x’"))

@@ -1,3 +1,6 @@
+from collections import Counter
+
+from lectern import catalogue
 from lectern.functions import exact
 from lectern.operators import score
 from lectern.operators.edits import Edit, Policy, apply_edits, applied, issues, locate, splice
@@ -126,3 +129,16 @@ def test_benchmark_ranks_the_stand_ins(spark):
     rows = {r["label"]: r for r in benchmark.leaderboard(benchmark.case_runs(cases, v)).collect()}
     assert [r["label"] for r in sorted(rows.values(), key=lambda r: r["rank"])] == ["rules", "silent", "flaky", "eager"]
     assert rows["rules"]["score"] == 1 and rows["flaky"]["errors"] == 1 and rows["rules"]["determinism"] == 1
+
+
+def test_words_changed_counts_whole_texts(spark, tmp_path):
+    texts = ["x " * 150 + "with the path", "the " * 90, "a", "", None, "The the tHe " * 40 + "thin (Smith 1999, Jones 2001) [7]"]
+    df = spark.createDataFrame([(k // 2, k % 2, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for t in texts:
+        a, b = (Counter(exact.tokens(x)) for x in (t or "", (t or "").replace("th", "t")))
+        n = sum((a - b).values()) + sum((b - a).values())
+        want[n] = want.get(n, 0) + 1
+    got = {r["changed"]: r["n"] for r in catalogue.QUERIES["words_changed_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(got.values()) == len(texts) and max(got) > 100
