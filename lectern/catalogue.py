@@ -345,6 +345,14 @@ def book_markdown(spark, folder):
     return artifact.markdown(rows, books)
 
 
+@query()
+def book_markdown_whole(spark, folder):
+    """The Markdown of whole documents, a row a part; the SQL of book_markdown renders their first 50 characters."""
+    rows = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), F.concat(F.lit("Chapter "), "doc_id").alias("title"), F.col("text").alias("prepared_text"))
+    books = rows.select("book_id", F.col("book_id").alias("title"), F.lit("rules").alias("provider")).distinct()
+    return artifact.markdown_parts(rows, books)
+
+
 @query(
     """SELECT source AS book_id, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words,
  round(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) / 140.0::DOUBLE, 6) AS minutes FROM documents GROUP BY source"""

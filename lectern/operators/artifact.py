@@ -114,16 +114,29 @@ def nested(chapters: DataFrame, units: DataFrame, books: DataFrame) -> DataFrame
     return books.join(rows.groupBy("book_id").agg(c.alias("chapters")), "book_id").withColumn("schema_version", F.lit(P.SCHEMA_VERSION))
 
 
+def _section() -> Column:
+    """A chapter under its title, unless its text opens with it."""
+    first = F.lower(F.regexp_replace(F.substring_index("prepared_text", "\n", 1), F.lit("^#+ *"), F.lit("")))
+    return F.when(first == F.lower("title"), F.col("prepared_text")).otherwise(F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("prepared_text")))
+
+
 def markdown(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """(book_id, markdown): title, provider, and each chapter under its title, unless its text opens with it."""
-    first = F.lower(F.regexp_replace(F.substring_index("prepared_text", "\n", 1), F.lit("^#+ *"), F.lit("")))
-    body = F.when(first == F.lower("title"), F.col("prepared_text")).otherwise(F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("prepared_text")))
-    rows = joined_text(chapters.withColumn("_b", body), ("book_id",), "chapter_index", "_b", "body")
+    rows = joined_text(chapters.withColumn("_b", _section()), ("book_id",), "chapter_index", "_b", "body")
     return books.select("book_id", "title", "provider").join(rows, "book_id").select(
         "book_id", F.format_string("# %s\n\n_Prepared by %s_\n\n%s\n", "title", "provider", "body").alias("markdown")
     )
 
 
+def markdown_parts(chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, markdown): a row for each chapter that is not blank, and one without chapter_index for title and
+    provider. A book's parts in order, nulls first, with a blank line between them and a line end make its markdown;
+    no book has to be one string. Each book has at least one chapter."""
+    head = books.select("book_id", F.lit(None).cast(chapters.schema["chapter_index"].dataType).alias("chapter_index"), F.format_string("# %s\n\n_Prepared by %s_", "title", "provider").alias("markdown"))
+    own = chapters.select("book_id", "chapter_index", native.strip(F.coalesce(_section(), F.lit(""))).alias("markdown")).filter("markdown != ''")
+    return head.unionByName(own)
+
+
 def drift(books: DataFrame, sources: DataFrame) -> DataFrame:
     """(book_id, state): whether the source file is missing, of unknown hash, changed or unchanged."""
     rows = books.select("book_id", "path", "sha256").join(sources.select("path", F.col("sha256").alias("now")), "path", "left")

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import catalogue
 from lectern.functions import register
 from lectern.operators import artifact
 from lectern.plans import benchmark, prepare, report, review
@@ -88,3 +89,18 @@ def test_review(spark):
     assert "**Edits**\n\n- citation: “(Ng 1999, Li 2001)” → “” (not read aloud)" in got[0]["review"]
     said = {r["book_id"]: r["summary"] for r in review.summary(books, rows, units).collect()}
     assert said["b"] == "Book b: 2 prose units, 13 words, about 0 min; 2 edits, 0 units with warnings, 0 from an earlier run"
+
+
+def test_book_markdown_renders_whole_documents(spark, tmp_path):
+    docs = [(2, "b", " Two.\n\n" + "long text " * 40), (1, "b", "# chapter 1\nOwn title"), (3, "a", ""), (4, "a", "short\n"), (5, "a", None)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    parts = catalogue.QUERIES["book_markdown_whole"](spark, str(tmp_path)).collect()
+    got = {}
+    for r in sorted(parts, key=lambda r: (r["book_id"], r["chapter_index"] or 0)):
+        got[r["book_id"]] = got.get(r["book_id"], []) + [r["markdown"]]
+    chapter = lambda k, t: t if k == 1 else f"## Chapter {k}\n\n{t}"
+    want = {b: [f"# {b}\n\n_Prepared by rules_"] + [chapter(k, t).strip() for k, s, t in sorted(docs, key=lambda d: d[0]) if s == b and t is not None] for b in ("a", "b")}
+    assert got == want
+    rows = spark.createDataFrame([(s, k, f"Chapter {k}", t) for k, s, t in docs], "book_id string, chapter_index long, title string, prepared_text string")
+    books = rows.select("book_id", F.col("book_id").alias("title"), F.lit("rules").alias("provider")).distinct()
+    assert {r["book_id"]: r["markdown"] for r in artifact.markdown(rows, books).collect()} == {b: "\n\n".join(x) + "\n" for b, x in want.items()}
