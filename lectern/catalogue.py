@@ -575,14 +575,14 @@ def variants_cross(spark, folder):
 
 @query()
 def benchmark_report(spark, folder):
-    """Cases made from documents with a citation added, answered by the rule-based stand-ins, scored and ranked."""
-    docs = table(spark, folder, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line")).filter(F.char_length("line").between(60, 600))
+    """Cases made from all whole documents with a citation added, answered by the rule-based stand-ins, scored and ranked."""
+    docs = table(spark, folder, "documents").select("doc_id", N.strip(F.coalesce("text", F.lit(""))).alias("own"))
     mark = " (Smith 1999, Jones 2001)"
-    source = F.concat("line", F.lit(mark))
-    at = F.char_length("line") + 1
+    source = F.concat("own", F.lit(mark))
+    at = F.char_length("own") + 1
     expect = F.array(F.struct(F.lit(mark[1:]).alias("anchor"), F.array(F.lit("")).alias("accept"), F.lit("citation").alias("category"), F.lit("").alias("why"), at.alias("start"), (at + len(mark) - 1).alias("end"), F.lit(0).alias("sentence")))
     trap = F.array(F.struct(F.lit("").alias("span"), F.lit("opening").alias("label"), F.lit(0).alias("start"), F.lit(12).alias("end")))
-    cases = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("trap").alias("tier"), F.array(F.lit("citation")).alias("categories"), source.alias("source"), F.col("line").alias("prepared"), expect.alias("expect"), trap.alias("traps"))
+    cases = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("trap").alias("tier"), F.array(F.lit("citation")).alias("categories"), source.alias("source"), F.col("own").alias("prepared"), expect.alias("expect"), trap.alias("traps"))
     names = spark.createDataFrame([(n, n, r, 41 + r) for n in ("eager", "flaky", "rules", "silent") for r in (1, 2)], "label string, model string, repetition int, seed int")
     return benchmark.leaderboard(benchmark.case_runs(cases, F.broadcast(names)))
 

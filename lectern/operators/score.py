@@ -25,7 +25,16 @@ SCORE = (
 
 
 def opcodes(source: str, prepared: str) -> list[tuple[str, int, int, int, int]]:
-    return SequenceMatcher(None, source, prepared, autojunk=False).get_opcodes()
+    """SequenceMatcher's, which takes the square of the length; at once where one text lies whole in the other, as its
+    longest match is then all of it, at the first place."""
+    n, m = len(source), len(prepared)
+    if n and m and (at := source.find(prepared)) >= 0:
+        parts = [("delete", 0, at, 0, 0), ("equal", at, at + m, 0, m), ("delete", at + m, n, m, m)]
+    elif n and m and (at := prepared.find(source)) >= 0:
+        parts = [("insert", 0, 0, 0, at), ("equal", 0, n, at, at + n), ("insert", n, n, at + n, m)]
+    else:
+        return SequenceMatcher(None, source, prepared, autojunk=False).get_opcodes()
+    return [p for p in parts if p[1] < p[2] or p[3] < p[4]]
 
 
 def change_regions(source: str, prepared: str) -> list[dict]:

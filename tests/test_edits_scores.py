@@ -1,4 +1,6 @@
+import random
 from collections import Counter
+from difflib import SequenceMatcher
 
 from lectern import catalogue
 from lectern.functions import exact
@@ -142,3 +144,11 @@ def test_words_changed_counts_whole_texts(spark, tmp_path):
         want[n] = want.get(n, 0) + 1
     got = {r["changed"]: r["n"] for r in catalogue.QUERIES["words_changed_whole"](spark, str(tmp_path)).collect()}
     assert got == want and sum(got.values()) == len(texts) and max(got) > 100
+
+
+def test_opcodes_equal_the_matcher():
+    r = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(r.choices("ab ", k=r.randrange(9))) for _ in range(2))
+        for x, y in ((a, b), (a + b, a), (a, b + a + b), (b + a + b, a)):
+            assert score.opcodes(x, y) == SequenceMatcher(None, x, y, autojunk=False).get_opcodes()

@@ -104,3 +104,12 @@ def test_book_markdown_renders_whole_documents(spark, tmp_path):
     rows = spark.createDataFrame([(s, k, f"Chapter {k}", t) for k, s, t in docs], "book_id string, chapter_index long, title string, prepared_text string")
     books = rows.select("book_id", F.col("book_id").alias("title"), F.lit("rules").alias("provider")).distinct()
     assert {r["book_id"]: r["markdown"] for r in artifact.markdown(rows, books).collect()} == {b: "\n\n".join(x) + "\n" for b, x in want.items()}
+
+
+def test_benchmark_report_takes_every_document_whole(spark, tmp_path):
+    long = "A first line that is of middling length, as many of them are.\n" + "Then the text goes on for long. " * 60
+    texts = ["Short.", long, long + "\n\nOne more (Ng 1999; Li 2001).", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["label"]: r for r in catalogue.QUERIES["benchmark_report"](spark, str(tmp_path)).collect()}
+    assert {r["cases"] for r in got.values()} == {2 * len(texts)}
+    assert got["rules"]["proposed_edits"] == 2 * (len(texts) + 1)  # the last citation lies beyond the first line
