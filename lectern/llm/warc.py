@@ -32,7 +32,11 @@ RECORD = (
     "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
     "content_length long, block_digest string, payload_digest string, http_headers string, block string"
 )
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_OPEN = re.compile(r"<(noscript|template|head|svg)\b[^>]*>", re.I)
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("noscript", "template", "svg")}
+#: What a head holds; and its end, if any, before the first tag that only a body holds.
+_HEAD = re.compile(r"(?:\s+|<(?:meta|link|base)\b[^>]*>|<(title|noscript|template)\b[^>]*>.*?</\1\s*>)*", re.S | re.I)
+_HEAD_END = re.compile(r"</head\s*>|<(?!(?:title|meta|link|base|noscript|template|head|html)\b)[a-z][^>]*>", re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|thead|tr|ul)\b[^>]*>",
@@ -54,9 +58,35 @@ def record_id(*about: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(0).join(about))}>"
 
 
+def _shown(page: str) -> str:
+    """page without comments, scripts and styles, which run to the end of the page if unclosed, and without head, noscript,
+    template and svg. An unclosed head ends where its elements do; of the others only the tag goes."""
+    page, out, at, unclosed = _COMMENT.sub(" ", page), [], 0, set()
+    for m in _OPEN.finditer(page):
+        kind, end = m[1].lower(), m.end()
+        if m.start() < at:
+            continue
+        if kind == "head":
+            end = _HEAD.match(page, end).end()
+            close = None if kind in unclosed else _HEAD_END.search(page, end)
+            if close is None:
+                unclosed.add(kind)
+            elif close[0].startswith("</"):
+                end = close.end()
+        elif not (kind == "svg" and m[0].endswith("/>")):
+            close = None if kind in unclosed else _CLOSE[kind].search(page, end)
+            if close is None:
+                unclosed.add(kind)
+                continue
+            end = close.end()
+        out += page[at : m.start()], " "
+        at = end
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Text of a page: scripts, styles, head and comments out, a line for each block, entities decoded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _GONE.sub(" ", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", _shown(page)))
     lines = (" ".join(line.split()) for line in entities.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 

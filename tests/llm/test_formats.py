@@ -209,3 +209,18 @@ def test_prefix_by_brute_force(spark):
         a, b = said[x["chosen_id"]], said[x["rejected_id"]]
         n = next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
         assert x["common_turns"] == n
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>t</title><body><p>Whole page text", "Whole page text"),
+        ('<head><meta name="a"><title>t</title><p>Whole</p><svg width="1"/><p>rest', "Whole\nrest"),
+        ("<head><noscript><div>n</div></noscript><title>t</title></head>a<noscript>b</noscript>c", "a c"),
+        ("<head><title>t</title>bare text", "bare text"),
+        ("<p>a</p><svg><text>s</text></svg><template>x</template>b<svg>c<template>d<noscript>e", "a\nbcde"),
+        ("<p>a</p><script>b<p>c", "a"), ("a<!-- b <p>c", "a"), ("<header>h</header>a", "h\na"),
+    ],
+)
+def test_unclosed_tags_keep_the_page(page, text):
+    assert warc.plain_text(page) == text
