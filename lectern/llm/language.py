@@ -5,7 +5,8 @@ matrix a task; the log-probability matrix (languages x buckets, a few MB whateve
 is broadcast. Scoring treats each batch as a sparse matrix of documents by buckets in CSR form
 and multiplies it with the broadcast matrix in numpy.
 
-Null, empty and letterless texts are predicted `und` with score 0. A table without labelled
+Null, empty and letterless texts are predicted `und` with score 0; letters are what str.isalpha
+says, so numerals of any kind are none. A table without labelled
 texts gives a model of no language, which predicts `und` for all. Rows are independent, so
 repeated rows get equal results; columns other than the named ones are ignored.
 """
@@ -13,8 +14,10 @@ repeated rows get equal results; columns other than the named ones are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,13 +27,19 @@ from pyspark.sql import functions as F
 from . import common
 
 UNDETERMINED = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
 _SLICE = 1 << 17
 
 
+@cache
+def _no_letters() -> re.Pattern:
+    """Runs of characters that are no letters: besides those outside of \\w, numerals such as ½, ² and Ⅷ."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W_{numerals}]+")
+
+
 def normalized(text: str | None) -> str:
     """Lower-cased letters; each run of anything else becomes one space, with one at either end."""
-    return f" {_NO_LETTERS.sub(' ', text.lower()).strip()} " if text else "  "
+    return f" {_no_letters().sub(' ', text.lower()).strip()} " if text else "  "
 
 
 def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -33,6 +33,15 @@ def test_predictions_and_edges(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 2, 6, 7] and kept.columns == ["doc_id", "text", "lang"]
 
 
+def test_letters_alone_count(spark):
+    model = language.train(corpus(spark))
+    rows = [(k, t, None) for k, t in enumerate(["½ ² ③ Ⅷ", "٣ 12", "_ \u0301", "ª", "日", "½a"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert [got[k] == "und" for k in range(6)] == [not any(c.isalpha() for c in t) for _, t, _ in rows] == [True] * 3 + [False] * 3
+    for text in ("a½b", "x²", "Ⅷ z", "a1b_c d", "é日ª٣"):
+        assert language.normalized(text).split() == "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
 def test_no_labels(spark):
     model = language.train(spark.createDataFrame([], DOCS))
     assert [tuple(r) for r in language.identify(corpus(spark).limit(1), model).select("lang_pred", "score").collect()] == [("und", 0.0)]
@@ -52,7 +61,10 @@ def test_sparse_product_by_brute_force(spark):
     want = model.log_prior.copy()
     for n in (1, 2):
         for at in range(len(text) - n + 1):
-            want += model._one(text[at : at + n], n)
+            h = n
+            for c in text[at : at + n]:
+                h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+            want += model.log_prob[h * 0x9E3779B97F4A7C15 % (1 << 64) >> 54]
     assert np.allclose(model.log_joint([text])[0], want)
 
 
