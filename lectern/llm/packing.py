@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,16 +92,16 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int,
     kind = rows.schema["k"].dataType.simpleString()
     close = np.zeros(1, "<u4").tobytes()
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = common.held(f"tokenizer {tokenizer}", lambda: WordTokenizer(tokenizer))  # later tasks know the words of earlier ones
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 row, number, start, length, crc, ids = [], [], [], [], [], []
-                for n, raw in enumerate(words.encode(part["t"].tolist())):
+                for n, raw in enumerate(words.encode(part["t"].to_pylist())):
                     raw += close
                     for p, begin in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[begin : begin + 4 * capacity]
@@ -109,19 +110,25 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int,
                         start.append(begin // 4)
                         length.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
-                        ids.append(own)
-                out = pd.DataFrame({"k": part["k"].to_numpy()[row], "piece": np.array(number, np.int32), "start": start, "length": np.array(length, np.int32), "ids_crc32": crc})
-                yield out.assign(ids=ids) if with_ids else out
+                        if with_ids:
+                            ids.append(own)
+                # Keys stay in Arrow: pandas would turn those beside a null into floats.
+                out = [part["k"].take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
+                names = ["k", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.binary())] if with_ids else out, [*names, "ids"] if with_ids else names)
             common.trim()
 
-    return rows.mapInPandas(make, f"k {kind}, {PIECES}{', ids binary' if with_ids else ''}")
+    return rows.mapInArrow(make, f"k {kind}, {PIECES}{', ids binary' if with_ids else ''}")
 
 
-def patterns(lengths: np.ndarray, capacity: int, most: int = 400_000) -> np.ndarray:
-    """(n, 3) lengths, in falling order and 0 for none, of up to three documents that fill a sequence.
+#: Largest capacity of a plan: all its patterns, about capacity**2 / 12, are held at once.
+MOST_CAPACITY = 16_384
 
-    Triples are enumerated from the longest on; `most` bounds their number for very large capacities.
-    """
+
+def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """(n, 3) lengths, in falling order and 0 for none, of all sets of up to three documents that fill a sequence."""
+    if capacity > MOST_CAPACITY:
+        raise ValueError(f"plans reach up to a capacity of {MOST_CAPACITY}")
     have = np.zeros(capacity + 1, bool)
     have[lengths] = True
     out = [np.array([[capacity, 0, 0]])] if have[capacity] else []
@@ -129,7 +136,6 @@ def patterns(lengths: np.ndarray, capacity: int, most: int = 400_000) -> np.ndar
     a = a[a >= (capacity + 1) // 2]
     two = a[have[capacity - a]]
     out.append(np.stack([two, capacity - two, 0 * two], axis=1))
-    n = sum(map(len, out))
     for x in range(capacity - 2, capacity // 3 - 1, -1):
         if not have[x]:
             continue
@@ -138,9 +144,6 @@ def patterns(lengths: np.ndarray, capacity: int, most: int = 400_000) -> np.ndar
         y = y[have[y]]
         y = y[have[rest - y]]
         out.append(np.stack([0 * y + x, y, rest - y], axis=1))
-        n += len(y)
-        if n > most:
-            break
     return np.concatenate(out)
 
 

@@ -58,6 +58,14 @@ def test_repeated_rows_are_packed_each(spark):
     assert len(rows) == 6 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 6
 
 
+def test_ids_beside_a_null_stay(spark):
+    ids = [2**53 + 1, 2**53 + 3, -(2**63), None]
+    rows = packing.pack(spark.createDataFrame([(k, "a b") for k in ids], DOCS).coalesce(1), capacity=8).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in rows if r["doc_id"] is not None) == sorted((False, k) for k in ids if k is not None) and len(rows) == 4
+    with pytest.raises(ValueError):
+        packing.patterns(np.arange(1, 9), 1 << 20)
+
+
 def test_all_documents_of_the_smallest_table(spark):
     texts = [tuple(r) for r in common.read(spark, SMALL, "documents").select("doc_id", "text").collect()]
     rows = packing.op1_best_fit_packing(spark, SMALL).collect()
