@@ -7,6 +7,7 @@ headers; digests are `sha1:` and Base32, of the block, and for a response also o
 Nulls: a page without url has the target `urn:page:<id>`, one without html an empty payload; a
 page without id takes its place in ids as an empty text. Repeated pages give repeated records
 with equal ids. Very long pages are handled whole, one at a time. Other columns are ignored.
+A record's id depends on its own page alone, whatever rows lie beside it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,14 +117,14 @@ def page_metadata(page: str, target: str) -> dict:
     }
 
 
-def response(page_id: object, url: str | None, page: str | None, date: str = DATE) -> dict:
+def response(page_id: str | None, url: str | None, page: str | None, date: str = DATE) -> dict:
     page = page or ""
     payload = page.encode("utf-8", "replace")
-    target = url or f"urn:page:{'' if page_id is None else page_id}"
+    target = url or f"urn:page:{page_id or ''}"
     headers = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     block = headers.encode() + payload
     return {
-        "record_type": "response", "record_id": record_id("response", "" if page_id is None else str(page_id), target, digest(payload)),
+        "record_type": "response", "record_id": record_id("response", page_id or "", target, digest(payload)),
         "refers_to": None, "target_uri": target, "date": date, "content_type": "application/http; msgtype=response",
         "content_length": len(block), "block_digest": digest(block), "payload_digest": digest(payload), "http_headers": headers, "block": headers + page,
     }
@@ -151,46 +153,65 @@ def derivatives(source: dict) -> list[dict]:
     return out
 
 
+_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+_KINDS = pa.schema([(n, pa.int64() if n == "content_length" else pa.string()) for n in _NAMES])
+
+
+def _with_keys(keys: pa.Array, made: list[dict]) -> pa.RecordBatch:
+    """Records with their keys, which stay in Arrow: pandas would turn those beside a null into floats."""
+    rows = pa.RecordBatch.from_pylist(made, schema=_KINDS)
+    return pa.RecordBatch.from_arrays([keys, *rows.columns], ["_k", *_NAMES])
+
+
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> DataFrame:
     """A response record for each page."""
     common.bounded_batches(pages.sparkSession)
-    rows = pages.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{url}`").alias("_u"), F.col(f"`{html}`").alias("_h"))
+    own = F.col(f"`{key}`")
+    rows = pages.select(own.alias("_k"), own.cast("string").alias("_s"), F.col(f"`{url}`").alias("_u"), F.col(f"`{html}`").alias("_h"))
     kind = rows.schema["_k"].dataType.simpleString()
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [response(None if pd.isna(k) else k, u, h, date) for k, u, h in zip(batch["_k"], batch["_u"], batch["_h"], strict=True)]
-            yield pd.concat([batch[["_k"]].rename(columns={"_k": key}), pd.DataFrame(made, columns=_NAMES, index=batch.index)], axis=1)
-
-    return rows.mapInPandas(make, f"`{key}` {kind}, {RECORD}")
+            yield _with_keys(batch["_k"], [response(k, u, h, date) for k, u, h in zip(*(batch[c].to_pylist() for c in ("_s", "_u", "_h")), strict=True)])
 
-
-_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+    return rows.mapInArrow(make, f"_k {kind}, {RECORD}").withColumnRenamed("_k", key)
 
 
 def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records for each response; records of other types give none. The key column is carried along."""
     common.bounded_batches(records.sparkSession)
-    rows = records.filter("record_type = 'response'").select(key, *_NAMES)
-    kind = rows.schema[key].dataType.simpleString()
+    rows = records.filter("record_type = 'response'").select(F.col(f"`{key}`").alias("_k"), *_NAMES)
+    kind = rows.schema["_k"].dataType.simpleString()
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [{key: r[key], **d} for r in batch.to_dict("records") for d in derivatives(r)]
-            yield pd.DataFrame(made, columns=[key, *_NAMES])
+            at = pa.array([n for n in range(batch.num_rows) for _ in range(2)], pa.int32())
+            yield _with_keys(batch["_k"].take(at), [d for r in batch.select(_NAMES).to_pylist() for d in derivatives(r)])
+
+    return rows.mapInArrow(make, f"_k {kind}, {RECORD}").withColumnRenamed("_k", key)
 
-    return rows.mapInPandas(make, f"`{key}` {kind}, {RECORD}")
 
+#: Records in a file, at most: readers take a file whole.
+RECORDS_PER_FILE = 20_000
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Compressed WARC/1.1 files, one from each task, by Spark's own committed text writer."""
-    field = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n"))).otherwise("")
+
+def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Compressed WARC/1.1 files of bounded numbers of records, by Spark's own committed text writer. Line breaks within
+    a field are percent-encoded; a source's headers on a derived record go into an extension field, as JSON."""
+    plain = lambda c: F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    field = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), plain(c.cast("string")), F.lit("\r\n"))).otherwise("")
     fields = (
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"),
         ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     )
-    text = F.concat(F.lit("WARC/1.1\r\n"), *[field(n, c) for n, c in fields], F.lit("\r\n"), F.col("block"))
-    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    source = F.when(F.col("record_type") != "response", F.to_json(F.struct(F.col("http_headers").alias("http"))))
+    text = F.concat(F.lit("WARC/1.1\r\n"), *[field(n, F.col(c)) for n, c in fields], field(SOURCE_FIELD, F.when(F.col("http_headers").isNotNull(), source)), F.lit("\r\n"), F.col("block"))
+    out = records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", str(records_per_file))
+    out.option("compression", "gzip").text(path)
+
+
+#: Extension field for the headers of the response that a record derives from.
+SOURCE_FIELD = "X-Source-Headers"
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -209,11 +230,11 @@ def read_warc(spark, path: str) -> DataFrame:
                     size = int(own["content-length"])
                     block = data[end + 4 : end + 4 + size]
                     at = end + 4 + size
-                    http = block[: block.find(b"\r\n\r\n") + 4] if own["warc-type"] == "response" else b""
+                    http = block[: block.find(b"\r\n\r\n") + 4].decode("utf-8", "replace") if own["warc-type"] == "response" else json.loads(own.get(SOURCE_FIELD.lower(), "{}")).get("http")
                     rows.append({
                         "record_type": own["warc-type"], "record_id": own["warc-record-id"], "refers_to": own.get("warc-refers-to"), "target_uri": own.get("warc-target-uri"),
                         "date": own["warc-date"], "content_type": own.get("content-type"), "content_length": size, "block_digest": own.get("warc-block-digest"),
-                        "payload_digest": own.get("warc-payload-digest"), "http_headers": http.decode("utf-8", "replace") or None, "block": block.decode("utf-8", "replace"),
+                        "payload_digest": own.get("warc-payload-digest"), "http_headers": http or None, "block": block.decode("utf-8", "replace"),
                     })
                 yield pd.DataFrame(rows, columns=_NAMES)
 

@@ -162,9 +162,61 @@ def test_files_round_trip(spark, tmp_path):
     records = source.drop("page_id").unionByName(warc.derive(source).drop("page_id"))
     warc.write_warc(records, str(tmp_path / "w"))
     back = warc.read_warc(spark, str(tmp_path / "w"))
-    same = [c for c in back.columns if c != "http_headers"]
     key = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
-    assert key(back.select(same).collect()) == key(records.select(same).collect())
+    assert key(back.collect()) == key(records.select(back.columns).collect())
+    warc.write_warc(records, str(tmp_path / "many"), records_per_file=2)
+    assert key(warc.read_warc(spark, str(tmp_path / "many")).collect()) == key(back.collect()) and len(list((tmp_path / "many").glob("*.gz"))) >= 9
+
+
+def test_line_breaks_in_fields_are_encoded(spark, tmp_path):
+    odd = warc.responses(spark.createDataFrame([(1, "http://a/\r\nX: y", "p")], "page_id long, url string, html string")).drop("page_id")
+    warc.write_warc(odd, str(tmp_path / "w"))
+    assert [r["target_uri"] for r in warc.read_warc(spark, str(tmp_path / "w")).collect()] == ["http://a/%0D%0AX: y"]
+
+
+def test_record_ids_depend_on_their_page_alone(spark):
+    rows = [(1, "http://a", "x"), (2**53 + 1, "http://b", "y"), (None, "http://c", "z"), (2**53 + 3, None, None)]
+    make = lambda some: {r["page_id"]: r["record_id"] for r in warc.derive(warc.responses(spark.createDataFrame(some, "page_id long, url string, html string").coalesce(1))).filter("record_type = 'metadata'").collect()}
+    whole = make(rows)
+    assert set(whole) == {r[0] for r in rows} and len(set(whole.values())) == 4
+    for row in rows:
+        assert make([row]) == {row[0]: whole[row[0]]}
+
+
+TAGS = ["<p>", "</p>", "<br>", "<b>", "</b>", "<div>", "</div>", "<!-- c -->", "<script>s</script>", "<style>t</style>", " ", "word", "&amp;", "é"]
+
+
+def test_plain_text_by_a_parser():
+    """Against the standard library's parser on random pages without heads or unclosed tags."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.quiet = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.quiet += tag in ("script", "style")
+            self.out += "\n" if tag in ("p", "br", "div") else " " if self.quiet else ""
+
+        def handle_endtag(self, tag):
+            self.quiet -= tag in ("script", "style")
+            self.out += "\n" if tag in ("p", "div") else ""
+
+        def handle_comment(self, data):
+            self.out += " "
+
+        def handle_data(self, data):
+            self.out += data if not self.quiet else ""
+
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        page = "".join(r.choice(TAGS, 12))
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        lines = [" ".join(x.split()) for x in "".join(reader.out).split("\n")]
+        assert warc.plain_text(page) == "\n".join(x for x in lines if x)
 
 
 # Preference
