@@ -57,7 +57,40 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() gave, once nothing that is still to run reads them."""
+    for df in tables:
+        drop_scratch(df.sparkSession, df._scratch)
+
+
+#: Keys with a 500th of all rows are hot; so there are at most 500.
+HOT = 500
+HOT_LEAST = 256
+
+
+def hot_keys(rows: DataFrame, on: str, counts: DataFrame | None = None) -> DataFrame:
+    """The hot keys of rows, at most HOT of them, as a table of this one column. counts: (on, n), if known."""
+    counts = rows.groupBy(on).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = counts.filter(F.col("n") >= HOT_LEAST)
+    total = rows.count()
+    few = counts.filter(F.col("n") * HOT >= total).select(on).collect()
+    return rows.sparkSession.createDataFrame(few, rows.select(on).schema)
+
+
+def hot_join(rows: DataFrame, one: DataFrame, on: str, hot: DataFrame) -> DataFrame:
+    """rows joined with `one`, which has a row of bounded size for each key: hot keys by broadcast, as they are few by
+    arithmetic, so that none of them meets in a task; the others by a shuffle. rows is read twice, if any key is hot."""
+    if hot.isEmpty():
+        return rows.join(one, on)
+    few = F.broadcast(hot)
+    often = rows.join(F.broadcast(one.join(few, on, "left_semi")), on)
+    seldom = rows.join(few, on, "left_anti").join(one.join(few, on, "left_anti"), on)
+    return often.unionByName(seldom)
 
 
 #: Rows of text in an Arrow batch between the JVM and Python.

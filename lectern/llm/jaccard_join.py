@@ -18,7 +18,7 @@ n-grams are compared as 64-bit hashes. A text of fewer words than an n-gram has
 as its only n-gram; one without words (null, empty) has none, links to nothing, and is a class
 with its exact copies only. Rows without an id are left out. Rows sharing an id and a text are
 one document; of rows sharing an id with other texts each counts as a copy or link of its own
-under that id. Ties go to the least id. Other columns are ignored.
+under that id, and `one_of_each` judges each by its own text. Ties go to the least id. Other columns are ignored.
 
 A pair at the threshold shares no band with probability (1 - t^R)^B: 3e-6 at 0.8, R = 5, B = 32.
 """
@@ -32,7 +32,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -70,12 +70,13 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def minhash(grams: np.ndarray) -> np.ndarray:
-    """K values, their 16 highest bits: unequal ones agree once in 65536."""
+    """K values, 16 bits of each: unequal ones agree once in 65536. The least values of a long text are all small, so
+    their bits are mixed before some are taken."""
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(grams), 2048):
         part = grams[at : at + 2048]
         np.minimum(low, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=low)
-    return (low >> np.uint64(48)).astype(np.uint16)
+    return (common.mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -175,32 +176,38 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each node's component, for edges (a, b).
 
     Each round every node takes the least root among its neighbours and its root's neighbours,
-    so depths shrink geometrically; the state of each round is a written table.
+    so depths shrink geometrically; the state of each round is a written table. Nodes with very many
+    neighbours and roots with very many members are joined by broadcast.
     """
     edges = _contracted(edges)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = common.cut(both, "edges")
+    hubs = common.hot_keys(both, "b")
     root = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
+    before = root
     for _ in range(rounds):
-        near = both.join(root, both["b"] == root["node"]).select(F.col("a").alias("node"), "root")
+        near = common.hot_join(both, root.withColumnRenamed("node", "b"), "b", hubs).select(F.col("a").alias("node"), "root")
         low = near.groupBy("node").agg(F.min("root").alias("low")).join(root, "node").select("node", "root", F.least("low", "root").alias("low"))
         # The old root learns of what its members have found, then everyone looks up their root's root.
         told = low.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("told"))
         known = low.join(told, "node", "left").select("node", "root", F.least("low", F.coalesce("told", "low")).alias("new"))
         known = common.cut(known, "known")
-        up = known.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        new = known.join(up, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("root"), (F.col("root") != F.least("new", F.coalesce("up", "new"))).alias("moved"))
-        new = common.cut(new, "roots")
-        root = new.select("node", "root")
+        up = known.select(F.col("node").alias("new"), F.col("new").alias("up"))  # a root is a node
+        new = common.hot_join(known, up, "new", common.hot_keys(known, "new"))
+        new = common.cut(new.select("node", F.least("new", "up").alias("root"), (F.col("root") != F.least("new", "up")).alias("moved")), "roots")
+        common.drop(known, before)
+        root, before = new.select("node", "root"), new
         if new.filter("moved").isEmpty():
+            common.drop(both)
             return root
     raise RuntimeError("components did not settle")
 
 
 def _block_pairs(rows: DataFrame, group: str, size: DataFrame) -> DataFrame:
-    """rows once for each pair of blocks that theirs belongs to: lo and hi name the pair, mine the own block."""
+    """rows once for each pair of blocks that theirs belongs to: lo and hi name the pair, mine the own block. size: (group, n)."""
     n = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.join(size, group).withColumn("mine", F.pmod(F.xxhash64("digest"), n).cast("int"))
+    dealt = common.hot_join(rows, size, group, common.hot_keys(rows, group, size))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("digest"), n).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     return dealt.select(*rows.columns, "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
@@ -257,6 +264,11 @@ class _Members:
         return [self.names[k] for k in self.root[other].tolist()], [self.names[k] for k in other.tolist()]
 
 
+def digest(text: Column) -> Column:
+    """128 bits of a text; null differs from the empty text."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), text), F.lit(""))))
+
+
 def similar(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4,
 ) -> DataFrame:
@@ -265,24 +277,27 @@ def similar(
     copy_id is the least id among equal texts, class_id the least among all documents that chains
     of links join to it, n_links the number of other documents with a similarity of threshold or more.
     """
+    return judged(docs, key, text, n, threshold, tolerance).select(F.col("k").alias(key), "class_id", "copy_id", "n_links")
+
+
+def judged(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4) -> DataFrame:
+    """What similar() gives, with k, the digest of the text, and the digest `keep` of the text that stands for the class,
+    of the document class_id."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter("k is not null")
+    rows = docs.select(F.col(f"`{key}`").alias("k"), digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("t")).filter("k is not null")
     kind = rows.schema["k"].dataType.simpleString()
-    digest = lambda t: xxhash.xxh3_128_digest(("" if t is None else "=" + t).encode("utf-8", "replace"))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = (minhash(g).tobytes() if len(g) else None for g in (shingles(t, n) for t in batch["t"]))
-            yield pd.DataFrame({"k": batch["k"], "digest": [digest(t) for t in batch["t"]], "v": list(values)})
+            yield pd.DataFrame({"k": batch["k"], "digest": batch["digest"], "v": list(values)})
             common.trim()
 
     sketched = common.cut(rows.mapInPandas(sketch, f"k {kind}, digest binary, v binary"), "sketches")
     # Equal texts: a task sends one row for each, and equal sketches need no comparison.
-    copies = sketched.groupBy("digest").agg(F.min("k").alias("rep"), F.count("*").alias("rows_"))
-    # count(distinct id) only where rows repeat
-    again = sketched.join(copies.filter("rows_ > 1").select("digest"), "digest", "left_semi").groupBy("digest").agg(F.countDistinct("k").alias("ids"))
-    classes = common.cut(copies.join(again, "digest", "left").select("digest", "rep", F.coalesce("ids", F.lit(1)).alias("copies")), "classes")
+    ids = sketched.groupBy("digest", "k").agg(F.count("*").alias("rows_"))
+    classes = common.cut(ids.groupBy("digest").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.sum("rows_").alias("n")), "classes")
     first = (sketched["digest"] == classes["digest"]) & (sketched["k"] == classes["rep"])
     reps = sketched.filter("v is not null").join(classes, first, "left_semi").groupBy("digest", "k").agg(F.first("v").alias("v"))
     reps = common.cut(reps, "representatives")
@@ -310,7 +325,8 @@ def similar(
             common.trim()
 
     in_buckets = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    candidates = in_buckets.mapInPandas(prune, "a binary, b binary").distinct()
+    candidates = common.cut(in_buckets.mapInPandas(prune, "a binary, b binary").distinct(), "candidates")
+    common.drop(banded, full)
     grouped = common.cut(components(candidates), "grouped")
     sizes = common.cut(grouped.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     members = grouped.withColumnRenamed("node", "digest").join(classes, "digest").join(reps.select("digest", "v"), "digest")
@@ -322,7 +338,7 @@ def similar(
         for batch in batches:
             batch = batch[common.present(sent.value, batch["h"].to_numpy())]
             if len(batch):
-                yield pd.DataFrame({"k": batch["k"], "digest": [digest(t) for t in batch["t"]], "grams": [np.unique(shingles(t, n)).tobytes() for t in batch["t"]]})
+                yield pd.DataFrame({"k": batch["k"], "digest": batch["digest"], "grams": [np.unique(shingles(t, n)).tobytes() for t in batch["t"]]})
 
     made = rows.withColumn("h", F.xxhash64("k")).mapInPandas(sets, f"k {kind}, digest binary, grams binary")
     made = made.join(members.withColumnRenamed("rep", "k"), ["k", "digest"]).dropDuplicates(["digest"])
@@ -357,16 +373,19 @@ def similar(
 
     pairs = _block_pairs(made, "root", sizes).repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     verified = common.cut(pairs.mapInPandas(verify, "a binary, b binary, links long"), "verified")
+    common.drop(candidates, grouped, sizes, members, made, reps)
     links = verified.filter("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     final = components(verified.filter("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
-    named = final.join(classes.select("digest", "rep"), "digest")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("digest", "class_id")
-    one = classes.join(links, "digest", "left").join(named, "digest", "left").select(
-        "digest", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"),
+    named = common.cut(final.join(classes.select("digest", "rep"), "digest"), "named")
+    least = named.groupBy("root").agg(F.min(F.struct("rep", "digest")).alias("least"))
+    named = common.hot_join(named, least, "root", common.hot_keys(named, "root"))
+    one = classes.join(links, "digest", "left").join(named.select("digest", "least"), "digest", "left").select(
+        "digest", F.col("rep").alias("copy_id"), F.coalesce("least.rep", "rep").alias("class_id"), F.coalesce("least.digest", "digest").alias("keep"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     some = F.when(F.col("words"), F.col("n_links")).otherwise(0).cast("long").alias("n_links")
-    return sketched.select("k", "digest", F.col("v").isNotNull().alias("words")).join(one, "digest").select(F.col("k").alias(key), "class_id", "copy_id", some)
+    own = sketched.select("k", "digest", F.col("v").isNotNull().alias("words"))
+    return common.hot_join(own, one, "digest", common.hot_keys(own, "digest", classes)).select("k", "digest", "class_id", "keep", "copy_id", some)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -375,9 +394,18 @@ def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those whose class has a smaller id; rows without an id stay. Columns stay."""
-    gone = similar(docs, key, text).filter(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    """One document of each class: of those with the least id the one of the least digest, and of rows equal in id and
+    text any one. Rows without an id stay. Columns stay."""
+    found = common.cut(judged(docs, key, text), "judged")
+    stays = (F.col("k") == F.col("class_id")) & (F.col("digest") == F.col("keep"))
+    ids = found.select(F.col("k").alias("_k"), F.col("digest").alias("_other"), stays.alias("stays"))
+    rows = docs.withColumn("_digest", digest(F.col(f"`{text}`")))
+    own = (F.col(f"`{key}`") == F.col("_k")) & (F.col("_digest") == F.col("_other"))
+    left = rows.join(ids.filter("not stays").select("_k", "_other").distinct(), own, "left_anti")
+    again = common.cut(ids.filter("stays").groupBy("_k", "_other").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    if not again.isEmpty():
+        left = left.join(again, own, "left_anti").unionByName(left.join(again, own, "left_semi").dropDuplicates([key, "_digest"]))
+    return left.drop("_digest")
 
 
 #: The same in DuckDB SQL.

@@ -128,10 +128,50 @@ def test_join_edges(spark):
     got = sorted(tuple(r) for r in jaccard_join.similar(df).collect())
     assert got == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 3, 0)]
     left = jaccard_join.one_of_each(df)
-    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 1, 3] and left.columns == df.columns
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 3] and left.columns == df.columns
     assert jaccard_join.similar(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_judged_each(spark):
+    a, b = said(80, 1), said(80, 2)
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (7, f"{b} end"), (6, None), (6, None), (8, None)]
+    left = jaccard_join.one_of_each(spark.createDataFrame(rows, DOCS))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [(1, a), (5, b), (None, a), (6, None)]))
+
+
+def test_values_of_long_texts_differ():
+    r = np.random.default_rng(8)
+    x, y = (jaccard_join.minhash(r.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2)) for _ in "ab")
+    many = [jaccard_join.minhash(r.integers(0, 1 << 63, 20_000).astype(np.uint64)) for _ in range(12)]
+    agree = [np.mean(a == b) for k, a in enumerate(many) for b in many[:k]]
+    assert np.mean(x == y) < 0.01 and np.mean(agree) < 0.001
+    assert all(len(np.unique(np.concatenate([a, b]))) > 300 for a, b in zip(many, many[1:], strict=False))
+
+
+def test_long_texts_join_as_by_brute_force(spark):
+    docs = [(k, said(20_000, 40 + k)) for k in range(4)]
+    docs += [(10 + k, t) for k, t in enumerate(variants(docs[0][1], 3, 5) + [docs[1][1] + " " + said(3000, 77), docs[2][1] + " " + said(6000, 78)])]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.similar(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == brute_force(docs)
+
+
+def test_hot_keys_are_joined_apart(spark):
+    rows = spark.createDataFrame([(k if k % 3 else 0, k) for k in range(3000)], "a long, x long")
+    one = spark.createDataFrame([(k, -k) for k in range(2000)], "a long, y long")
+    hot = common.hot_keys(rows, "a")
+    assert [r[0] for r in hot.collect()] == [0] == [r[0] for r in common.hot_keys(rows, "a", rows.groupBy("a").agg(F.count("*").alias("n"))).collect()]
+    assert sorted(map(tuple, common.hot_join(rows, one, "a", hot).collect())) == sorted(map(tuple, rows.join(one, "a").collect()))
+
+
+def test_a_giant_class(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    texts = variants(said(60, 5), 60, 3) + [said(60, 5)] * 30 + [said(40, 300 + k) for k in range(20)]
+    docs = list(enumerate(texts))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.similar(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == brute_force(docs)
+
+
 def test_pruning_keeps_similar_pairs():
     r = np.random.default_rng(0)
     base = r.integers(0, 1 << 62, 400).astype(np.uint64)
