@@ -1,63 +1,97 @@
 """Removal of multi-line chunks that recur anywhere in a corpus.
 
-A text is cut into lines: runs up to a line break or the end of a clause, so that a passage set
-inside a paragraph has lines of its own. A chunk ends after a line whose hash is the least among
-itself and its neighbours, a rolling window of three line hashes: boundaries depend on nearby
-content alone and shift with it. A second family of boundaries lies after local maxima, so that a
-passage too short to hold a whole chunk of one family mostly holds one of the other. Chunks of
-two lines or more with enough characters take part, and so does each very long line by itself; their
-first occurrence, by document id and place, stays in its text and every other one goes. Where kept
-and removed chunks overlap, in texts that repeat themselves, the removed one wins.
+A text is cut into lines: runs up to a line break or the mark that ends a clause, so that a passage set
+inside a paragraph has lines of its own. A hash rolls over the hashes of each two lines in a row, and a
+chunk ends after a line where it is less than at the lines before and after: boundaries depend on four lines
+alone and shift with them. Chunks of two lines or more with enough characters take part, and so does
+each very long line by itself; their first occurrence, by document id, text and place, stays in its text
+and every other one goes. Where kept and removed chunks overlap, in texts that repeat themselves, the
+removed one wins.
 
 Three passes read the texts: the first counts chunk hashes (a partial sum in each task, then one
 row per hash), the second sends the bytes of only those chunks whose hash recurs and groups them
-by these bytes, the third takes the removed chunks out. A hash alone removes nothing.
+by these bytes, the third takes the removed chunks out. A hash alone removes nothing. Every occurrence but
+the first of its group goes, which takes an anti-join on places, so that no frequent chunk meets in a task.
 
 What chunks leave, as a passage within one line or the edges of a passage, `dedup_runs` finds: every
-run of 50 words that occurs earlier, by document id and place, goes. A run's least hash of 25 words
-(winnowing) is the same wherever the run occurs, so only runs whose least hash recurs are sent, as
-128-bit digests of their words' bytes. Each removed word has an earlier copy that stays.
-
-Null and empty texts stay as they are. Rows without an id pass unchanged and take no part. Rows
-that share an id count as one document: of a chunk's occurrences with equal id and place all
-stay. Ties cannot occur between different places. Columns named otherwise than key and text
-never matter and are kept.
+run of 50 words that occurs earlier goes. A run's least hash of 25 words (winnowing) is the same wherever
+the run occurs, so only runs whose least hash recurs are sent, as 128-bit digests of their words' bytes.
+Each removed word has an earlier copy that stays.
+
+Null and empty texts stay as they are. Rows without an id pass unchanged and take no part. A document is
+an id with a text: rows equal in both are one document and lose the same, and rows of one id with
+different texts are documents of their own, of which each loses only what recurs in it (the earlier is that of
+the lesser 64-bit hash). Columns named otherwise than key and text never matter and are kept, but for old
+removed_chunks and removed_chars, which are replaced. A text is handled whole, at about 40 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: A line with what closes it. Concatenated, the lines of a text are that text.
-_LINE = re.compile(r"[^\n.,;:!?]*(?:[.,;:!?]*\s+|[.,;:!?]+|$)")
+#: What ends a line, besides a line break; those of more than one byte count like a full stop.
+MARKS = ".,;:!?"
+WIDE_MARKS = "。、．，；：！？؟،؛।॥"
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b" \t\r\v\f")] = 1
+_KIND[list(f"\n{MARKS}".encode())] = 2
+#: Lines that the rolling hash spans.
+WINDOW = 2
+
+_POWER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_POWER, -1, 1 << 64)
+_KNOWN: dict[int, np.ndarray] = {}
 
 
-def lines_of(text: str) -> list[str]:
-    out = _LINE.findall(text)
-    while out and not out[-1]:
-        out.pop()
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers; a worker remembers some two million."""
+    if len(known := _KNOWN.get(base, ())) >= n:
+        return known[:n]
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if n <= 1 << 21:
+        _KNOWN[base] = out
+    return out[:n]
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_POWER, len(values)), out=out[1:])
     return out
 
 
-def boundaries(hashes: np.ndarray, first: np.ndarray | None = None, longest: int = 64) -> np.ndarray:
-    """Ends of the chunks of texts whose line hashes lie one after the other, from `first` on each: after local minima
+def _spans_hash(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the values first:last whose _sums these are, the same wherever they lie, for each pair."""
+    return common.mix((sums[last] - sums[first]) * _powers(_INVERSE, len(sums))[first] + (last - first).astype(np.uint64))
+
+
+def rolled(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A hash of each line's and its predecessors' hashes, of `window` lines; before a text's first line (at `first`) are zeros."""
+    place = np.arange(len(hashes)) - first[np.searchsorted(first, np.arange(len(hashes)), side="right") - 1] if len(hashes) else first
+    out = hashes.copy()
+    for back in range(1, window):
+        out[back:] += np.where(place[back:] >= back, hashes[: len(hashes) - back], 0).astype(np.uint64) * np.uint64(pow(_POWER, back, 1 << 64))
+    return common.mix(out)
+
+
+def boundaries(values: np.ndarray, first: np.ndarray | None = None, longest: int = 64) -> np.ndarray:
+    """Ends of the chunks of texts whose lines' values lie one after the other, from `first` on each: after local minima
     inside a text, at a text's end, and at least every `longest` lines."""
-    n = len(hashes)
+    n = len(values)
     first = np.zeros(min(n, 1), np.int64) if first is None else first
     if n == 0:
         return np.zeros(0, np.int64)
     low = np.zeros(n + 1, bool)
-    low[2:n] = (hashes[1:-1] < hashes[:-2]) & (hashes[1:-1] <= hashes[2:])  # the end after line i is i + 1
+    low[2:n] = (values[1:-1] < values[:-2]) & (values[1:-1] <= values[2:])  # the end after line i is i + 1
     low[first + 1] = False
     low[first] = True
     low[[0, n]] = False, True
@@ -68,83 +102,117 @@ def boundaries(hashes: np.ndarray, first: np.ndarray | None = None, longest: int
     return np.unique(np.concatenate([ends, *cuts])) if cuts else ends
 
 
-_POWER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_POWER, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 class Chunks:
-    """The chunks that take part, of many texts: row, number in its text, first character, last one + 1, hash of the lines' hashes."""
+    """The chunks that take part, of many texts: row, number in its text, first byte, last one + 1 (that before
+    the next line), and a hash of their bytes. All is computed on the texts' bytes, one text after the other."""
 
     def __init__(self, texts: list[str], least_chars: int, long_line: int):
-        lines = [lines_of(t) for t in texts]
-        start, _ = common.flat(lines)
-        flat = [x for own in lines for x in own]
-        bare = [x.strip() for x in flat]
-        n = len(flat)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, bare), np.uint64, n)
-        length, place = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, bare), np.int64, n), out=length[1:])
-        np.cumsum(np.fromiter(map(len, flat), np.int64, n), out=place[1:])
-        first = np.unique(start[:-1][start[1:] > start[:-1]])
-        spans = []
-        for family in (hashes, ~hashes):
-            ends = boundaries(family, first)
-            spans.append(np.concatenate([[0], ends[:-1]]) << 32 | ends if len(ends) else ends)
-        long = np.flatnonzero(np.diff(length) >= long_line)
-        spans = np.unique(np.concatenate([*spans, long << 32 | (long + 1)]))  # in order of texts and places; a chunk of both families once
-        begin, end = spans >> 32, spans & 0xFFFFFFFF
-        row = np.searchsorted(start, begin, side="right") - 1
-        number = np.arange(len(spans)) - np.searchsorted(row, row)
-        chars = length[end] - length[begin]
-        use = (chars >= least_chars) & (end - begin > 1) | (chars >= long_line)
-        begin, end, self.row, self.number = begin[use], end[use], row[use], number[use].astype(np.int32)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * _powers(_INVERSE, n), out=sums[1:])
-        value = (sums[end] - sums[begin]) * _powers(_POWER, n + 1)[begin] + (end - begin).astype(np.uint64)
-        self.hash = common.mix(value).view(np.int64)
-        base = place[start[self.row]] if len(self.row) else begin
-        self.first, self.last = place[begin] - base, place[end] - base
-        self.texts = texts
-
-    def body(self, k: int) -> str:
-        """The bytes to compare: a chunk without the white space around it."""
-        return self.texts[self.row[k]][self.first[k] : self.last[k]].strip()
-
-
-def chunks_of(text: str, least_chars: int, long_line: int) -> list[tuple[int, int, int, str]]:
-    """(number, first character, last character + 1, bytes) of one text's chunks."""
-    c = Chunks([text], least_chars, long_line)
-    return [(int(c.number[k]), int(c.first[k]), int(c.last[k]), c.body(k)) for k in range(len(c.row))]
-
-
-def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without some spans, in order of their starts, that may overlap."""
+        own = [t.encode("utf-8", "replace") for t in texts]
+        self.raw = b"\n".join(own)
+        marked = self.raw
+        if not marked.isascii():
+            for m in WIDE_MARKS:
+                marked = marked.replace(m.encode(), b"." * len(m.encode()))
+        data = np.frombuffer(marked, np.uint8)
+        text_at, _ = common.flat(own)
+        self.text_at = text_at[:-1] + np.arange(len(own))
+        text_end = np.append(self.text_at[1:] - 1, len(data))
+        kind = _KIND[data]
+        solid = np.zeros(len(data) + 2, np.int8)
+        solid[1:-1] = kind == 0
+        step = np.diff(solid)
+        starts, stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        # Solid runs with no mark between them are one line.
+        of = np.searchsorted(np.flatnonzero(kind == 2), starts)
+        head = np.flatnonzero(np.diff(of, prepend=-1))
+        begin, end = starts[head], stops[np.append(head[1:], len(starts))[: len(head)] - 1]
+        n = len(begin)
+        line_row = np.searchsorted(self.text_at, begin, side="right") - 1
+        first = np.flatnonzero(np.diff(line_row, prepend=-1))
+        sums = _sums(data.astype(np.uint64) + np.uint64(1))
+        ends = boundaries(rolled(_spans_hash(sums, begin, end), first), first)
+        chars = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
+        long = np.flatnonzero(chars[end] - chars[begin] >= long_line)
+        spans = np.concatenate([[0], ends[:-1]]) << 32 | ends if len(ends) else ends
+        spans = np.unique(np.concatenate([spans, long << 32 | (long + 1)]))  # in order of texts and places
+        a, b = spans >> 32, spans & 0xFFFFFFFF
+        self.row = line_row[a]
+        self.number = (np.arange(len(spans)) - np.searchsorted(self.row, self.row)).astype(np.int32)
+        size = chars[end[b - 1]] - chars[begin[a]]
+        use = (size >= least_chars) & (b - a > 1) | (size >= long_line)
+        a, b, self.row, self.number = a[use], b[use], self.row[use], self.number[use]
+        following = np.append(begin, len(data))[b] if n else b
+        self.first, self.last = begin[a], np.minimum(following, text_end[self.row])
+        self.hash = _spans_hash(sums, self.first, end[b - 1]).view(np.int64)
+
+    def body(self, k: int) -> bytes:
+        """The bytes to compare: a chunk with its marks, without the white space around it."""
+        return self.raw[self.first[k] : self.last[k]].strip()
+
+
+def _portions(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of about so many characters, or of one longer text; null texts are empty."""
+    first, size = 0, 0
+    texts = [t or "" for t in texts]
+    for k, t in enumerate(texts):
+        if k > first and size + len(t) > chars:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """Bytes without some spans, in order of their starts, that may overlap."""
     at, left = 0, []
     for first, last in spans:
         if first > at:
-            left.append(text[at:first])
+            left.append(raw[at:first])
         at = max(at, last)
-    return "".join([*left, text[at:]])
+    return b"".join([*left, raw[at:]]).decode("utf-8", "replace")
+
+
+def _but_first(found: DataFrame) -> DataFrame:
+    """(k, d, number) of the places of which an earlier one has equal bytes: each row of found but the first of its group."""
+    first = found.groupBy("h", "body").agg(F.min(F.struct("k", "d", "number")).alias("f")).select("f.*")
+    return found.select("k", "d", "number").distinct().join(first, ["k", "d", "number"], "left_anti")
+
+
+def _framed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """k, t and d (a hash of t), the place of a document, and row, all other columns: their names can clash with none."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (key, text)]) if len(docs.columns) > 2 else F.struct(F.lit(0))
+    return docs.select(own.alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("d"))
+
+
+def _plain(frame: DataFrame, names: list[str], key: str, text: str, added: dict) -> DataFrame:
+    """The frame's columns under their own names, and the added ones."""
+    one = lambda c: F.col("k" if c == key else "t") if c in (key, text) else F.col(f"row.`{c}`")
+    return frame.select(*[one(c).alias(c) for c in names if c not in added], *[v.alias(c) for c, v in added.items()])
 
 
-def recurring_chunks(docs: DataFrame, key: str, text: str, least_chars: int, long_line: int) -> DataFrame:
-    """One row (key, number) for each chunk occurrence to remove."""
-    spark = docs.sparkSession
+def _with_numbers(frame: DataFrame, gone: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """frame with the `numbers` of what has to go, null where nothing has."""
+    gone = common.cut(gone.groupBy("k", "d").agg(F.collect_list("number").alias("numbers")), "removed")
+    size = gone.agg(F.sum(F.size("numbers") * 4 + 40)).first()[0] or 0
+    if size <= broadcast_bytes:
+        gone = F.broadcast(gone)  # else both sides are shuffled by id and hash
+    return frame.join(gone, ["k", "d"], "left")
+
+
+def recurring_chunks(frame: DataFrame, least_chars: int, long_line: int) -> DataFrame:
+    """The bytes of chunks whose hash recurs, with their places: (k, d, number, h, body)."""
+    spark = frame.sparkSession
     common.bounded_batches(spark)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
+    rows = frame.select("k", "d", "t").filter("k is not null and t is not null")
     kind = rows.schema["k"].dataType.simpleString()
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            h = Chunks(batch["t"].tolist(), least_chars, long_line).hash
-            if len(h):
-                u, n = np.unique(h, return_counts=True)
+            own = [Chunks(part, least_chars, long_line).hash for _, part in _portions(batch["t"].tolist())]
+            if sum(map(len, own)):
+                u, n = np.unique(np.concatenate(own), return_counts=True)
                 yield pd.DataFrame({"h": u, "n": n})
             common.trim()
 
@@ -154,61 +222,53 @@ def recurring_chunks(docs: DataFrame, key: str, text: str, least_chars: int, lon
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            c = Chunks(batch["t"].tolist(), least_chars, long_line)
-            hit = np.flatnonzero(common.present(sent.value, c.hash))
-            if len(hit):
-                yield pd.DataFrame({"k": batch["k"].to_numpy()[c.row[hit]], "number": c.number[hit], "body": [c.body(k) for k in hit.tolist()]})
+            k, d = batch["k"].to_numpy(), batch["d"].to_numpy()
+            for first, part in _portions(batch["t"].tolist()):
+                c = Chunks(part, least_chars, long_line)
+                hit = np.flatnonzero(common.present(sent.value, c.hash))
+                if len(hit):
+                    row = first + c.row[hit]
+                    yield pd.DataFrame({"k": k[row], "d": d[row], "number": c.number[hit], "h": c.hash[hit], "body": [c.body(x) for x in hit.tolist()]})
             common.trim()
 
-    found = common.cut(rows.mapInPandas(bodies, f"k {kind}, number int, body string"), "chunks")
-    kept = (
-        found.groupBy("body")
-        .agg(F.count("*").alias("n"), F.min(F.struct("k", "number")).alias("first"))
-        .filter("n > 1")
-        .select("body", "first")
-    )
-    return found.join(kept, "body").filter(F.struct("k", "number") != F.col("first")).select("k", "number").distinct()
-
+    return common.cut(rows.mapInPandas(bodies, f"k {kind}, d long, number int, h long, body binary"), "chunks")
 
-def _with_numbers(docs: DataFrame, key: str, gone: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """docs with the `_numbers` of what has to go, null where nothing has."""
-    gone = common.cut(gone, "removed")
-    size = gone.agg(F.sum(F.size("_numbers") * 4 + 32)).first()[0] or 0
-    if size <= broadcast_bytes:
-        gone = F.broadcast(gone)  # else both sides are shuffled by id
-    return docs.join(gone.withColumnRenamed("k", "_k"), F.col(f"`{key}`") == F.col("_k"), "left")
 
+def _without_chunks(frame: DataFrame, least_chars: int, long_line: int, broadcast_bytes: int, run: int | None) -> DataFrame:
+    """frame with new texts t, and chunks, chars and, if runs follow, the hashes that stand for the new text's runs."""
+    found = recurring_chunks(frame, least_chars, long_line)
+    joined = _with_numbers(frame, _but_first(found), broadcast_bytes)
+    common.drop(found)
 
-def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, long_line: int = 250,
-    broadcast_bytes: int = 32 << 20,
-) -> DataFrame:
-    """docs with recurring chunks taken out of their text; `removed_chunks` and `removed_chars` say how much went."""
-    gone = recurring_chunks(docs, key, text, least_chars, long_line).groupBy("k").agg(F.collect_list("number").alias("_numbers"))
-    names = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
-    joined = _with_numbers(docs.select(*[F.col(f"`{c}`") for c in names]), key, gone, broadcast_bytes)
-
-    @F.pandas_udf("text string, chunks int, chars long")
+    @F.pandas_udf("t string, chunks int, chars long, hashes array<long>")
     def strip(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
         new, removed = texts.tolist(), np.zeros(len(texts), np.int32)
         rows = [k for k, own in enumerate(numbers) if own is not None and len(own)]
-        if rows:
-            c = Chunks([new[k] for k in rows], least_chars, long_line)
-            gone = np.concatenate([np.asarray(numbers.iloc[k], np.int64) | n << 32 for n, k in enumerate(rows)])
+        for at, part in _portions([new[k] for k in rows]):
+            c = Chunks(part, least_chars, long_line)
+            gone = np.concatenate([np.asarray(numbers.iloc[k], np.int64) | n << 32 for n, k in enumerate(rows[at : at + len(part)])])
             hit = np.flatnonzero(np.isin(c.row.astype(np.int64) << 32 | c.number, gone))
-            for part in np.split(hit, np.flatnonzero(np.diff(c.row[hit])) + 1) if len(hit) else ():
-                k = rows[c.row[part[0]]]
-                new[k] = without(new[k], list(zip(c.first[part].tolist(), c.last[part].tolist(), strict=True)))
-                removed[k] = len(part)
+            for own in np.split(hit, np.flatnonzero(np.diff(c.row[hit])) + 1) if len(hit) else ():
+                n = c.row[own[0]]
+                base = c.text_at[n]
+                new[rows[at + n]] = without(part[n].encode("utf-8", "replace"), list(zip((c.first[own] - base).tolist(), (c.last[own] - base).tolist(), strict=True)))
+                removed[rows[at + n]] = len(own)
         chars = [len(t) - len(n) if n is not None else 0 for t, n in zip(texts, new, strict=True)]
-        return pd.DataFrame({"text": new, "chunks": removed, "chars": np.array(chars, np.int64)})
+        hashes = [h for _, part in _portions(new) for h in Runs(part, run).by_text()] if run else [None] * len(new)
+        common.trim()
+        return pd.DataFrame({"t": new, "chunks": removed, "chars": np.array(chars, np.int64), "hashes": hashes})
 
     # Called non-deterministic, or a later filter on its result would run it a second time.
-    new = joined.withColumn("_new", strip.asNondeterministic()(F.col(f"`{text}`"), F.col("_numbers")))
-    return new.select(
-        *[(F.col("_new.text").alias(text) if c == text else F.col(f"`{c}`")) for c in names],
-        F.col("_new.chunks").alias("removed_chunks"), F.col("_new.chars").alias("removed_chars"),
-    )
+    return joined.withColumn("new", strip.asNondeterministic()("t", "numbers")).select("row", "k", "new.*")
+
+
+def dedup_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, long_line: int = 250,
+    broadcast_bytes: int = 32 << 20,
+) -> DataFrame:
+    """docs with recurring chunks taken out of their text; `removed_chunks` and `removed_chars` say how much went."""
+    done = _without_chunks(_framed(docs, key, text), least_chars, long_line, broadcast_bytes, None)
+    return _plain(done, docs.columns, key, text, {"removed_chunks": F.col("chunks"), "removed_chars": F.col("chars")})
 
 
 #: Words of a run that must not recur.
@@ -224,14 +284,6 @@ def _sliding(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(a[: len(a) - rest], a[rest:]) if rest else a
 
 
-def _spans_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of values[first:last], the same wherever they lie, for each pair."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(_POWER, n), out=sums[1:])
-    return common.mix((sums[last] - sums[first]) * _powers(_INVERSE, n)[first] + (last - first).astype(np.uint64))
-
-
 class Runs:
     """Runs of so many words, by the number of their first word, of many texts. Words are those of common.words."""
 
@@ -248,15 +300,21 @@ class Runs:
         gram = (run + 1) // 2
         width, n = run - gram + 1, len(self.begin)
         self.inside = self.row[run - 1 :] == self.row[: max(n - run + 1, 0)]
-        self.least = self.chosen = np.zeros(0, np.uint64)
+        self.texts, self.least = len(texts), np.zeros(0, np.uint64)
+        self.chosen, self.chosen_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if self.inside.any():
-            words = _spans_hash(data.astype(np.uint64), self.begin, end)
+            words = _spans_hash(_sums(data.astype(np.uint64)), self.begin, end)
             at = np.arange(n - gram + 1)
-            grams = _spans_hash(words, at, at + gram)
+            grams = _spans_hash(_sums(words), at, at + gram)
             self.least = _sliding(grams, width, np.minimum)
             pad = np.zeros(width - 1, np.uint64)
             # Each place that is the least of some run, so that a hash counts as often as it lies in the text.
-            self.chosen = grams[_sliding(np.concatenate([pad, np.where(self.inside, self.least, 0), pad]), width, np.maximum) == grams]
+            at = np.flatnonzero(_sliding(np.concatenate([pad, np.where(self.inside, self.least, 0), pad]), width, np.maximum) == grams)
+            self.chosen, self.chosen_row = grams[at], self.row[at]
+
+    def by_text(self) -> list[np.ndarray]:
+        """Each text's chosen hashes."""
+        return np.split(self.chosen.view(np.int64), np.searchsorted(self.chosen_row, np.arange(1, self.texts)))
 
     def digests(self, at: np.ndarray) -> list[bytes]:
         """Of the words' bytes of the runs that begin at these words."""
@@ -266,18 +324,6 @@ class Runs:
         return [hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in spans]
 
 
-def _portions(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of about so many characters, or of one longer text."""
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t) > chars:
-            yield first, texts[first:k]
-            first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
-
-
 def without_runs(text: str, numbers: list[int], run: int) -> tuple[str, int]:
     """text without the runs that begin at these words, each up to the next word that stays; and how many spans went."""
     own, raw = Runs([text], run), text.encode("utf-8", "replace")
@@ -291,71 +337,71 @@ def without_runs(text: str, numbers: list[int], run: int) -> tuple[str, int]:
     return b"".join(raw[a:b] for a, b in kept).decode("utf-8", "replace"), len(first)
 
 
-def recurring_runs(docs: DataFrame, key: str, text: str, run: int) -> DataFrame:
-    """One row (key, number of its first word) for each run to remove."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
-    kind = rows.schema["k"].dataType.simpleString()
+def _run_hashes(run: int):
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        out = pd.Series([h for _, part in _portions(texts.tolist()) for h in Runs(part, run).by_text()], dtype=object)
+        common.trim()
+        return out
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = [Runs(part, run).chosen.view(np.int64) for _, part in _portions(batch["t"].tolist())]
-            if sum(map(len, own)):
-                u, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pd.DataFrame({"h": u, "n": n})
-            common.trim()
+    return hashes
 
-    again = rows.select("t").mapInPandas(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+
+def recurring_runs(frame: DataFrame, run: int) -> DataFrame:
+    """The digests of runs whose least hash recurs, with their places, for a frame with the `hashes` of its texts."""
+    spark = frame.sparkSession
+    rows = frame.select("k", "d", "t", "hashes").filter("k is not null and size(hashes) > 0")
+    kind = rows.schema["k"].dataType.simpleString()
+    again = rows.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     sent = spark.sparkContext.broadcast(common.presence(again.select("h")))
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["k"].to_numpy()
+            batch = batch[[common.present(sent.value, np.asarray(h)).any() for h in batch["hashes"]]]
+            k, d = batch["k"].to_numpy(), batch["d"].to_numpy()
             for first, part in _portions(batch["t"].tolist()):
                 r = Runs(part, run)
-                if len(r.least):
-                    at = np.flatnonzero(r.inside & common.present(sent.value, r.least.view(np.int64)))
-                    if len(at):
-                        yield pd.DataFrame({"k": keys[first + r.row[at]], "number": r.number[at].astype(np.int32), "body": r.digests(at)})
+                at = np.flatnonzero(r.inside & common.present(sent.value, r.least.view(np.int64))) if len(r.least) else ()
+                if len(at):
+                    row = first + r.row[at]
+                    yield pd.DataFrame({"k": k[row], "d": d[row], "number": r.number[at].astype(np.int32), "h": r.least[at].view(np.int64), "body": r.digests(at)})
             common.trim()
 
-    found = common.cut(rows.mapInPandas(digests, f"k {kind}, number int, body binary"), "runs")
-    kept = (
-        found.groupBy("body")
-        .agg(F.count("*").alias("n"), F.min(F.struct("k", "number")).alias("first"))
-        .filter("n > 1")
-        .select("body", "first")
-    )
-    return found.join(kept, "body").filter(F.struct("k", "number") != F.col("first")).select("k", "number").distinct()
+    return common.cut(rows.mapInPandas(digests, f"k {kind}, d long, number int, h long, body binary"), "runs")
 
 
-def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """docs without the runs of words that occur earlier; what goes is added to `removed_chunks` and `removed_chars`, if
-    docs has them. docs is read three times."""
-    gone = recurring_runs(docs, key, text, run).groupBy("k").agg(F.collect_list("number").alias("_numbers"))
-    joined = _with_numbers(docs, key, gone, broadcast_bytes)
+def _without_runs(frame: DataFrame, run: int, broadcast_bytes: int) -> DataFrame:
+    """frame (with hashes) with new texts t, and chunks and chars by how much went."""
+    found = recurring_runs(frame, run)
+    joined = _with_numbers(frame, _but_first(found), broadcast_bytes)
+    common.drop(found)
 
-    @F.pandas_udf("text string, chunks int, chars long")
+    @F.pandas_udf("t string, chunks int, chars long")
     def strip(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
-        new, removed = texts.tolist(), np.zeros(len(texts), np.int32)
-        for k, own in enumerate(numbers):
-            if own is not None and len(own):
-                new[k], removed[k] = without_runs(new[k], own, run)
+        made = [(None, 0) if own is None else without_runs(t, own, run) for t, own in zip(texts, numbers, strict=True)]
+        new, removed = ([x[k] for x in made] for k in (0, 1))
         chars = [len(t) - len(n) if n is not None else 0 for t, n in zip(texts, new, strict=True)]
-        return pd.DataFrame({"text": new, "chunks": removed, "chars": np.array(chars, np.int64)})
+        return pd.DataFrame({"t": new, "chunks": np.array(removed, np.int32), "chars": np.array(chars, np.int64)})
+
+    # Only texts that lose something go to Python.
+    some = strip.asNondeterministic()(F.when(F.col("numbers").isNotNull(), F.col("t")), "numbers")
+    kept = [c for c in frame.columns if c not in ("t", "d", "hashes")]
+    return joined.withColumn("new", some).select(*kept, F.coalesce("new.t", "t").alias("t"), F.col("new.chunks").alias("more_chunks"), F.col("new.chars").alias("more_chars"))
 
-    new = joined.withColumn("_new", strip.asNondeterministic()(F.col(f"`{text}`"), F.col("_numbers")))
-    before = lambda c: F.col(c) if c in docs.columns else F.lit(0)
-    return new.select(
-        *[(F.col("_new.text").alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns if c not in ("removed_chunks", "removed_chars")],
-        (before("removed_chunks") + F.col("_new.chunks")).alias("removed_chunks"), (before("removed_chars") + F.col("_new.chars")).alias("removed_chars"),
-    )
+
+def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the runs of words that occur earlier; `removed_chunks` and `removed_chars` say how much went."""
+    common.bounded_batches(docs.sparkSession)
+    frame = common.cut(_framed(docs, key, text).withColumn("hashes", _run_hashes(run)("t")), "hashes")
+    return _plain(_without_runs(frame, run, broadcast_bytes), docs.columns, key, text, {"removed_chunks": F.col("more_chunks"), "removed_chars": F.col("more_chars")})
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, long_line: int = 250, run: int = RUN, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """docs without recurring chunks, and then without any run of 50 words that recurs in what is left."""
-    return dedup_runs(common.cut(dedup_lines(docs, key, text), "lines"), key, text)
+    lines = common.cut(_without_chunks(_framed(docs, key, text), least_chars, long_line, broadcast_bytes, run), "lines")
+    done = _without_runs(lines.withColumn("d", F.xxhash64("t")), run, broadcast_bytes)
+    added = {f"removed_{c}": F.col(c) + F.col(f"more_{c}") for c in ("chunks", "chars")}
+    return _plain(done, docs.columns, key, text, added)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

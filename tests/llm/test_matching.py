@@ -205,16 +205,55 @@ def test_components_of_a_path(spark):
 # Line dedup
 
 
-def brute_dedup(docs, least=40, long=250):
-    """Chunk texts of all documents in order of id; a repeated one goes."""
+def mixed(x):
+    m = (1 << 64) - 1
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> 33) * factor & m
+    return x ^ x >> 33
+
+
+def plain_lines(text):
+    """(first, last) character of each line, by reading one character after the other."""
+    out, line = [], None
+    for at, c in enumerate(text):
+        if c in "\n.,;:!?。、．，；：！？؟،؛।॥":
+            out += [line] if line else []
+            line = None
+        elif c not in " \t\r\v\f":
+            line = (line[0] if line else at, at + 1)
+    return out + ([line] if line else [])
+
+
+def plain_chunks(text, least=40, long=250, longest=64):
+    """(first, last) character of each chunk, by the rule in words: a chunk ends where the hash of two lines is least."""
+    power, own, values = 0x9E3779B97F4A7C15, plain_lines(text), []
+    for n, (a, b) in enumerate(own):
+        raw = text[a:b].encode()
+        h = mixed((sum((c + 1) * pow(power, i, 1 << 64) for i, c in enumerate(raw)) + len(raw)) % (1 << 64))
+        values.append((h, mixed((h + (values[n - 1][0] * power if n else 0)) % (1 << 64))))
+    spans, begin = set(), 0
+    for n in range(len(own)):
+        v = [x[1] for x in values]
+        least_here = 1 <= n < len(own) - 1 and v[n] < v[n - 1] and v[n] <= v[n + 1]
+        if least_here or n == len(own) - 1 or n + 1 - begin == longest:
+            spans.add((begin, n + 1))
+            begin = n + 1
+    spans = {(a, b) for a, b in spans if b - a > 1 and own[b - 1][1] - own[a][0] >= least}
+    spans |= {(n, n + 1) for n, (a, b) in enumerate(own) if b - a >= long}
+    spans |= {(a, b) for a, b in spans if own[b - 1][1] - own[a][0] >= long}
+    return [(own[a][0], own[b][0] if b < len(own) else len(text)) for a, b in sorted(spans)]
+
+
+def brute_dedup(docs):
+    """Chunk texts of all documents in order of id; a repeated one goes. No part of the operator is used."""
     seen, out = set(), {}
     for k, text in sorted((d for d in docs if d[0] is not None and d[1] is not None), key=lambda d: d[0]):
-        gone = []
-        for _, first, last, body in line_dedup.chunks_of(text, least, long):
-            if body in seen:
-                gone.append((first, last))
+        gone = set()
+        for first, last in plain_chunks(text):
+            body = text[first:last].strip()
+            gone |= set(range(first, last)) if body in seen else set()
             seen.add(body)
-        out[k] = line_dedup.without(text, gone)
+        out[k] = "".join(c for at, c in enumerate(text) if at not in gone)
     return out
 
 
@@ -226,23 +265,51 @@ def lines(n, seed):
 def test_line_dedup_equals_brute_force(spark):
     passage = lines(14, 77)
     docs = [(k, f"{lines(3 + k % 5, k)}\n{passage}\n{lines(2, 500 + k)}" if k % 3 == 0 else lines(6, k)) for k in range(30)]
-    docs += [(40, None), (41, ""), (42, docs[1][1]), (43, passage + "\n" + passage), (44, "word " * 30_000)]
+    docs += [(40, None), (41, ""), (42, docs[1][1]), (43, passage + "\n" + passage), (44, "word " * 3000), (45, "word " * 3000), (46, "a b! " * 200)]
+    docs += [(47, "語" * 90 + "。" + "語文、" * 30), (48, "前 " + "語" * 90 + "。" + "語文、" * 30), (49, " ... \n\n"), (50, "é" * 260 + ". x"), (51, "y, " + "é" * 260)]
     df = spark.createDataFrame([*docs, (None, docs[1][1])], DOCS).withColumn("removed_chars", F.lit("old")).withColumn("body", F.lit(1))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
     assert got.pop(None) == docs[1][1] and got.pop(40) is None
-    assert got == brute_dedup(docs)
-    assert sum(passage in (t or "") for t in got.values()) == 1 and got[1] == docs[1][1]
+    want = brute_dedup(docs)
+    assert {k: t for k, t in got.items() if t != want[k]} == {}
+    assert sum(passage in (t or "") for t in got.values()) == 1 and got[1] == docs[1][1] and got[42] == "" == got[45]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
 def test_repeated_rows_and_clean_texts_stay(spark):
     df = spark.createDataFrame([(1, lines(9, 1)), (1, lines(9, 1)), (2, lines(9, 2))], DOCS)
-    assert [r["removed_chunks"] for r in line_dedup.dedup_lines(df).collect()] == [0, 0, 0]
+    assert [r["removed_chunks"] for r in line_dedup.dedup_lines(df).collect()] == [0, 0, 0] == [r["removed_chunks"] for r in line_dedup.dedup(df).collect()]
 
 
-def test_lines_make_the_text():
-    for text in ("a, b. c\n\nd", "", "...", "no end", " x;  y\n", "a.b.c", "\n\n"):
-        assert "".join(line_dedup.lines_of(text)) == text
+def test_texts_of_one_id_lose_only_what_recurs(spark):
+    a, b = lines(40, 1), lines(40, 2)
+    rows = [(1, a), (5, a), (5, b), (7, said(90, 3)), (7, said(90, 4)), (8, said(90, 3)), (8, said(90, 5))]
+    names = [f"c{n}" for n in range(2)] + ["k", "d", "t", "row", "numbers", "hashes", "new", "chunks"]
+    df = spark.createDataFrame(rows, DOCS)
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    out = line_dedup.dedup(df)
+    got = sorted((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == sorted([(1, a), (5, ""), (5, b), (7, said(90, 3)), (7, said(90, 4)), (8, ""), (8, said(90, 5))])
+    assert out.columns == [*df.columns, "removed_chunks", "removed_chars"] and out.filter(" or ".join(f"{n} <> '{n}'" for n in names)).count() == 0
+
+
+def test_every_word_keeps_a_copy(spark):
+    docs = common.read(spark, SMALL, "documents")
+    before = [common.words(r["text"]) for r in docs.collect()]
+    after = [common.words(r["text"]) for r in line_dedup.dedup(docs).collect()]
+    assert {w for t in before for w in t} == {w for t in after for w in t}
+    assert sum(map(len, after)) < sum(map(len, before))
+    runs = [tuple(w[i : i + 50]) for w in after for i in range(len(w) - 49)]
+    assert len(runs) == len(set(runs))
+
+
+def test_lines_are_between_marks():
+    for text in ("a, b. c\n\nd", "", "...", "no end", " x;  y\n", "a.b.c", "\n\n", "語。文、é b! c", "x" * 300):
+        c = line_dedup.Chunks(["q, r", text, "z"], 0, 1)
+        one = [(int(c.first[k] - c.text_at[1]), c.body(k)) for k in np.flatnonzero(c.row == 1)]
+        want = {(len(text[:a].encode()), text[a:b].encode()) for a, b in plain_lines(text)}
+        assert want <= {(a, body.rstrip(".,;!。、".encode())) for a, body in one} or not want
 
 
 def test_boundaries_shift_with_the_content():
@@ -253,6 +320,21 @@ def test_boundaries_shift_with_the_content():
     assert np.diff(line_dedup.boundaries(np.zeros(300, np.uint64)), prepend=0).max() == 64
 
 
+def test_the_rolling_hash_resists_shifts():
+    """Lines put in front of a passage move none of its boundaries beyond its second line; a changed line moves those near it."""
+    r = np.random.default_rng(6)
+    h = r.integers(0, 1 << 62, 300).astype(np.uint64)
+    cut = lambda x: line_dedup.boundaries(line_dedup.rolled(x, np.zeros(1, np.int64)))
+    whole = set(cut(h).tolist())
+    for n in (1, 2, 7):
+        moved = {e - n for e in cut(np.concatenate([r.integers(0, 1 << 62, n).astype(np.uint64), h])).tolist()}
+        assert {e for e in whole if e > 3} == {e for e in moved if e > 3}
+    changed = h.copy()
+    changed[150] += np.uint64(1)
+    differ = whole ^ set(cut(changed).tolist())
+    assert all(149 <= e <= 154 for e in differ) and 60 < len(whole) < 140
+
+
 def brute_runs(docs, run=50):
     """Texts without words of runs that occur earlier."""
     seen, out = set(), {}
@@ -282,7 +364,8 @@ def test_no_run_of_50_words_recurs(spark):
 
 def test_long_lines_are_chunks_anywhere():
     line = "語" * 300
-    assert [c[3] for c in line_dedup.chunks_of(f"a.\nb.\n{line}\nc.\nd.", 40, 250) if c[3] == line] == [line]
+    c = line_dedup.Chunks([f"a.\nb.\n{line}\nc.\nd."], 40, 250)
+    assert line.encode() in [c.body(k) for k in range(len(c.row))]
 
 
 # Neighbours
