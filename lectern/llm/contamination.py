@@ -1,26 +1,30 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is dealt by document: each task stores, for segments of half a million words, the
-positions of every term that the test items use, so no posting list crosses the network and no
-term or source can be hot. A query is sent to every segment; there, for each phrase, the lists
-are shifted by the term's offset and intersected from the segment's rarest term onwards.
-Phrase matches are exact; proximity matches want all terms in order within a span.
-
-Test items come in blocks of bounded size, each one broadcast; with several blocks, the hits so
-far travel with the document from pass to pass through a scratch table.
+The index is a stored table, dealt by document: a row holds a segment of some half a million words, with its
+terms, their postings (positions in the segment, as gaps) and the documents' places. No posting list crosses
+the network and no term or source can be hot. It is made once and may be asked any number of times; no
+question reads the texts again.
+
+Test items come in blocks of bounded size, each one broadcast. In a segment each window of an item is
+represented by its rarest term there: the lists of these terms, shifted by their offsets, give the places
+where a window can begin at all, each place once however many windows there are. At these the lists of the other
+terms are intersected, a term at a time, and what is left is looked up among the windows and compared term by
+term. Work is thus bounded by the postings, not by documents times windows. Phrase matches are exact; proximity
+matches want all terms in order within a span.
 
 Null and empty texts have no words, no hits, and are clean. Items without words or id take no
-part; items that share an id are one item. Repeated rows are judged each for itself. Other
-columns are kept, except that columns named like a result are replaced.
+part; items that share an id are one item. Repeated rows are judged each for itself. A document longer than a
+segment is a segment of its own. Columns other than the named ones are ignored by `judge` and kept by `keep_clean`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,75 +34,182 @@ WINDOW = 13
 #: Words in a segment of the index; a longer document is a segment of its own.
 SEGMENT_WORDS = 1 << 19
 #: Bytes of item text in one broadcast block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+
+
+class _Numbers(dict):
+    """Numbers words in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Group:
+    """The different windows of one size, as term numbers, with their items; found by a hash that parts them."""
+
+    def __init__(self, windows: np.ndarray, items: np.ndarray):
+        self.size, base = windows.shape[1], 0x9E3779B97F4A7C15
+        while True:
+            self.powers = _powers(self.size, base)
+            _, first, which = np.unique(self.hashes(windows.T), return_index=True, return_inverse=True)
+            if (windows[first][which] == windows).all():
+                break
+            base = (base * 6364136223846793005 + 1442695040888963407 | 1) % (1 << 64)  # two windows shared a hash
+        self.windows = windows[first]  # in order of their hashes
+        self.sorted = self.hashes(self.windows.T)
+        pairs = np.unique(which.astype(np.int64) << 32 | items)
+        self.items = pairs & 0xFFFFFFFF
+        self.offsets = np.searchsorted(pairs >> 32, np.arange(len(first) + 1))
+
+    def hashes(self, columns) -> np.ndarray:
+        total = np.uint64(0)
+        for power, own in zip(self.powers, columns, strict=True):
+            total = total + (own.astype(np.uint64) + np.uint64(1)) * power
+        return total
+
+    def owners(self, window: int) -> np.ndarray:
+        return self.items[self.offsets[window] : self.offsets[window + 1]]
 
 
 class Phrases:
-    """Windows of a block of test items as term numbers."""
+    """Windows of a block of test items, by size."""
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
-        self.terms: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        self.terms = _Numbers()
         self.ids = sorted({str(i) for i, _ in items})
         number = {x: n for n, x in enumerate(self.ids)}
+        by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            own = [self.terms.setdefault(w, len(self.terms)) for w in common.words(text)]
-            for at in range(max(1, len(own) - window + 1)) if own else ():
-                found.setdefault(tuple(own[at : at + window]), set()).add(number[str(item)])
-        self.owners = [sorted(x) for x in found.values()]
-        self.windows = [list(p) for p in found]
-        self.starts, self.sizes = common.flat(self.windows)
-        self.flat = np.fromiter((t for p in found for t in p), np.int64, int(self.starts[-1]))
-
-    def present(self, counts: np.ndarray) -> list[int]:
-        """Windows all of whose terms have postings."""
-        return np.flatnonzero(np.minimum.reduceat(counts[self.flat], self.starts[:-1]) > 0).tolist() if self.windows else []
+            own = np.fromiter(map(self.terms.__getitem__, common.words(text)), np.int32)
+            if size := min(window, len(own)):
+                by_size.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(own, size), number[str(item)]))
+        self.groups = [Group(np.concatenate([w for w, _ in x]), np.repeat([n for _, n in x], [len(w) for w, _ in x])) for _, x in sorted(by_size.items())]
 
 
-class Segment:
-    """Positional postings of some documents, for the terms of a vocabulary.
+def posted(texts: list[list[bytes]]) -> tuple[bytes, bytes, bytes]:
+    """Terms (with a space between), the length of each one's list, and the lists, as gaps, of a segment's documents.
 
-    Documents lie one after the other with a gap between them that no phrase can bridge.
+    Documents lie one after the other with a place between them that no phrase can bridge.
     """
+    terms = _Numbers()
+    which = [np.fromiter(map(terms.__getitem__, own), np.int32, len(own)) for own in texts]
+    spot = [np.arange(len(w)) for w in which]
+    start = 0
+    for own in spot:
+        own += start
+        start += len(own) + 1
+    term, spot = np.concatenate(which), np.concatenate(spot)
+    order = np.argsort(term.astype(np.uint16) if len(terms) < 1 << 16 else term, kind="stable")
+    counts, positions = np.bincount(term, minlength=len(terms)), spot[order]
+    gaps = np.diff(positions, prepend=0)
+    first = np.cumsum(counts) - counts
+    gaps[first] = positions[first]
+    return b" ".join(terms), counts.astype("<i4").tobytes(), gaps.astype("<i4").tobytes()
+
+
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SEGMENT_WORDS) -> DataFrame:
+    """The index of docs: a row for each segment. To be stored; `stored` does so in the scratch folder."""
+    common.bounded_batches(docs.sparkSession)
+    own = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.xxhash64(own), F.lit(0)).alias("d"), own.alias("t"))
+    kind = rows.schema["k"].dataType.simpleString()
 
-    def __init__(self, texts: list[list[bytes]], terms: dict[bytes, int], gap: int = 1):
-        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths + gap)])
-        get, spots, which = terms.get, [], []
-        for start, own in zip(self.starts[:-1].tolist(), texts, strict=True):
-            t = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
-            at = np.flatnonzero(t >= 0)
-            spots.append(at + start)
-            which.append(t[at])
-        spot = np.concatenate(spots) if spots else np.zeros(0, np.int64)
-        term = np.concatenate(which) if which else np.zeros(0, np.int32)
-        order = np.argsort(term, kind="stable")
-        self.positions = spot[order]
-        self.offsets = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends, lengths, made, held, n = [0], [], [], [], 0
 
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.offsets[term] : self.offsets[term + 1]]
-
-    def counts(self) -> np.ndarray:
-        return np.diff(self.offsets)
-
-    def phrase(self, terms: list[int]) -> np.ndarray:
-        """Start of each exact occurrence."""
-        counts = [self.offsets[t + 1] - self.offsets[t] for t in terms]
-        order = sorted(range(len(terms)), key=counts.__getitem__)
-        at = self.postings(terms[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(at):
-                break
-            own = self.postings(terms[k])
-            i = np.searchsorted(own, at + k)
-            i[i == len(own)] = 0
-            at = at[own[i] == at + k]
-        return at
+            def close() -> None:
+                made.append(posted(held))
+                ends.append(ends[-1] + len(held))
+
+            for words in map(common.words, batch["t"].to_pylist()):
+                if held and n + len(words) > limit:
+                    close()
+                    held, n = [], 0
+                held.append(words)
+                lengths.append(len(words))
+                n += len(words)
+            close()
+            at = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (batch["k"], batch["d"], pa.array(lengths, pa.int64()))]
+            out = [pa.array(range(number, number + len(made)), pa.int64()), *lists, *(pa.array(x, pa.binary()) for x in zip(*made, strict=True))]
+            number += len(made)
+            yield pa.RecordBatch.from_arrays(out, ["segment", "keys", "digests", "lengths", "terms", "counts", "gaps"])
+            common.trim()
+
+    return rows.mapInArrow(make, f"segment long, keys array<{kind}>, digests array<long>, lengths array<long>, terms binary, counts binary, gaps binary")
+
+
+def stored(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SEGMENT_WORDS) -> DataFrame:
+    return common.cut(build(docs, key, text, limit), "index")
 
-    def near(self, terms: list[int], span: int) -> np.ndarray:
+
+class Segment:
+    """A row of the index, for the terms of a block of items."""
+
+    def __init__(self, lengths: np.ndarray, terms: bytes, counts: bytes, gaps: bytes, wanted: dict[bytes, int]):
+        self.lengths = np.asarray(lengths, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])
+        names = terms.split(b" ") if counts else []
+        number = np.fromiter((wanted.get(w, -1) for w in names), np.int64, len(names))
+        counts, total = np.frombuffer(counts, "<i4").astype(np.int64), np.cumsum(np.frombuffer(gaps, "<i4"), dtype=np.int64)
+        first = np.cumsum(counts) - counts
+        self.positions = total - np.repeat(total[first] - np.frombuffer(gaps, "<i4")[first], counts) if len(counts) else total
+        here = np.flatnonzero(number >= 0)
+        self.count, self.first = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        self.count[number[here]], self.first[number[here]] = counts[here], first[here]
+        #: The term at each position, -1 for none that is wanted.
+        self.term = np.full(int(self.starts[-1]) + 1, -1, np.int64)
+        self.term[self.positions] = np.repeat(number, counts)
+
+    def postings(self, term: int) -> np.ndarray:
+        return self.positions[self.first[term] : self.first[term] + self.count[term]]
+
+    def _union(self, terms: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+        """Different positions in the lists of the terms, each list shifted back."""
+        n = self.count[terms]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1])) - np.repeat(ends - n, n) + np.repeat(self.first[terms], n)
+        place = self.positions[at] - np.repeat(shifts, n)
+        marked = np.zeros(len(self.term), bool)
+        marked[place[place >= 0]] = True
+        return np.flatnonzero(marked)
+
+    def phrases(self, group: Group) -> tuple[np.ndarray, np.ndarray]:
+        """(start, window) of each exact occurrence of a window."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        counts = self.count[group.windows]
+        alive = np.flatnonzero(counts.min(axis=1) > 0)
+        if not len(alive):
+            return none
+        rarest = counts[alive].argmin(axis=1)
+        pairs = np.unique(group.windows[alive, rarest].astype(np.int64) * group.size + rarest)
+        at = self._union(pairs // group.size, pairs % group.size)
+        at = at[at + group.size <= len(self.term)]
+        for k in range(group.size):  # places at which some wanted term follows at each offset
+            at = at[self.term[at + k] >= 0]
+        h = group.hashes(self.term[at + k] for k in range(group.size)) if len(at) else np.zeros(0, np.uint64)
+        which = np.minimum(np.searchsorted(group.sorted, h), len(group.sorted) - 1)
+        same = np.flatnonzero(group.sorted[which] == h) if len(at) else np.zeros(0, np.int64)
+        at, which = at[same], which[same]
+        for k in range(group.size):
+            same = self.term[at + k] == group.windows[which, k]
+            at, which = at[same], which[same]
+        return at, which
+
+    def near(self, terms: np.ndarray, span: int) -> np.ndarray:
         """Start of each place from which all terms follow in order within `span` words, in one document."""
-        if any(self.offsets[t + 1] == self.offsets[t] for t in terms):
+        if not self.count[terms].all():
             return np.zeros(0, np.int64)
         first = self.postings(terms[0])
         at, alive = first, np.ones(len(first), bool)
@@ -107,28 +218,23 @@ class Segment:
             i = np.searchsorted(own, at, side="right")
             alive &= i < len(own)
             at = np.where(alive, own[np.minimum(i, len(own) - 1)], at)
-        document = lambda x: np.searchsorted(self.starts, x, side="right")
-        return first[alive & (at - first < span) & (document(at) == document(first))]
-
-
-def segments(batch: pd.Series, terms: dict[bytes, int], limit: int = SEGMENT_WORDS) -> Iterator[tuple[int, Segment]]:
-    """(first row, segment) over the texts of a batch."""
-    begin, held, n = 0, [], 0
-    for row, text in enumerate(batch):
-        own = common.words(text)
-        if held and n + len(own) > limit:
-            yield begin, Segment(held, terms)
-            begin, held, n = row, [], 0
-        held.append(own)
-        n += len(own)
-    if held:
-        yield begin, Segment(held, terms)
+        return first[alive & (at - first < span) & (self.document(at) == self.document(first))]
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+
+def _segments(batches: Iterator[pd.DataFrame], wanted: dict[bytes, int]) -> Iterator[tuple[object, Segment]]:
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            yield r, Segment(r.lengths, r.terms, r.counts, r.gaps, wanted)
+        common.trim()
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
     """Items in blocks of about block_bytes, streamed through the driver one block at a time."""
     held, n = [], 0
-    rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
+    rows = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).filter("i is not null and t is not null")
     for row in rows.toLocalIterator():
         held.append((row["i"], row["t"]))
         n += len(row["t"].encode())
@@ -139,105 +245,103 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iter
         yield held
 
 
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+HITS = "segment long, number int, spans array<struct<a:int,b:int>>, items array<string>"
+#: Columns of the index that questions read.
+_ASKED = ("segment", "lengths", "terms", "counts", "gaps")
 
 
-def _marked(texts: pd.Series, phrases: Phrases) -> tuple[list[np.ndarray], list[set[str]]]:
-    """For each text, whether each word is hit, and the items with a window in it."""
-    masks: list[np.ndarray] = []
-    items: list[set[str]] = []
-    for _, s in segments(texts, phrases.terms):
-        edge = np.zeros(int(s.starts[-1]) + 1, np.int32)
-        own: list[set[str]] = [set() for _ in s.lengths]
-        for row in phrases.present(s.counts()):
-            size = int(phrases.sizes[row])
-            at = s.phrase(phrases.windows[row])
-            if len(at):
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + size, -1)
-                for d in np.unique(np.searchsorted(s.starts, at, side="right") - 1).tolist():
-                    own[d].update(phrases.ids[i] for i in phrases.owners[row])
-        hit = np.cumsum(edge) > 0
-        masks += [hit[a : a + n] for a, n in zip(s.starts[:-1].tolist(), s.lengths.tolist(), strict=True)]
-        items += own
-    return masks, items
-
-
-def _marker(sent, last: bool, carried: bool, share: int):
-    """One pass over the texts for one block of items."""
-
-    @F.pandas_udf(RESULT if last else "_hits binary, _items array<string>")
-    def mark(texts: pd.Series, hits: pd.Series, found: pd.Series) -> pd.DataFrame:
-        masks, items = _marked(texts, sent.value)
-        if carried:
-            masks = [m | np.unpackbits(np.frombuffer(h, np.uint8), count=len(m)).astype(bool) for m, h in zip(masks, hits, strict=True)]
-            items = [i | set(f) for i, f in zip(items, found, strict=True)]
-        if not last:
-            return pd.DataFrame({"_hits": [np.packbits(m).tobytes() for m in masks], "_items": [sorted(i) for i in items]})
-        common.trim()
-        n, h = np.array([len(m) for m in masks], np.int64), np.array([int(m.sum()) for m in masks], np.int64)
-        return pd.DataFrame({
-            "n_words": n, "n_hit": h, "n_items": np.array([len(i) for i in items], np.int64),
-            "items_sha256": [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items],
-            "contaminated": (h > 0) & (share * h >= n),
-        })
+def hits(index: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """For each document with an occurring window: its number in its segment, the spans of words hit (apart and in order) and the items."""
+    spark, out = index.sparkSession, spark_empty(index, HITS)
+    for block in blocks(benchmark, item, item_text, block_bytes):
+        sent = spark.sparkContext.broadcast(Phrases(block, window))
+
+        def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            p = sent.value
+            for r, s in _segments(batches, p.terms):
+                edge, own = np.zeros(len(s.term) + 1, np.int32), {}
+                for group in p.groups:
+                    at, which = s.phrases(group)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + group.size, -1)
+                    for d, w in {*zip(s.document(at).tolist(), which.tolist(), strict=True)}:
+                        own.setdefault(d, set()).update(group.owners(w).tolist())
+                if not own:
+                    continue
+                step = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=0)
+                a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+                d = s.document(a)
+                a, b = a - s.starts[d], b - s.starts[d]
+                rows = sorted(own)
+                spans = [[{"a": x, "b": y} for x, y in zip(a[d == n].tolist(), b[d == n].tolist(), strict=True)] for n in rows]
+                yield pd.DataFrame({"segment": r.segment, "number": np.array(rows, np.int32), "spans": spans, "items": [[p.ids[i] for i in sorted(own[n])] for n in rows]})
+
+        out = out.unionByName(index.select(*_ASKED).mapInPandas(find, HITS))
+    return out
+
+
+def spark_empty(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
+
 
-    return mark
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def judged(index: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, share: int, block_bytes: int) -> DataFrame:
+    """k, d (a hash of the text) and the results of each document of the index."""
+    found = hits(index, benchmark, item, item_text, window, block_bytes)
+    both = found.groupBy("segment", "number").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    state = lambda end, n: F.struct(end.cast("int").alias("end"), n.cast("long").alias("n"))
+    reached = lambda s, x: state(F.greatest(s["end"], x["b"]), s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"])))
+    covered = F.aggregate(F.array_sort("spans"), state(F.lit(0), F.lit(0)), reached, lambda s: s["n"])
+    both = both.select("segment", "number", covered.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+    docs = index.select("segment", F.posexplode(F.arrays_zip("keys", "digests", "lengths")).alias("number", "x"))
+    out = docs.join(both, ["segment", "number"], "left")
+    n, h, ids = F.col("x.lengths"), F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(
+        F.col("x.keys").alias("k"), F.col("x.digests").alias("d"), n.alias("n_words"), h.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((h > 0) & (share * h >= n)).alias("contaminated"),
+    )
 
 
 def judge(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES,
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES, segment_words: int = SEGMENT_WORDS,
 ) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    own = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_hits", "_items"}
-    names = [c for c in docs.columns if c not in own]
-    df = docs.select(*[F.col(f"`{c}`") for c in names])
-    parts = blocks(benchmark, item, item_text, block_bytes)
-    block, following = next(parts, []), next(parts, None)
-    first = True
-    while True:
-        sent, last, carried = spark.sparkContext.broadcast(Phrases(block, window)), following is None, not first
-
-        mark = _marker(sent, last, carried, share)
-        carry = (F.col("_hits"), F.col("_items")) if carried else (F.lit(None).cast("binary"), F.lit(None).cast("array<string>"))
-        df = df.select(*[F.col(f"`{c}`") for c in names], mark(F.col(f"`{text}`"), *carry).alias("_m"))
-        df = df.select(*[F.col(f"`{c}`") for c in names], "_m.*")
-        if last:
-            return df
-        df, first = common.cut(df, "decontamination"), False
-        block, following = following, next(parts, None)
+    """key, n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words) of each row of docs."""
+    out = judged(stored(docs, key, text, segment_words), benchmark, item, item_text, window, share, block_bytes)
+    return out.drop("d").withColumnRenamed("k", key)
 
 
 def matches(
-    docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", span: int | None = None, block_bytes: int = BLOCK_BYTES,
+    index: DataFrame, queries: DataFrame, key: str = "doc_id", item: str = "item_id", item_text: str = "text", span: int | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Rows (key, item, position) of each exact occurrence of a whole query text, or, with span, of
+    """Rows (key, item, position) of each exact occurrence of a whole query text in a stored index, or, with span, of
     each place from which its words follow in order within that many words. Positions count words from 0."""
-    spark, out = docs.sparkSession, None
-    common.bounded_batches(spark)
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    kind = rows.schema["k"].dataType.simpleString()
+    out = spark_empty(index, "segment long, number int, item string, position long")
     for block in blocks(queries, item, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(Phrases(block, 1 << 40))
+        sent = index.sparkSession.sparkContext.broadcast(Phrases(block, 1 << 40))
 
         def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             p = sent.value
-            for batch in batches:
-                for begin, s in segments(batch["t"], p.terms):
-                    for row in p.present(s.counts()):
-                        at = s.phrase(p.windows[row]) if span is None else s.near(p.windows[row], span)
-                        d = np.searchsorted(s.starts, at, side="right") - 1
-                        for owner in p.owners[row] if len(at) else ():
-                            yield pd.DataFrame({"k": batch["k"].iloc[begin + d].to_numpy(), "item": p.ids[owner], "position": at - s.starts[d]})
-
-        own = rows.mapInPandas(find, f"k {kind}, item string, position long")
-        out = own if out is None else out.unionByName(own)
-    empty = spark.createDataFrame([], f"k {kind}, item string, position long")
-    return (empty if out is None else out).withColumnRenamed("k", key)
+            for r, s in _segments(batches, p.terms):
+                for group in p.groups:
+                    if span is None:
+                        at, which = s.phrases(group)
+                    else:
+                        alive = np.flatnonzero(s.count[group.windows].min(axis=1) > 0).tolist()
+                        each = [s.near(group.windows[w], span) for w in alive]
+                        at, which = np.concatenate([*each, np.zeros(0, np.int64)]), np.repeat(np.array(alive, np.int64), [len(x) for x in each])
+                    times = group.offsets[which + 1] - group.offsets[which]
+                    d = s.document(at)
+                    if len(at):
+                        names = [p.ids[i] for w in which.tolist() for i in group.owners(w).tolist()]
+                        yield pd.DataFrame({"segment": r.segment, "number": np.repeat(d, times).astype(np.int32), "item": names, "position": np.repeat(at - s.starts[d], times)})
+
+        out = out.unionByName(index.select(*_ASKED).mapInPandas(find, out.schema))
+    docs = index.select("segment", F.posexplode("keys").alias("number", "k"))
+    return out.join(docs, ["segment", "number"]).select(F.col("k").alias(key), "item", "position")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -268,6 +372,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Documents that are not contaminated; columns stay."""
-    return judge(docs, benchmark).filter(~F.col("contaminated")).select(*docs.columns)
+    found = judged(stored(docs, key, text), benchmark, "item_id", "text", WINDOW, 20, BLOCK_BYTES)
+    dirty = common.cut(found.filter("contaminated").select(F.col("k").alias("_k"), F.col("d").alias("_other")).distinct(), "contaminated")
+    if dirty.count() * 32 <= broadcast_bytes:
+        dirty = F.broadcast(dirty)  # else both sides are shuffled by id and hash
+    rows = docs.withColumn("_d", F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)))
+    return rows.join(dirty, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_d") == F.col("_other")), "left_anti").drop("_d")

@@ -34,7 +34,7 @@ def against_sql(spark, docs, items, tmp_path, **options):
     for name, df in (("documents", d), ("benchmark", b)):
         df.write.parquet(f"{tmp_path}/{name}")
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
-    return same(contamination.judge(d, b, **options).drop("text"), con, contamination.OP3_SQL, tmp_path)
+    return same(contamination.judge(d, b, **options), con, contamination.OP3_SQL, tmp_path)
 
 
 CASES = [(1, said(40, 1)), (2, "x " + said(40, 1)[30:] + " y"), (3, None), (4, ""), (5, "Alpha, BETA"), (6, "alpha gamma beta"), (7, said(14, 3) * 3), (8, said(40, 1)), (9, said(3000, 9) + " " + said(20, 1))]
@@ -49,32 +49,65 @@ def test_contamination_in_blocks(spark, tmp_path):
     assert against_sql(spark, CASES, ITEMS, tmp_path, block_bytes=1) == len(CASES)
 
 
+def test_contamination_in_small_segments(spark, tmp_path):
+    assert against_sql(spark, CASES, ITEMS, tmp_path, segment_words=10) == len(CASES)
+
+
 def test_contamination_edges(spark):
-    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (None, "beta")], DOCS).withColumn("n_hit", F.lit("old"))
-    got = contamination.judge(docs, spark.createDataFrame([(7, "ALPHA beta")], "item_id long, text string"))
-    assert [(r["n_words"], r["n_hit"], r["n_items"]) for r in got.orderBy("doc_id").collect()] == [(1, 0, 0), (2, 2, 1), (2, 2, 1)]
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (1, "gamma"), (None, "beta"), (None, "alpha beta"), (2**53 + 1, None)], DOCS).withColumn("n_hit", F.lit("old")).withColumn("k", F.lit(1))
+    items = spark.createDataFrame([(7, "ALPHA beta")], "item_id long, text string").withColumn("i", F.lit(2)).withColumn("t", F.lit("x"))
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in contamination.judge(docs, items).collect())
+    assert got == [(0, 1, 0, 0), (0, 2, 2, 1), (1, 1, 0, 0), (1, 2, 2, 1), (1, 2, 2, 1), (2**53 + 1, 0, 0, 0)]
+    clean = contamination.keep_clean(docs, items)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in clean.collect()) == [(0, "beta"), (1, "gamma"), (2**53 + 1, "")] and clean.columns == docs.columns
+    assert contamination.keep_clean(docs, items, broadcast_bytes=0).count() == 3
     none = contamination.judge(docs, spark.createDataFrame([], "item_id long, text string")).first()
     assert (none["n_items"], none["items_sha256"], none["contaminated"]) == (0, hashlib.sha256(b"").hexdigest(), False)
     assert contamination.judge(docs.limit(0), spark.createDataFrame([(7, "a")], "item_id long, text string")).count() == 0
 
 
-def test_segments_end_between_documents(spark, monkeypatch):
-    texts = [said(30, k) for k in range(6)]
-    p = contamination.Phrases([(k, t) for k, t in enumerate(texts)])
-    whole = contamination._marked(texts, p)
-    monkeypatch.setattr(contamination, "SEGMENT_WORDS", 40)
-    monkeypatch.setattr(contamination.segments, "__defaults__", (40,))
-    cut = contamination._marked(texts, p)
-    assert [m.tolist() for m in whole[0]] == [m.tolist() for m in cut[0]] and whole[1] == cut[1]
+def test_a_benchmark_of_many_windows(spark, tmp_path):
+    """Items with 60,000 windows of few different words, so that nearly all have postings everywhere."""
+    items = [(k, said(600, 3000 + k)) for k in range(100)]
+    docs = [(k, said(300, k) + " " + " ".join(items[k][1].split()[k : k + 12 + k % 4]) + " " + said(200, 900 + k)) for k in range(60)]
+    assert against_sql(spark, docs, items, tmp_path, block_bytes=100_000) == len(docs)
+
+
+def test_an_index_is_asked_many_times(spark):
+    docs = spark.createDataFrame([(1, "a b c a x b a b"), (2, "b a"), (3, None), (4, "é日 a b")], DOCS)
+    index = contamination.stored(docs, limit=5)
+    assert index.count() > 1
+    for text, want in (("a b", [(1, 0), (1, 6), (4, 1)]), ("A B a", []), ("b", [(1, 1), (1, 5), (1, 7), (2, 0), (4, 2)]), ("é日 a", [(4, 0)])):
+        ask = spark.createDataFrame([(1, text), (2, "zz"), (3, text.replace("a", "A"))], "item_id long, text string")
+        got = sorted((r["doc_id"], r["position"]) for r in contamination.matches(index, ask).filter("item = 1").collect())
+        assert got == want and contamination.matches(index, ask).count() == 2 * len(want)
+
+
+def brute_near(words, asked, span):
+    """Starts from which the asked words follow in order, each at its first place after the one before."""
+    out = []
+    for start in (i for i, w in enumerate(words) if w == asked[0]):
+        at = start
+        for w in asked[1:]:
+            at = next((i for i in range(at + 1, len(words)) if words[i] == w), None)
+            if at is None:
+                break
+        if at is not None and at - start < span:
+            out.append(start)
+    return out
 
 
 def test_phrase_and_proximity_matches(spark):
-    docs = spark.createDataFrame([(1, "a b c a x b a b"), (2, "b a"), (3, None)], DOCS)
-    ask = spark.createDataFrame([(1, "a b"), (2, "zz")], "item_id long, text string")
-    exact = sorted((r["doc_id"], r["position"]) for r in contamination.matches(docs, ask).collect())
-    near = sorted((r["doc_id"], r["position"]) for r in contamination.matches(docs, ask, span=3).collect())
-    assert exact == [(1, 0), (1, 6)] and near == [(1, 0), (1, 3), (1, 6)]
-    assert contamination.matches(docs, ask.limit(0)).count() == 0
+    docs = [(k, said(60, k)) for k in range(20)] + [(20, None), (21, "")]
+    asked = [(k, said(2 + k % 2, 700 + k)) for k in range(30)] + [(40, " ".join(docs[3][1].split()[5:25]))]
+    index = contamination.stored(spark.createDataFrame(docs, DOCS), limit=200)
+    ask = spark.createDataFrame(asked, "item_id long, text string")
+    words = {k: (t or "").split() for k, t in docs}
+    exact = sorted((r["doc_id"], int(r["item"]), r["position"]) for r in contamination.matches(index, ask).collect())
+    assert exact == sorted((d, k, i) for d, w in words.items() for k, t in asked for i in range(len(w)) if w[i : i + len(t.split())] == t.split()) != []
+    near = sorted((r["doc_id"], int(r["item"]), r["position"]) for r in contamination.matches(index, ask, span=25).collect())
+    assert near == sorted((d, k, i) for d, w in words.items() for k, t in asked for i in brute_near(w, t.split(), 25)) != []
+    assert contamination.matches(index, ask.limit(0)).count() == 0
 
 
 # Jaccard join
