@@ -129,6 +129,74 @@ def test_two_writers_conflict(spark, tmp_path):
     assert a.version() == 2 and a.read().count() == 0 and a.read(1).count() == 3
 
 
+def test_vacuum_spares_what_is_being_written(spark, tmp_path, monkeypatch):
+    a, b = (sharding.ShardedTable(spark, str(tmp_path / "t"), target=1 << 20, smallest=1 << 12) for _ in "ab")
+    a.append(spark.range(5))
+    commit, calls = a.commit, []
+
+    def late(*args):  # between an append's write and its commit another writer vacuums, appends and vacuums again
+        if not calls:
+            calls.append(b.vacuum())
+            b.append(spark.range(100, 103))
+            calls.append(b.vacuum())
+        return commit(*args)
+
+    monkeypatch.setattr(a, "commit", late)
+    a.append(spark.range(10, 15))
+    assert calls == [0, 0] and a.version() == 3 and sorted(r["id"] for r in a.read().collect()) == [*range(5), *range(10, 15), 100, 101, 102]
+    assert b._list("leases") == [] and b.vacuum() == 0
+
+
+def test_a_failed_append_leaves_nothing(spark, tmp_path, monkeypatch):
+    t = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    t.append(spark.range(3))
+    monkeypatch.setattr(t, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        t.append(spark.range(9))
+    assert len(t._list("shards")) == 1 and t._list("leases") == [] and t.read().count() == 3
+
+
+def test_a_lost_writers_files_and_claim_are_taken_over(spark, tmp_path):
+    t = sharding.ShardedTable(spark, str(tmp_path / "t"), lease_s=3600)
+    t.append(spark.range(3))
+    t._create("manifests/.claim-00000002", "lost")
+    spark.range(7).write.parquet(str(tmp_path / "t/shards/append-lost"))
+    t._create("leases/append-lost", "append-lost")
+    with pytest.raises(sharding.Conflict):
+        t.append(spark.range(3, 5), tries=2)
+    assert t.vacuum() == 0 and len(t._list("shards")) == 2
+    heir = sharding.ShardedTable(spark, str(tmp_path / "t"), lease_s=-1)
+    assert heir.append(spark.range(3, 5)) == 2 and sorted(r["id"] for r in heir.read().collect()) == [*range(5)]
+    assert heir.vacuum() > 0 and heir.read().count() == 5 and len(heir._list("shards")) == 2
+
+
+def test_a_merge_holds_upon_later_appends(spark, tmp_path, monkeypatch):
+    a, b = (sharding.ShardedTable(spark, str(tmp_path / "t"), target=1 << 20, smallest=1 << 12) for _ in "ab")
+    for n in range(4):
+        a.append(spark.range(10 * n, 10 * n + 10).coalesce(1))
+    commit, calls = a.commit, []
+    monkeypatch.setattr(a, "commit", lambda *x: (calls.append(1) or len(calls) == 1 and b.append(spark.range(90, 93).coalesce(1)), commit(*x))[1])
+    a.compact()
+    assert len(a.manifest()["shards"]) == 2 and sorted(r["id"] for r in a.read().collect()) == [*range(40), 90, 91, 92]
+    calls.clear()
+    for n in range(4):
+        b.append(spark.range(3).coalesce(1))
+    monkeypatch.setattr(a, "commit", lambda *x: (calls.append(1) or len(calls) == 1 and b.compact(), commit(*x))[1])
+    with pytest.raises(sharding.Conflict):
+        a.compact()
+    assert b.read().count() == 55
+
+
+def test_foreign_columns_are_refused(spark, tmp_path):
+    t = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    t.append(spark.createDataFrame([(1, "a")], DOCS))
+    for other in ("doc_id long", "doc_id long, text string, x int", "doc_id int, text string"):
+        with pytest.raises(ValueError):
+            t.append(spark.createDataFrame([], other))
+    t.append(spark.createDataFrame([("b", 2)], "text string, doc_id long"))
+    assert sorted(tuple(r) for r in t.read().collect()) == [(1, "a"), (2, "b")] and t.version() == 2
+
+
 def test_runs_are_similar_and_near_the_target(spark, tmp_path):
     t = sharding.ShardedTable(spark, str(tmp_path), target=100, fan_in=4, smallest=10)
     s = [sharding.Shard(str(k), size, t.tier(size)) for k, size in enumerate([5] * 9 + [30] * 3 + [35] * 5 + [80, 120])]
