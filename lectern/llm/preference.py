@@ -8,7 +8,7 @@ whose loss mask is 1 on the tokens of assistant turns and 0 elsewhere. Turns are
 Turns are ordered by number, then role and text; repeated rows count once. A null text is empty,
 a null role is `user`, turns without a conversation are left out. A pair whose conversations are
 equal has two empty completions. A conversation has to fit one task, as it is one training
-sample; any number of conversations may open alike: their pairs are dealt by salt.
+sample; any number of conversations may open alike: their pairs are dealt by salt, which frequent openings get by broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Conversations with one opening that meet the chosen one in one task, about.
-SALT_ROWS = 500
+SALT_ROWS = 128
 TURN = "struct<role:string,text:string>"
 
 
@@ -41,19 +41,18 @@ def assembled(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn
 def opening_pairs(conversations: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id, chosen, rejected): of conversations that open with the same turn, the
     one with most assistant text (ties: least id) is chosen and every other one rejected against it.
+    conversations should be a written table, as it is read several times.
     """
     said = F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + F.when(x["role"] == "assistant", F.length(x["text"])).otherwise(0))
     rows = conversations.withColumn("opening", F.sha2(F.to_json(F.col("turns")[0]), 256)).withColumn("said", said)
-    top = rows.groupBy("opening").agg(
-        F.min(F.struct((-F.col("said")).alias("s"), F.col("conv"))).alias("top"), F.count("*").alias("n")
-    )
-    top = top.filter("n > 1").select("opening", F.col("top.conv").alias("conv"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
-    leaders = rows.join(top.select("opening", "conv", "salts"), ["opening", "conv"])
-    leaders = leaders.select("opening", "salts", F.col("conv").alias("chosen_id"), F.col("turns").alias("chosen"))
-    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    salted = rows.join(top.select("opening", "salts"), "opening").withColumn("salt", F.pmod(F.xxhash64("conv"), "salts").cast("int"))
-    others = salted.select("opening", "salt", F.col("conv").alias("rejected_id"), F.col("turns").alias("rejected"))
-    return others.join(leaders, ["opening", "salt"]).filter("rejected_id != chosen_id").select("chosen_id", "rejected_id", "chosen", "rejected")
+    counts = rows.groupBy("opening").agg(F.min(F.struct((-F.col("said")).alias("s"), F.col("conv"))).alias("top"), F.count("*").alias("n"))
+    top = counts.filter("n > 1").select("opening", F.col("top.conv").alias("chosen_id"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    # A frequent opening meets its chosen one in as many tasks as it has salts, and is salted before any shuffle.
+    salted = common.hot_join(rows, top, "opening", common.hot_keys(rows, "opening", counts))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("conv"), "salts").cast("int"))
+    leaders = salted.filter("conv = chosen_id").select("opening", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("turns").alias("chosen"))
+    others = salted.filter("conv != chosen_id").select("opening", "salt", "chosen_id", F.col("conv").alias("rejected_id"), F.col("turns").alias("rejected"))
+    return others.join(leaders, ["opening", "salt"]).select("chosen_id", "rejected_id", "chosen", "rejected")
 
 
 def replay_pairs(conversations: DataFrame) -> DataFrame:

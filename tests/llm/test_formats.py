@@ -339,6 +339,25 @@ def test_prefix_by_brute_force(spark):
         assert x["common_turns"] == n
 
 
+def test_openings_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 4)
+    monkeypatch.setattr(preference, "SALT_ROWS", 8)
+    r = np.random.default_rng(2)
+    rows = [x for k in range(90) for x in turns(k, "open" if k % 3 else f"o{k % 4}", "y" * int(r.integers(0, 9)), "z", *["y"] * (k % 2))]
+    rows += turns(200, "once", "y")
+    c = common.cut(preference.assembled(spark.createDataFrame(rows, TURNS)), "c")
+    said = {x["conv"]: [tuple(t) for t in x["turns"]] for x in c.collect()}
+    length = lambda k: sum(len(t) for role, t in said[k] if role == "assistant")
+    want = []
+    for first in {t[0] for t in said.values()}:
+        own = [k for k, t in said.items() if t[0] == first]
+        top = min(own, key=lambda k: (-length(k), k))
+        want += [(top, k) for k in own if k != top]
+    pairs = preference.opening_pairs(c).collect()
+    assert sorted((p["chosen_id"], p["rejected_id"]) for p in pairs) == sorted(want)
+    assert all([tuple(t) for t in p["chosen"]] == said[p["chosen_id"]] and [tuple(t) for t in p["rejected"]] == said[p["rejected_id"]] for p in pairs)
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
