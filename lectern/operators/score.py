@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..functions import patterns as P
-from .edits import Ambiguous, Edit, Policy, Refused, oversized, resolve
+from .edits import Edit, Passage, Policy, unlabelled
 
 REGION = "struct<source_start:int,source_end:int,source_text:string,output_text:string>"
 SCORE = (
@@ -65,31 +65,29 @@ def contained(region: dict, start: int, end: int) -> bool:
 
 
 def projected(codes: list, prepared: str, start: int, end: int) -> str:
-    """What stands in the output for source[start:end]."""
-    first = next((c + (start - a) * (tag == "equal") for tag, a, b, c, d in codes if a <= start < b or a == b == start), len(prepared))
-    last = next((c + end - a if tag == "equal" else d for tag, a, b, c, d in codes if a < end <= b), len(prepared))
-    return prepared[first : max(first, last)]
+    """What stands in the output for source[start:end]: from where the opcodes put its first character, or an insertion just
+    before it, to where they put its last one."""
+    ends = [len(prepared), len(prepared)]
+    for tag, a, b, c, d in reversed(codes):
+        same = tag == "equal"
+        if a <= start < b or a == b == start:
+            ends[0] = c + same * (start - a)
+        if a < end <= b:
+            ends[1] = c + end - a if same else d
+    return prepared[ends[0] : max(ends)]
+
+
+#: What a refusal counts as; the others count as unanchored.
+KINDS = {"elsewhere more than once": "ambiguous", "rewrite": "oversized", "summary": "oversized", "": None}
 
 
 def protocol(source: str, proposed: list[Edit], applied: int, refused: int, policy: Policy | None = None) -> dict:
-    """Why proposals did not survive, by the applier's own tests."""
-    spans, policy = exact.sentence_spans(source), policy or Policy()
-    out = dict.fromkeys(("label_only", "unanchored", "ambiguous", "oversized"), 0)
-    for edit in proposed:
-        bare = exact.strip_label(edit.original)
-        if bare is None:
-            out["label_only"] += 1
-            continue
-        try:
-            begin, end = resolve(source, spans, replace(edit, original=bare))
-        except Ambiguous as e:
-            # The message, not the type, counts: only one of the two ambiguous refusals has these words.
-            out["ambiguous" if "more than one" in str(e) else "unanchored"] += 1
-        except Refused:
-            out["unanchored"] += 1
-        else:
-            out["oversized"] += oversized(source[begin:end], edit.replacement, policy) is not None
-    return {"proposed": len(proposed), "applied": applied, "refused": refused, **out}
+    """Why proposals did not survive, by the rules of the applier on each by itself."""
+    passage, bare = Passage(source, policy or Policy()), unlabelled(proposed)
+    judged = passage.judged([e for e in bare if e is not None], (Passage.place, Passage.crosses, Passage.rewrites))
+    kinds = Counter(KINDS.get(j.rule, "unanchored") for j in judged)
+    counts = {"proposed": len(proposed), "applied": applied, "refused": refused, "label_only": bare.count(None)}
+    return counts | {k: kinds[k] for k in ("unanchored", "ambiguous", "oversized")}
 
 
 def score_case(

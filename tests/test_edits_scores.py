@@ -31,10 +31,10 @@ def test_wrong_sentence_number_is_put_right():
 def test_refusals():
     for edit, words in (
         (Edit(original="not there", sentence=1), "nowhere in the passage"), (Edit(original="The mill", sentence=2), "more than one other sentence"),
-        (Edit(original="e", sentence=1), "more than once in that sentence"), (Edit(original="  ", sentence=1), "no original text"),
-        (Edit(original="zzz", sentence=9), "does not exist"), (Edit(original="old [4].  The end", sentence=3), "paragraph break"),
-        (Edit(original="Nobody", replacement="Seven quite new words are put here", sentence=2), "rewrite"),
-        (Edit(original="Nobody", replacement="In summary, none", sentence=2), "summary-style"),
+        (Edit(original="e", sentence=1), "more than once"), (Edit(original="  ", sentence=1), "nothing is quoted"),
+        (Edit(original="zzz", sentence=9), "there is no sentence 9"), (Edit(original="old [4].  The end", sentence=3), "paragraph break"),
+        (Edit(original="Nobody", replacement="Seven quite new words are put here", sentence=2), "an adaptation may change in one edit"),
+        (Edit(original="Nobody", replacement="In summary, none", sentence=2), "as a summary does"),
     ):
         text, done, warnings = apply_edits(TEXT, [edit])
         assert text == TEXT and not done and len(warnings) == 1 and words in warnings[0], words
@@ -42,7 +42,7 @@ def test_refusals():
 
 def test_labels():
     text, done, warnings = apply_edits(TEXT, [Edit(original="2: Nobody", replacement="No one", sentence=2), Edit(original="3:", sentence=3)])
-    assert "No one came" in text and len(done) == 1 and warnings == ["Ignored 1 proposed edit that targeted the numbered view's sentence labels rather than the passage text."]
+    assert "No one came" in text and len(done) == 1 and warnings == ["Ignored 1 proposed edit that quoted only the labels of the numbered view."]
 
 
 def test_first_of_overlapping_edits_wins():
@@ -57,12 +57,12 @@ def test_paragraph_stays():
 def test_back_off_drops_the_heaviest():
     text = "aa bb cc dd ee ff gg hh"
     new, done, warnings = apply_edits(text, [Edit(original="aa bb", sentence=1), Edit(original="dd", sentence=1), Edit(original="ff", sentence=1)])
-    assert new == "aa bb cc ee gg hh" and [e.original for e in done] == ["dd", "ff"] and "undone" in warnings[0]
+    assert new == "aa bb cc ee gg hh" and [e.original for e in done] == ["dd", "ff"] and "together the edits cut more" in warnings[0]
 
 
 def test_typographic_quotes():
-    assert locate("He said “no” — twice", 'said "no" - twice') == (3, 20)
-    assert locate("a b", "a  b") == (0, 3)
+    assert locate("He said “no” — twice", 'said "no" - twice') == (1, 3, 20)
+    assert locate("a b", "a  b") == (1, 0, 3) and locate("a a", "a")[0] == 2 and locate("a", "")[0] == locate("a", "b")[0] == 0
 
 
 def test_splice_padding():
@@ -72,7 +72,7 @@ def test_splice_padding():
 
 
 def test_issues():
-    assert issues("a b c", " ")[0] == ["prepared text is blank"]
+    assert issues("a b c", " ")[0] == ["nothing is left of the text"]
     found, report = issues("one two three four", "This section describes nothing")
     assert len(found) == 2 and report["lexical_retention"] == 0
     assert issues("Said (Ng 1999, Li 2000) so", "Said so")[1]["lexical_retention"] == 1.0

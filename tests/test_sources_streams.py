@@ -112,10 +112,34 @@ def test_corpus(spark, tmp_path):
     rows = {r["id"]: r for r in corpus.read_cases(spark, str(tmp_path)).collect()}
     assert rows["core-1"]["issues"] == [] and rows["core-1"]["expect"][0]["start"] == 21 and rows["core-1"]["expect"][0]["sentence"] == 1
     assert "nothing differs" in rows["core-2"]["issues"][0] and "times" in rows["x"]["issues"][0] and "bait" in rows["trap-1"]["issues"][0]
+    assert [r["id"] for r in rows.values() if not r["issues"]] == ["core-1"]
     few = corpus.selected(corpus.read_cases(spark, str(tmp_path)), tiers=["core"], categories=["citation"], per_tier=1)
     assert [r["id"] for r in few.collect()] == ["core-1"]
 
 
+def test_every_rule_of_cases(spark, tmp_path):
+    source = "The mill burned down (Ng 1999, Li 2001). Nobody came to see it for years."
+    good = {"id": "a-1", "tier": "core", "categories": ["citation"], "source": source, "prepared": "The mill burned down. Nobody came to see it for years.", "expect": [{"anchor": "(Ng 1999, Li 2001)", "accept": [""], "category": "citation"}], "traps": []}
+    idle = {**good, "prepared": source, "expect": [], "categories": ["no_edit"], "tier": "noop"}
+    anchor = good["expect"][0]
+    odd = [
+        (good, []), (idle, []), ({**good, "id": "A_1"}, ["lower case", "file's name"]), ({**good, "tier": "x"}, ["unknown tier"]), ({**good, "tier": "trap"}, ["bait"]),
+        ({**good, "categories": []}, ["no category"]), ({**good, "categories": ["citation", "q"]}, ["unknown category “q”"]), ({**good, "source": " ", "expect": []}, ["blank"]),
+        ({**idle, "source": "# Part\n\nIt was so.", "prepared": "# Part\n\nIt was so."}, ["one unit of prose"]), ({**good, "expect": [{**anchor, "accept": []}]}, ["accepts nothing"]),
+        ({**good, "expect": [{**anchor, "category": "no_edit"}]}, ["no edit has the category"]), ({**good, "expect": [{**anchor, "anchor": "2001). Nobody"}]}, ["end of a sentence"]),
+        ({**good, "expect": [anchor, {**anchor, "anchor": "Li 2001"}]}, ["are both expected and overlap"]), ({**good, "traps": [{"span": "Ng 1999", "label": "t"}]}, ["the trap “t” forbids"]),
+        ({**good, "categories": ["citation", "no_edit"]}, ["does not go with"]), ({**good, "prepared": source}, ["nothing differs"]), ({**idle, "prepared": "x"}, ["has to be the source"]),
+        ({**idle, "categories": ["citation"]}, ["no_edit is wanted"]), ({**idle, "tier": "core"}, ["noop or robustness"]), ({**good, "expect": [{**anchor, "accept": ["", "in a great many words indeed here"]}]}, ["expect[0] as “in a great many"]),
+        ({**good, "prepared": "Else."}, ["the outcome is “The mill burned down."]), ({**good, "expect": [{**anchor, "anchor": ""}]}, ["it is empty"]),
+    ]
+    for n, (case, _) in enumerate(odd):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "a-1.json").write_text(json.dumps({**case, "notes": str(n)}))
+    got = {int(r["notes"]): r["issues"] for r in corpus.read_cases(spark, str(tmp_path)).collect()}
+    for n, (_, words) in enumerate(odd):
+        assert len(got[n]) == len(words) and all(any(w in x for x in got[n]) for w in words), (n, got[n])
+
+
 def test_voices(spark, tmp_path):
     for name, meta in (("anna", '{"ref_text": "hello", "instruct": "warm"}'), ("bert", "{not json")):
         (tmp_path / name).mkdir()
