@@ -1,16 +1,16 @@
 """Approximate nearest neighbours by score-aware quantisation, for largest cosine.
 
 Vectors are scaled to length one and cut into pairs of dimensions, each coded in four bits. Code
-books minimise an anisotropic loss: the part of the residual along the vector, which shifts large
-inner products, weighs more than the part across it. A query meets the codes through tables of
+books and codes minimise an anisotropic loss: the part of a vector's whole residual along the vector, which shifts
+large inner products, weighs more than the part across it. A query meets the codes through tables of
 its inner products with all 16 centres of each pair; sums over these tables rank the candidates,
 and exact double-precision cosines of the best replace them.
 
 Rows are dealt by a hash of their id into segments of bounded size, queries into blocks of
 bounded size, and each pair of block and segment is one unit of work that reports at most k rows
 a query: no list of candidates is sent. Within it the best codes are scored exactly; then every
-row whose table sum plus the largest possible error (the length of its residual) still reaches
-the k-th best score is scored too. Groups of near copies, whose codes agree, are thus told apart
+row whose table sum, given both parts of its residual, still admits the k-th best score is scored too: a small
+part along the vector makes this bound tight for near rows. Groups of near copies, whose codes agree, are thus told apart
 exactly and no limit on candidates can hide a neighbour.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
@@ -52,44 +52,88 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
+
+
+def residuals(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    return x - books[np.arange(len(books)), codes].reshape(len(x), -1)
+
+
+def _assigned(x: np.ndarray, books: np.ndarray, parallel: float, codes: np.ndarray | None = None, sweeps: int = 2) -> np.ndarray:
+    """Codes that lower the loss of whole vectors, by coordinate descent: the pairs take turns, each choosing the centre
+    that is best given the part along the vector that the other pairs' residuals leave."""
+    v = x.reshape(len(x), -1, 2)
+    if codes is None:
+        codes = np.stack([((v[:, p, None] - c) ** 2).sum(axis=2).argmin(axis=1) for p, c in enumerate(books)], axis=1)
+    codes = codes.copy()
+    along = (residuals(x, codes, books).reshape(v.shape) * v).sum(axis=2)
+    total, rows = along.sum(axis=1), np.arange(len(x))
+    for _ in range(sweeps):
+        for p, c in enumerate(books):
+            r = v[:, p, None] - c
+            own = (r * v[:, p, None]).sum(axis=2)
+            others = total - along[:, p]
+            codes[:, p] = ((r**2).sum(axis=2) + (parallel - 1) * (others[:, None] + own) ** 2).argmin(axis=1)
+            along[:, p] = own[rows, codes[:, p]]
+            total = others + along[:, p]
+    return codes
+
+
 def fit_books(sample: np.ndarray, rounds: int = 8, seed: int = 1, parallel: float = PARALLEL) -> np.ndarray:
     """(pairs, 16, 2) centres. Vectors are unit rows; an odd last dimension is paired with zeros.
 
-    For each pair of dimensions, vectors go to the centre of least weighted loss |r|^2 + (w - 1) (r . u)^2
-    with u the vector's own direction there; each centre then solves its 2 x 2 normal equations.
+    The loss of a vector x with residual r is |r|^2 + (w - 1) (r . x)^2, over all its pairs at once: residuals of
+    several pairs along x may cancel. Codes are assigned by coordinate descent, then each centre in turn solves
+    its 2 x 2 normal equations, given the other pairs' residuals.
     """
     x = _even(sample)
     r = np.random.default_rng(seed)
-    books = np.zeros((x.shape[1] // 2, 16, 2))
-    for p in range(len(books)):
-        v = x[:, 2 * p : 2 * p + 2]
-        c = v[r.choice(len(v), 16, replace=len(v) < 16)].copy()
-        for _ in range(rounds):
-            a = _nearest(v, c, v, parallel)
+    v = x.reshape(len(x), -1, 2)
+    books = np.stack([v[r.choice(len(v), 16, replace=len(v) < 16), p] for p in range(v.shape[1])])
+    codes = None
+    for _ in range(rounds):
+        codes = _assigned(x, books, parallel, codes)
+        along = (residuals(x, codes, books).reshape(v.shape) * v).sum(axis=2)
+        total = along.sum(axis=1)
+        for p in range(len(books)):
+            u, others = v[:, p], total - along[:, p]
             for k in range(16):
-                own = v[a == k]
-                if len(own):
-                    m = len(own) * np.eye(2) + (parallel - 1) * own.T @ own
-                    c[k] = np.linalg.solve(m, (own * (1 + (parallel - 1) * (own**2).sum(axis=1, keepdims=True))).sum(axis=0))
-        books[p] = c
+                own = codes[:, p] == k
+                if own.any():
+                    m = np.count_nonzero(own) * np.eye(2) + (parallel - 1) * u[own].T @ u[own]
+                    pull = others[own] + (u[own] ** 2).sum(axis=1)
+                    books[p, k] = np.linalg.solve(m, (u[own] * (1 + (parallel - 1) * pull[:, None])).sum(axis=0))
+            along[:, p] = ((u - books[p, codes[:, p]]) * u).sum(axis=1)
+            total = others + along[:, p]
     return books
 
 
-def _even(x: np.ndarray) -> np.ndarray:
-    return np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
-
-
-def _nearest(v: np.ndarray, c: np.ndarray, u: np.ndarray, parallel: float) -> np.ndarray:
-    r = v[:, None, :] - c[None]
-    return ((r**2).sum(axis=2) + (parallel - 1) * (r * u[:, None, :]).sum(axis=2) ** 2).argmin(axis=1)
+def loss(x: np.ndarray, codes: np.ndarray, books: np.ndarray, parallel: float = PARALLEL) -> np.ndarray:
+    r = residuals(x, codes, books)
+    return (r**2).sum(axis=1) + (parallel - 1) * (r * x).sum(axis=1) ** 2
 
 
 def encode(unit: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n, pairs) below 16 and the length of each residual."""
+    """Codes (n, pairs) below 16, and of each residual the part along its vector and the length of the part across."""
     x = _even(unit)
-    codes = np.stack([_nearest(x[:, 2 * p : 2 * p + 2], c, x[:, 2 * p : 2 * p + 2], PARALLEL) for p, c in enumerate(books)], axis=1).astype(np.uint8)
-    back = books[np.arange(len(books)), codes].reshape(len(x), -1)
-    return codes, np.linalg.norm(x - back, axis=1)
+    codes = _assigned(x, books, PARALLEL)
+    r = residuals(x, codes, books)
+    along = (r * x).sum(axis=1)
+    return codes.astype(np.uint8), np.stack([along, np.sqrt(np.maximum(0, (r**2).sum(axis=1) - along**2))])
+
+
+def least_sums(score: float, parts: np.ndarray) -> np.ndarray:
+    """The table sum below which no row reaches a score.
+
+    With x the row's unit vector, q the query's, s their product and r = a x + b y the row's residual (y across x),
+    q . r is at most a s + b sqrt(1 - s^2), so the sum s - q . r is at least (1 - a) s - b sqrt(1 - s^2), which rises
+    with s from 0 on. For lower scores the whole length of the residual bounds q . r.
+    """
+    along, across = parts
+    if score < 0:
+        return score - np.hypot(along, across)
+    return score * (1 - along) - across * np.sqrt(max(0.0, 1 - score * score))
 
 
 def packed(codes: np.ndarray) -> np.ndarray:
@@ -120,27 +164,31 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def best(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray,
-    residuals: np.ndarray, books: np.ndarray, k: int,
-) -> pd.DataFrame:
-    """The k rows of a segment nearest to each query of a block."""
-    out = []
-    slack = residuals.astype(np.float32) + np.float32(1e-5)
+    parts: np.ndarray, books: np.ndarray, k: int,
+) -> tuple[pd.DataFrame, int]:
+    """The k rows of a segment nearest to each query of a block, and how many rows beyond the first were scored."""
+    out, units, extra = [], _units(vectors), 0
     for at in range(0, len(queries), 64):
         block = queries[at : at + 64]
-        sums = scan(_units(block), codes, books)
-        for q, own, sum_ in zip(query_ids[at : at + 64].tolist(), block, sums, strict=True):
+        own_units = _units(block)
+        sums = scan(own_units, codes, books)
+        for q, own, unit, sum_ in zip(query_ids[at : at + 64].tolist(), block, own_units, sums, strict=True):
             other = ids != q
             first = np.argpartition(-sum_, min(FIRST, len(ids) - 1))[:FIRST]
             first = first[other[first]]
             score = cosines(own, vectors[first])
             least = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
-            more = np.setdiff1d(np.flatnonzero(other & (sum_ + slack >= least)), first)
+            may = other & (sum_ >= least_sums(least, parts) - 1e-5) if len(score) >= k else other.copy()
+            may[first] = False
+            more = np.flatnonzero(may)
+            extra += len(more)
+            more = more[units[more] @ unit >= least - 1e-9]  # only these can matter in the order of exact sums
             first = np.concatenate([first, more])
             score = np.concatenate([score, cosines(own, vectors[more])])
             order = np.lexsort((ids[first], -score))[:k]
             out.append((np.full(len(order), q), ids[first[order]], score[order]))
     a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c}), extra
 
 
 def nearest(
@@ -173,13 +221,13 @@ def nearest(
     def index(frame: pd.DataFrame) -> pd.DataFrame:
         d, segment = int(frame["d"].iloc[0]), int(frame["segment"].iloc[0])
         x = np.stack(frame["v"].to_numpy()).astype(np.float64)
-        codes, residuals = encode(_units(x), sent.value[d])
+        codes, parts = encode(_units(x), sent.value[d])
         return pd.DataFrame({
             "d": [d], "segment": [segment], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()],
-            "codes": [packed(codes).tobytes()], "residuals": [residuals.tobytes()],
+            "codes": [packed(codes).tobytes()], "parts": [parts.tobytes()],
         })
 
-    stored = "d int, segment int, ids binary, vectors binary, codes binary, residuals binary"
+    stored = "d int, segment int, ids binary, vectors binary, codes binary, parts binary"
     segments = common.cut(parts.groupBy("d", "segment").applyInPandas(index, stored), "segments")
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:
@@ -199,9 +247,9 @@ def nearest(
                 yield best(
                     np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.queries, np.float64).reshape(-1, d),
                     np.frombuffer(r.ids, np.int64), np.frombuffer(r.vectors, np.float64).reshape(-1, d),
-                    np.frombuffer(r.codes, np.uint8).reshape(-1, (d + 3) // 4), np.frombuffer(r.residuals, np.float64),
+                    np.frombuffer(r.codes, np.uint8).reshape(-1, (d + 3) // 4), np.frombuffer(r.parts, np.float64).reshape(2, -1),
                     sent.value[d], k,
-                )
+                )[0]
 
     # A segment meets all blocks in one task, so neither side is sent again after the join.
     tasks = max(1, min(MOST_TASKS, sum(c[1] for c in counts)))

@@ -438,8 +438,46 @@ def test_scan_is_the_coded_product():
     r = np.random.default_rng(4)
     x = neighbours._units(r.normal(size=(50, 9)))
     books = neighbours.fit_books(x)
-    codes, residuals = neighbours.encode(x, books)
+    codes, parts = neighbours.encode(x, books)
     back = books[np.arange(5), codes].reshape(50, -1)
     got = neighbours.scan(x[:3], neighbours.packed(codes), books)
     assert np.allclose(got, neighbours._even(x[:3]) @ back.T, atol=1e-5)
-    assert (np.abs(got - x[:3] @ x.T) <= residuals + 1e-5).all()
+    true = x[:3] @ x.T
+    assert (np.abs(got - true) <= np.hypot(*parts) + 1e-5).all()
+    for i in range(3):
+        for s in (-0.5, 0.0, 0.3, 0.9, 1.0):
+            reach = true[i] >= s
+            assert (got[i][reach] >= neighbours.least_sums(s, parts)[reach] - 1e-5).all()
+
+
+def test_codes_lower_the_whole_loss():
+    r = np.random.default_rng(5)
+    x = neighbours._units(r.normal(size=(600, 16)))
+    books, plain = neighbours.fit_books(x), neighbours.fit_books(x, parallel=1.0)
+    v = x.reshape(600, 8, 2)
+    near = lambda b: np.stack([((v[:, p, None] - b[p]) ** 2).sum(axis=2).argmin(axis=1) for p in range(8)], axis=1)
+    codes = neighbours._assigned(x, books, 4.0, sweeps=6)
+    assert neighbours.loss(x, codes, books).mean() < min(neighbours.loss(x, near(books), books).mean(), neighbours.loss(x, near(plain), plain).mean())
+    for p in range(8):  # no single code of a row could be better, given its others
+        for k in range(16):
+            other = codes.copy()
+            other[:, p] = k
+            assert (neighbours.loss(x, other, books) >= neighbours.loss(x, codes, books) - 1e-9).mean() > 0.98
+    along = lambda c, b: np.abs((neighbours.residuals(x, c, b) * x).sum(axis=1)).mean()
+    assert along(codes, books) < 0.6 * along(near(plain), plain)
+
+
+def test_few_rows_are_scored_exactly():
+    """On random directions, the hardest case, and on groups: the answers of brute force, and the share scored."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 32))
+    for x, most in ((r.normal(size=(4000, 32)), 0.25), (centres[r.integers(0, 40, 4000)] + 0.15 * r.normal(size=(4000, 32)), 0.05)):
+        u = neighbours._units(x)
+        books = neighbours.fit_books(u[:1000])
+        codes, parts = neighbours.encode(u, books)
+        q = np.arange(0, 4000, 50)
+        got, extra = neighbours.best(q, x[q], np.arange(4000), x, neighbours.packed(codes), parts, books, 5)
+        score = u[q] @ u.T
+        score[np.arange(len(q)), q] = -2
+        want = np.argsort(-score, axis=1)[:, :5]
+        assert (got["vec_id"].to_numpy().reshape(-1, 5) == want).all() and extra / (len(q) * 4000) < most
