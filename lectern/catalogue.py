@@ -7,8 +7,12 @@ heading mark, citations, a scene break, a closing line. A book is a source.
 
 from __future__ import annotations
 
+import html
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +80,7 @@ def units(spark: SparkSession, folder: str) -> DataFrame:
 # Text
 
 
-def _clean_sql() -> str:
-    out = CHAPTER
+def _clean_sql(out: str = CHAPTER) -> str:
     for pattern, to in P.CLEANUP:
         pattern, to = pattern.replace(r"(?=\S)", r"(\S)"), to.replace("$1 ", r"\1 \2") if "(?=" in pattern else to.replace("$1", r"\1")
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
@@ -177,31 +180,21 @@ SELECT doc_id, round(len(b) / greatest(1, len(a))::DOUBLE, 6) AS ratio, len(b) >
 def expansion_check(spark, folder):
     p = table(spark, folder, "documents").select("doc_id", F.expr(CHAPTER).alias("t"))
     more = F.concat("t", F.repeat(F.lit(" more"), (F.col("doc_id") % 90).cast("int")))
-    a, b = (F.char_length(N.strip(N.mask_citations(c))) for c in (F.col("t"), more))
-    p = p.select("doc_id", a.alias("a"), b.alias("b"))
-    return p.select("doc_id", F.round(F.col("b") / F.greatest(F.lit(1), "a"), 6).alias("ratio"), (F.col("b") > F.greatest(F.col("a") * P.EXPANSION, F.col("a") + P.EXPANSION_SLACK)).alias("expanded"))
+    return p.select("doc_id", edits.expansion(F.col("t"), more).alias("x")).select("doc_id", F.round("x.ratio", 6).alias("ratio"), "x.expanded")
 
 
 @query(
-    f"""WITH p AS (SELECT conv_id, turn, left(text, 200) AS a, replace(left(text, 200), 'th', 't') AS b FROM conversations),
+    f"""WITH p AS (SELECT conv_id, turn, text AS a, replace(text, 'th', 't') AS b FROM conversations),
 x AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest({_TOKENS("a")}) AS w FROM p) GROUP BY ALL),
 y AS (SELECT conv_id, turn, w, count(*) AS m FROM (SELECT conv_id, turn, unnest({_TOKENS("b")}) AS w FROM p) GROUP BY ALL),
 c AS (SELECT conv_id, turn, sum(abs(coalesce(n, 0) - coalesce(m, 0))) AS changed FROM x FULL JOIN y USING (conv_id, turn, w) GROUP BY ALL)
 SELECT coalesce(changed, 0)::INTEGER AS changed, count(*) AS n FROM p LEFT JOIN c USING (conv_id, turn) GROUP BY ALL"""
 )
 def words_changed(spark, folder):
-    a = F.left("text", F.lit(200))
-    rows = table(spark, folder, "conversations").select(edits.words_changed(a, F.replace(a, F.lit("th"), F.lit("t"))).alias("changed"))
+    rows = table(spark, folder, "conversations").select(edits.words_changed(F.col("text"), F.replace("text", F.lit("th"), F.lit("t"))).cast("int").alias("changed"))
     return rows.groupBy("changed").agg(F.count("*").alias("n"))
 
 
-@query()
-def words_changed_whole(spark, folder):
-    """words_changed of whole texts; the SQL of words_changed compares their first 200 characters."""
-    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.replace("text", F.lit("th"), F.lit("t")).alias("b"))
-    return edits.words_changed_by_word(rows, ("conv_id", "turn"), "a", "b").groupBy("changed").agg(F.sum("rows").alias("n"))
-
-
 @query(f"""SELECT conv_id, turn, sha256({_SQUEEZE("translate(concat('“', text, '”—‘x’'), '“”—‘’', '\"\"-''''')")}) AS sha FROM conversations""")
 def fold_collapse(spark, folder):
     t = F.concat(F.lit("“"), "text", F.lit("”—‘x’"))
@@ -270,7 +263,10 @@ def prepared_units(spark, folder):
     return rows.select("book_id", "chapter_index", "position", "kind", "unit_id", "prepared_text", "prepared_sha256", F.size("edits").alias("n_edits"), F.size("warnings").alias("n_warnings"), F.size("issues").alias("n_issues"))
 
 
-@query()
+@query(
+    f"""SELECT doc_id::INTEGER AS chapter_index, {_TRIM(f"replace(replace({CHAPTER}, ' (Smith 1999, Jones 2001)', ''), ' [7]', '')")} AS prepared_text,
+ ((doc_id % 4 = 0)::INTEGER + (doc_id % 6 = 0)::INTEGER) AS n_applied, 3 - ((doc_id % 4 = 0)::INTEGER + (doc_id % 6 = 0)::INTEGER) AS n_warnings, 1.0::DOUBLE AS lexical_retention FROM documents"""
+)
 def apply_edits(spark, folder):
     near = F.substring("text", 1, 40)
     one = F.struct(F.lit("citation").alias("category"), F.lit("(Smith 1999, Jones 2001)").alias("original"), F.lit("").alias("replacement"), F.lit("").alias("reason"), F.lit(1).alias("sentence"))
@@ -327,6 +323,22 @@ def cache_misses(spark, folder):
     return artifact.resumed(*_cache(spark, folder))[1].select("doc_id", "cache_key")
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, doc_id % 2 = 1 AS hit, {_TRIM("coalesce(text, '')")} AS t, CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 11 = 0 THEN concat({_TRIM("coalesce(text, '')")}, repeat(' more', 200)) ELSE {_TRIM("coalesce(text, '')")} END AS s FROM documents),
+m AS (SELECT *, CASE WHEN hit THEN {_TRIM("s")} ELSE t END AS p, len({_TRIM(_MASK("t"))}) AS a, len({_TRIM(_MASK("CASE WHEN hit THEN s ELSE t END"))}) AS b FROM d)
+SELECT doc_id, hit AS cache_hit, (CASE WHEN p = '' THEN 1 ELSE (b > greatest(a * 1.6, a + 240))::INTEGER END) AS n_issues FROM m"""
+)
+def cache_revalidated(spark, folder):
+    """Answers of a store, some of them spoilt, judged anew; what the store lacks is answered by one that changes nothing."""
+    text = N.strip(F.coalesce("text", F.lit("")))
+    asked = table(spark, folder, "documents").select("doc_id", F.lit("prose").alias("kind"), text.alias("source_text"))
+    spoilt = F.when(F.col("doc_id") % 7 == 0, " ").when(F.col("doc_id") % 11 == 0, F.concat("source_text", F.repeat(F.lit(" more"), F.lit(200)))).otherwise(F.col("source_text"))
+    none = F.array().cast("array<string>")
+    cached = F.struct(spoilt.alias("prepared_text"), F.array().cast(f"array<{edits.EDIT}>").alias("edits"), none.alias("warnings"), F.lit("silent").alias("provider"), F.lit("none").alias("model"))
+    rows = asked.withColumn("cached", F.when(F.col("doc_id") % 2 == 1, cached))
+    return prepare.answered(rows, "silent").select("doc_id", "cache_hit", F.size("issues").alias("n_issues"))
+
+
 def _cache(spark, folder) -> tuple[DataFrame, DataFrame]:
     key = N.sha256(F.concat("lang", F.lit("\x1f"), "text"))
     asked = table(spark, folder, "documents").select("doc_id", key.alias("cache_key"))
@@ -335,22 +347,14 @@ def _cache(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    """SELECT source AS book_id, '# ' || source || chr(10) || chr(10) || '_Prepared by rules_' || chr(10) || chr(10) || string_agg('## Chapter ' || doc_id || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS markdown
-FROM (SELECT source, doc_id, left(regexp_replace(text, '\\s+', ' ', 'g'), 50).trim() AS t FROM documents) GROUP BY source"""
+    f"""SELECT DISTINCT source AS book_id, NULL::BIGINT AS chapter_index, '# ' || source || chr(10) || chr(10) || '_Prepared by rules_' AS markdown FROM documents
+UNION ALL SELECT * FROM (SELECT source, doc_id, {_TRIM("CASE WHEN lower(regexp_replace(string_split(text, chr(10))[1], '^#+ *', '')) = 'chapter ' || doc_id THEN text ELSE '## Chapter ' || doc_id || chr(10) || chr(10) || text END")} AS markdown FROM documents) WHERE markdown <> ''"""
 )
 def book_markdown(spark, folder):
-    body = F.trim(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(50)))
-    rows = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), F.concat(F.lit("Chapter "), "doc_id").alias("title"), body.alias("prepared_text"))
-    books = rows.select("book_id", F.col("book_id").alias("title"), F.lit("rules").alias("provider")).distinct()
-    return artifact.markdown(rows, books)
-
-
-@query()
-def book_markdown_whole(spark, folder):
-    """The Markdown of whole documents, a row a part; the SQL of book_markdown renders their first 50 characters."""
+    """The Markdown of whole documents, a row a part."""
     rows = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), F.concat(F.lit("Chapter "), "doc_id").alias("title"), F.col("text").alias("prepared_text"))
     books = rows.select("book_id", F.col("book_id").alias("title"), F.lit("rules").alias("provider")).distinct()
-    return artifact.markdown_parts(rows, books)
+    return artifact.markdown(rows, books)
 
 
 @query(
@@ -435,19 +439,54 @@ def nearest_heading(spark, folder):
 SELECT book_id, page, lead(page) OVER (PARTITION BY book_id ORDER BY page) - 1 AS end_page FROM e"""
 )
 def next_boundary(spark, folder):
-    w = Window.partitionBy("book_id").orderBy("page")
-    rows = table(spark, folder, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("page"))
-    return rows.withColumn("end_page", F.lead("page").over(w) - 1)
+    marks = table(spark, folder, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("page"))
+    return outline.bounded(marks).select("book_id", "page", (F.col("next") - 1).alias("end_page"))
+
+
+def _epub(number: int, text: str) -> bytes:
+    """An EPUB of a text: a chapter, apparatus with a chapter behind an anchor, and a document out of the reading order.
+    Its contents are in a navigation document, in an NCX, or, for every fifth number, missing."""
+    page = lambda body: f"<html><head><title>no</title></head><body>{body}</body></html>"
+    lines = "".join(f"<p>{html.escape(line)}</p>" for line in text.split("\n"))
+    entries = ((f"Chapter {number}", "a.xhtml"), ("Bibliography", "b.xhtml"), (f"After {number}", "b.xhtml#on"), ("Lost", "gone.xhtml"))
+    nav = page('<nav epub:type="toc"><ol>' + "".join(f'<li><a href="text/{h}">{t}</a></li>' for t, h in entries) + "</ol></nav>").replace("<html>", '<html xmlns:epub="e">')
+    points = "".join(f'<navPoint><navLabel><text>{t}</text></navLabel><content src="text/{h}"/></navPoint>' for t, h in entries)
+    kind = 0 if number % 5 == 0 else 1 + number % 2
+    items = [("a", "text/a.xhtml", "application/xhtml+xml", ""), ("b", "text/b.xhtml", "application/xhtml+xml", ""), ("c", "text/c.xhtml", "application/xhtml+xml", ""), ("i", "i.png", "image/png", "")]
+    items += [[], [("n", "nav.xhtml", "application/xhtml+xml", "nav")], [("x", "toc.ncx", P.NCX_TYPE, "")]][kind]
+    manifest = "".join(f'<item id="{i}" href="{h}" media-type="{m}"' + (f' properties="{q}"' if q else "") + "/>" for i, h, m, q in items)
+    spine = '<itemref idref="a"/><itemref idref="i"/><itemref idref="zz"/><itemref idref="c" linear="no"/><itemref idref="b"/>'
+    files = {
+        "META-INF/container.xml": '<container><rootfiles><rootfile full-path="in/book.opf"/></rootfiles></container>',
+        "in/book.opf": f"<package><metadata><title>T</title></metadata><manifest>{manifest}</manifest><spine>{spine}</spine></package>",
+        "in/text/a.xhtml": page(f"<h1>Chapter {number}</h1>{lines}"), "in/text/c.xhtml": page("<p>Never read</p>"),
+        "in/text/b.xhtml": page(f'<p>Works named above</p><div id="on"><p>After {number} it <b>went</b> on.</p></div>'), "in/nav.xhtml": nav, "in/toc.ncx": f"<ncx><navMap>{points}</navMap></ncx>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in files.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+_PAGE = f"array_to_string(list_prepend('# Chapter ' || doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_SQUEEZE('x')}), lambda x: x <> '')), chr(10) || chr(10))"
 
 
 @query(
-    """SELECT l_orderkey AS book_id, l_linenumber AS ordinal, p_partkey AS item, p_name AS href FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 20 AND l_returnflag <> 'R'"""
+    f"""WITH t AS (SELECT doc_id, {_clean_sql(_PAGE)} AS one, doc_id % 5 = 0 AS bare FROM documents),
+u AS (SELECT doc_id, 0 AS k, 'Chapter ' || doc_id AS title, one AS source_text FROM t WHERE bare OR len(list_filter(string_split(one, chr(10)), lambda x: {_TRIM("x")} <> '' AND NOT starts_with({_TRIM("x")}, '#'))) > 0
+UNION ALL SELECT doc_id, 1, CASE WHEN bare THEN 'Section 2' ELSE 'After ' || doc_id END, CASE WHEN bare THEN 'Works named above' || chr(10) || chr(10) || 'After ' || doc_id || ' it went on.' ELSE '# After ' || doc_id || ' it went on.' END FROM t)
+SELECT 'b' || doc_id AS path, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS chapter_index, title, source_text, NULL::VARCHAR AS error FROM u"""
 )
-def spine_scan(spark, folder):
-    """Spine items joined to the manifest entries of readable types; others drop out before the join."""
-    spine = table(spark, folder, "lineitem").filter("l_returnflag != 'R'").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("item"))
-    manifest = table(spark, folder, "part").filter("p_size <= 20").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("href"))
-    return spine.join(manifest, "item").select("book_id", "ordinal", "item", "href")
+def epub_chapters(spark, folder):
+    """Chapters of EPUB files made of whole documents, by their contents' entries or by their spine."""
+
+    @F.pandas_udf("binary")
+    def made(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_epub(i, t or "") for i, t in zip(ids, texts, strict=True)])
+
+    files = table(spark, folder, "documents").select(F.concat(F.lit("b"), "doc_id").alias("path"), made("doc_id", "text").alias("content"))
+    return markup.epub_chapters(files)
 
 
 @query(
@@ -477,11 +516,8 @@ def interval_overlaps(spark, folder):
 
 @query(f"WITH x AS ({_SPANS}), e AS (SELECT * FROM x WHERE k % 2 = 0), r AS (SELECT * FROM x WHERE k % 2 = 1) SELECT r.doc_id, r.k FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = r.doc_id AND e.s <= r.s AND r.s + r.n <= e.s + e.n)")
 def unexpected_regions(spark, folder):
-    """Changed regions that no expected span contains: an anti-join on the case with containment as its condition."""
     x = _spans(spark, folder)
-    r, e = x.filter("k % 2 = 1").alias("r"), x.filter("k % 2 = 0").alias("e")
-    inside = (F.col("r.doc_id") == F.col("e.doc_id")) & (F.col("e.start") <= F.col("r.start")) & (F.col("r.end") <= F.col("e.end"))
-    return r.join(e, inside, "left_anti").select("r.doc_id", "r.k")
+    return score.uncontained(x.filter("k % 2 = 1"), x.filter("k % 2 = 0"), "doc_id").select("doc_id", "k")
 
 
 # Reports
@@ -591,7 +627,7 @@ def benchmark_report(spark, folder):
 def omitted_sampling(spark, folder):
     known = F.array(*map(F.lit, ("min_p", "seed", "temperature", "top_k")))
     given = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("seed"), F.lit("top_k"))).otherwise(F.array(F.lit("top_k")))
-    return table(spark, folder, "documents").select("doc_id", F.sort_array(F.array_except(known, given)).alias("omitted"))
+    return table(spark, folder, "documents").select("doc_id", score.omitted(known, given).alias("omitted"))
 
 
 # Voices and audio
@@ -639,7 +675,10 @@ def loudness_match(spark, folder):
     return done.select("vec_id", F.round("gain_db", 5).alias("gain_db"), F.round("active_rms_after", 5).alias("active_rms_after"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT label, len(embedding) AS n, lag(vec_id) OVER w AS before, sum(len(embedding)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sofar FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+SELECT label AS chapter_index, sum(CASE WHEN before IS NULL THEN n WHEN before % 3 = 0 THEN n - least(30, n) ELSE n + 150 END)::INTEGER AS n_samples FROM s GROUP BY label"""
+)
 def assembled_audio(spark, folder):
     rows = _signals(spark, folder).select(F.col("label").alias("chapter_index"), F.col("vec_id").alias("chunk_index"), F.when(F.col("vec_id") % 3 == 0, "continuation").otherwise("paragraph").alias("boundary_after"), "samples")
     return audio.chapter_audio(rows, ("chapter_index",), 1000).select("chapter_index", F.size("samples").alias("n_samples"))
@@ -656,14 +695,14 @@ def chapter_timeline(spark, folder):
 
 
 @query(
-    """SELECT conv_id, string_agg('[CHAPTER]' || chr(10) || 'title=' || replace(regexp_replace(left(text, 30) || ' = #1;', '([\\\\=;#])', '\\\\\\1', 'g'), chr(10), ' '), chr(10) ORDER BY turn) AS metadata FROM conversations GROUP BY conv_id"""
+    r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x, len(coalesce(text, ''))::BIGINT * 60 AS ms FROM conversations),
+w AS (SELECT *, sum(ms) OVER (PARTITION BY conv_id ORDER BY turn) AS stop FROM t)
+SELECT conv_id, turn, concat('[CHAPTER]', chr(10), 'TIMEBASE=1/1000', chr(10), 'START=', (stop - ms)::BIGINT, chr(10), 'END=', stop::BIGINT, chr(10), 'title=', replace(regexp_replace(x || ' = #1;', '([\\=;#])', '\\\1', 'g'), chr(10), ' '), chr(10), chr(10)) AS block FROM w"""
 )
 def chapter_metadata(spark, folder):
-    title = N.escape_metadata(F.concat(F.left("text", F.lit(30)), F.lit(" = #1;")))
-    line = F.concat(F.lit("[CHAPTER]\ntitle="), title)
-    rows = table(spark, folder, "conversations").select("conv_id", "turn", line.alias("line"))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "line")))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("metadata"))
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.concat(text, F.lit(" = #1;")).alias("title"), (F.char_length(text).cast("long") * 60).alias("duration_ms"))
+    return audio.chapter_blocks(audio.timeline(rows, "conv_id", "turn")).select("conv_id", "turn", "block")
 
 
 @query(

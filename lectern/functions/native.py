@@ -142,10 +142,23 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(mask_citations(c)), F.lit(r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?)"), F.lit(1))
 
 
+def bag_difference(a: Column, b: Column) -> Column:
+    """Size of the symmetric multiset difference of two arrays of words: one fold over both, sorted together, in which an
+    element of one array adds one to its run's balance and an element of the other takes one off."""
+    side = lambda xs, n: F.transform(xs, lambda x: F.struct(x.alias("word"), F.lit(n).alias("by")))
+    both = F.array_sort(F.concat(side(a, 1), side(b, -1)))
+    state = lambda word, balance, total: F.struct(word.cast("string").alias("word"), balance.cast("int").alias("balance"), total.cast("long").alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["word"].eqNullSafe(x["word"])
+        return state(x["word"], F.when(same, s["balance"]).otherwise(0) + x["by"], s["total"] + F.when(same, 0).otherwise(F.abs(s["balance"])))
+
+    return F.aggregate(both, state(F.lit(None), F.lit(0), F.lit(0)), step, lambda s: s["total"] + F.abs(s["balance"]))
+
+
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    """Size of the multiset intersection of two arrays of words."""
+    return ((F.size(a) + F.size(b) - bag_difference(a, b)) / 2).cast("long")
 
 
 def is_summary_lead(c: Column) -> Column:

@@ -121,14 +121,6 @@ def _section() -> Column:
 
 
 def markdown(chapters: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, markdown): title, provider, and each chapter under its title, unless its text opens with it."""
-    rows = joined_text(chapters.withColumn("_b", _section()), ("book_id",), "chapter_index", "_b", "body")
-    return books.select("book_id", "title", "provider").join(rows, "book_id").select(
-        "book_id", F.format_string("# %s\n\n_Prepared by %s_\n\n%s\n", "title", "provider", "body").alias("markdown")
-    )
-
-
-def markdown_parts(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """(book_id, chapter_index, markdown): a row for each chapter that is not blank, and one without chapter_index for title and
     provider. A book's parts in order, nulls first, with a blank line between them and a line end make its markdown;
     no book has to be one string. Each book has at least one chapter."""

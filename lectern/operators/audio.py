@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import native
 from ..functions import patterns as P
 from .running import total_before
 
@@ -212,6 +213,12 @@ def metadata_lines(book: str, author: str) -> str:
     return f";FFMETADATA1\ntitle={book}\nartist={author}\n"
 
 
+def chapter_blocks(chapters: DataFrame, title: str = "title") -> DataFrame:
+    """chapters (with start_ms and end_ms, as timeline() gives them) with `block`, the lines of each one's metadata."""
+    lines = ("[CHAPTER]", "TIMEBASE=1/1000", "START=%d", "END=%d", "title=%s")
+    return chapters.withColumn("block", F.format_string("\n".join(lines) + "\n\n", "start_ms", "end_ms", native.escape_metadata(F.col(title))))
+
+
 def loudnorm_filter(measured: dict | None = None) -> str:
     """The filter of the first pass, or with its measurements of the second."""
     base = f"loudnorm=I={P.LUFS:g}:TP={P.TRUE_PEAK:g}:LRA={P.LOUDNESS_RANGE:g}"

@@ -77,6 +77,19 @@ def projected(codes: list, prepared: str, start: int, end: int) -> str:
     return prepared[ends[0] : max(ends)]
 
 
+def uncontained(regions: DataFrame, expected: DataFrame, case: str) -> DataFrame:
+    """Changed regions (case, start, end, ...) that no expected span of their case contains: an equi-join on the case, with
+    containment as its condition."""
+    r, e = regions.alias("r"), expected.alias("e")
+    inside = (F.col(f"r.{case}") == F.col(f"e.{case}")) & (F.col("e.start") <= F.col("r.start")) & (F.col("r.end") <= F.col("e.end"))
+    return r.join(e, inside, "left_anti")
+
+
+def omitted(known: Column, given: Column) -> Column:
+    """Options that a model was left to choose by itself, in order."""
+    return F.sort_array(F.array_except(known, given))
+
+
 #: What a refusal counts as; the others count as unanchored.
 KINDS = {"elsewhere more than once": "ambiguous", "rewrite": "oversized", "summary": "oversized", "": None}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -14,11 +15,11 @@ from ..operators import score
 from ..operators.edits import EDIT, apply_edits
 from .providers import preparers
 
-ATTEMPT = f"prepared_text string, proposed array<{EDIT}>, applied array<{EDIT}>, warnings array<string>, error string"
+ATTEMPT = f"prepared_text string, proposed array<{EDIT}>, applied array<{EDIT}>, warnings array<string>, error string, seconds double"
 
 
 def attempts(cases: DataFrame, variants: DataFrame) -> DataFrame:
-    """Each case answered by each variant (label, model, repetition, seed); a failure is a row with its error.
+    """Each case answered by each variant (label, model, repetition, seed) in so many seconds; a failure is a row with its error.
 
     Variants are what a person asked for, a few rows: each case is repeated for each of them. Rows are
     dealt by variant, so that a task makes a model once.
@@ -33,14 +34,15 @@ def attempts(cases: DataFrame, variants: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text, name, seed in zip(batch["source"], batch["model"], batch["seed"], strict=True):
+                begun = time.perf_counter()
                 try:
                     model = models.get(name) or models.setdefault(name, preparers.create(name))
                     proposed = model.propose(text, int(seed))
                     new, done, warnings = apply_edits(text, proposed)
-                    out.append((new.strip(), [asdict(e) for e in proposed], [asdict(e) for e in done], warnings, None))
+                    out.append((new.strip(), [asdict(e) for e in proposed], [asdict(e) for e in done], warnings, None, time.perf_counter() - begun))
                 except Exception as e:  # a provider may fail in any way; the run goes on
-                    out.append((text, [], [], [], f"{type(e).__name__}: {e}"))
-            yield pd.concat([batch, pd.DataFrame(out, columns=["prepared_text", "proposed", "applied", "warnings", "error"], index=batch.index)], axis=1)
+                    out.append((text, [], [], [], f"{type(e).__name__}: {e}", time.perf_counter() - begun))
+            yield pd.concat([batch, pd.DataFrame(out, columns=["prepared_text", "proposed", "applied", "warnings", "error", "seconds"], index=batch.index)], axis=1)
 
     return rows.mapInPandas(run, f"{kinds}, {ATTEMPT}").withColumnRenamed("prepared", "gold")
 

@@ -156,8 +156,14 @@ def parsed_response(body: str) -> tuple[list[Edit], list[str]]:
     return [Edit.of(e) for e in edits], warnings
 
 
+#: The versions that requests are made for; a score belongs to the version it was reached with.
+PROMPT_VERSIONS = ("v4", "v5", "v6")
+
+
 def request_body(passage: str, title: str = "", before: str = "", after: str = "", prompt_version: str = "v6", policy: str = "") -> str:
-    """The passage as numbered sentences with its context, as JSON for a model."""
+    """The passage as numbered sentences with its context, as JSON for a model. Unknown versions are refused."""
+    if prompt_version not in PROMPT_VERSIONS:
+        raise ValueError(f"no requests are made for version {prompt_version!r}; known: {', '.join(PROMPT_VERSIONS)}")
     return json.dumps(
         {"prompt_version": prompt_version, "policy": policy, "chapter_title": title, "previous_context_do_not_edit": before, "numbered_passage_to_prepare": exact.numbered_view(passage), "following_context_do_not_edit": after},
         ensure_ascii=False, indent=2,

@@ -221,8 +221,8 @@ class Epub:
 CHAPTERS = "path string, chapter_index int, title string, source_text string, error string"
 
 
-def read_epubs(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each chapter of the EPUB files below a path; a file that cannot be read has one with its error."""
+def epub_chapters(files: DataFrame) -> DataFrame:
+    """A row for each chapter of EPUB files (path, content); a file that cannot be read has one with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -234,5 +234,10 @@ def read_epubs(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((at, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHAPTERS.split(", ")]).astype({"chapter_index": "Int32"})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(path)
     return files.select("path", "content").mapInPandas(run, CHAPTERS)
+
+
+def read_epubs(spark: SparkSession, path: str) -> DataFrame:
+    """The chapters of the EPUB files below a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(path)
+    return epub_chapters(files)

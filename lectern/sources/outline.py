@@ -89,16 +89,21 @@ def join_pages(pages: list[str | None]) -> str:
     return out
 
 
+def bounded(marks: DataFrame) -> DataFrame:
+    """(book_id, page, next): the pages on which a chapter or a part begins, each with the one after it; null for a book's last."""
+    bounds = marks.select("book_id", "page").distinct()
+    return bounds.withColumn("next", F.lead("page").over(Window.partitionBy("book_id").orderBy("page")))
+
+
 def marked_chapters(marks: DataFrame, pages: DataFrame) -> DataFrame:
     """(book_id, chapter_index, title, source_text) from aligned marks.
 
     A chapter ends before the next boundary page after its own; chapters that share a page share its text.
     """
-    bounds = marks.select("book_id", "page").distinct()
-    bounds = bounds.withColumn("b", F.lead("page").over(Window.partitionBy("book_id").orderBy("page")))
+    bounds = bounded(marks)
     last = pages.groupBy("book_id").agg(F.max("page_no").alias("last"))
     starts = marks.filter("narrated").select("book_id", "title", "page").distinct()
-    spans = starts.join(bounds, ["book_id", "page"]).join(last, "book_id").withColumn("end", F.coalesce(F.col("b") - 1, "last"))
+    spans = starts.join(bounds, ["book_id", "page"]).join(last, "book_id").withColumn("end", F.coalesce(F.col("next") - 1, "last"))
     inside = spans.withColumn("page_no", F.explode(F.sequence("page", F.greatest("page", "end")))).filter("page_no <= end")
     clean = pages.select("book_id", "page_no", native.drop_page_numbers(F.col("markdown")).alias("markdown"))
     text = inside.join(clean, ["book_id", "page_no"]).groupBy("book_id", "title", "page").agg(F.sort_array(F.collect_list(F.struct("page_no", "markdown"))).alias("p"))

@@ -142,7 +142,7 @@ def test_words_changed_counts_whole_texts(spark, tmp_path):
         a, b = (Counter(exact.tokens(x)) for x in (t or "", (t or "").replace("th", "t")))
         n = sum((a - b).values()) + sum((b - a).values())
         want[n] = want.get(n, 0) + 1
-    got = {r["changed"]: r["n"] for r in catalogue.QUERIES["words_changed_whole"](spark, str(tmp_path)).collect()}
+    got = {r["changed"]: r["n"] for r in catalogue.QUERIES["words_changed"](spark, str(tmp_path)).collect()}
     assert got == want and sum(got.values()) == len(texts) and max(got) > 100
 
 

@@ -41,8 +41,8 @@ def test_artifacts_round_trip_and_tampering(spark, tmp_path):
     (tmp_path / "books" / "other.json").write_text('{"a": 1}')
     (tmp_path / "books" / files.MANIFEST_NAME).write_text('{"schema_version": 1, "chapters": []}')
     assert files.prepared_scripts(spark, str(tmp_path / "books")).count() == 2
-    text = {r["book_id"]: r["markdown"] for r in artifact.markdown(rows, books).collect()}
-    assert text["b"] == "# Book b\n\n_Prepared by rules_\n\n## One\n\nIt burned. All of it was gone.\n\n# Two\n\nMore of it stood.\n"
+    parts = [r["markdown"] for r in artifact.markdown(rows, books).filter("book_id = 'b'").orderBy("chapter_index").collect()]
+    assert "\n\n".join(parts) + "\n" == "# Book b\n\n_Prepared by rules_\n\n## One\n\nIt burned. All of it was gone.\n\n# Two\n\nMore of it stood.\n"
 
 
 def test_newest_and_metadata(spark, tmp_path):
@@ -94,16 +94,13 @@ def test_review(spark):
 def test_book_markdown_renders_whole_documents(spark, tmp_path):
     docs = [(2, "b", " Two.\n\n" + "long text " * 40), (1, "b", "# chapter 1\nOwn title"), (3, "a", ""), (4, "a", "short\n"), (5, "a", None)]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    parts = catalogue.QUERIES["book_markdown_whole"](spark, str(tmp_path)).collect()
+    parts = catalogue.QUERIES["book_markdown"](spark, str(tmp_path)).collect()
     got = {}
     for r in sorted(parts, key=lambda r: (r["book_id"], r["chapter_index"] or 0)):
         got[r["book_id"]] = got.get(r["book_id"], []) + [r["markdown"]]
     chapter = lambda k, t: t if k == 1 else f"## Chapter {k}\n\n{t}"
     want = {b: [f"# {b}\n\n_Prepared by rules_"] + [chapter(k, t).strip() for k, s, t in sorted(docs, key=lambda d: d[0]) if s == b and t is not None] for b in ("a", "b")}
     assert got == want
-    rows = spark.createDataFrame([(s, k, f"Chapter {k}", t) for k, s, t in docs], "book_id string, chapter_index long, title string, prepared_text string")
-    books = rows.select("book_id", F.col("book_id").alias("title"), F.lit("rules").alias("provider")).distinct()
-    assert {r["book_id"]: r["markdown"] for r in artifact.markdown(rows, books).collect()} == {b: "\n\n".join(x) + "\n" for b, x in want.items()}
 
 
 def test_benchmark_report_takes_every_document_whole(spark, tmp_path):
