@@ -102,7 +102,18 @@ def skip_section_flags(spark, folder):
     return table(spark, folder, "pages").select("page_id", title.alias("title")).withColumn("skipped", N.is_skipped_section(F.col("title")))
 
 
-@query()
+def _markdown_sql() -> str:
+    out, blocks = "coalesce(html, '')", "|".join(P.BLOCK_TAGS)
+    for pattern, to in (
+        ("\\s+", "' '"), ("<![dD][oO][cC][^>]*>|<!--.*?-->|<head>.*?</head>|<script\\b.*?</script>|<style\\b.*?</style>", "''"), ("<h1\\b[^>]*>", "concat(chr(10), chr(10), '# ')"),
+        (f"</?({blocks}|h1)\\b[^>]*>", "concat(chr(10), chr(10))"), ("<br\\b[^>]*>", "chr(10)"), ("</?[a-zA-Z][^>]*>", "''"), ("&quot;?", "'\"'"), ("&middot;?", "'·'"), ("&copy;?", "'©'"), ("&amp;?", "'&'"),
+        (" +", "' '"), (" ?\\n ?", "chr(10)"), ("\\n{3,}", "concat(chr(10), chr(10))"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', {to}, 'g')"
+    return _TRIM(out)
+
+
+@query(f"SELECT page_id, {_markdown_sql()} AS markdown FROM pages")
 def html_to_markdown(spark, folder):
     return markup.to_markdown(table(spark, folder, "pages")).select("page_id", "markdown")
 
