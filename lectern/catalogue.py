@@ -252,12 +252,61 @@ def global_chunk_limit(spark, folder):
     return chunk.first_chunks(rows, 12).select("book_id", "chapter_index", "chunk_index")
 
 
-@query()
+def _packs(pieces: str, glue: str, most: int) -> str:
+    """Neighbours of a list joined while they fit, as a list, in SQL."""
+    return f"""string_split(list_reduce(list_transform({pieces}, lambda it: {{'a': it, 'n': len(it)}}), lambda so, it: CASE WHEN so.n + {len(glue)} + it.n > {most} THEN {{'a': so.a || chr(31) || it.a, 'n': it.n}}
+ ELSE {{'a': so.a || '{glue}' || it.a, 'n': so.n + {len(glue)} + it.n}} END).a, chr(31))"""
+
+
+_GLUE = "CASE WHEN {0} = 'continuation' THEN ' ' ELSE chr(10) || chr(10) END"
+_SHORT = "(" + _GLUE.format("l[{0}].b") + ").len() + l[{0}].n + l[{0} + 1].n <= 700 AND l[{0}].b <> 'scene'"
+_ONE = "[{{'n': (" + _GLUE.format("l[{0}].b") + ").len() + l[{0}].n + l[{0} + 1].n, 'b': l[{0} + 1].b, 'upto': l[{0} + 1].upto}}]"
+#: Sections, paragraphs, sentences, clauses and words of chapters, packed, joined and merged, step by step.
+CHUNKS = f"""WITH RECURSIVE {BLOCKS},
+w AS (SELECT book_id, chapter_index, position, text, {_SQUEEZE("CASE WHEN text LIKE '#%' THEN ltrim(text, '# ') ELSE text END")} AS words FROM bl),
+e AS (SELECT *, CASE WHEN regexp_full_match(text, '(\\*\\s*){{3,}}|-{{3,}}|_{{3,}}|~{{3,}}') THEN 'S' WHEN words = '' THEN '' WHEN text LIKE '#%' AND regexp_matches(words, '^\\p{{Lu}}') THEN 'H' ELSE 'P' END AS kind FROM w),
+f AS (SELECT *, count(*) FILTER (WHERE kind IN ('H', 'S')) OVER o AS sec, count(*) FILTER (WHERE kind IN ('P', 'S')) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own,
+ count(*) FILTER (WHERE kind = 'P') OVER o AS ps FROM e WHERE kind <> '' WINDOW o AS (PARTITION BY chapter_index ORDER BY position)),
+hd AS (SELECT chapter_index, own, string_agg(words, chr(10) || chr(10) ORDER BY position) AS heads FROM f WHERE kind = 'H' GROUP BY ALL),
+tops AS (SELECT chapter_index, max(own) AS last, coalesce(max(sec) FILTER (WHERE kind = 'P'), 0) AS sec, max(ps) AS ps, coalesce(max(position) FILTER (WHERE kind IN ('P', 'S')), -1) AS upto FROM f GROUP BY ALL),
+pa AS (SELECT book_id, f.chapter_index, sec, position, CASE WHEN heads IS NULL THEN '' ELSE heads || chr(10) || chr(10) END || words AS text FROM f LEFT JOIN hd USING (chapter_index, own) WHERE kind = 'P'
+ UNION ALL SELECT book_id, f.chapter_index, tops.sec, position, words FROM f JOIN tops USING (chapter_index) WHERE kind = 'H' AND position > upto),
+sc AS (SELECT DISTINCT p.chapter_index, p.sec FROM f p JOIN f s ON s.chapter_index = p.chapter_index AND s.kind = 'S' AND s.ps = p.ps AND p.kind = 'P' AND s.position > p.position),
+st AS (SELECT chapter_index, position, unnest(l) AS text, generate_subscripts(l, 1) AS s, len(l) AS many, whole FROM (SELECT chapter_index, position, text AS whole,
+ list_filter(list_transform(string_split(regexp_replace(text, '([.!?])["''”’)]*\\s+([A-Z0-9"''“‘(\\[])', '\\1' || chr(31) || '\\2', 'g'), chr(31)), lambda x: {_TRIM('x')}), lambda x: x <> '') AS l FROM pa WHERE len(text) > 700)),
+se AS (SELECT chapter_index, position, s, CASE WHEN many < 2 THEN whole ELSE text END AS text FROM st),
+cl AS (SELECT chapter_index, position, s, unnest(l) AS text, generate_subscripts(l, 1) AS c FROM (SELECT chapter_index, position, s,
+ CASE WHEN len(text) <= 700 THEN [text] ELSE list_filter(string_split(regexp_replace(text, '([,;:—]|--)\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: x <> '') END AS l FROM se)),
+cw AS (SELECT chapter_index, position, s, flatten(list(CASE WHEN len(text) <= 700 THEN [text] ELSE {_packs("list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')", " ", 700)} END ORDER BY c)) AS l FROM cl GROUP BY ALL),
+sp AS (SELECT chapter_index, position, flatten(list({_packs("l", " ", 700)} ORDER BY s)) AS l FROM cw GROUP BY ALL),
+pp AS (SELECT book_id, pa.chapter_index, sec, pa.position, CASE WHEN len(text) <= 700 THEN [text] ELSE {_packs("coalesce(l, [''])", " ", 700)} END AS l FROM pa LEFT JOIN sp USING (chapter_index, position)),
+p0 AS (SELECT book_id, chapter_index, sec, position, unnest(l) AS text, generate_subscripts(l, 1) AS k, len(l) AS many FROM pp),
+p1 AS (SELECT *, row_number() OVER (PARTITION BY chapter_index, sec ORDER BY position DESC, k DESC) = 1 AS ends FROM p0),
+pc AS (SELECT book_id, chapter_index, p1.sec, position, k, text, CASE WHEN ends THEN CASE WHEN sc.sec IS NULL THEN 'section' ELSE 'scene' END WHEN k = many THEN 'paragraph' ELSE 'continuation' END AS b,
+ regexp_matches(text, '^(["''“‘]|[-—]\\s)') AS d FROM p1 LEFT JOIN sc USING (chapter_index, sec)),
+jn AS (SELECT book_id, chapter_index, sec, list_reduce(list({{'a': text || chr(30) || b, 'n': len(text), 'b': b, 'd': d}} ORDER BY position, k), lambda so, it: CASE WHEN so.n + (CASE WHEN so.b = 'continuation' THEN 1 ELSE 2 END) + it.n > 700 OR (so.n >= 500 AND NOT (so.d AND it.d))
+ THEN {{'a': so.a || chr(31) || it.a, 'n': it.n, 'b': it.b, 'd': it.d}} ELSE {{'a': left(so.a, len(so.a) - len(so.b) - 1) || {_GLUE.format('so.b')} || it.a, 'n': so.n + (CASE WHEN so.b = 'continuation' THEN 1 ELSE 2 END) + it.n, 'b': it.b, 'd': it.d}} END).a AS a FROM pc GROUP BY ALL),
+ch0 AS (SELECT book_id, chapter_index, sec, unnest(string_split(a, chr(31))) AS a, generate_subscripts(string_split(a, chr(31)), 1) AS k FROM jn),
+ch1 AS (SELECT book_id, chapter_index, row_number() OVER (PARTITION BY chapter_index ORDER BY sec, k) AS i, string_split(a, chr(30))[1] AS text, string_split(a, chr(30))[2] AS b FROM ch0),
+ms AS (SELECT chapter_index, 1::BIGINT AS k, list({{'n': len(text), 'b': b, 'upto': i}} ORDER BY i) AS l FROM ch1 GROUP BY ALL
+ UNION ALL SELECT chapter_index, CASE WHEN l[k].n >= 300 OR len(l) = 1 THEN k + 1 WHEN k < len(l) AND {_SHORT.format('k')} THEN k WHEN k > 1 AND {_SHORT.format('(k - 1)')} THEN k - 1 ELSE k + 1 END,
+ CASE WHEN l[k].n >= 300 OR len(l) = 1 THEN l WHEN k < len(l) AND {_SHORT.format('k')} THEN l[:k - 1] || {_ONE.format('k')} || l[k + 2:] WHEN k > 1 AND {_SHORT.format('(k - 1)')} THEN l[:k - 2] || {_ONE.format('(k - 1)')} || l[k + 1:] ELSE l END FROM ms WHERE k <= len(l)),
+md AS (SELECT chapter_index, unnest(l) AS x, generate_subscripts(l, 1) AS j FROM ms WHERE k > len(l)),
+mu AS (SELECT chapter_index, j, x.b AS b, x.upto AS upto, coalesce(lag(x.upto) OVER (PARTITION BY chapter_index ORDER BY j), 0) AS past FROM md),
+fin AS (SELECT book_id, mu.chapter_index, (j - 1)::INTEGER AS chunk_index, mu.b AS boundary_after, string_agg(text || CASE WHEN i = upto THEN '' ELSE {_GLUE.format('ch1.b')} END, '' ORDER BY i) AS text FROM mu JOIN ch1 ON ch1.chapter_index = mu.chapter_index AND i > past AND i <= upto GROUP BY ALL),
+cx AS (SELECT *, len(text)::INTEGER AS char_count, coalesce(lag(text) OVER o, '') AS p, coalesce(lead(text) OVER o, '') AS n FROM fin WINDOW o AS (PARTITION BY chapter_index ORDER BY chunk_index))"""
+
+
+@query(
+    f"""{CHUNKS} SELECT book_id, chapter_index, chunk_index, boundary_after, char_count, text,
+ CASE WHEN len(p) <= 240 THEN p WHEN contains(right(p, 240), ' ') THEN regexp_replace(right(p, 240), '^[^ ]* ', '', 's') ELSE right(p, 240) END AS previous_context,
+ CASE WHEN len(n) <= 240 THEN n WHEN contains(left(n, 240), ' ') THEN regexp_replace(left(n, 240), ' [^ ]*$', '', 's') ELSE left(n, 240) END AS following_context FROM cx"""
+)
 def chunk_plan(spark, folder):
     return chunk.chunk_plan(chapters(spark, folder)).select("book_id", "chapter_index", "chunk_index", "boundary_after", "char_count", "text", "previous_context", "following_context")
 
 
-@query()
+@query(f"{CHUNKS} SELECT book_id, count(*) AS chunks, min(char_count) AS min_chars, max(char_count) AS max_chars, count(*) FILTER (WHERE char_count > 700) AS oversized FROM cx GROUP BY book_id")
 def chunk_summary(spark, folder):
     return chunk.plan_summary(chunk.chunk_plan(chapters(spark, folder)))
 
