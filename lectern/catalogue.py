@@ -311,13 +311,40 @@ def chunk_summary(spark, folder):
     return chunk.plan_summary(chunk.chunk_plan(chapters(spark, folder)))
 
 
-@query()
+_ABBREVIATED = "(^|[^\\p{L}\\p{N}_])([A-Z]|" + "|".join(P.ABBREVIATIONS) + ")\\.$"
+#: Units for a provider: normalized blocks, prose packed between the other kinds, overlong paragraphs by their sentences.
+PROVIDED = f"""WITH {CHAPTERS}, l AS (SELECT book_id, chapter_index, title, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM("x")}), lambda x: x <> '') AS l FROM ch),
+nb AS (SELECT book_id, chapter_index, title, unnest(m) AS text, generate_subscripts(m, 1) AS pos FROM (SELECT book_id, chapter_index, title, list_filter(list_transform(l, lambda x: CASE WHEN {_HEAD.replace("text", "x")} OR {_SCENE.replace("text", "x")} THEN regexp_replace(x, '[ \\t]+', ' ', 'g')
+ ELSE {_TRIM("regexp_replace(regexp_replace(x, '([\\p{L}\\p{N}_])-[ \\t]+([\\p{L}\\p{N}_])', '\\1-\\2', 'g'), '[ \\t]+', ' ', 'g')")} END), lambda x: x <> '') AS m FROM l)),
+nk AS (SELECT *, {KIND} AS kind FROM nb),
+nr AS (SELECT *, sum((kind <> 'prose')::INTEGER) OVER (PARTITION BY chapter_index ORDER BY pos) AS run FROM nk),
+ns AS (SELECT chapter_index, pos, string_split(list_reduce(string_split(regexp_replace(text, '([.!?]["''”’)\\]]*(\\[[\\d\\s,;-]+\\])?["''”’)\\]]*)\\s+(["''“‘(\\[]*[A-Z0-9])', '\\1' || chr(31) || '\\3', 'g'), chr(31)),
+ lambda so, it: CASE WHEN regexp_matches(string_split(so, chr(31))[-1], '{_ABBREVIATED}') THEN so || ' ' || it ELSE so || chr(31) || it END), chr(31)) AS spans FROM nr WHERE kind = 'prose' AND len(text) > 6000),
+np AS (SELECT book_id, nr.chapter_index, title, run, nr.pos, CASE WHEN len(spans) > 1 THEN {_packs("spans", " ", 6000)} ELSE [text] END AS parts FROM nr LEFT JOIN ns USING (chapter_index, pos) WHERE kind = 'prose'),
+ng AS (SELECT book_id, chapter_index, title, run, list_reduce(list_transform(flatten(list(parts ORDER BY pos)), lambda it: {{'a': it, 'n': len(it)}}), lambda so, it: CASE WHEN so.n + 2 + it.n > 6000 OR so.n >= 3500
+ THEN {{'a': so.a || chr(31) || it.a, 'n': it.n}} ELSE {{'a': so.a || chr(10) || chr(10) || it.a, 'n': so.n + 2 + it.n}} END).a AS a FROM np GROUP BY ALL),
+nu AS (SELECT book_id, chapter_index, title, run, 1 AS half, unnest(string_split(a, chr(31))) AS text, generate_subscripts(string_split(a, chr(31)), 1) AS k, 'prose' AS kind FROM ng
+ UNION ALL SELECT book_id, chapter_index, title, run, 0, text, 0, kind FROM nr WHERE kind <> 'prose'),
+pu AS (SELECT book_id, chapter_index, title, (row_number() OVER (PARTITION BY chapter_index ORDER BY run, half, k) - 1)::INTEGER AS position, kind, text FROM nu)"""
+
+
+@query(
+    f"""{PROVIDED}, w AS (SELECT *, last_value(CASE WHEN kind = 'prose' THEN text END IGNORE NULLS) OVER (PARTITION BY chapter_index ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+ first_value(CASE WHEN kind = 'prose' THEN text END IGNORE NULLS) OVER (PARTITION BY chapter_index ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM pu)
+SELECT book_id, chapter_index, position, kind, text,
+ CASE WHEN kind <> 'prose' OR p IS NULL THEN '' WHEN len(p) <= 600 THEN p WHEN contains(right(p, 600), ' ') THEN regexp_replace(right(p, 600), '^[^ ]* ', '', 's') ELSE right(p, 600) END AS previous_context,
+ CASE WHEN kind <> 'prose' OR f IS NULL THEN '' WHEN len(f) <= 600 THEN f WHEN contains(left(f, 600), ' ') THEN regexp_replace(left(f, 600), ' [^ ]*$', '', 's') ELSE left(f, 600) END AS following_context FROM w"""
+)
 def provider_units(spark, folder):
     rows = prepare.normalized(chapters(spark, folder), "text")
     return segment.units(rows)
 
 
-@query()
+@query(
+    f"""{PROVIDED}, x AS (SELECT *, {_TRIM("CASE WHEN kind = 'prose' THEN replace(replace(text, ' (Smith 1999, Jones 2001)', ''), ' [7]', '') ELSE text END")} AS prepared_text FROM pu)
+SELECT book_id, chapter_index, position, kind, 'chapter-' || lpad(chapter_index::VARCHAR, greatest(4, len(chapter_index::VARCHAR))::INTEGER, '0') || '-unit-' || lpad(position::VARCHAR, 4, '0') || '-' || left(sha256(text), 12) AS unit_id, prepared_text, sha256(prepared_text) AS prepared_sha256,
+ CASE WHEN kind = 'prose' THEN contains(text, ' (Smith 1999, Jones 2001)')::INTEGER + contains(text, ' [7]')::INTEGER ELSE 0 END AS n_edits, 0 AS n_warnings, 0 AS n_issues FROM x"""
+)
 def prepared_units(spark, folder):
     rows = prepare.prepared_units(chapters(spark, folder).withColumnRenamed("text", "source_text"))
     return rows.select("book_id", "chapter_index", "position", "kind", "unit_id", "prepared_text", "prepared_sha256", F.size("edits").alias("n_edits"), F.size("warnings").alias("n_warnings"), F.size("issues").alias("n_issues"))
