@@ -122,5 +122,64 @@ def test_pooling_by_brute_force(monkeypatch):
     assert np.allclose(net.features(texts), want, atol=1e-4)
 
 
+def test_gradients_by_differences():
+    r = np.random.default_rng(4)
+    net = toxicity.Network.new()
+    net.taps, net.bias = ([x + r.normal(scale=0.3, size=x.shape) for x in own] for own in (net.taps, net.bias))
+    net.out, net.embedding = net.out + r.normal(scale=0.3, size=net.out.shape), net.embedding.astype(np.float64)
+    dense = [*net.taps, *net.bias, net.out]
+    own = np.array([toxicity.buckets(w) for w in toxicity.tokens("one two three four two one")], np.int32)
+
+    def loss(label):
+        grads = [np.zeros(x.shape) for x in dense]
+        g, _, _ = toxicity.backward(net, own, label, 1.0, grads)
+        p = g + label
+        return -(label * np.log(p) + (1 - label) * np.log(1 - p))
+
+    for label in (0.0, 1.0):
+        grads = [np.zeros(x.shape) for x in dense]
+        g, touched, values = toxicity.backward(net, own, label, 1.0, grads)
+        total = np.zeros_like(net.embedding)
+        np.add.at(total, np.concatenate(touched).ravel(), np.concatenate(values).reshape(-1, total.shape[1]))
+        for x, grad in [*zip(dense, grads, strict=True), (net.embedding, total)]:
+            some = np.argsort(-np.abs(grad), axis=None)[:6]
+            for at in zip(*np.unravel_index(some, x.shape), strict=True):
+                held, step, seen = x[at], 1e-6, []
+                for way in (step, -step):
+                    x[at] = held + way
+                    seen.append(loss(label))
+                x[at] = held
+                assert abs((seen[0] - seen[1]) / (2 * step) - grad[at]) < 1e-4 * np.abs(grad).max() + 1e-6
+        net.out_bias += 1e-4
+        up = loss(label)
+        net.out_bias -= 2e-4
+        assert abs((up - loss(label)) / 2e-4 - g) < 1e-2
+        net.out_bias += 1e-4
+
+
+def test_thresholds_by_brute_force():
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        y = r.integers(0, 2, 30)
+        y[:2] = 0, 1
+        p = np.round(np.clip(0.3 * y + r.uniform(0, 0.7, 30), 0, 1), 2)
+        f1 = lambda t: 2 * ((p >= t) & (y == 1)).sum() / max(1, (p >= t).sum() + y.sum())
+        best = max(f1(t) for t in (*p, *(p + 1e-9)))
+        assert f1(toxicity.threshold(p, y)) >= 0.99 * best - 1e-9
+
+
+def test_held_out_toxicity(spark):
+    """Of documents that the training never saw: toxic ones score above the others, and most are told apart."""
+    folder = "/root/testdata/sf0.1"
+    docs = common.read(spark, folder, "documents").select("doc_id", "text", "lang").filter("doc_id < 5000")
+    labels = common.read(spark, folder, "labels").select("doc_id", "toxic")
+    seen = docs.filter(~common.held_out(F.col("doc_id")))
+    net = toxicity.train(seen, labels.join(seen.select("doc_id"), "doc_id"), language.train(seen, sample_per_language=300), sample=600)
+    rows = toxicity.score(docs.filter(common.held_out(F.col("doc_id"))), net).join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    toxic, rest = rows[rows.toxic == 1], rows[rows.toxic == 0]
+    above = np.mean(toxic["score"].to_numpy()[:, None] > rest["score"].to_numpy()[None])
+    assert len(toxic) > 30 and above > 0.9 and toxic["predicted"].mean() > 0.65 and rest["predicted"].mean() < 0.05
+
+
 def test_threshold_parts_the_kinds():
     assert 0.3 < toxicity.threshold(np.array([0.1, 0.3, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.8
