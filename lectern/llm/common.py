@@ -37,6 +37,10 @@ def words_column(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
 
 
+#: The temporary folder of a local session that names none.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one that the session names in spark.checkpoint.dir.
 
@@ -47,8 +51,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="lectern-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{re.sub(r'\W', '_', name)}-{uuid.uuid4().hex}"
 
 
@@ -59,6 +63,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    for made in _MADE:
+        made.append(out)
+    return out
+
+
+_MADE: list[list[DataFrame]] = []
+
+
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() cuts, after the other scratch tables that it made on the way are deleted."""
+    _MADE.append([])
+    try:
+        out = make()
+    finally:
+        made = _MADE.pop()
+    drop(*(df for df in made if df is not out))
     return out
 
 
