@@ -54,6 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.alone(lambda name=name, stage=stage, docs=docs: common.cut(stage(spark, docs, sf_dir), name))
+        if n:
+            common.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
