@@ -262,8 +262,7 @@ _GLUE = "CASE WHEN {0} = 'continuation' THEN ' ' ELSE chr(10) || chr(10) END"
 _SHORT = "(" + _GLUE.format("l[{0}].b") + ").len() + l[{0}].n + l[{0} + 1].n <= 700 AND l[{0}].b <> 'scene'"
 _ONE = "[{{'n': (" + _GLUE.format("l[{0}].b") + ").len() + l[{0}].n + l[{0} + 1].n, 'b': l[{0} + 1].b, 'upto': l[{0} + 1].upto}}]"
 #: Sections, paragraphs, sentences, clauses and words of chapters, packed, joined and merged, step by step.
-CHUNKS = f"""WITH RECURSIVE {BLOCKS},
-w AS (SELECT book_id, chapter_index, position, text, {_SQUEEZE("CASE WHEN text LIKE '#%' THEN ltrim(text, '# ') ELSE text END")} AS words FROM bl),
+_CHUNKS = f"""w AS (SELECT book_id, chapter_index, position, text, {_SQUEEZE("CASE WHEN text LIKE '#%' THEN ltrim(text, '# ') ELSE text END")} AS words FROM bl),
 e AS (SELECT *, CASE WHEN regexp_full_match(text, '(\\*\\s*){{3,}}|-{{3,}}|_{{3,}}|~{{3,}}') THEN 'S' WHEN words = '' THEN '' WHEN text LIKE '#%' AND regexp_matches(words, '^\\p{{Lu}}') THEN 'H' ELSE 'P' END AS kind FROM w),
 f AS (SELECT *, count(*) FILTER (WHERE kind IN ('H', 'S')) OVER o AS sec, count(*) FILTER (WHERE kind IN ('P', 'S')) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own,
  count(*) FILTER (WHERE kind = 'P') OVER o AS ps FROM e WHERE kind <> '' WINDOW o AS (PARTITION BY chapter_index ORDER BY position)),
@@ -297,6 +296,9 @@ fin AS (SELECT book_id, mu.chapter_index, (j - 1)::INTEGER AS chunk_index, mu.b
 cx AS (SELECT *, len(text)::INTEGER AS char_count, coalesce(lag(text) OVER o, '') AS p, coalesce(lead(text) OVER o, '') AS n FROM fin WINDOW o AS (PARTITION BY chapter_index ORDER BY chunk_index))"""
 
 
+CHUNKS = f"WITH RECURSIVE {BLOCKS}, {_CHUNKS}"
+
+
 @query(
     f"""{CHUNKS} SELECT book_id, chapter_index, chunk_index, boundary_after, char_count, text,
  CASE WHEN len(p) <= 240 THEN p WHEN contains(right(p, 240), ' ') THEN regexp_replace(right(p, 240), '^[^ ]* ', '', 's') ELSE right(p, 240) END AS previous_context,
@@ -410,6 +412,17 @@ def cache_misses(spark, folder):
     return artifact.resumed(*_cache(spark, folder))[1].select("doc_id", "cache_key")
 
 
+@query(f"WITH {CHAPTERS}, w AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) AS n FROM ch) SELECT book_id, chapter_index, title, sha256(text) AS sha FROM w WHERE n <= 3")
+def first_chapters(spark, folder):
+    rows = prepare.Options(preview_chapters=3).chapters(chapters(spark, folder))
+    return rows.select("book_id", "chapter_index", "title", N.sha256(F.col("text")).alias("sha"))
+
+
+@query(f"WITH {UNITS} SELECT book_id, chapter_index, position, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, position) AS done, count(*) OVER (PARTITION BY book_id) AS total FROM un WHERE kind = 'prose'")
+def preparation_progress(spark, folder):
+    return prepare.progress(units(spark, folder))
+
+
 @query(
     f"""WITH d AS (SELECT doc_id, doc_id % 2 = 1 AS hit, {_TRIM("coalesce(text, '')")} AS t, CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 11 = 0 THEN concat({_TRIM("coalesce(text, '')")}, repeat(' more', 200)) ELSE {_TRIM("coalesce(text, '')")} END AS s FROM documents),
 m AS (SELECT *, CASE WHEN hit THEN {_TRIM("s")} ELSE t END AS p, len({_TRIM(_MASK("t"))}) AS a, len({_TRIM(_MASK("CASE WHEN hit THEN s ELSE t END"))}) AS b FROM d)
@@ -696,6 +709,38 @@ def variants_cross(spark, folder):
     return score.variants(models, modes, blocked, 3)
 
 
+_MARK = "(Smith 1999, Jones 2001)"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, doc_id % 4 AS v, {_TRIM("coalesce(text, '')")} AS own FROM documents)
+SELECT doc_id, (v = 0)::INTEGER::DOUBLE AS recall, CASE WHEN v IN (0, 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, (v = 0)::INTEGER::DOUBLE AS exactness, v < 2 AS fidelity_pass,
+ CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 0.3 ELSE 0.0 END::DOUBLE AS score, v = 0 AS passed, v = 0 AS output_matches_gold,
+ CASE v WHEN 0 THEN 'exact' WHEN 2 THEN NULL ELSE 'missed' END AS status, CASE WHEN v IN (0, 2) THEN NULL ELSE '{_MARK}' END AS kept, (v = 3)::INTEGER AS n_unexpected, CASE WHEN v = 3 THEN 'substantive' END AS severity,
+ CASE WHEN v = 3 THEN 'opening' END AS trap_label, 1 AS unanchored, 0 AS ambiguous, 1 AS oversized, 1 AS label_only FROM d"""
+)
+def case_scores(spark, folder):
+    """Answers to cases made of whole documents: the gold one, none, an error, and the source with a word in front."""
+    d, own = F.col("doc_id") % 4, N.strip(F.coalesce("text", F.lit("")))
+    rows = table(spark, folder, "documents").select("doc_id", d.alias("v"), own.alias("gold"), F.concat(own, F.lit(f" {_MARK}")).alias("source"))
+    edit = lambda original, to="": F.struct(F.lit("citation").alias("category"), F.lit(original).alias("original"), F.lit(to).alias("replacement"), F.lit("").alias("reason"), F.lit(1).alias("sentence"))
+    at = F.char_length("gold") + 1
+    rows = rows.withColumns({
+        "expect": F.array(F.struct(F.lit(_MARK).alias("anchor"), F.array(F.lit("")).alias("accept"), F.lit("citation").alias("category"), F.lit("").alias("why"), at.alias("start"), (at + len(_MARK)).alias("end"), F.lit(0).alias("sentence"))),
+        "traps": F.array(F.struct(F.lit("").alias("span"), F.lit("opening").alias("label"), F.lit(0).alias("start"), F.lit(0).alias("end"))),
+        "prepared_text": F.when(F.col("v") == 0, F.col("gold")).when(F.col("v") == 3, F.concat(F.lit("Zq "), "source")).otherwise(F.col("source")),
+        "proposed": F.array(edit(_MARK), edit("zq nowhere zq"), edit("2:"), edit(_MARK, "q w e r t y u i")), "applied": F.array(edit(_MARK)), "warnings": F.array(F.lit("a"), F.lit("b"), F.lit("c")),
+        "error": F.when(F.col("v") == 2, "lost"),
+    })
+    done = score.scored(rows)
+    first, odd = F.get("outcomes", F.lit(0)), F.get("unexpected", F.lit(0))
+    return done.select(
+        "doc_id", "recall", "precision", "exactness", "fidelity_pass", F.round("score", 12).alias("score"), "passed", "output_matches_gold", first["status"].alias("status"),
+        F.expr("nullif(get(outcomes, 0).observed, '')").alias("kept"), F.size("unexpected").alias("n_unexpected"), odd["severity"].alias("severity"), odd["trap_label"].alias("trap_label"),
+        *[F.col(f"protocol.{c}").alias(c) for c in ("unanchored", "ambiguous", "oversized", "label_only")],
+    )
+
+
 @query()
 def benchmark_report(spark, folder):
     """Cases made from all whole documents with a citation added, answered by the rule-based stand-ins, scored and ranked."""
@@ -733,6 +778,15 @@ def voice_catalog(spark, folder):
     return voices.catalogue(own, names.select(F.col("n_name").alias("name")))
 
 
+@query(
+    """SELECT vec_id, printf('v%d: %.1fs from a.wav — %s', vec_id, len(embedding) / (10 + vec_id % 7)::DOUBLE, CASE WHEN vec_id % 3 = 0 THEN 'timbre only (no transcript)' ELSE 'timbre + prosody (transcript available)' END) AS line FROM embeddings"""
+)
+def voice_lines(spark, folder):
+    spec, text = F.concat(F.lit("v"), "vec_id"), F.when(F.col("vec_id") % 3 == 1, "said").when(F.col("vec_id") % 3 == 0, "").otherwise("more")
+    line = voices.described(spec, F.size("embedding"), 10 + F.col("vec_id") % 7, F.lit("a.wav"), text)
+    return table(spark, folder, "embeddings").select("vec_id", line.alias("line"))
+
+
 _RMS = """f AS (SELECT vec_id, label, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS peak,
  unnest(list_transform(range(8), lambda k: sqrt(list_sum(list_transform(embedding[k * 8 + 1 : k * 8 + 8], lambda x: x::DOUBLE * x::DOUBLE)) / 8))) AS r FROM embeddings),
 g AS (SELECT vec_id, label, peak, list(r) FILTER (WHERE r > 0.001) AS l, quantile_cont(r, 0.9) FILTER (WHERE r > 0.001) AS p FROM f GROUP BY ALL),
@@ -823,7 +877,13 @@ def progress_log(spark, folder):
     return resume.without_repeats(rows, "event_id", "line")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b0 AS (SELECT source AS book_id, doc_id::INTEGER AS chapter_index, '' AS title, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: {_TRIM("x")}), lambda x: x <> '') AS l FROM documents),
+bl AS (SELECT book_id, chapter_index, title, unnest(range(len(l)))::INTEGER AS position, unnest(l) AS text FROM b0), {_CHUNKS},
+d AS (SELECT *, floor(60 * greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))) / 1000 AS seconds FROM cx)
+SELECT book_id, chapter_index, chunk_index, boundary_after, char_count, round(seconds, 3)::DOUBLE AS duration_seconds, seconds BETWEEN 30 AND 90 AS duration_target_met,
+ round(0.1 / sqrt(2), 6)::DOUBLE AS active_rms_before, round(0.1 / sqrt(2), 6)::DOUBLE AS active_rms_after, 0.0::DOUBLE AS normalization_gain_db FROM d"""
+)
 def narration_manifest(spark, folder):
     """The dry run of narration carried through with the stand-in speaker: each chunk's length and loudness."""
     rows = table(spark, folder, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("chapter_index"), F.col("text").alias("prepared_text"))

@@ -19,6 +19,7 @@ from ..functions import exact, native
 from ..functions import patterns as P
 from ..operators import artifact, segment
 from ..operators.edits import EDIT, Policy, apply_edits, issues
+from ..operators.running import total_before
 from .providers import preparers
 
 PREPARED = f"prepared_text string, edits array<{EDIT}>, warnings array<string>, issues array<string>, provider string, model string, cache_hit boolean"
@@ -101,6 +102,19 @@ def first_chapters(chapters: DataFrame, most: int, book: str = "book_id", order:
     return chapters.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
 
 
+def progress(units: DataFrame, book: str = "book_id") -> DataFrame:
+    """(book, chapter_index, position, done, total) of the prose units: how many of a book's are done with each, in order.
+
+    Chapters are counted first, so no task holds a book's units.
+    """
+    prose = units.filter("kind = 'prose'").select(book, "chapter_index", "position")
+    counts = total_before(prose.groupBy(book, "chapter_index").agg(F.count("*").alias("n")), book, "chapter_index", "n", "before")
+    totals = prose.groupBy(book).agg(F.count("*").alias("total"))
+    within = F.row_number().over(Window.partitionBy(book, "chapter_index").orderBy("position"))
+    rows = prose.withColumn("k", within).join(counts.drop("n"), [book, "chapter_index"]).join(totals, book)
+    return rows.select(book, "chapter_index", "position", (F.col("k") + F.col("before")).cast("long").alias("done"), "total")
+
+
 @dataclass(frozen=True)
 class Options:
     """What a run is asked for. Bad values are refused before anything is read."""

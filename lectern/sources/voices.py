@@ -71,3 +71,14 @@ def resolved(wanted: DataFrame, voices: DataFrame) -> DataFrame:
     ways = voices.withColumn("w", F.explode(keys)).groupBy("w.key").agg(F.min_by(F.struct("spec", "kind", "audio_path", "ref_text", "instruct"), F.struct("w.p", "spec")).alias("v"))
     rows = wanted.join(ways, wanted["spec"] == ways["key"], "left")
     return rows.select(wanted["spec"], F.col("v.kind").alias("kind"), F.col("v.audio_path").alias("audio_path"), F.coalesce(wanted["ref_text"], "v.ref_text").alias("ref_text"), F.col("v.instruct").alias("instruct"))
+
+
+def found(voices: DataFrame, spec: str) -> DataFrame:
+    """The voice of this spec, if there is one."""
+    return voices.filter(F.col("spec") == spec)
+
+
+def described(spec: Column, samples: Column, rate: Column, source: Column, ref_text: Column) -> Column:
+    """What a model would hear of a voice, in one line."""
+    mode = F.when(F.coalesce(ref_text, F.lit("")) == "", "timbre only (no transcript)").otherwise("timbre + prosody (transcript available)")
+    return F.format_string("%s: %.1fs from %s — %s", spec, samples / rate, source, mode)
