@@ -589,6 +589,31 @@ def epub_chapters(spark, folder):
     return markup.epub_chapters(files)
 
 
+_PAGES = """p AS (SELECT (doc_id % 20)::INTEGER AS book_id, (doc_id // 20 + 1)::INTEGER AS page_no, CASE WHEN doc_id // 20 % 3 = 0 AND doc_id % 4 < 3 THEN concat(doc_id // 20 + 1, chr(10), 'Chapter ', doc_id % 20, chr(10), text) ELSE text END AS markdown FROM documents)"""
+_JOINED = "regexp_replace(it, '^#+[ \\t]*', '')"
+
+
+@query(
+    f"""WITH {_PAGES}, c AS (SELECT book_id, page_no, (page_no - 1) // 3 AS g, {_TRIM(f"regexp_replace(coalesce(markdown, ''), '{P.PAGE_NUMBER_LINE}', '', 'g')")} AS t FROM p WHERE book_id % 4 < 3),
+j AS (SELECT book_id, g, list_reduce(list(t ORDER BY page_no) FILTER (WHERE t <> ''), lambda so, it: CASE WHEN regexp_matches(ltrim(it, '#*_ `' || chr(9)), '^[\\p{{Ll}},;:)”’]') THEN CASE WHEN so LIKE '%-' THEN left(so, len(so) - 1) || {_JOINED} ELSE so || ' ' || {_JOINED} END
+ ELSE so || chr(10) || chr(10) || it END) AS x FROM c GROUP BY ALL),
+k AS (SELECT book_id, g, (g * 3 + 1) || ' Chapter ' || book_id AS title, {_clean_sql("x")} AS x FROM j),
+w AS (SELECT book_id, string_agg(coalesce(markdown, ''), chr(10) || chr(10) ORDER BY page_no) AS x FROM p WHERE book_id % 4 = 3 GROUP BY book_id)
+SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY g) - 1)::INTEGER AS chapter_index, title, sha256(CASE WHEN starts_with(lower(x), lower('Chapter ' || book_id)) THEN '# ' || x ELSE x END) AS sha FROM k WHERE x <> ''
+UNION ALL SELECT book_id, 0, 'Audiobook', sha256({_clean_sql(f"regexp_replace(x, '{P.PAGE_NUMBER_LINE}', '', 'g')")}) FROM w"""
+)
+def paged_chapters(spark, folder):
+    """Documents as pages of books: chapters of three pages by numbered bookmarks, or whole books where there are none."""
+    d = F.col("doc_id").cast("int")
+    book, page = d % 20, F.floor(d / 20).cast("int") + 1
+    head = F.concat(page, F.lit("\nChapter "), book, F.lit("\n"))
+    marked = ((page - 1) % 3 == 0) & (book % 4 < 3)
+    rows = table(spark, folder, "documents").select(book.alias("book_id"), page.alias("page_no"), F.when(marked, F.concat(head, "text")).otherwise(F.col("text")).alias("markdown"), marked.alias("marked"))
+    marks = rows.filter("marked").select("book_id", F.col("page_no").alias("ordinal"), F.lit(1).alias("level"), F.concat("page_no", F.lit(" Chapter "), "book_id").alias("title"), F.col("page_no").alias("page"))
+    done = outline.paged_chapters(rows.drop("marked"), marks)
+    return done.select("book_id", "chapter_index", "title", N.sha256(F.col("source_text")).alias("sha"))
+
+
 @query(
     """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/epub+zip' END AS media_type FROM pages"""
 )
