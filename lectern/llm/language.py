@@ -30,16 +30,28 @@ UNDETERMINED = "und"
 _SLICE = 1 << 17
 
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 @cache
-def _no_letters() -> re.Pattern:
-    """Runs of characters that are no letters: besides those outside of \\w, numerals such as ½, ² and Ⅷ."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W_{numerals}]+")
+def _numerals() -> tuple[re.Pattern, re.Pattern]:
+    """Characters such as ½, ² and Ⅷ that \\w has beside letters and digits, within the basic plane and beyond. Patterns of
+    plain characters of one plane are looked up in a table; together with classes they would be tried one by one."""
+    own = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
+    return tuple(re.compile("[" + "".join(c for c in own if (c > "\uffff") == far) + "]") for far in (False, True))
 
 
 def normalized(text: str | None) -> str:
     """Lower-cased letters; each run of anything else becomes one space, with one at either end."""
-    return f" {_no_letters().sub(' ', text.lower()).strip()} " if text else "  "
+    if not text:
+        return "  "
+    text = text.lower()
+    if not text.isascii():
+        near, far = _numerals()
+        text = near.sub(" ", text)
+        text = far.sub(" ", text) if _BEYOND.search(text) else text
+    return f" {_NO_LETTERS.sub(' ', text).strip()} "
 
 
 def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
