@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from lectern import catalogue
 from lectern.functions import exact
 from lectern.operators import score
@@ -152,3 +154,38 @@ def test_opcodes_equal_the_matcher():
         a, b = ("".join(r.choices("ab ", k=r.randrange(9))) for _ in range(2))
         for x, y in ((a, b), (a + b, a), (a, b + a + b), (b + a + b, a)):
             assert score.opcodes(x, y) == SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+
+
+def test_bags(spark):
+    from lectern.functions import native
+
+    r = random.Random(5)
+    rows = [(k, r.choices("abcd", k=r.randrange(9)), r.choices("abce", k=r.randrange(9))) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    got = {x["k"]: (x["d"], x["o"]) for x in df.select("k", native.bag_difference(F.col("a"), F.col("b")).alias("d"), native.bag_overlap(F.col("a"), F.col("b")).alias("o")).collect()}
+    for k, a, b in rows:
+        x, y = Counter(a), Counter(b)
+        assert got[k] == (sum((x - y).values()) + sum((y - x).values()), sum((x & y).values()))
+
+
+def test_edits_by_a_plain_reading():
+    """Random deletions: what is applied is what a reading of the rules one proposal at a time would apply."""
+    r = random.Random(9)
+    for _ in range(200):
+        words = [r.choice(("oak", "elm", "ash", "fir", "yew")) + str(r.randrange(9)) for _ in range(r.randrange(6, 30))]
+        text = " ".join(w + ("." if r.random() < 0.2 else "") for w in words)
+        proposed = [Edit("c", r.choice(words), "", "", r.randrange(0, 4)) for _ in range(r.randrange(6))]
+        new, done, warnings = apply_edits(text, proposed, Policy(retention=0.0))
+        assert len(done) + len(warnings) == len(proposed)
+        spans = exact.sentence_spans(text)
+        taken = set()
+        for e in proposed:
+            a, b = spans[e.sentence - 1] if 0 < e.sentence <= len(spans) else (0, 0)
+            near, far = text[a:b].count(e.original), text.count(e.original)
+            at = a + text[a:b].index(e.original) if near == 1 else text.index(e.original) if near == 0 and far == 1 else None
+            place = None if at is None else frozenset(range(at, at + len(e.original)))
+            if place and not any(place & t for t in taken):
+                taken.add(place)
+        assert len(done) == len(taken)
+        gone = set().union(*taken) if taken else set()
+        assert new.replace(" ", "") == "".join(c for at, c in enumerate(text) if at not in gone and c != " ")

@@ -175,6 +175,45 @@ def test_preparation_resumes(spark):
     assert prepare.prepared_units(chapters, most_prose=1).count() == 3
 
 
+def test_spoilt_answers_are_flagged(spark):
+    chapters = spark.createDataFrame(ROWS, CHAPTERS)
+    keys = [r["cache_key"] for r in prepare.prepared_units(chapters).filter("cache_key is not null").orderBy("position").collect()]
+    cache = prepare.prepared_units(chapters).filter("cache_key is not null").select("cache_key", *prepare.CACHED)
+    spoilt = cache.withColumn("prepared_text", F.when(F.col("cache_key") == keys[0], " ").otherwise(F.col("prepared_text")))
+    got = prepare.prepared_units(chapters, cache=spoilt).filter("kind = 'prose'").orderBy("position").collect()
+    assert [r["cache_hit"] for r in got] == [True, True] and [len(r["issues"]) for r in got] == [1, 0]
+    strict = prepare.answered(
+        prepare.requests(artifact.identified(prepare.segment.units(prepare.normalized(chapters), keys=("book_id", "chapter_index", "title"))), "rules")
+        .join(cache.select("cache_key", F.struct(*prepare.CACHED).alias("cached")), "cache_key", "left"), "rules", prepare.Policy(retention=1.0),
+    )
+    assert {r["cache_hit"] for r in strict.filter("kind = 'prose'").collect()} == {True}
+
+
+def test_guards_and_previews(spark):
+    for bad in ({"preview_chapters": 0}, {"preview_units": -1}, {"preview_chunks": 0}, {"timeout_seconds": 0}):
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            prepare.Options(**bad)
+    rows = spark.createDataFrame([(b, k, "t", "Text of it.") for b in "ab" for k in range(5)], CHAPTERS)
+    few = prepare.Options(preview_chapters=2).chapters(rows)
+    assert sorted((r["book_id"], r["chapter_index"]) for r in few.collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+    assert prepare.Options(preview_chapters=2, preview_units=1).prepared(rows).filter("kind = 'prose'").count() == 2
+    assert prepare.Options().chapters(rows) is rows
+    with pytest.raises(ValueError):
+        prepare.first_chapters(rows, 0)
+    with pytest.raises(ValueError, match="v4, v5, v6"):
+        providers.request_body("a", prompt_version="v9")
+    assert json.loads(providers.request_body("A b. C d."))["prompt_version"] == "v6"
+
+
+def test_the_stores_last_answer_counts(spark, tmp_path):
+    store = str(tmp_path / "store")
+    row = lambda text, number: spark.createDataFrame([("ab1", text, [], [], "p", "m", [], number, "ab"), ("cd2", "x", [], [], "p", "m", [], number, "cd")], resume.STORED)
+    for text, number in (("old", 1), ("new", 3), ("mid", 2)):
+        row(text, number).write.mode("append").partitionBy("part").parquet(store)
+    assert {r["cache_key"]: r["prepared_text"] for r in resume.stored(spark, store).collect()} == {"ab1": "new", "cd2": "x"}
+    assert [r["cache_key"] for r in resume.stored(spark, store, ["ab"]).collect()] == ["ab1"]
+
+
 def test_stream_asks_once(spark, tmp_path):
     units = prepare.prepared_units(spark.createDataFrame(ROWS, CHAPTERS)).select("book_id", "chapter_index", "title", "position", "kind", F.col("source_text").alias("text"))
     units = units.withColumns({"previous_context": F.lit(""), "following_context": F.lit("")})
