@@ -93,19 +93,20 @@ HOT = 500
 HOT_LEAST = 256
 
 
-def hot_keys(rows: DataFrame, on: str, counts: DataFrame | None = None) -> DataFrame:
-    """The hot keys of rows, at most HOT of them, as a table of this one column. counts: (on, n), if known."""
-    counts = rows.groupBy(on).agg(F.count("*").alias("n")) if counts is None else counts
-    counts = counts.filter(F.col("n") >= HOT_LEAST)
+def hot_keys(rows: DataFrame, on: str, counts: DataFrame | None = None) -> DataFrame | None:
+    """The hot keys of rows, at most HOT of them, as a table of this one column; None, if there are none. counts: (on, n), if known."""
     total = rows.count()
-    few = counts.filter(F.col("n") * HOT >= total).select(on).collect()
-    return rows.sparkSession.createDataFrame(few, rows.select(on).schema)
+    if total < HOT_LEAST:
+        return None
+    counts = rows.groupBy(on).agg(F.count("*").alias("n")) if counts is None else counts
+    few = counts.filter((F.col("n") >= HOT_LEAST) & (F.col("n") * HOT >= total)).select(on).collect()
+    return rows.sparkSession.createDataFrame(few, rows.select(on).schema) if few else None
 
 
-def hot_join(rows: DataFrame, one: DataFrame, on: str, hot: DataFrame) -> DataFrame:
+def hot_join(rows: DataFrame, one: DataFrame, on: str, hot: DataFrame | None) -> DataFrame:
     """rows joined with `one`, which has a row of bounded size for each key: hot keys by broadcast, as they are few by
     arithmetic, so that none of them meets in a task; the others by a shuffle. rows is read twice, if any key is hot."""
-    if hot.isEmpty():
+    if hot is None:
         return rows.join(one, on)
     few = F.broadcast(hot)
     often = rows.join(F.broadcast(one.join(few, on, "left_semi")), on)
@@ -113,15 +114,18 @@ def hot_join(rows: DataFrame, one: DataFrame, on: str, hot: DataFrame) -> DataFr
     return often.unionByName(seldom)
 
 
-#: Rows of text in an Arrow batch between the JVM and Python.
-BATCH_ROWS = 1000
+#: Rows of text in an Arrow batch between the JVM and Python, and about its bytes, unless one row has more.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Has the session send at most BATCH_ROWS rows to Python at once: texts are long, and both sides hold a batch whole."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Has the session send at most BATCH_ROWS rows and about BATCH_BYTES to Python at once: texts are long, and both sides
+    hold a batch whole."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        known = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+        if not known or not 0 < int(known[1]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:

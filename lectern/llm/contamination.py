@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is a stored table, dealt by document: a row holds a segment of some half a million words, with its
+The index is a stored table, dealt by document: a row holds a segment of some 130,000 words, with its
 terms, their postings (positions in the segment, as gaps) and the documents' places. No posting list crosses
 the network and no term or source can be hot. It is made once and may be asked any number of times; no
 question reads the texts again.
@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,7 +31,7 @@ from . import common
 
 WINDOW = 13
 #: Words in a segment of the index; a longer document is a segment of its own.
-SEGMENT_WORDS = 1 << 19
+SEGMENT_WORDS = 1 << 17
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 4 << 20
 
@@ -122,6 +121,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     kind = rows.schema["k"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("index", dict)  # what other operators have this worker remember goes
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             if not batch.num_rows:
@@ -160,7 +160,7 @@ class Segment:
     def __init__(self, lengths: np.ndarray, terms: bytes, counts: bytes, gaps: bytes, wanted: dict[bytes, int]):
         self.lengths = np.asarray(lengths, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])
-        names = terms.split(b" ") if counts else []
+        names = terms.split(b" ") if len(counts) else []
         number = np.fromiter((wanted.get(w, -1) for w in names), np.int64, len(names))
         counts, total = np.frombuffer(counts, "<i4").astype(np.int64), np.cumsum(np.frombuffer(gaps, "<i4"), dtype=np.int64)
         first = np.cumsum(counts) - counts
@@ -224,10 +224,14 @@ class Segment:
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
-def _segments(batches: Iterator[pd.DataFrame], wanted: dict[bytes, int]) -> Iterator[tuple[object, Segment]]:
+def _segments(batches: Iterator[pa.RecordBatch], wanted: dict[bytes, int]) -> Iterator[tuple[int, Segment]]:
+    """(number, segment) of each row of the index, one at a time, read from Arrow's own memory."""
+    common.held("index", dict)
     for batch in batches:
-        for r in batch.itertuples(index=False):
-            yield r, Segment(r.lengths, r.terms, r.counts, r.gaps, wanted)
+        numbers, lengths = batch["segment"].to_pylist(), batch["lengths"]
+        terms, counts, gaps = (batch[c] for c in ("terms", "counts", "gaps"))
+        for n in range(batch.num_rows):
+            yield numbers[n], Segment(lengths[n].values.to_numpy(), terms[n].as_py(), counts[n].as_buffer(), gaps[n].as_buffer(), wanted)
         common.trim()
 
 
@@ -246,6 +250,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iter
 
 
 HITS = "segment long, number int, spans array<struct<a:int,b:int>>, items array<string>"
+_HITS = pa.schema([("segment", pa.int64()), ("number", pa.int32()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
 #: Columns of the index that questions read.
 _ASKED = ("segment", "lengths", "terms", "counts", "gaps")
 
@@ -256,9 +261,9 @@ def hits(index: DataFrame, benchmark: DataFrame, item: str, item_text: str, wind
     for block in blocks(benchmark, item, item_text, block_bytes):
         sent = spark.sparkContext.broadcast(Phrases(block, window))
 
-        def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             p = sent.value
-            for r, s in _segments(batches, p.terms):
+            for number, s in _segments(batches, p.terms):
                 edge, own = np.zeros(len(s.term) + 1, np.int32), {}
                 for group in p.groups:
                     at, which = s.phrases(group)
@@ -274,9 +279,10 @@ def hits(index: DataFrame, benchmark: DataFrame, item: str, item_text: str, wind
                 a, b = a - s.starts[d], b - s.starts[d]
                 rows = sorted(own)
                 spans = [[{"a": x, "b": y} for x, y in zip(a[d == n].tolist(), b[d == n].tolist(), strict=True)] for n in rows]
-                yield pd.DataFrame({"segment": r.segment, "number": np.array(rows, np.int32), "spans": spans, "items": [[p.ids[i] for i in sorted(own[n])] for n in rows]})
+                found = {"segment": [number] * len(rows), "number": rows, "spans": spans, "items": [[p.ids[i] for i in sorted(own[n])] for n in rows]}
+                yield pa.RecordBatch.from_pydict(found, schema=_HITS)
 
-        out = out.unionByName(index.select(*_ASKED).mapInPandas(find, HITS))
+        out = out.unionByName(index.select(*_ASKED).mapInArrow(find, HITS))
     return out
 
 
@@ -323,9 +329,9 @@ def matches(
     for block in blocks(queries, item, item_text, block_bytes):
         sent = index.sparkSession.sparkContext.broadcast(Phrases(block, 1 << 40))
 
-        def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             p = sent.value
-            for r, s in _segments(batches, p.terms):
+            for number, s in _segments(batches, p.terms):
                 for group in p.groups:
                     if span is None:
                         at, which = s.phrases(group)
@@ -337,9 +343,10 @@ def matches(
                     d = s.document(at)
                     if len(at):
                         names = [p.ids[i] for w in which.tolist() for i in group.owners(w).tolist()]
-                        yield pd.DataFrame({"segment": r.segment, "number": np.repeat(d, times).astype(np.int32), "item": names, "position": np.repeat(at - s.starts[d], times)})
+                        own = [pa.array(np.full(len(names), number)), pa.array(np.repeat(d, times).astype(np.int32)), pa.array(names, pa.string()), pa.array(np.repeat(at - s.starts[d], times))]
+                        yield pa.RecordBatch.from_arrays(own, ["segment", "number", "item", "position"])
 
-        out = out.unionByName(index.select(*_ASKED).mapInPandas(find, out.schema))
+        out = out.unionByName(index.select(*_ASKED).mapInArrow(find, out.schema))
     docs = index.select("segment", F.posexplode("keys").alias("number", "k"))
     return out.join(docs, ["segment", "number"]).select(F.col("k").alias(key), "item", "position")
 

@@ -48,18 +48,20 @@ WINDOW = 2
 
 _POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_POWER, -1, 1 << 64)
-_KNOWN: dict[int, np.ndarray] = {}
+#: Powers that a worker remembers, and characters of a portion, which about so many bytes have.
+REMEMBERED, PORTION = 1 << 19, 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers; a worker remembers some two million."""
-    if len(known := _KNOWN.get(base, ())) >= n:
+    """The first n powers."""
+    held = common.held("powers", dict)
+    if len(known := held.get(base, ())) >= n:
         return known[:n]
     out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1
     out = np.multiply.accumulate(out)
-    if n <= 1 << 21:
-        _KNOWN[base] = out
+    if n <= REMEMBERED:
+        held[base] = out
     return out[:n]
 
 
@@ -151,7 +153,7 @@ class Chunks:
         return self.raw[self.first[k] : self.last[k]].strip()
 
 
-def _portions(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def _portions(texts: list[str | None], chars: int = PORTION) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of about so many characters, or of one longer text; null texts are empty."""
     first, size = 0, 0
     texts = [t or "" for t in texts]
@@ -175,9 +177,10 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> str:
 
 
 def _but_first(found: DataFrame) -> DataFrame:
-    """(k, d, number) of the places of which an earlier one has equal bytes: each row of found but the first of its group."""
+    """(k, d, number) of the places of which an earlier one has equal bytes: each row of found but the first of its group.
+    Equal rows of docs give equal places, which may come more than once."""
     first = found.groupBy("h", "body").agg(F.min(F.struct("k", "d", "number")).alias("f")).select("f.*")
-    return found.select("k", "d", "number").distinct().join(first, ["k", "d", "number"], "left_anti")
+    return found.select("k", "d", "number").join(first, ["k", "d", "number"], "left_anti")
 
 
 def _framed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -194,7 +197,7 @@ def _plain(frame: DataFrame, names: list[str], key: str, text: str, added: dict)
 
 def _with_numbers(frame: DataFrame, gone: DataFrame, broadcast_bytes: int) -> DataFrame:
     """frame with the `numbers` of what has to go, null where nothing has."""
-    gone = common.cut(gone.groupBy("k", "d").agg(F.collect_list("number").alias("numbers")), "removed")
+    gone = common.cut(gone.groupBy("k", "d").agg(F.collect_set("number").alias("numbers")), "removed")
     size = gone.agg(F.sum(F.size("numbers") * 4 + 40)).first()[0] or 0
     if size <= broadcast_bytes:
         gone = F.broadcast(gone)  # else both sides are shuffled by id and hash

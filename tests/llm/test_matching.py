@@ -110,6 +110,21 @@ def test_phrase_and_proximity_matches(spark):
     assert contamination.matches(index, ask.limit(0)).count() == 0
 
 
+def test_batches_of_few_bytes_change_nothing(spark):
+    docs = spark.createDataFrame(CASES, DOCS).coalesce(1)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    run = lambda: [sorted(map(str, df.collect())) for df in (contamination.judge(docs, items), line_dedup.dedup(docs), contamination.keep_clean(docs, items))]
+    common.bounded_batches(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, whole = spark.conf.get(name), run()
+    assert int(before.rstrip("b")) <= common.BATCH_BYTES
+    try:
+        spark.conf.set(name, "2000")
+        assert run() == whole and spark.conf.get(name).rstrip("b") == "2000"
+    finally:
+        spark.conf.set(name, before)
+
+
 # Jaccard join
 
 
