@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+
 from lectern.operators import artifact, audio
 from lectern.plans import narrate, prepare, providers
 from lectern.sources import corpus, markup, outline, voices
@@ -300,3 +302,19 @@ def test_citations_that_open_a_paragraph_stay(spark):
     chapters = spark.createDataFrame([("a", 4, "T", f"# One\n{mark} went on."), ("a", 8, "T", f"It {mark} went on.")], "book_id string, chapter_index int, title string, source_text string")
     got = {(r["chapter_index"], r["position"]): (r["prepared_text"], len(r["edits"])) for r in prepare.prepared_units(chapters).collect()}
     assert got[4, 1] == (f"{mark} went on.", 0) and got[8, 0] == ("It went on.", 1)
+
+
+def test_manifest_holds_no_signals(spark, monkeypatch):
+    from lectern import catalogue
+
+    texts = ["One two. " * n for n in (1, 9, 40, 300)]
+    rows = spark.createDataFrame([("b", k % 2, k, t, "paragraph", len(t)) for k, t in enumerate(texts)], "book_id string, chapter_index int, chunk_index int, text string, boundary_after string, char_count int")
+    short = narrate.measured(rows, rate=RATE)
+    assert "samples" not in short.columns
+    want = narrate.manifest(narrate.levelled(narrate.spoken(rows, rate=RATE), RATE), RATE)
+    assert sorted(narrate.manifest(narrate.matched(short), RATE).collect()) == sorted(want.collect())
+    monkeypatch.setattr(narrate, "SAMPLES", 5000)  # a portion is full with the chunk that reaches it
+    said = [(len(batch), sum(len(s) for s, _ in made)) for batch, made in narrate._said("tone", {"rate": RATE}, iter([rows.toPandas()]))]
+    assert [n for n, _ in said] == [3, 1] and sum(n for _, n in said) == sum(r["n_samples"] for r in short.collect())
+    monkeypatch.setattr(narrate, "spoken", None)
+    assert " samples#" not in catalogue.QUERIES["narration_manifest"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
