@@ -37,11 +37,11 @@ def opcodes(source: str, prepared: str) -> list[tuple[str, int, int, int, int]]:
     return [p for p in parts if p[1] < p[2] or p[3] < p[4]]
 
 
-def change_regions(source: str, prepared: str) -> list[dict]:
-    """Each differing span apart; neighbours are never merged."""
+def change_regions(source: str, prepared: str, codes: list | None = None) -> list[dict]:
+    """Each differing span apart; neighbours are never merged. codes: opcodes(), if known."""
     return [
         {"source_start": a, "source_end": b, "source_text": source[a:b], "output_text": prepared[c:d]}
-        for tag, a, b, c, d in opcodes(source, prepared)
+        for tag, a, b, c, d in (opcodes(source, prepared) if codes is None else codes)
         if tag != "equal"
     ]
 
@@ -112,7 +112,8 @@ def score_case(
     if error is not None:
         zero = dict.fromkeys(("recall", "precision", "exactness", "score"), 0.0)
         return {**zero, "fidelity_pass": False, "passed": False, "output_matches_gold": False, "outcomes": [], "unexpected": [], "protocol": stats}
-    codes, regions = opcodes(source, prepared), change_regions(source, prepared)
+    codes = opcodes(source, prepared)
+    regions = change_regions(source, prepared, codes)
     outcomes = []
     for x in expect:
         touched = any(overlaps(r, x["start"], x["end"]) for r in regions)
@@ -205,6 +206,14 @@ def determinism(signatures: DataFrame, key: tuple[str, ...], repetition: str = "
     return signatures.select(*key).distinct().join(pairs, list(key), "left")
 
 
+def agreement(answers: Column) -> Column:
+    """determinism() of one case, from an array of its (repetition, signature)."""
+    like = lambda x, y: F.when(F.size(F.array_union(x, y)) > 0, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(1.0)
+    later = lambda x: F.filter(answers, lambda y: y["repetition"] > x["repetition"])
+    pairs = F.flatten(F.transform(answers, lambda x: F.transform(later(x), lambda y: like(x["signature"], y["signature"]))))
+    return F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x), F.size(pairs))
+
+
 def failures(runs: DataFrame, group: str, most: int) -> DataFrame:
     """The worst failed runs of each group's first repetition, and how many more there are."""
     own = runs.filter((F.col("repetition") == 1) & ~F.col("passed"))

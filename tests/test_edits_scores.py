@@ -189,3 +189,31 @@ def test_edits_by_a_plain_reading():
         assert len(done) == len(taken)
         gone = set().union(*taken) if taken else set()
         assert new.replace(" ", "") == "".join(c for at, c in enumerate(text) if at not in gone and c != " ")
+
+
+def test_bag_overlap_by_brute_force():
+    r = random.Random(4)
+    for _ in range(500):
+        a, b = (r.choices("abc", k=r.randrange(8)) for _ in range(2))
+        for x, y in ((a, b), (a + b, a), (a + b, a + ["z"] + b), (tuple(a + b), tuple(b))):
+            assert exact.bag_overlap(x, y) == (Counter(x) & Counter(y)).total()
+
+
+def test_benchmark_makes_each_run_once(spark):
+    from lectern.plans import benchmark
+
+    kind = "id string, tier string, categories array<string>, source string, prepared string, expect array<struct<anchor:string,accept:array<string>,category:string,why:string,start:int,end:int,sentence:int>>, traps array<struct<span:string,label:string,start:int,end:int>>"
+    case = ("trap", ["citation"], SOURCE, GOLD, [{**EXPECT[0], "why": "", "sentence": 1}], [{**TRAPS[0], "span": "Nobody"}])
+    cases = spark.createDataFrame([(f"c{n}", *case) for n in range(3)], kind)
+    v = spark.createDataFrame([(n, n, r, 41 + r) for n in ("eager", "flaky", "nobody", "rules") for r in (1, 2, 3)], "label string, model string, repetition int, seed int")
+    runs = benchmark.case_runs(cases, v, texts=False)
+    assert not {"source", "gold", "prepared_text"} & set(runs.columns) and runs.count() == 36
+    board = benchmark.leaderboard(runs)
+    assert board._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    got = {r["label"]: r for r in board.collect()}
+    plain = {r["label"]: r for r in score.summary(runs, "label").collect()}
+    stable = {r["label"]: r["d"] for r in score.determinism(runs.filter("error is null"), ("label", "case_id")).groupBy("label").agg(F.avg("determinism").alias("d")).collect()}
+    for label, r in got.items():
+        assert all(abs(r[c] - plain[label][c]) < 1e-12 for c in plain[label].asDict() if c != "label")
+        assert r["determinism"] == stable.get(label)
+    assert got["nobody"]["errors"] == 9 and got["flaky"]["errors"] == 3 and got["rules"]["proposed_edits"] == 9
