@@ -135,9 +135,9 @@ class LanguageModel:
 
 def train(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
-    orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, sample_per_language: int = 4000, smoothing: float = 0.1,
+    orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, sample_per_language: int | None = 4000, smoothing: float = 0.1,
 ) -> LanguageModel:
-    """Counts n-grams by language over about sample_per_language texts of each.
+    """Counts n-grams by language over about sample_per_language texts of each, or over all.
 
     The number of languages is taken to be that of natural languages: its counts fit the driver.
     """
@@ -148,10 +148,12 @@ def train(
     languages = tuple(sorted(counts))
     if not languages:
         return LanguageModel((), np.zeros(0), np.zeros(((1 << bits) + 1, 0)), orders, bits)
-    share = F.element_at(
-        F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, sample_per_language / counts[l]))]), F.col("l")
-    )
-    picked = rows.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
+    picked = rows
+    if sample_per_language is not None:
+        share = F.element_at(
+            F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, sample_per_language / counts[l]))]), F.col("l")
+        )
+        picked = rows.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}

@@ -183,3 +183,31 @@ def test_held_out_toxicity(spark):
 
 def test_threshold_parts_the_kinds():
     assert 0.3 < toxicity.threshold(np.array([0.1, 0.3, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.8
+
+
+def test_all_labelled_texts_are_learnt(spark):
+    docs, labels = toxic_corpus(spark)
+    n = {y: labels.filter(F.col("toxic") == y).count() for y in (0, 1)}
+    kept = [common.sampled(labels.filter(F.col("toxic") == y), F.col("doc_id"), n[y], 20, 3).select("doc_id").collect() for y in (0, 1)]
+    some = {r["doc_id"] for rows in kept for r in rows}
+    assert 10 < len(some) < 100
+    # A word of all toxic texts but those that training starts from.
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(*some) | (F.col("doc_id") % 4 != 0), F.col("text")).otherwise(F.regexp_replace("text", "vile toad", "gruzzle zorgle")))
+    net = toxicity.train(docs, labels, language.train(docs, sample_per_language=None), sample=20)
+    at, fresh = list(toxicity.buckets(b"gruzzle")), toxicity.Network.new().embedding
+    assert (net.embedding[at] != fresh[at]).any()
+    seen = toxicity.counted(docs.join(labels, "doc_id").selectExpr("doc_id k", "text t", "toxic y"), net, False)
+    assert seen["n"].sum() == 240 and seen["hits"].sum() == 60
+
+
+def test_thresholds_of_counts():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        p, y = np.round(r.uniform(size=60), 1), r.integers(0, 2, 60)
+        u, at = np.unique(p, return_inverse=True)
+        assert toxicity.threshold(u, np.bincount(at, y), np.bincount(at)) == pytest.approx(toxicity.threshold(p, y))
+
+
+def test_languages_count_all_texts(spark):
+    whole, part = language.train(corpus(spark), sample_per_language=None), language.train(corpus(spark), sample_per_language=5)
+    assert np.array_equal(whole.log_prob, language.train(corpus(spark)).log_prob) and not np.array_equal(whole.log_prob, part.log_prob)
