@@ -43,13 +43,17 @@ WIDE_MARKS = "。、．，；：！？؟،؛।॥"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b" \t\r\v\f")] = 1
 _KIND[list(f"\n{MARKS}".encode())] = 2
+#: The bytes of wide marks, by the first of them.
+_WIDE: dict[int, list[bytes]] = {}
+for _mark in WIDE_MARKS:
+    _WIDE.setdefault(_mark.encode()[0], []).append(_mark.encode())
 #: Lines that the rolling hash spans.
 WINDOW = 2
 
 _POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_POWER, -1, 1 << 64)
 #: Powers that a worker remembers, and characters of a portion, which about so many bytes have.
-REMEMBERED, PORTION = 1 << 19, 1 << 18
+REMEMBERED, PORTION = 1 << 19, 1 << 17
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -67,8 +71,38 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def _sums(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(_POWER, len(values)), out=out[1:])
-    return out
+    np.multiply(values, _powers(_POWER, len(values)), out=out[1:])
+    return np.cumsum(out, out=out)
+
+
+def _solid(solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of True begin and end."""
+    padded = np.zeros(len(solid) + 2, bool)
+    padded[1:-1] = solid
+    turns = np.flatnonzero(padded[1:] != padded[:-1])
+    return turns[::2], turns[1::2]
+
+
+def _counts(places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the places, which rise, lie from each bound to the next, the last one's to the end."""
+    return np.diff(np.searchsorted(places, bounds), append=len(places))
+
+
+def _marked(raw: bytes) -> np.ndarray:
+    """Bytes in which each byte of a wide mark is a full stop."""
+    data = np.frombuffer(raw, np.uint8)
+    if raw.isascii():
+        return data
+    data = data.copy()
+    for lead, marks in _WIDE.items():
+        at = np.flatnonzero(data == lead)
+        for m in marks if len(at) else ():
+            here = at[at + len(m) <= len(data)]
+            for k in range(1, len(m)):
+                here = here[data[here + k] == m[k]]
+            for k in range(len(m)):
+                data[here + k] = ord(".")
+    return data
 
 
 def _spans_hash(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -111,37 +145,32 @@ class Chunks:
     def __init__(self, texts: list[str], least_chars: int, long_line: int):
         own = [t.encode("utf-8", "replace") for t in texts]
         self.raw = b"\n".join(own)
-        marked = self.raw
-        if not marked.isascii():
-            for m in WIDE_MARKS:
-                marked = marked.replace(m.encode(), b"." * len(m.encode()))
-        data = np.frombuffer(marked, np.uint8)
+        data = _marked(self.raw)
         text_at, _ = common.flat(own)
         self.text_at = text_at[:-1] + np.arange(len(own))
         text_end = np.append(self.text_at[1:] - 1, len(data))
         kind = _KIND[data]
-        solid = np.zeros(len(data) + 2, np.int8)
-        solid[1:-1] = kind == 0
-        step = np.diff(solid)
-        starts, stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        starts, stops = _solid(kind == 0)
         # Solid runs with no mark between them are one line.
-        of = np.searchsorted(np.flatnonzero(kind == 2), starts)
-        head = np.flatnonzero(np.diff(of, prepend=-1))
+        heads = np.zeros(len(starts) + 1, bool)
+        heads[np.searchsorted(starts, np.flatnonzero(kind == 2))] = True
+        heads[0] = True
+        head = np.flatnonzero(heads[: len(starts)])
         begin, end = starts[head], stops[np.append(head[1:], len(starts))[: len(head)] - 1]
         n = len(begin)
-        line_row = np.searchsorted(self.text_at, begin, side="right") - 1
+        line_row = np.repeat(np.arange(len(own)), _counts(begin, self.text_at))
         first = np.flatnonzero(np.diff(line_row, prepend=-1))
         sums = _sums(data.astype(np.uint64) + np.uint64(1))
         ends = boundaries(rolled(_spans_hash(sums, begin, end), first), first)
-        chars = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
-        long = np.flatnonzero(chars[end] - chars[begin] >= long_line)
+        more = np.flatnonzero((data & 0xC0) == 0x80)  # bytes of a character after its first
+        from_char, to_char = (x - np.searchsorted(more, x) for x in (begin, end))
+        long = np.flatnonzero(to_char - from_char >= long_line)
         spans = np.concatenate([[0], ends[:-1]]) << 32 | ends if len(ends) else ends
-        spans = np.unique(np.concatenate([spans, long << 32 | (long + 1)]))  # in order of texts and places
+        spans = np.unique(np.concatenate([spans, long << 32 | (long + 1)])) if len(long) else spans  # in order of texts and places
         a, b = spans >> 32, spans & 0xFFFFFFFF
         self.row = line_row[a]
         self.number = (np.arange(len(spans)) - np.searchsorted(self.row, self.row)).astype(np.int32)
-        size = chars[end[b - 1]] - chars[begin[a]]
+        size = to_char[b - 1] - from_char[a]
         use = (size >= least_chars) & (b - a > 1) | (size >= long_line)
         a, b, self.row, self.number = a[use], b[use], self.row[use], self.number[use]
         following = np.append(begin, len(data))[b] if n else b
@@ -294,12 +323,12 @@ class Runs:
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         self.run, self.bytes = run, b" ".join(raw).translate(common._WORD_BYTES)
         data = np.frombuffer(self.bytes, np.uint8)
-        word = np.concatenate([[False], data != 32, [False]])
-        self.begin, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+        self.begin, end = _solid(data != 32)
         self.length = end - self.begin
         start, _ = common.flat(raw)
-        self.row = np.searchsorted(start[:-1] + np.arange(len(raw)), self.begin, side="right") - 1
-        self.number = np.arange(len(self.row)) - np.searchsorted(self.row, self.row)
+        each = _counts(self.begin, start[:-1] + np.arange(len(raw)))
+        self.row = np.repeat(np.arange(len(raw)), each)
+        self.number = np.arange(len(self.row)) - np.repeat(np.cumsum(each) - each, each)
         gram = (run + 1) // 2
         width, n = run - gram + 1, len(self.begin)
         self.inside = self.row[run - 1 :] == self.row[: max(n - run + 1, 0)]

@@ -360,6 +360,27 @@ def test_lines_are_between_marks():
         assert want <= {(a, body.rstrip(".,;!。、".encode())) for a, body in one} or not want
 
 
+def test_bytes_of_wide_marks_become_stops():
+    r = np.random.default_rng(8)
+    for n in range(200):
+        raw = "".join(r.choice(list("ab .\n語é।॥。、！؟،؛\u0900\u3000"), n % 40)).encode() + (b"\xe3\x80", b"\xd8", b"")[n % 3]  # cut characters, too
+        want = raw
+        for m in line_dedup.WIDE_MARKS:
+            want = want.replace(m.encode(), b"." * len(m.encode()))
+        assert line_dedup._marked(raw).tobytes() == want
+
+
+def test_texts_beside_each_other_have_the_chunks_and_runs_of_their_own():
+    texts = ["", lines(9, 1), "", "", "語" * 300 + "。" + lines(5, 2), "é", said(70, 3), "", "..."]
+    c, r = line_dedup.Chunks(texts, 20, 250), line_dedup.Runs(texts, 50)
+    for k, text in enumerate(texts):
+        own, at = line_dedup.Chunks([text], 20, 250), c.row == k
+        assert c.number[at].tolist() == own.number.tolist() and c.hash[at].tolist() == own.hash.tolist()
+        assert [c.body(x) for x in np.flatnonzero(at)] == [own.body(x) for x in range(len(own.row))]
+        assert r.number[r.row == k].tolist() == list(range(len(common.words(text))))
+        assert r.by_text()[k].tolist() == line_dedup.Runs([text], 50).by_text()[0].tolist()
+
+
 def test_boundaries_shift_with_the_content():
     r = np.random.default_rng(5)
     h, extra = r.integers(0, 1 << 60, 200).astype(np.uint64), r.integers(0, 1 << 60, 3).astype(np.uint64)
