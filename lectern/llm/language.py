@@ -121,6 +121,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the likeliest language, -1 for none, and its posterior probability."""
+        common.held("language", dict)
         clean = [normalized(t) for t in texts]
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
         has = np.array([len(t) > 2 for t in clean], bool)
@@ -157,6 +158,7 @@ def train(
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
+        common.held("language", dict)  # what other operators have this worker remember goes
         for batch in batches:
             for lang, own in batch.groupby("l"):
                 texts = [normalized(t) for t in own["t"]]

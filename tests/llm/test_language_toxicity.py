@@ -68,6 +68,12 @@ def test_sparse_product_by_brute_force(spark):
     assert np.allclose(model.log_joint([text])[0], want)
 
 
+def test_predictions_let_go_what_other_operators_remember():
+    common.held("tokenizer", lambda: "words")
+    language.LanguageModel((), np.zeros(0), np.zeros((5, 0)), (1,), 2).predict(["a"])
+    assert "tokenizer" not in common._HELD
+
+
 def test_held_out_accuracy(spark):
     from conftest import SMALL
 
