@@ -154,6 +154,15 @@ def flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
     return starts, lengths
 
 
+def runs(lengths: list[int], most: int) -> Iterator[slice]:
+    """Slices of lists that lie together, so that each slice has about `most` entries, unless one list has more."""
+    block, begin = np.cumsum(lengths) // most, 0
+    while begin < len(lengths):
+        end = int(np.searchsorted(block, block[begin], side="right"))
+        yield slice(begin, end)
+        begin = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)

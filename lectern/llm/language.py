@@ -2,8 +2,8 @@
 
 Training sums n-gram counts by language in the cluster over a sample of bounded size, one
 matrix a task; the log-probability matrix (languages x buckets, a few MB whatever the corpus)
-is broadcast. Scoring treats each batch as a sparse matrix of documents by buckets in CSR form
-and multiplies it with the broadcast matrix in numpy.
+is broadcast. Scoring treats texts as a sparse matrix of documents by buckets in CSR form
+and multiplies it with the broadcast matrix in numpy, few texts at a time.
 
 Null, empty and letterless texts are predicted `und` with score 0; letters are what str.isalpha
 says, so numerals of any kind are none. A table without labelled
@@ -13,11 +13,10 @@ repeated rows get equal results; columns other than the named ones are ignored.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,51 +27,63 @@ from . import common
 
 UNDETERMINED = "und"
 _SLICE = 1 << 17
-
-
-_NO_LETTERS = re.compile(r"[\W\d_]+")
-_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+#: Characters that are scored or counted at once, about: what is made of the former fits a core's cache.
+_SCORED, _COUNTED = 1 << 15, 1 << 18
 
 
 @cache
-def _numerals() -> tuple[re.Pattern, re.Pattern]:
-    """Characters such as ½, ² and Ⅷ that \\w has beside letters and digits, within the basic plane and beyond. Patterns of
-    plain characters of one plane are looked up in a table; together with classes they would be tried one by one."""
-    own = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
-    return tuple(re.compile("[" + "".join(c for c in own if (c > "\uffff") == far) + "]") for far in (False, True))
+def _alphabet() -> np.ndarray:
+    """Which characters are letters."""
+    return np.frombuffer(bytes(chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased letters of each text, where each run of anything else is one space, with one at either
+    end; and the start of each text, with the end as a last entry."""
+    padded = [f" {t.lower()} " if t else "  " for t in texts]
+    starts, _ = common.flat(padded)
+    code = _codes("".join(padded))
+    yes = _alphabet()[code]
+    keep = yes.copy()
+    keep[1:] |= yes[:-1]
+    keep[starts[:-1]] = True
+    kept = np.zeros(len(code) + 1, np.int64)
+    np.cumsum(keep, out=kept[1:])
+    bare = np.diff(kept[starts]) == 1  # without letters, so the space at the end follows none
+    if bare.any():
+        keep[starts[1:][bare] - 1] = True
+        np.cumsum(keep, out=kept[1:])
+    return np.where(yes, code, np.uint32(32))[keep], kept[starts]
 
 
 def normalized(text: str | None) -> str:
     """Lower-cased letters; each run of anything else becomes one space, with one at either end."""
-    if not text:
-        return "  "
-    text = text.lower()
-    if not text.isascii():
-        near, far = _numerals()
-        text = near.sub(" ", text)
-        text = far.sub(" ", text) if _BEYOND.search(text) else text
-    return f" {_NO_LETTERS.sub(' ', text).strip()} "
+    return letters([text])[0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """CSR indices of the n-grams in each text, bucket 2**bits standing for none, and the row starts.
+def ngram_buckets(code: np.ndarray, ends: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """For each order, the bucket of the n-gram that begins at each code point; 2**bits where it would reach over an end.
 
-    Rows hold len(orders) entries a character, so a text's entries lie together.
+    A hash h of n is h * 0x100000001B3 + c for each code point c in turn, then multiplied once more: all by sums of products.
     """
-    starts, _ = common.flat(texts)
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    none, out = 1 << bits, np.empty((len(code), len(orders)), np.int32)
-    ends = starts[1:]
-    for column, n in enumerate(orders):
-        h = np.full(len(code), n, np.uint64)
-        for back in range(n):
-            h[: len(code) - back] = h[: len(code) - back] * np.uint64(0x100000001B3) + code[back:]
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        out[:, column] = h >> np.uint64(64 - bits)
-        for back in range(1, n):  # an n-gram that would reach into the next text
+    code = code.astype(np.uint64)
+    factor = [0x9E3779B97F4A7C15 * 0x100000001B3**k % (1 << 64) for k in range(max(orders) + 1)]
+    product = [code * np.uint64(f) for f in factor[:-1]]
+    out = np.full((len(orders), len(code)), 1 << bits, np.intp)
+    for row, n in zip(out, orders, strict=True):
+        whole = max(0, len(code) - n + 1)
+        h = product[n - 1][:whole] + np.uint64(n * factor[n] % (1 << 64))
+        for k in range(1, n):
+            h += product[n - 1 - k][k : k + whole]
+        row[:whole] = h >> np.uint64(64 - bits)
+        for back in range(1, n):  # if this lies in the text before, an n-gram there reaches over its end as well
             at = ends - back
-            out[at[at >= starts[:-1]], column] = none
-    return out.reshape(-1), starts * len(orders)
+            row[at[at >= 0]] = 1 << bits
+    return out
 
 
 @dataclass(frozen=True)
@@ -84,53 +95,49 @@ class LanguageModel:
     bits: int
 
     def log_joint(self, texts: list[str]) -> np.ndarray:
-        """Sparse counts times log-probabilities, by slices of bounded size; a text may span slices."""
-        out = np.zeros((len(texts), len(self.languages)))
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        block = np.cumsum(lengths) // _SLICE
-        begin = 0
-        while begin < len(texts):
-            end = int(np.searchsorted(block, block[begin], side="right"))
-            part = texts[begin:end]
-            if len(part) == 1 and lengths[begin] > 2 * _SLICE:
-                text, reach = part[0], max(self.orders) - 1
-                for at in range(0, len(text), _SLICE):
-                    out[begin] += self._sums([text[at : at + _SLICE]])[0]
-                    if reach and 0 < at:  # n-grams over the seam
-                        for n in self.orders:
-                            for shift in range(1, n):
-                                gram = text[at - shift : at - shift + n]
-                                if len(gram) == n:
-                                    out[begin] += self._one(gram, n)
-            else:
-                out[begin:end] = self._sums(part)
-            begin = end
-        return out + self.log_prior
-
-    def _one(self, gram: str, n: int) -> np.ndarray:
-        index, _ = ngram_buckets([gram], (n,), self.bits)
-        return self.log_prob[index[0]]
-
-    def _sums(self, texts: list[str]) -> np.ndarray:
-        index, starts = ngram_buckets(texts, self.orders, self.bits)
-        out = np.zeros((len(texts), len(self.languages)))
-        full = starts[1:] > starts[:-1]
-        if full.any():
-            out[full] = np.add.reduceat(self.log_prob[index], starts[:-1][full], axis=0)
+        """Sparse counts of normalized texts times log-probabilities."""
+        starts, _ = common.flat(texts)
+        return self._sums(_codes("".join(texts)), starts) + self.log_prior
+
+    def _sums(self, code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sums of log-probabilities, by slices of bounded size; a text may span slices."""
+        out = np.zeros((len(starts) - 1, len(self.languages)))
+        full, reach = np.flatnonzero(np.diff(starts)), max(self.orders) - 1
+        begins = starts[full]
+        for at in range(0, len(code), _SLICE):
+            part = code[at : at + _SLICE + reach]
+            ends = starts[np.searchsorted(starts, at, "right") : np.searchsorted(starts, at + len(part), "right")] - at
+            index = ngram_buckets(part, ends, self.orders, self.bits)[:, :_SLICE]
+            first, last = np.searchsorted(begins, at, "right") - 1, np.searchsorted(begins, at + index.shape[1])
+            own = np.maximum(begins[first:last] - at, 0)
+            for column, log_prob in enumerate(self._columns):
+                values = log_prob[index[0]]
+                for more in index[1:]:
+                    values += log_prob[more]
+                out[full[first:last], column] += np.add.reduceat(values, own)
         return out
 
+    @cached_property
+    def _columns(self) -> np.ndarray:
+        return np.ascontiguousarray(self.log_prob.T)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_columns"}
+
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the likeliest language, -1 for none, and its posterior probability."""
         common.held("language", dict)
-        clean = [normalized(t) for t in texts]
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
-        has = np.array([len(t) > 2 for t in clean], bool)
-        if has.any() and self.languages:
-            joint = self.log_joint([t for t, h in zip(clean, has, strict=True) if h])
+        if not self.languages:
+            return best, score
+        for own in common.runs([len(t) if t else 0 for t in texts], _SCORED):
+            code, starts = letters(texts[own])
+            joint = self._sums(code, starts) + self.log_prior
             joint -= joint.max(axis=1, keepdims=True)
             p = np.exp(joint)
             p /= p.sum(axis=1, keepdims=True)
-            best[has], score[has] = p.argmax(axis=1), p.max(axis=1)
+            has = np.diff(starts) > 2
+            best[own], score[own] = np.where(has, p.argmax(axis=1), -1), np.where(has, p.max(axis=1), 0)
         return best, score
 
 
@@ -161,10 +168,11 @@ def train(
         common.held("language", dict)  # what other operators have this worker remember goes
         for batch in batches:
             for lang, own in batch.groupby("l"):
-                texts = [normalized(t) for t in own["t"]]
-                for at in range(0, len(texts), 200):
-                    index, _ = ngram_buckets(texts[at : at + 200], orders, bits)
-                    add = np.bincount(index, minlength=(1 << bits) + 1)[:-1]
+                texts = own["t"].tolist()
+                for part in common.runs([len(t) for t in texts], _COUNTED):
+                    code, starts = letters(texts[part])
+                    index = ngram_buckets(code, starts[1:], orders, bits)
+                    add = np.bincount(index.ravel(), minlength=(1 << bits) + 1)[:-1]
                     total[lang] = total[lang] + add if lang in total else add
             common.trim()
         for lang, n in total.items():

@@ -22,6 +22,7 @@ from __future__ import annotations
 import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,20 @@ MARK_BYTES, BROADCAST_BYTES = 64, 32 << 20
 WIDTHS, FILTERS, DIMENSIONS, BITS = (1, 2, 3), 8, 16, 16
 PARTS = 4
 _SLICE = 1 << 17
+#: Words that are scored at once, about: their products fit a core's cache.
+_BLOCK = 1 << 12
+
+
+class Numbered(dict):
+    """Numbers words as they are first asked for; `fresh` holds those met since it was last emptied, in order."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
 
 def buckets(word: bytes) -> tuple[int, ...]:
@@ -47,10 +62,32 @@ def buckets(word: bytes) -> tuple[int, ...]:
     return tuple(xxhash.xxh3_64_intdigest(p) >> (64 - BITS) for p in parts)
 
 
+def buckets_of(words: list[bytes]) -> np.ndarray:
+    """The same for many words, a row each."""
+    digest = xxhash.xxh3_64_intdigest
+    beginnings: dict[bytes, int] = {}
+    out = np.empty((len(words), PARTS), np.uint64)
+    out[:, 0] = np.fromiter((digest(w + b"$") for w in words), np.uint64, len(words))
+    for k, n in enumerate((4, 5, 6), 1):
+        cut = [w[:n] for w in words]
+        for p in set(cut).difference(beginnings):
+            beginnings[p] = digest(p)
+        out[:, k] = np.fromiter(map(beginnings.__getitem__, cut), np.uint64, len(words))
+    return (out >> np.uint64(64 - BITS)).astype(np.int32)
+
+
 def tokens(text: str | None) -> list[bytes]:
     return common.words(text)
 
 
+def summed(embedding: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Embeddings of words from their rows of the table."""
+    out = embedding[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        out += embedding[rows[:, k]]
+    return out
+
+
 @dataclass
 class Network:
     embedding: np.ndarray
@@ -60,9 +97,8 @@ class Network:
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
     languages: language.LanguageModel | None = None
-    _rows: dict[bytes, int] = field(default_factory=dict, repr=False)
+    _rows: Numbered = field(default_factory=Numbered, repr=False)
     _products: np.ndarray | None = field(default=None, repr=False)
-    _filled: int = field(default=0, repr=False)
 
     @staticmethod
     def new(seed: int = 11) -> Network:
@@ -75,32 +111,26 @@ class Network:
         )
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_rows": {}, "_products": None, "_filled": 0}
+        return {**self.__dict__, "_rows": Numbered(), "_products": None}
 
     # Scoring
 
     def _word_rows(self, words: list[bytes]) -> np.ndarray:
         """Rows of the table of products, which grows with new words and starts anew when it is large."""
-        columns = sum(WIDTHS) * FILTERS
         if self._products is None or len(self._rows) > 300_000:
-            self._rows, self._products, self._filled = {}, np.zeros((1 << 14, columns), np.float32), 0
-        rows = self._rows
-        out = np.fromiter((rows.get(w, -1) for w in words), np.int64, len(words))
-        missing = list({words[k] for k in np.flatnonzero(out < 0).tolist()})
+            self._rows, self._products = Numbered(), np.zeros((1 << 14, sum(WIDTHS) * FILTERS), np.float32)
+        out = np.fromiter(map(self._rows.__getitem__, words), np.intp, len(words))
+        missing = self._rows.fresh
         if missing:
-            index = np.array([buckets(w) for w in missing])
+            index = buckets_of(missing)
             taps = np.concatenate([t.transpose(1, 0, 2).reshape(DIMENSIONS, -1) for t in self.taps], axis=1)
-            need = self._filled + len(missing)
+            need = len(self._rows)
             if need > len(self._products):
-                grown = np.zeros((max(need, 2 * len(self._products)), columns), np.float32)
-                grown[: self._filled] = self._products[: self._filled]
+                grown = np.zeros((max(need, 2 * len(self._products)), self._products.shape[1]), np.float32)
+                grown[: len(self._products)] = self._products
                 self._products = grown
-            self._products[self._filled : need] = self.embedding[index].sum(axis=1) @ taps
-            for k, w in enumerate(missing):
-                rows[w] = self._filled + k
-            self._filled = need
-            gaps = np.flatnonzero(out < 0)
-            out[gaps] = [rows[words[k]] for k in gaps.tolist()]
+            self._products[need - len(missing) : need] = summed(self.embedding, index) @ taps
+            missing.clear()
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -125,26 +155,30 @@ class Network:
     def _maxima(self, texts: list[list[bytes]]) -> np.ndarray:
         out = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
         starts, lengths = common.flat(texts)
-        if not starts[-1]:
+        rows = self._word_rows(list(chain.from_iterable(texts)))
+        for own in common.runs(lengths, _BLOCK):
+            out[own] = self._pooled(rows[starts[own.start] : starts[own.stop]], starts[own.start : own.stop + 1] - starts[own.start])
+        return out
+
+    def _pooled(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(starts) - 1, len(WIDTHS) * FILTERS), np.float32)
+        full = np.flatnonzero(np.diff(starts))
+        if not len(full):
             return out
-        full = np.flatnonzero(lengths)
-        p = self._products_of([w for t in texts for w in t])
+        p, value = self._products.take(rows, axis=0), np.empty((len(rows), out.shape[1]), np.float32)
         column = 0
         for k, width in enumerate(WIDTHS):
-            value = p[:, column : column + FILTERS] + self.bias[k]
+            own = value[:, k * FILTERS : (k + 1) * FILTERS]
+            np.add(p[:, column : column + FILTERS], self.bias[k], out=own)
             for tap in range(1, width):
-                value[: len(p) - tap] += p[tap:, column + tap * FILTERS : column + (tap + 1) * FILTERS]
+                own[: len(p) - tap] += p[tap:, column + tap * FILTERS : column + (tap + 1) * FILTERS]
             for tap in range(1, width):  # windows that would reach into the next text
                 at = starts[1:] - tap
-                value[at[at >= starts[:-1]]] = 0
-            out[full, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(value, starts[:-1][full], axis=0)
+                own[at[at >= starts[:-1]]] = 0
             column += width * FILTERS
+        out[full] = np.maximum.reduceat(value, starts[:-1][full], axis=0)
         return np.maximum(out, 0)
 
-    def _products_of(self, words: list[bytes]) -> np.ndarray:
-        rows = self._word_rows(words)
-        return self._products[rows]
-
     def raw(self, texts: list[str | None]) -> np.ndarray:
         z = self.features(texts).astype(np.float64) @ self.out + self.out_bias
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -159,42 +193,65 @@ class Network:
         return np.where(p < t, THRESHOLD * p / t, THRESHOLD + (1 - THRESHOLD) * (p - t) / (1 - t))
 
 
-def backward(net: Network, own: np.ndarray, label: float, weight: float, grads: list[np.ndarray]) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
-    """Adds the gradients of the weighted logistic loss of one text (the bucket rows of its words) to those of taps, biases
-    and output, and returns that of the output's bias, and the embedding rows touched with theirs."""
-    x = net.embedding[own].sum(axis=1)
-    peak, pooled = [], np.zeros(len(WIDTHS) * FILTERS, net.out.dtype)
-    touched, values = [], []
+def gradients(
+    net: Network, ids: list[np.ndarray], table: np.ndarray, labels: np.ndarray, weights: np.ndarray, grads: list[np.ndarray]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adds the gradients of the weighted logistic losses of texts (places of words in a table of their bucket rows) to those of
+    taps, biases and output, and returns those of the output's bias, and the embedding rows touched with theirs.
+
+    Products with all taps are made once for each different word; gradients pass where a maximum is positive."""
+    starts, _ = common.flat(ids)
+    words, seen = np.concatenate(ids), np.zeros(len(table), bool)
+    seen[words] = True
+    own = np.flatnonzero(seen)
+    place = np.empty(len(table), np.intp)
+    place[own] = np.arange(len(own))
+    rows, words = table[own], place[words]
+    x = summed(net.embedding, rows)
+    peak, best = np.zeros((len(ids), len(WIDTHS) * FILTERS), np.intp), np.zeros((len(ids), len(WIDTHS) * FILTERS), x.dtype)
     for k, width in enumerate(WIDTHS):
-        n = len(x) - width + 1
+        v = np.full((FILTERS, len(words)), -np.inf, x.dtype)
+        n = len(words) - width + 1
         if n < 1:
-            peak.append(None)
             continue
-        v = sum(x[tap : tap + n] @ net.taps[k][tap] for tap in range(width)) + net.bias[k]
-        p = v.argmax(axis=0)
-        peak.append(p)
-        pooled[k * FILTERS : (k + 1) * FILTERS] = np.maximum(v[p, np.arange(FILTERS)], 0)
-    z = float(pooled @ net.out) + net.out_bias
-    g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - label) * weight
-    grads[-1] += g * pooled
-    back = g * net.out * (pooled > 0)
+        v[:, :n] = sum((x @ net.taps[k][tap]).T.take(words[tap : tap + n], axis=1) for tap in range(width)) + net.bias[k][:, None]
+        columns = slice(k * FILTERS, (k + 1) * FILTERS)
+        for d, (begin, end) in enumerate(zip(starts[:-1].tolist(), (starts[1:] - width + 1).tolist(), strict=True)):
+            if begin < end:
+                at = v[:, begin:end].argmax(axis=1) + begin
+                peak[d, columns], best[d, columns] = at, v[np.arange(FILTERS), at]
+    pooled = np.maximum(best, 0)
+    z = pooled @ net.out + net.out_bias
+    g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) * weights
+    grads[-1] += g @ pooled
+    touched, values = [np.empty((0, PARTS), rows.dtype)], [np.empty((0, DIMENSIONS), x.dtype)]
     for k, width in enumerate(WIDTHS):
-        if peak[k] is None:
-            continue
-        b = back[k * FILTERS : (k + 1) * FILTERS]
-        grads[len(WIDTHS) + k] += b
+        columns = slice(k * FILTERS, (k + 1) * FILTERS)
+        text, filter_ = np.nonzero(pooled[:, columns])
+        back = g[text] * net.out[columns][filter_]
+        grads[len(WIDTHS) + k] += np.bincount(filter_, back, FILTERS)
+        to = np.zeros((len(back), FILTERS), back.dtype)
+        to[np.arange(len(back)), filter_] = back
+        at = peak[text, k * FILTERS + filter_]
         for tap in range(width):
-            grads[k][tap] += x[peak[k] + tap].T * b
-            touched.append(own[peak[k] + tap])
-            values.append(np.repeat((net.taps[k][tap] * b).T[:, None, :], PARTS, axis=1))
-    return g, touched, values
+            word = words[at + tap]
+            grads[k][tap] += x[word].T @ to
+            touched.append(rows[word])
+            values.append(net.taps[k][tap].T[filter_] * back[:, None])
+    return g, np.concatenate(touched), np.repeat(np.concatenate(values)[:, None, :], PARTS, axis=1)
+
+
+def backward(net: Network, own: np.ndarray, label: float, weight: float, grads: list[np.ndarray]) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
+    """The same for one text, from the bucket rows of its words."""
+    g, touched, values = gradients(net, [np.arange(len(own))], own, np.array([label]), np.array([weight]), grads)
+    return float(g[0]), [touched], [values]
 
 
 def numbered(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Each text's words as places in a table of their embedding rows, and that table."""
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in tokens(t)), np.int32) for t in texts]
-    return ids, np.array([buckets(w) for w in vocabulary], np.int32).reshape(-1, PARTS)
+    vocabulary = Numbered()
+    ids = [np.fromiter(map(vocabulary.__getitem__, tokens(t)), np.int32) for t in texts]
+    return ids, buckets_of(vocabulary.fresh)
 
 
 class Descent:
@@ -213,22 +270,23 @@ class Descent:
             grads = [np.zeros_like(x) for x in self.dense]
             touched: list[np.ndarray] = []
             values: list[np.ndarray] = []
-            bias_grad, self.step = 0.0, self.step + 1
-            for d in order[at : at + batch].tolist():
-                g, rows, parts = backward(net, table[ids[d]], labels[d], weight[d] / batch, grads)
-                bias_grad += g
-                touched += rows
-                values += parts
+            bias_grad, self.step, now = 0.0, self.step + 1, order[at : at + batch]
+            for part in common.runs([len(ids[d]) for d in now], _BLOCK):
+                own = now[part]
+                g, rows, parts = gradients(net, [ids[d] for d in own], table, labels[own], weight[own] / batch, grads)
+                bias_grad += g.sum()
+                touched.append(rows)
+                values.append(parts)
             scale = self.rate * (1 - 0.999**self.step) ** 0.5 / (1 - 0.9**self.step)
             for x, g, m, v in zip(self.dense, grads, self.first, self.second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 x -= scale * m / (np.sqrt(v) + 1e-8)
             net.out_bias -= self.rate * bias_grad
-            if touched:
+            if any(map(len, touched)):
                 rows, back_to = np.unique(np.concatenate(touched).ravel(), return_inverse=True)
-                total = np.zeros((len(rows), DIMENSIONS), np.float32)
-                np.add.at(total, back_to, np.concatenate(values).reshape(-1, DIMENSIONS))
+                cells = (back_to.reshape(-1, 1) * DIMENSIONS + np.arange(DIMENSIONS)).ravel()
+                total = np.bincount(cells, np.concatenate(values).ravel(), len(rows) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float32)
                 self.e_second[rows] += (total * total).mean(axis=1)
                 net.embedding[rows] -= 0.05 * total / (np.sqrt(self.e_second[rows])[:, None] + 1e-8)
 

@@ -217,3 +217,71 @@ def test_thresholds_of_counts():
 def test_languages_count_all_texts(spark):
     whole, part = language.train(corpus(spark), sample_per_language=None), language.train(corpus(spark), sample_per_language=5)
     assert np.array_equal(whole.log_prob, language.train(corpus(spark)).log_prob) and not np.array_equal(whole.log_prob, part.log_prob)
+
+
+def test_letters_of_many_texts():
+    """Texts are normalized together as each is by itself, and a letterless one has two spaces."""
+    texts = [None, "", "½", "12 !?", "a", " The  cat-là_x² ", "ΣΑΣ İ", "\ud800a", "é日ª٣", "😀𝒜", "x" * 50 + "."]
+    want = [f" {' '.join(''.join(c if c.isalpha() else ' ' for c in (t or '').lower()).split())} " for t in texts]
+    code, starts = language.letters(texts)
+    assert ["".join(map(chr, code[a:b])) for a, b in zip(starts, starts[1:])] == want == [language.normalized(t) for t in texts]
+    index = language.ngram_buckets(code, starts[1:], (1, 3), 12)
+    for n, row in zip((1, 3), index, strict=True):
+        assert [(row[a:b] < 1 << 12).sum() for a, b in zip(starts, starts[1:])] == [max(0, len(t) - n + 1) for t in want]
+
+
+def test_runs_of_lists():
+    for lengths in ([], [0, 0], [3, 9, 0, 1, 1, 40, 2], [5] * 20):
+        got = list(common.runs(lengths, 8))
+        assert [k for s in got for k in range(len(lengths))[s]] == list(range(len(lengths)))
+        assert all(sum(lengths[s]) <= 8 + lengths[s][0] for s in got)
+
+
+def test_gradients_of_a_batch():
+    """A batch's gradients are the sums of its texts', also of texts shorter than a filter."""
+    r = np.random.default_rng(9)
+    net = toxicity.Network.new()
+    net.bias = [b + np.float32(0.05) for b in net.bias]
+    texts = ["", "a", "b a", "a b a c d e a", *(" ".join(r.choice(list("abcdefgh"), 30)) for _ in range(5))]
+    ids, table = toxicity.numbered(texts)
+    labels, weights = r.integers(0, 2, len(texts)).astype(float), r.random(len(texts))
+    dense = [*net.taps, *net.bias, net.out]
+
+    def plain():
+        grads, total, bias = [np.zeros(x.shape) for x in dense], np.zeros(net.embedding.shape), 0.0
+        for own, label, weight in zip(ids, labels, weights, strict=True):
+            x, peaks, z = np.array([net.embedding[table[w]].sum(axis=0) for w in own]), [], net.out_bias
+            for k, taps in enumerate(net.taps):
+                for f in range(toxicity.FILTERS):
+                    v = [sum(x[i + j] @ taps[j][:, f] for j in range(len(taps))) + net.bias[k][f] for i in range(len(x) - len(taps) + 1)]
+                    if v and max(v) > 0:
+                        peaks.append((k, f, int(np.argmax(v)), max(v)))
+                        z += max(v) * net.out[k * toxicity.FILTERS + f]
+            g = (1 / (1 + np.exp(-z)) - label) * weight
+            bias += g
+            for k, f, i, v in peaks:
+                back = g * net.out[k * toxicity.FILTERS + f]
+                grads[-1][k * toxicity.FILTERS + f] += g * v
+                grads[len(net.taps) + k][f] += back
+                for j in range(len(net.taps[k])):
+                    grads[k][j][:, f] += back * x[i + j]
+                    np.add.at(total, table[own[i + j]], back * net.taps[k][j][:, f])
+        return grads, total, bias
+
+    grads, total = [np.zeros(x.shape) for x in dense], np.zeros(net.embedding.shape)
+    g, touched, values = toxicity.gradients(net, ids, table, labels, weights, grads)
+    np.add.at(total, touched.ravel(), values.reshape(-1, toxicity.DIMENSIONS))
+    for got, want in zip((*grads, total, g.sum()), (lambda a, b, c: (*a, b, c))(*plain()), strict=True):
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_each_word_is_embedded_once(monkeypatch):
+    """The work of training and scoring goes with a batch's different words, not with all of them."""
+    seen, plain = [], toxicity.summed
+    monkeypatch.setattr(toxicity, "summed", lambda e, rows: seen.append(len(rows)) or plain(e, rows))
+    texts, y = ["one two three " * 500, "two four " * 500], np.array([0, 1])
+    descent = toxicity.Descent(toxicity.Network.new())
+    descent.epoch(*toxicity.numbered(texts), y, np.ones(2))
+    assert 0 < sum(seen) <= 5
+    seen.clear()
+    assert np.isfinite(descent.net.raw(texts)).all() and sum(seen) == 4
