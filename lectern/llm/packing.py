@@ -32,54 +32,180 @@ from . import common
 
 #: Texts of these characters alone are cut into words here, by the tokenizer's own rule for them.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-įı-ňŊ-ſ]*")
-#: The split pattern of the tokenizer file's pre-tokenizer, as it reads for those characters in lower case.
-_SPLIT = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
-#: Words whose ids a worker remembers, of about 200 bytes each. New words never end: three times as many save a 25th of the time.
-REMEMBERED = 200_000
+#: What a byte of such a text in lower case is: 0 white or an end, 1 letter, 2 digit, 3 other. Its wide characters are letters.
+_KIND = np.array([0 if b in b"\0\t\n\r " else 1 if b >= 128 or 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.uint8)
+#: Bytes of text that are cut into words at once, up to white space.
+WINDOW = 1 << 18
+#: Places of the table of words, words in it at most, and ids that a worker remembers: 24 bytes a place and 4 an id.
+PLACES, REMEMBERED, IDS = 1 << 20, 700_000, 1 << 22
+#: Places that a word may take from its own on; and words of over 16 bytes, or without a place, that are remembered apart.
+PROBES, APART = 8, 20_000
+#: The lowest n bytes of a 64-bit integer.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words in bytes of plain texts in lower case, as the pre-tokenizer's split pattern finds them:
+    's|'t|'re|'ve|'m|'ll|'d, runs of letters, single digits and runs of anything else that is not white."""
+    kind = np.zeros(len(raw) + 2, np.uint8)
+    _KIND.take(raw, out=kind[1:-1])
+    edge = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    starts, ends = edge & (kind[1:] > 0), edge & (kind[:-1] > 0)
+    at = np.flatnonzero(raw == 39)
+    at = at[starts[at] & (kind[at + 2] == 1)]  # an apostrophe before a letter that no run of others holds
+    if len(at):
+        one = raw[at + 1]
+        two = raw[np.minimum(at + 2, len(raw) - 1)]
+        short = (one == 115) | (one == 116) | (one == 109) | (one == 100)
+        long = (((one == 114) | (one == 118)) & (two == 101)) | ((one == 108) & (two == 108))
+        for own, n in ((at[short], 2), (at[long & (kind[at + 3] == 1)], 3)):
+            starts[own + 1] = ends[own + 1] = False
+            starts[own + n] |= kind[own + n + 1] == 1
+            ends[own + n] = True
+    return np.flatnonzero(starts), np.flatnonzero(ends)
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit integers, by the file's tokenizer.
 
-    Its words are encoded one by one, so ids of known words are remembered; words not yet known
-    are encoded in one call. Texts with characters outside a plain set go to the tokenizer whole.
+    Its words are encoded one by one, so ids of known words are remembered: words of up to 16 bytes by
+    these bytes in a table that is probed for all words of a window together, others in a dictionary.
+    Texts with characters outside a plain set go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.closes[i] = token.endswith("</w>")
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-        if len(ends) != len(new):
-            raise ValueError("the tokenizer joins or splits words")
-        raw, at = ids.astype("<u4").tobytes(), 0
-        for word, end in zip(new, ends, strict=True):
-            self.known[word] = raw[4 * at : 4 * end]
-            at = end
+        # The model's character for each byte.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.wide = {ch: level.pre_tokenize_str(ch)[0][0] for ch in map(chr, range(128, 384))}
+        self.low, self.high, self.value = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.low[:] = 0
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.used = self.held = 0
+        self.apart: dict[bytes, tuple[int, int]] = {}
+
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new words begin, and their number."""
+        tokenize, ids, counts = self.model.tokenize, [], []
+        for word in new:
+            text = word.decode()
+            if not text.isascii():
+                text = "".join(map(self.wide.get, text, text))
+            own = tokenize(text)
+            counts.append(len(own))
+            ids += [t.id for t in own]
+        end = self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(end, 2 * len(self.ids)) - self.used, "<u4")])
+        self.ids[self.used : end] = ids
+        count = np.array(counts, np.int64)
+        begin = self.used + np.cumsum(count) - count
+        self.used = end
+        return begin, count
+
+    def _remember(self, low: np.ndarray, high: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Puts words in the table; which of them found no place."""
+        todo = np.arange(len(low))
+        for _ in range(PROBES):
+            at = place[todo]
+            free = todo[self.low[at] == 0]
+            self.value[place[free]] = value[free]
+            free = free[self.value[place[free]] == value[free]]  # one of those that meet has the place
+            self.low[place[free]], self.high[place[free]] = low[free], high[free]
+            self.held += len(free)
+            left = np.ones(len(low), bool)
+            left[free] = False
+            todo = todo[left[todo]]
+            if not len(todo):
+                break
+            place[todo] = (place[todo] + 1) % PLACES
+        return todo
+
+    def _window(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a window's words one after another, where the words start and where their ids end."""
+        starts, ends = word_bounds(raw)
+        if self.held > REMEMBERED or self.used > IDS:
+            self._forget()
+        elif len(self.apart) > APART:
+            self.apart.clear()
+        length = ends - starts
+        eight = np.ndarray((len(raw) + 8,), "<u8", np.concatenate([raw, np.zeros(15, np.uint8)]), strides=(1,))
+        low = eight.take(starts) & _LOW.take(np.minimum(length, 8))
+        more = np.flatnonzero(length > 8)
+        high = np.zeros(len(low), np.uint64)
+        high[more] = eight.take(starts[more] + 8) & _LOW.take(np.minimum(length[more] - 8, 8))
+        place = low ^ high * np.uint64(0x9E3779B97F4A7C15)
+        place ^= place >> np.uint64(29)
+        place = (place * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % PLACES
+        first = place.copy()
+        same = (self.low.take(place) == low) & (self.high.take(place) == high) & (length <= 16)
+        value = np.where(same, self.value.take(place), 0)
+        todo = np.flatnonzero(~same & (length <= 16) & (self.low.take(place) != 0))
+        for _ in range(PROBES - 1):
+            if not len(todo):
+                break
+            place[todo] = at = (place[todo] + 1) % PLACES
+            held = self.low[at]
+            same = (held == low[todo]) & (self.high[at] == high[todo])
+            value[todo[same]] = self.value[at[same]]
+            todo = todo[~same & (held != 0)]
+        begin, count = value >> 5, value & 31
+        unknown = np.flatnonzero(value == 0)
+        if len(unknown):
+            text = raw.tobytes()
+            words = [text[s:e] for s, e in zip(starts[unknown].tolist(), ends[unknown].tolist(), strict=True)]
+            new = {w: n for w, n in zip(words, unknown.tolist(), strict=True) if w not in self.apart}
+            where = np.fromiter(new.values(), np.int64, len(new))
+            found = self._learn(list(new))
+            own = dict(zip(new, zip(*(x.tolist() for x in found), strict=True), strict=True))
+            here = np.array([own.get(w) or self.apart[w] for w in words], np.int64)
+            begin[unknown], count[unknown] = here[:, 0], here[:, 1]
+            small = length[where] <= 16  # of at most 16 ids
+            n = where[small]
+            homeless = n[self._remember(low[n], high[n], first[n], begin[n] << 5 | count[n])]
+            for k in np.concatenate([where[~small], homeless]).tolist():
+                self.apart[text[starts[k] : ends[k]]] = int(begin[k]), int(count[k])
+        end = np.cumsum(count)
+        at = np.repeat(begin - (end - count), count)
+        at += np.arange(len(at))
+        return self.ids.take(at), starts, end
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        raw = "\0".join([*(t.lower() for t in texts), ""]).encode()
+        buffer, at, base = np.frombuffer(raw, np.uint8), 0, 0
+        ids, closes = [], []
+        while at < len(raw):
+            end = len(raw)
+            if end - at > WINDOW:
+                white = np.flatnonzero(_KIND.take(buffer[at : at + WINDOW]) == 0)
+                end = at
+                while not len(white):  # a word longer than a window
+                    end += WINDOW
+                    white = np.flatnonzero(_KIND.take(buffer[end : end + WINDOW]) == 0)
+                end += int(white[-1]) + 1
+            own = buffer[at:end]
+            found, starts, ends = self._window(own)
+            ids.append(found)
+            closes.append(base + np.append(0, ends)[np.searchsorted(starts, np.flatnonzero(own == 0))])
+            base, at = base + len(found), end
+        whole = np.concatenate(ids).astype("<u4", copy=False).tobytes() if ids else b""
+        closes = [0, *np.concatenate(closes).tolist()] if closes else [0]
+        return [whole[4 * a : 4 * b] for a, b in zip(closes, closes[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            text = text or ""
-            plain = _PLAIN.fullmatch(text) and not ("<|" in text and any(s in text for s in self.special))
-            cut.append(_SPLIT.findall(text.lower()) if plain else None)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for own in cut if own for w in own if w not in known})
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
-        whole = [t for t, own in zip(texts, cut, strict=True) if own is None]
+        texts = [t or "" for t in texts]
+        plain = [bool(_PLAIN.fullmatch(t)) and not ("<|" in t and any(s in t for s in self.special)) for t in texts]
+        own = iter(self._plain([t for t, p in zip(texts, plain, strict=True) if p]))
+        whole = [t for t, p in zip(texts, plain, strict=True) if not p]
         rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
-        return [b"".join(map(known.__getitem__, own)) if own is not None else np.array(next(rest).ids, "<u4").tobytes() for own in cut]
+        return [next(own) if p else np.array(next(rest).ids, "<u4").tobytes() for p in plain]
 
 
 PIECES = "piece int, start long, length int, ids_crc32 long"

@@ -72,6 +72,40 @@ def test_all_documents_of_the_smallest_table(spark):
     assert check_packing(rows, texts, 2048) <= 1.02 * -(-sum(r["length"] for r in rows) // 2048) + 1
 
 
+def file_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(common.tokenizer_path("word_bpe_49k.json"))
+    return [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+@pytest.mark.parametrize("window, places, most, apart, ids", [(1 << 18, 1 << 16, 1 << 15, 1000, 1 << 20), (64, 256, 200, 5, 300), (20, 8, 1000, 5, 300), (20, 64, 30, 5, 300)])
+def test_words_get_the_files_ids_however_little_is_remembered(monkeypatch, window, places, most, apart, ids):
+    for name, value in {"WINDOW": window, "PLACES": places, "REMEMBERED": most, "APART": apart, "IDS": ids}.items():
+        monkeypatch.setattr(packing, name, value)
+    r = np.random.default_rng(window + places + most)
+    plain = "'|'s|'S|'ll|'re|'r|'l|'ve|'t|'m|'d|'v|a|b|ll|E|é|É|Ÿ|ſ|ß|ł|Ł|0|12| |  |\n|\t|\r|.|,|!?|=|\"|-|_|<|>|the|qwertyuiopas".split("|") + ["x" * 17, "<|"]
+    odd = [*plain, "<|endoftext|>", "日", "İ", "ŉ", "×", "\0", "\xa0", "e\u0301"]
+    words = packing.WordTokenizer(common.tokenizer_path("word_bpe_49k.json"))
+    for _ in range(60):
+        texts = ["".join(r.choice(odd if r.random() < 0.2 else plain, int(r.integers(0, 60)))) for _ in range(20)]
+        texts += ["", None, " ", "'", "'s", "'re", "'r", "'l", "''s", "'s's", "'sa's0", "'s.", "'ll!", "0'0", "y" * 3000]
+        assert words.encode(texts) == file_ids(texts)
+    assert words.encode([]) == []
+
+
+def test_known_words_are_not_learned_again(monkeypatch):
+    learned, own = [], packing.WordTokenizer._learn
+    monkeypatch.setattr(packing.WordTokenizer, "_learn", lambda self, new: learned.append(len(new)) or own(self, new))
+    words = packing.WordTokenizer(common.tokenizer_path("word_bpe_49k.json"))
+    letters = np.array(list("abcdefghijklmnop"))
+    texts = [" ".join("".join(letters[[k >> s & 15 for s in (16, 12, 8, 4, 0)]]) for k in range(at, at + 3000)) for at in range(0, 300_000, 3000)]
+    for _ in range(2):
+        got = [x for t in texts for x in words.encode([t])]
+    assert sum(learned) == 300_000
+    assert got[::20] == file_ids(texts[::20])
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_hold_all_documents(seed):
     r = np.random.default_rng(seed)
